@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .op2_rans import op2_rans_tokens
 from .op3_url_lists import OP3_SQL, op3_url_lists
+from .op7_packing import op7_best_fit_packing
 
 QUERIES = {
+    "op2_rans_tokens": op2_rans_tokens,
     "op3_url_lists": op3_url_lists,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 SQL = {
