@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .op2_rans import op2_rans_tokens
 from .op3_url_lists import OP3_SQL, op3_url_lists
+from .op4_suffix_trees import op4_suffix_trees
+from .op5_suffix_array import op5_suffix_array
 from .op7_packing import op7_best_fit_packing
 
 QUERIES = {
     "op2_rans_tokens": op2_rans_tokens,
     "op3_url_lists": op3_url_lists,
+    "op4_suffix_trees": op4_suffix_trees,
+    "op5_suffix_array": op5_suffix_array,
     "op7_best_fit_packing": op7_best_fit_packing,
 }
 
