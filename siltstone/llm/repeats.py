@@ -13,8 +13,11 @@ with its suffixes is the operator's own method.
    smallest document; for the block's other documents the region is settled.
 4. A bucket sorts the suffixes that start at the windows of its distinct regions and
    finds, for each 50-unit string, the smallest document that has it.
-5. Spans go back to their documents, which are joined with their texts again
-   only where something may be removed.
+5. Spans go back to their documents, which meet their texts again only where
+   something may be removed.
+
+Places and spans travel as arrays, one row per pair of partitions, not one row
+per document and bucket.
 
 No step gathers a key's rows: hot texts, lines and passages are reduced to one row
 a block before each shuffle.  Equality of words, anchors and regions is judged
@@ -24,6 +27,7 @@ on 64-bit hashes, that of exact copies on SHA-256.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import compress
@@ -137,61 +141,101 @@ def _anchors(rule: Rule, buckets: int):
     return run
 
 
-def _by_doc(docs: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Distinct ids, and for each the bytes of its values in a row."""
-    order = np.argsort(docs, kind="stable")
-    docs, values = docs[order], np.ascontiguousarray(values[order])
-    begins = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.empty(0, np.int64)
-    width = values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
-    return docs[begins], binary_array(values.view(np.uint8).ravel(), np.append(begins, len(docs)) * width)
-
-
-_KEYED = "doc_id long, text_key int, kind int, payload binary"
-
-
-def _keyed(docs: np.ndarray, keys: np.ndarray, kind: int, payload: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(docs, pa.int64()), pa.array(keys, pa.int32()), pa.array(np.full(len(docs), kind, np.int32)), payload],
-        names=["doc_id", "text_key", "kind", "payload"],
-    )
-
-
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket, the places of anchors that two documents have: kind 0 rows."""
-    held: dict[int, list[tuple[np.ndarray, ...]]] = {}
-    for batch in batches:
-        for bucket, docs, text, hashes, low, high in zip(*(c.to_pylist() for c in batch.columns)):
-            ids = np.frombuffer(docs, np.int64)
-            low = np.frombuffer(low, "<u2").astype(np.uint32)
-            pos = low | np.frombuffer(high, "<u2").astype(np.uint32) << np.uint32(16)
-            doc = ids[np.frombuffer(text, "<u4" if len(ids) > 1 << 16 else "<u2")]
-            if hashes is None:
-                found, payload = _by_doc(doc, pos)
-                yield _keyed(found, np.zeros(len(found)), 0, payload)
-            else:
-                held.setdefault(bucket, []).append((np.frombuffer(hashes, "<u4"), doc, pos))
-    for parts in held.values():
-        hashes, doc, pos = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(hashes, kind="stable")
-        h, d = hashes[order], doc[order]
-        head = np.concatenate([[True], h[1:] != h[:-1]])
-        begins = np.flatnonzero(head)
-        several = np.minimum.reduceat(d, begins) != np.maximum.reduceat(d, begins)
-        at = order[several[np.cumsum(head) - 1]]
-        if len(at):
-            found, payload = _by_doc(doc[at], pos[at])
-            yield _keyed(found, np.zeros(len(found)), 0, payload)
+def doc_bucket(doc_id, buckets: int):
+    """The bucket of a document, as a column; _doc_buckets is the same over an array of ids."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(buckets)), F.lit(0)).cast("int")
+
+
+def _doc_buckets(docs: np.ndarray, buckets: int) -> np.ndarray:
+    return np.fromiter((zlib.crc32(b"%d" % d) % buckets for d in docs.tolist()), np.int64, len(docs))
+
+
+#: kind 0: anchor places, 1: spans (both for many documents of a bucket), 2: copy mark, 3: text.
+_KEYED = "bucket int, kind int, doc_id long, text_key int, docs binary, keys binary, counts binary, payload binary"
+_KEYED_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+_KEYED_NAMES = [c.split()[0] for c in _KEYED.split(", ")]
+
+
+def _dealt(docs: np.ndarray, keys: np.ndarray, values: np.ndarray, kind: int, buckets: int) -> pa.RecordBatch:
+    """Values of documents (and texts), as one row per bucket of documents."""
+    order = np.lexsort((keys, docs))
+    docs, keys, values = docs[order], keys[order], values[order]
+    begins = np.flatnonzero(np.concatenate([[True], (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])]))
+    counts = np.diff(np.append(begins, len(docs)))
+    bucket = _doc_buckets(docs[begins], buckets)
+    rows = []
+    for b in np.unique(bucket):
+        mine = np.flatnonzero(bucket == b)
+        at = begins[mine]
+        inside = ranges(at, counts[mine])
+        packed = [docs[at].tobytes(), keys[at].astype("<i4").tobytes(), counts[mine].astype("<u4").tobytes(), values[inside].astype("<u4").tobytes()]
+        rows.append((int(b), kind, None, None, *packed))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KEYED_TYPES)], names=_KEYED_NAMES)
+
+
+class _Held:
+    """The rows of one kind of a bucket of documents, looked up by document and text."""
+
+    def __init__(self, width: int):
+        self.width, self.parts, self.sorted = width, [], None
+
+    def add(self, docs: bytes, keys: bytes, counts: bytes, payload: bytes) -> None:
+        self.parts.append((np.frombuffer(docs, np.int64), np.frombuffer(keys, "<i4"), np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(payload, "<u4").reshape(-1, self.width)))
+
+    def get(self, doc: int, key: int) -> np.ndarray | None:
+        if self.sorted is None:
+            docs, keys, counts, values = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else [np.empty(0, np.int64)] * 4
+            order = np.lexsort((keys, docs))
+            at = np.cumsum(counts) - counts
+            self.sorted = docs[order], keys[order], at[order], counts[order], values
+            self.parts = []
+        docs, keys, at, counts, values = self.sorted
+        lo, hi = np.searchsorted(docs, doc, "left"), np.searchsorted(docs, doc, "right")
+        lo, hi = lo + np.searchsorted(keys[lo:hi], key, "left"), lo + np.searchsorted(keys[lo:hi], key, "right")
+        return values[ranges(at[lo:hi], counts[lo:hi])] if lo < hi else None
+
+
+def _shared_anchors(buckets: int):
+    """Of an anchor bucket, the places of anchors that two documents have: kind 0 rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        sure: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for bucket, docs, text, hashes, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+                ids = np.frombuffer(docs, np.int64)
+                low = np.frombuffer(low, "<u2").astype(np.uint32)
+                pos = low | np.frombuffer(high, "<u2").astype(np.uint32) << np.uint32(16)
+                doc = ids[np.frombuffer(text, "<u4" if len(ids) > 1 << 16 else "<u2")]
+                if hashes is None:
+                    sure.append((doc, pos))
+                else:
+                    held.setdefault(bucket, []).append((np.frombuffer(hashes, "<u4"), doc, pos))
+        for parts in held.values():
+            hashes, doc, pos = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            h, d = hashes[order], doc[order]
+            head = np.concatenate([[True], h[1:] != h[:-1]])
+            begins = np.flatnonzero(head)
+            several = np.minimum.reduceat(d, begins) != np.maximum.reduceat(d, begins)
+            at = order[several[np.cumsum(head) - 1]]
+            sure.append((doc[at], pos[at]))
+        if any(len(d) for d, _ in sure):
+            doc, pos = (np.concatenate(x) for x in zip(*sure))
+            yield _dealt(doc, np.zeros(len(doc), np.int64), pos, 0, buckets)
+
+    return run
 
 
 # ---- regions
 
 _REGIONS = (
-    "kind string, bucket int, doc_id long, text_key int, docs binary, keys binary, starts binary, sizes binary, content binary, "
+    "kind string, bucket int, doc_id long, text_key int, docs binary, keys binary, starts binary, sizes binary, counts binary, content binary, "
     "payload binary, n_units long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 )
 _REGION_FIELDS = [
     ("kind", pa.string()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int32()), ("docs", pa.binary()), ("keys", pa.binary()),
-    ("starts", pa.binary()), ("sizes", pa.binary()), ("content", pa.binary()), ("payload", pa.binary()), ("n_units", pa.int64()),
+    ("starts", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary()), ("content", pa.binary()), ("payload", pa.binary()), ("n_units", pa.int64()),
     ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()),
 ]
 
@@ -215,7 +259,7 @@ def _finished(rule: Rule, text: bytes, mask: np.ndarray | None, keep_text: bool)
     return out
 
 
-def _send_regions(parts: list[tuple], buckets: int) -> Iterator[dict]:
+def _send_regions(parts: list[tuple], buckets: int, doc_buckets: int) -> Iterator[dict]:
     """Distinct regions of a block by bucket, and spans that the block settles itself."""
     docs, keys, starts, counts, hashes, marks, contents, sizes, window = (list(x) for x in zip(*parts))
     width = window[0]
@@ -228,8 +272,9 @@ def _send_regions(parts: list[tuple], buckets: int) -> Iterator[dict]:
     settled = order[docs[order] > least]
     if len(settled):
         span = np.stack([starts[settled], starts[settled] + counts[settled] + width - 1], axis=1).astype("<u4")
-        for found, key, payload in _spans(docs[settled], keys[settled], span):
-            yield {"kind": "S", "doc_id": found, "text_key": key, "payload": payload}
+        found = _dealt(*_spans(docs[settled], keys[settled], span), 1, doc_buckets)
+        for bucket, d, k, c, payload in zip(*(found.column(n).to_pylist() for n in ("bucket", "docs", "keys", "counts", "payload"))):
+            yield {"kind": "S", "bucket": bucket, "docs": d, "keys": k, "counts": c, "payload": payload}
     sent = order[docs[order] == least]
     bucket = (marks[sent] % np.uint64(buckets)).astype(np.int64)
     by = sent[np.argsort(bucket, kind="stable")]
@@ -243,27 +288,22 @@ def _send_regions(parts: list[tuple], buckets: int) -> Iterator[dict]:
             }
 
 
-def _spans(docs: np.ndarray, keys: np.ndarray, spans: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """For each document and text, its spans in a row, overlapping ones of it joined."""
+def _spans(docs: np.ndarray, keys: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, texts and spans, with the overlapping spans of a text joined."""
     order = np.lexsort((spans[:, 0], keys, docs))
     docs, keys, spans = docs[order], keys[order], spans[order].astype(np.int64)
     new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (keys[1:] != keys[:-1])])
     text = np.cumsum(new) - 1
     reach = np.maximum.accumulate(spans[:, 1] + (text << 34)) - (text << 34)
-    opens = np.concatenate([[True], new[1:] | (spans[1:, 0] > reach[:-1])])
-    begins = np.flatnonzero(opens)
-    joined = np.stack([spans[begins, 0], reach[np.append(begins[1:], len(docs)) - 1]], axis=1).astype("<u4")
-    at = np.append(np.flatnonzero(new[begins]), len(begins))
-    for i, j in zip(at[:-1], at[1:]):
-        k = begins[i]
-        yield int(docs[k]), int(keys[k]), joined[i:j].tobytes()
+    begins = np.flatnonzero(np.concatenate([[True], new[1:] | (spans[1:, 0] > reach[:-1])]))
+    return docs[begins], keys[begins], np.stack([spans[begins, 0], reach[np.append(begins[1:], len(docs)) - 1]], axis=1)
 
 
-def _regions(rule: Rule, buckets: int, keep_text: bool):
-    """From kind 0 (anchor places), 1 (copy marks) and 2 (texts) of each document: finished rows, regions, spans, texts."""
+def _regions(rule: Rule, buckets: int, doc_buckets: int, keep_text: bool):
+    """From the anchor places of a bucket of documents, then copy marks and texts: finished rows, regions, spans, texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places: list[np.ndarray] = []
+        places = _Held(1)
         copied: set[int] = set()
         waiting: list[tuple] = []
         waiting_bytes = 0
@@ -304,25 +344,26 @@ def _regions(rule: Rule, buckets: int, keep_text: bool):
             waiting, waiting_bytes = [], 0
 
         for batch in batches:
-            for doc, key, kind, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                if doc != doc_now or doc is None:
-                    places, copied, doc_now = [], set(), doc
+            for _, kind, doc, key, docs, keys, counts, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == 0:
-                    places.append(np.frombuffer(payload, "<u4"))
-                elif kind == 1:
+                    places.add(docs, keys, counts, payload)
+                    continue
+                if doc != doc_now or doc is None:
+                    copied, doc_now = set(), doc
+                if kind == 2:
                     copied.add(key)
                 elif key in copied and doc is not None:
                     n = len(payload.split()) if rule.words else len(payload)
                     out.append({"kind": "F", "doc_id": doc} | _finished(rule, payload, np.ones(n, bool) if n >= rule.window else None, keep_text))
-                elif not places or doc is None:
+                elif doc is None or (at := places.get(doc, 0)) is None:
                     out.append({"kind": "F", "doc_id": doc} | _finished(rule, payload, None, keep_text))
                 else:
-                    waiting.append((doc, key, payload, np.concatenate(places)))
+                    waiting.append((doc, key, payload, at.ravel()))
                     waiting_bytes += len(payload)
                     if waiting_bytes >= PASS_BYTES:
                         scan()
             if part_bytes >= BLOCK_REGION_BYTES:
-                out.extend(_send_regions(parts, buckets))
+                out.extend(_send_regions(parts, buckets, doc_buckets))
                 parts, part_bytes = [], 0
             if out:
                 yield _region_batch(out)
@@ -330,7 +371,7 @@ def _regions(rule: Rule, buckets: int, keep_text: bool):
         if waiting:
             scan()
         if parts:
-            out.extend(_send_regions(parts, buckets))
+            out.extend(_send_regions(parts, buckets, doc_buckets))
         if out:
             yield _region_batch(out)
 
@@ -370,32 +411,33 @@ def covered_windows(rule: Rule, docs: np.ndarray, content: np.ndarray, offsets:
     return np.concatenate([*region, mine[hit[index]]]), np.concatenate([*window, at[hit[index]]])
 
 
-def _resolve(rule: Rule):
+def _resolve(rule: Rule, doc_buckets: int):
     """Spans (kind 1) from the regions of each bucket."""
 
-    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def settle(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         docs, keys, starts, sizes, content = (b"".join(x) for x in zip(*rows))
         docs, keys = np.frombuffer(docs, np.int64), np.frombuffer(keys, np.int32)
         starts, sizes = np.frombuffer(starts, "<u4").astype(np.int64), np.frombuffer(sizes, "<u4").astype(np.int64)
         region, window = covered_windows(rule, docs, np.frombuffer(content, np.uint8), np.concatenate([[0], np.cumsum(sizes)]))
-        if len(region):
-            begin = starts[region] + window
-            found = list(_spans(docs[region], keys[region], np.stack([begin, begin + rule.window], axis=1)))
-            ids, texts_, payload = zip(*found)
-            yield _keyed(np.array(ids), np.array(texts_), 1, pa.array(payload, pa.binary()))
+        begin = starts[region] + window
+        return _spans(docs[region], keys[region], np.stack([begin, begin + rule.window], axis=1)) if len(region) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        found: list[tuple] = []
         now = None
         for batch in batches:
             for bucket, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if bucket != now and rows:
-                    yield from settle(rows)
+                    found.append(settle(rows))
                     rows = []
                 now = bucket
                 rows.append(tuple(row))
         if rows:
-            yield from settle(rows)
+            found.append(settle(rows))
+        found = [f for f in found if f]
+        if found:
+            yield _dealt(*(np.concatenate(x) for x in zip(*found)), 1, doc_buckets)
 
     return run
 
@@ -404,22 +446,19 @@ _FINISHED = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha25
 
 
 def _apply(rule: Rule, keep_text: bool):
-    """Documents (kind 2) without the spans (kind 1) sorted before them."""
+    """The texts of a bucket of documents without the spans that come before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, spans = None, []
+        spans = _Held(2)
         for batch in batches:
             rows = []
-            for doc, key, kind, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                if (doc, key) != now:
-                    now, spans = (doc, key), []
+            for _, kind, doc, key, docs, keys, counts, payload in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == 1:
-                    spans.append(np.frombuffer(payload, "<u4").reshape(-1, 2))
+                    spans.add(docs, keys, counts, payload)
                     continue
                 mask = None
-                if spans:
+                if (edges := spans.get(doc, key)) is not None:
                     n = len(payload.split()) if rule.words else len(payload)
-                    edges = np.concatenate(spans)
                     steps = np.bincount(edges[:, 0], minlength=n + 1) - np.bincount(edges[:, 1], minlength=n + 1)
                     mask = np.cumsum(steps)[:n] > 0
                 rows.append({"doc_id": doc} | _finished(rule, payload, mask, keep_text))
@@ -446,20 +485,27 @@ def remove_repeats(docs: DataFrame, rule: Rule, name: str, keep_text: bool = Fal
     groups = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     groups = stage.write(groups.drop("last"), "groups")
     copies = prints.join(groups, "print").where("doc_id > first")
-    copies = copies.select("doc_id", "text_key", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("payload"))
+
+    def keyed(df: DataFrame, kind: int, **columns) -> DataFrame:
+        """Rows of the common form; what is not given is null."""
+        given = {"bucket": doc_bucket(F.col("doc_id"), n), "kind": F.lit(kind)} | columns
+        types = dict(c.split() for c in _KEYED.split(", "))
+        return df.select([given.get(c, F.lit(None)).cast(t).alias(c) for c, t in types.items()])
 
     anchors = known.mapInArrow(_anchors(rule, n), _ANCHORS).repartitionById(n, F.col("bucket"))
-    places = anchors.mapInArrow(_shared_anchors, _KEYED)
-    bodies = docs.select("doc_id", key.alias("text_key"), F.lit(2).alias("kind"), F.encode("text", "UTF-8").alias("payload"))
-    # Marks and anchors stand before all texts of their document; a mark holds for the texts with its key.
-    joined = places.unionByName(copies).unionByName(bodies).repartition(n, "doc_id").sortWithinPartitions("doc_id", "kind")
-    found = stage.write(joined.mapInArrow(_regions(rule, n * SUB_BUCKETS, keep_text), _REGIONS), "regions")
+    places = anchors.mapInArrow(_shared_anchors(n), _KEYED)
+    marks = keyed(copies, 2, doc_id=F.col("doc_id"), text_key=F.col("text_key"))
+    bodies = keyed(docs, 3, doc_id=F.col("doc_id"), text_key=key, payload=F.encode("text", "UTF-8"))
+    # Anchor places of all documents of a bucket stand before its marks and texts, and a document's marks before its texts.
+    joined = places.unionByName(marks).unionByName(bodies).repartitionById(n, F.col("bucket")).sortWithinPartitions(F.col("kind") > 0, "doc_id", "kind")
+    found = stage.write(joined.mapInArrow(_regions(rule, n * SUB_BUCKETS, n, keep_text), _REGIONS), "regions")
 
     regions = found.where("kind = 'C'").select("bucket", "docs", "keys", "starts", "sizes", "content")
     regions = regions.repartitionById(n, F.col("bucket") % n).sortWithinPartitions("bucket")
-    spans = regions.mapInArrow(_resolve(rule), _KEYED)
-    settled = found.where("kind = 'S'").select("doc_id", "text_key", F.lit(1).alias("kind"), "payload")
-    bodies = found.where("kind = 'T'").select("doc_id", "text_key", F.lit(2).alias("kind"), "payload")
-    rest = spans.unionByName(settled).unionByName(bodies).repartition(n, "doc_id").sortWithinPartitions("doc_id", "text_key", "kind")
+    spans = regions.mapInArrow(_resolve(rule, n), _KEYED)
+    packed = {c: F.col(c) for c in ("bucket", "docs", "keys", "counts", "payload")}
+    settled = keyed(found.where("kind = 'S'"), 1, **packed)
+    bodies = keyed(found.where("kind = 'T'"), 3, doc_id=F.col("doc_id"), text_key=F.col("text_key"), payload=F.col("payload"))
+    rest = spans.unionByName(settled).unionByName(bodies).repartitionById(n, F.col("bucket")).sortWithinPartitions("kind")
     columns = [c.split()[0] for c in _FINISHED.split(", ")]
     return found.where("kind = 'F'").select(columns).unionByName(rest.mapInArrow(_apply(rule, keep_text), _FINISHED))
