@@ -124,7 +124,7 @@ def discards_by_reason(discards: DataFrame) -> DataFrame:
 
 def discards_by_url(discards: DataFrame) -> DataFrame:
     """Per URL its discards and the latest reason; of equal times the later row's."""
-    return discards.groupBy("url").agg(F.count("*").alias("count"), F.max_by("reason", F.struct("at", "seq")).alias("latest_reason"))
+    return discards.groupBy("url").agg(F.count("*").alias("count"), F.max_by("reason", F.struct("stamp", "seq")).alias("latest_reason"))
 
 
 def filter_audit(titles: DataFrame, keywords: dict[str, Column], score: Column, noisy_hits: int = 5, noisy_score: float = 2.5) -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import metric_queries, text_queries
+
+QUERIES = {**metric_queries.QUERIES, **text_queries.QUERIES}
+SQL = {**metric_queries.SQL, **text_queries.SQL}
