@@ -174,26 +174,27 @@ def aligned_line_dedup(docs: DataFrame, evidence: int = EVIDENCE, rare: int = RA
     prints = known.select("doc_id", key, F.sha2("text", 256).alias("print"))
     groups = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     groups = stage.write(groups.drop("last"), "groups")
-    copies = stage.write(prints.join(groups, "print").where("doc_id > first").select("doc_id", "text_key").distinct(), "copies")
+    copies = stage.write(prints.join(groups.hint("merge"), "print").where("doc_id > first").select("doc_id", "text_key").distinct(), "copies")
 
     arrays = known.select("doc_id", key, "text").mapInArrow(_line_arrays, "doc_id long, text_key int, lines array<bigint>, sizes array<int>")
     arrays = stage.write(arrays, "arrays")
-    firsts = arrays.join(copies, ["doc_id", "text_key"], "left_anti")
+    # Joins are shuffled at every size: what is small here grows with the input.
+    firsts = arrays.join(copies.hint("merge"), ["doc_id", "text_key"], "left_anti")
     long_ = F.filter(F.arrays_zip("lines", "sizes"), lambda x: x["sizes"] >= evidence)
     shown = firsts.select("doc_id", "text_key", F.explode(F.array_distinct(F.transform(long_, lambda x: x["lines"]))).alias("line"))
     shown = stage.write(shown, "shown")
     known_lines = shown.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     known_lines = stage.write(known_lines.where("first < last").drop("last"), "known")
-    met = shown.join(known_lines, "line").where("doc_id > first").groupBy("first", "doc_id", "text_key")
+    met = shown.join(known_lines.hint("merge"), "line").where("doc_id > first").groupBy("first", "doc_id", "text_key")
     pairs = met.agg(F.count("*").alias("lines"), F.min("n").alias("least")).where((F.col("least") <= rare) | (F.col("lines") >= several))
     pairs = stage.write(pairs.select("first", "doc_id", "text_key"), "pairs")
-    later = pairs.join(arrays, ["doc_id", "text_key"])
-    both = later.join(arrays.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines")), "first")
+    later = pairs.hint("merge").join(arrays, ["doc_id", "text_key"])
+    both = later.hint("merge").join(arrays.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines")), "first")
     gone = both.select("doc_id", "text_key", "lines", "sizes", "first_lines").mapInArrow(_aligned(block), "doc_id long, text_key int, gone array<int>")
     gone = stage.write(gone.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")
 
     marks = gone.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "text_key", F.array().cast("array<int>").alias("gone"), F.lit(True).alias("copy")))
-    out = docs.select("doc_id", key, "text").join(marks, ["doc_id", "text_key"], "left")
+    out = docs.select("doc_id", key, "text").join(marks.hint("shuffle_hash"), ["doc_id", "text_key"], "left")
     return out.select("doc_id", "text", "copy", "gone").mapInArrow(_without, _RESULT)
 
 
