@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import metric_queries, text_queries
+from . import metric_queries, more_queries, text_queries
 
-QUERIES = {**metric_queries.QUERIES, **text_queries.QUERIES}
-SQL = {**metric_queries.SQL, **text_queries.SQL}
+QUERIES = {**metric_queries.QUERIES, **text_queries.QUERIES, **more_queries.QUERIES}
+SQL = {**metric_queries.SQL, **text_queries.SQL, **more_queries.SQL}
