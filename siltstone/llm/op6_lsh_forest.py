@@ -3,10 +3,10 @@
 Each tree orders the documents by its own rotation of the signature.  Documents
 that agree in a tree's first values are one region; where a region is crowded,
 its deeper prefixes are regions of their own.  In each region every document is a
-candidate of the region's least id (first round), and then of every document
-that the confirmed links of the first round left in another component (second
-round, with a signature estimate far below the threshold to spare hopeless
-pairs).  Links are confirmed on the full sets of shingle hashes.
+candidate of the region's least id (first round).  Where the confirmed links of
+the first round leave connected regions in several components, the documents outside
+the largest are compared with all others, in bounded units (second round).
+Links are confirmed on the full sets of shingle hashes.
 
 Documents with equal sets are one class and only its least id is searched.
 
@@ -33,8 +33,9 @@ from .tokens import slices
 TREES, VALUES = 32, 128
 #: Values of the prefixes that make regions, and the members from which deeper ones are used too.
 DEPTHS, CROWD = (4, 6, 8), 200
-#: Share of equal signature values below which a pair of the second round can't meet the threshold (over 5 standard errors).
-HOPELESS = 0.55
+
+#: Documents of a block, and of a chunk, of the second round.
+UNIT = 512
 
 _rng = np.random.default_rng(611)
 _FACTOR = (_rng.integers(0, 1 << 31, VALUES, dtype=np.int64) * 2 + 1).astype(np.uint32)
@@ -158,12 +159,62 @@ def _confirm(percent: int):
     return run
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures agree often enough to be worth a full comparison."""
-    for batch in batches:
-        left, right = (np.frombuffer(arrow_bytes(batch.column(i))[0].tobytes(), np.uint32).reshape(-1, VALUES) for i in (2, 3))
-        keep = pa.array((left == right).mean(axis=1) >= HOPELESS)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+def _block_links(percent: int):
+    """Links between the sets of a block and those of a chunk in other components, by one product of incidence matrices."""
+
+    def run(unit: pa.Table) -> pa.Table:
+        ids, component = np.asarray(unit["doc_id"]), np.asarray(unit["component"])
+        left = np.asarray(unit["side"]) == 0
+        sets = [np.frombuffer(s, np.uint64) for s in unit["shingles"].to_pylist()]
+        size = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        tokens, column = np.unique(np.concatenate(sets), return_inverse=True)
+        # Only tokens that both sides have can be common.
+        here, there = np.zeros((2, len(tokens)), bool)
+        here[column[left[owner]]] = True
+        there[column[~left[owner]]] = True
+        both = here & there
+        number = np.cumsum(both) - 1
+        keep = both[column]
+        common = np.zeros((int(left.sum()), int((~left).sum())), np.float32)
+        row = np.empty(len(sets), np.int64)
+        row[left], row[~left] = np.arange(left.sum()), np.arange((~left).sum())
+        for lo in range(0, int(both.sum()), 4096):
+            x, y = np.zeros((common.shape[0], 4096), np.float32), np.zeros((common.shape[1], 4096), np.float32)
+            at = np.flatnonzero(keep & (number[column] >= lo) & (number[column] < lo + 4096))
+            for side, matrix in ((left, x), (~left, y)):
+                mine = at[side[owner[at]]]
+                matrix[row[owner[mine]], number[column[mine]] - lo] = 1
+            common += x @ y.T
+        union = size[left][:, None] + size[~left][None, :] - common
+        i, j = np.nonzero((100 * common >= percent * union) & (component[left][:, None] != component[~left][None, :]))
+        a, b = ids[left][i], ids[~left][j]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _across_components(families: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components of each family of documents that regions connect.
+
+    A family's largest component is settled; every other document is compared
+    with the whole family, in units of a bounded block and a bounded chunk, so a
+    large family is many tasks and its pairs are never rows.
+    """
+    known = families.withColumnRenamed("component", "family").join(labels, "node", "left")
+    known = known.select("family", F.col("node").alias("doc_id"), F.coalesce("component", "node").alias("component"))
+    sizes = known.groupBy("family", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("family").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    rows = known.join(sizes.where("n > most"), "family")
+    blocks, chunks = F.ceil(F.col("n") / UNIT).cast("int"), F.ceil((F.col("n") - F.col("most")) / UNIT).cast("int")
+    spread = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.xxhash64("doc_id")
+    wide = rows.select("family", "doc_id", "component", F.lit(0).alias("side"), F.pmod(own, blocks).cast("int").alias("block"), F.explode(spread(chunks)).alias("chunk"))
+    few = rows.where("component != main").select(
+        "family", "doc_id", "component", F.lit(1).alias("side"), F.explode(spread(blocks)).alias("block"), F.pmod(own, chunks).cast("int").alias("chunk")
+    )
+    units = wide.unionByName(few.select(wide.columns)).join(sets, "doc_id")
+    return units.groupBy("family", "block", "chunk").applyInArrow(_block_links(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -208,23 +259,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
 
     links = confirmed(pairs, "links-1")
     labels = components(links, stage, "round-1")
-    labelled = members.join(labels, members["doc_id"] == labels["node"], "left").select(
-        base, "doc_id", F.coalesce("component", "doc_id").alias("component")
-    )
-    labelled = stage.write(labelled, "labelled")
-    mixed = stage.write(
-        labelled.groupBy(base).agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select(base), "mixed"
-    )
-    rows = stage.write(labelled.join(mixed, base), "mixed-members")
-    other = rows.select(base, F.col("doc_id").alias("b"), F.col("component").alias("other"))
-    cross = rows.withColumnRenamed("doc_id", "a").join(other, base).where("component < other")
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = stage.write(cross.join(pairs, ["a", "b"], "left_anti"), "pairs-2")
-    signs = full.select("doc_id", "signature")
-    close = cross.join(signs.select(F.col("doc_id").alias("b"), F.col("signature").alias("right")), "b")
-    close = close.join(signs.select(F.col("doc_id").alias("a"), F.col("signature").alias("left")), "a").select("a", "b", "left", "right")
-    close = stage.write(close.mapInArrow(_alike, "a long, b long").distinct(), "pairs-3")
-    more = confirmed(close, "links-2")
+    more = stage.write(_across_components(components(pairs, stage, "families"), labels, sets, percent), "links-2")
 
     edges = links.unionByName(more).unionByName(copies.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")))
     final = components(edges, stage, "round-2")
