@@ -31,7 +31,8 @@ def block_text(html: Column) -> Column:
     out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", " ")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|section|article|ul|ol|table)\s*>", "\n")
     out = decoded(F.regexp_replace(out, r"<[^>]*>", ""))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" *\n\s*", "\n"))
+    lines = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" *\n\s*", "\n")
+    return F.regexp_replace(lines, r"^\s+|\s+$", "")
 
 
 INVISIBLE = "[­​-‏‪-‮⁠-⁤﻿]"

@@ -42,7 +42,7 @@ def history(spark: SparkSession, path: str) -> DataFrame:
 def status_log(spark: SparkSession, path: str) -> DataFrame:
     """The ledger (seq, num, date, origin, target, source, note); rows without a numeric id or a calendar date are torn."""
     rows = _cells(lines(spark, path), ["num", "date", "origin", "target", "source", "note"])
-    typed = rows.withColumn("date", F.try_to_date("date", F.lit("yyyy-MM-dd"))).where(F.col("num").rlike("^[0-9]+$"))
+    typed = rows.withColumn("date", F.try_to_date("date", "yyyy-MM-dd")).where(F.col("num").rlike("^[0-9]+$"))
     return typed.withColumn("num", F.col("num").try_cast("long")).where("date IS NOT NULL AND origin != '' AND target != ''")
 
 
