@@ -87,8 +87,8 @@ def byte_units(buf: np.ndarray) -> np.ndarray:
     return _SYMBOL[buf]
 
 
-def rolling(units: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of every k consecutive units, by doubling."""
+def rolling(units: np.ndarray, k: int, mixed: bool = True) -> np.ndarray:
+    """A 64-bit hash of every k consecutive units, by doubling; unmixed, its lower bits are weak."""
     n = len(units) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -100,7 +100,7 @@ def rolling(units: np.ndarray, k: int) -> np.ndarray:
             done = block if done is None else done[: len(block) - covered] * scale + block[covered : covered + len(done)]
             covered += size
         if size * 2 > k:
-            return mix(done[:n])
+            return mix(done[:n]) if mixed else done[:n]
         block = block[:-size] * scale + block[size:]
         size *= 2
 

@@ -29,7 +29,8 @@ from .tokens import slices
 Q, EDITS = 10, 0.08
 #: Characters of benchmark that one pass compares; a larger benchmark takes several passes.
 PASS_CHARS = 16 << 20
-_CHAR = np.random.default_rng(7).integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
+#: Shared q-grams that are counted at once.
+PASS_HITS = 2 << 20
 _MATCH = "doc_id long, item_id long, begin long, end long, edits int"
 
 
@@ -38,12 +39,24 @@ def normalised(text: str) -> str:
 
 
 def _chars(text: str) -> np.ndarray:
+    if text.isascii():
+        return np.frombuffer(text.encode(), np.uint8).astype(np.uint32)
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def _units(chars: np.ndarray) -> np.ndarray:
-    wide = chars.astype(np.uint64)
-    return _CHAR[chars & 0xFFF] * (wide * np.uint64(2) + np.uint64(1))
+def _grams(chars: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of all q-grams; their upper bits depend on every character."""
+    return rolling(chars.astype(np.uint64) + np.uint64(1), q, mixed=False)
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct key columns in order, with the sums of their counts."""
+    if not keys.shape[1]:
+        return keys, counts
+    order = np.lexsort(keys[::-1])
+    keys, counts = keys[:, order], counts[order]
+    begins = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+    return keys[:, begins], np.add.reduceat(counts, begins)
 
 
 class Index:
@@ -59,7 +72,7 @@ class Index:
         self.edits = np.minimum((size * edits).astype(np.int64), (size - q) // q)
         self.least = size - q + 1 - self.edits * q
         self.width = np.maximum(1, self.edits)  # bands begin at multiples of it and are twice as wide, and one more
-        grams = [rolling(_units(c), q) for c in self.chars]
+        grams = [_grams(c, q) for c in self.chars]
         hashes = np.concatenate([np.empty(0, np.uint64), *grams])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(g)) for g in grams)])
@@ -71,9 +84,22 @@ class Index:
         self.seen = np.zeros(1 << int(self.bits), dtype=bool)
         self.seen[self.hash >> (np.uint64(64) - self.bits)] = True
 
+    def _band_keys(self, at: np.ndarray, slot: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """(text, item, band) of every shared q-gram, once for each band that it counts in."""
+        n = self.count[slot]
+        hit = np.repeat(np.arange(len(at)), n)
+        post = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + self.first[slot][hit]
+        item = self.item[post]
+        diagonal = at[hit] - self.place[post]
+        width = self.width[item]
+        band = diagonal // width
+        key = np.stack([np.tile(text[hit], 3), np.tile(item, 3), np.concatenate([band, band - 1, band - 2])])
+        # A band of 2 k + 1 diagonals ends with one that begins the next but one.
+        return key[:, np.concatenate([np.ones(2 * len(item), bool), diagonal == band * width])]
+
     def bands(self, chars: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         """Bands of texts (first: where each begins in chars, with the end) that meet their item's bound: text, item, lowest and highest diagonal."""
-        grams = rolling(_units(chars), self.q)
+        grams = _grams(chars, self.q)
         at = np.flatnonzero(self.seen[grams >> (np.uint64(64) - self.bits)])
         slot = np.minimum(np.searchsorted(self.hash, grams[at]), len(self.hash) - 1)
         known = self.hash[slot] == grams[at]
@@ -81,33 +107,39 @@ class Index:
         text = np.searchsorted(first, at, side="right") - 1
         inside = at + self.q <= first[text + 1]
         at, slot, text = at[inside], slot[inside], text[inside]
-        n = self.count[slot]
-        hit = np.repeat(np.arange(len(at)), n)
-        post = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + self.first[slot][hit]
-        item = self.item[post]
-        diagonal = (at - first[text])[hit] - self.place[post]
-        width = self.width[item]
-        band = diagonal // width
-        # Each hit counts in the band that begins at its own multiple and in the one before.
-        key = np.stack([np.tile(text[hit], 3), np.tile(item, 3), np.concatenate([band, band - 1, band - 2])])
-        key = key[:, np.concatenate([np.ones(2 * len(item), bool), diagonal == band * width])]  # the last diagonal of a band of 2 k + 1
-        order = np.lexsort(key[::-1])
-        key = key[:, order]
-        if not key.shape[1]:
+        # Counts of bands, added up over pieces of bounded size (a repetitive text can hit one item at many places).
+        ends = np.cumsum(self.count[slot])
+        keys, counts = np.empty((3, 0), np.int64), np.empty(0, np.int64)
+        lo = 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PASS_HITS, side="right")))
+            more = self._band_keys(at[lo:hi] - first[text[lo:hi]], slot[lo:hi], text[lo:hi])
+            keys, counts = _summed(np.concatenate([keys, more], axis=1), np.concatenate([counts, np.ones(more.shape[1], np.int64)]))
+            lo = hi
+        found = keys[:, counts >= self.least[keys[1]]]
+        if not found.shape[1]:
             return (np.empty(0, np.int64),) * 4
-        head = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])
-        begins = np.flatnonzero(head)
-        found = key[:, begins[np.diff(np.append(begins, key.shape[1])) >= self.least[key[1, begins]]]]
         # Neighbouring bands that meet the bound are one region.
-        step = np.concatenate([[True], (found[:2, 1:] != found[:2, :-1]).any(axis=0) | (found[2, 1:] > found[2, :-1] + 2)]) if found.shape[1] else np.empty(0, bool)
+        step = np.concatenate([[True], (found[:2, 1:] != found[:2, :-1]).any(axis=0) | (found[2, 1:] > found[2, :-1] + 2)])
         begins = np.flatnonzero(step)
         ends = np.append(begins[1:], found.shape[1]) - 1
         w = self.width[found[1, begins]]
         return found[0, begins], found[1, begins], found[2, begins] * w, (found[2, ends] + 2) * w
 
 
+def _find(text: np.ndarray, item: np.ndarray) -> int:
+    """The first place of an exact copy, or -1."""
+    whole, part, at = text.astype("<u4").tobytes(), item.astype("<u4").tobytes(), -1
+    while (at := whole.find(part, at + 1)) >= 0 and at % 4:
+        pass
+    return at // 4 if at >= 0 else -1
+
+
 def banded_alignment(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
     """Least edits (at most `most`) of the whole item in the text along diagonals low..high, with begin and end; else None."""
+    lo, hi = max(0, low), max(0, high + len(item))
+    if (at := _find(text[lo:hi], item)) >= 0:
+        return 0, lo + at, lo + at + len(item)
     n = high - low + 1
     far = most + 1
     offsets = np.arange(n)
@@ -164,7 +196,7 @@ def _matches(items: list[tuple[int, str]], q: int, edits: float):
                 continue
             ids = batch.column(0).to_pylist()
             size = np.asarray(pa.compute.binary_length(batch.column(1))).astype(np.int64)
-            for lo, hi in slices(size, 1 << 20):
+            for lo, hi in slices(size, 1 << 19):
                 parts = [_chars(normalised(t)) for t in batch.column(1)[lo:hi].to_pylist()]
                 first = np.cumsum([0, *map(len, parts)])
                 best: dict[tuple[int, int], tuple] = {}
