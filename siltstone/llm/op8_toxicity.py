@@ -209,7 +209,7 @@ def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             found = np.array([features(fold(t), automaton) for t in batch.column(1).to_pylist()]).reshape(-1, 3)
-            p = 1 / (1 + np.exp(-np.clip(bias + found @ np.array(factors), -700, 700)))
+            p = 1 / (1 + np.exp(-np.clip(bias + found @ np.array(factors), -700, 700))) * np.isfinite(bias)
             out = [d is None or zlib.crc32(str(d).encode()) % 5 == 0 for d in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(np.rint(np.expm1(found[:, 2])).astype(np.int64))],
