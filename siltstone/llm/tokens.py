@@ -7,16 +7,21 @@ row.  Pieces repeat far more often than texts, so a worker remembers them.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
+import unicodedata
+from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 
+# Bytes above ASCII that the byte-level alphabet moves beyond Latin-1: 127 to 160 and 173, in order after the 33 of ASCII.
+_BYTE_SYMBOLS = {b: 256 + 33 + i for i, b in enumerate([*range(127, 161), 173])}
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
-_BLANKS = str.maketrans("\n\t\r", "   ")
-_CLOSING = re.compile(r"[^\W_][.,;:!?]\Z")
-#: Pieces that a worker remembers; beyond it the memory starts anew.
-CACHE_PIECES = 1_000_000
+_RAW, _MARK = "\x01", "\x02"  # before a piece that no space precedes, before a mark split off
+#: Pieces that a worker remembers; beyond it only those of few characters stay.
+CACHE_PIECES, SHORT = 700_000, 8
 
 
 class Encoder:
@@ -24,6 +29,10 @@ class Encoder:
 
     spaces="lead": a space belongs to the piece after it (byte-level BPE).
     spaces="drop": white space only separates (BPE with word ends).
+
+    Pieces end at spaces, and before a comma or full stop that follows a letter
+    or digit and ends its run; both vocabularies always split there.  A text
+    where such a mark follows another one falls back to splits at spaces.
     """
 
     def __init__(self, path: str, spaces: str):
@@ -33,66 +42,130 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.lead = spaces == "lead"
-        self.head: dict[str, bytes] = {}
-        self.tail: dict[str, bytes | None] = {}
-
-    def _learn(self, known: dict, pieces: list[str], prefix: str) -> None:
-        """Ids of new pieces; of those that end in one mark after a letter or digit, from their two parts."""
-        closed = [p for p in pieces if _CLOSING.search(p)]
-        if closed:
-            whole = set(pieces).difference(closed)
-            self._run(known, list(whole.union(p[:-1] for p in closed) - known.keys()), prefix)
-            self._run(marks := {}, list({p[-1] for p in closed}), "")
-            known.update((p, known[p[:-1]] + marks[p[-1]]) for p in closed)
-        else:
-            self._run(known, pieces, prefix)
-
-    def _run(self, known: dict, pieces: list[str], prefix: str) -> None:
-        if not pieces:
-            return
-        found = self.model.encode_batch_fast([prefix + p for p in pieces], add_special_tokens=False)
-        known.update(zip(pieces, (np.array(e.ids, dtype=self.dtype).tobytes() for e in found)))
+        self.fine: dict[str, bytes] = {}
+        self.odd: dict[str, bytes | None] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.head) + len(self.tail) > CACHE_PIECES:
-            self.head, self.tail = {}, {}
-        return self._leading(texts) if self.lead else self._dropping(texts)
-
-    def _dropping(self, texts: list[str]) -> list[bytes]:
-        split = [t.translate(_BLANKS).split(" ") if "\n" in t or "\t" in t or "\r" in t else t.split(" ") for t in texts]
-        tail = self.tail
-        new = set().union(*split) - tail.keys()
-        self._learn(tail, list(new), "")
-        return [b"".join(map(tail.__getitem__, s)) for s in split]
-
-    def _leading(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") for t in texts]
-        heads = [s.pop(0) for s in split]
-        tail, head = self.tail, self.head
-        new = set().union(*split) - tail.keys()
-        fit = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        if len(fit) < len(new):
-            tail.update(dict.fromkeys(new.difference(fit)))  # None: the split here isn't a boundary
-        self._learn(tail, fit, " ")
-        self._learn(head, list(set(heads) - head.keys()), "")
-        get, out = tail.__getitem__, []
-        for text, h, s in zip(texts, heads, split):
-            try:
-                if s and (h == "" or h[-1].isspace()):
-                    raise TypeError
-                out.append(head[h] + b"".join(map(get, s)))
-            except TypeError:
-                out.append(self._bounded(text))
-        return out
-
-    def _bounded(self, text: str) -> bytes:
+        gc.disable()  # many short-lived strings, no cycles
+        try:
+            return self._encoded(texts)
+        finally:
+            gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        for known in (self.fine, self.odd):
+            if len(known) > CACHE_PIECES:
+                short = {p: ids for p, ids in known.items() if len(p) <= SHORT}
+                known.clear()
+                known.update(short if len(short) < CACHE_PIECES // 2 else {})
+        split = self._fine_lead if self.lead else self._fine_drop
+        pieces = [split(t) for t in texts]
+        fine, odd = self.fine, self.odd
+        found = [list(map(fine.get, s)) for s in pieces]
+        holes = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+        new = {s[i] for s, h in zip(pieces, holes) for i in h}
+        good = [p for p in new if p not in odd and self._fit_fine(p)]
+        self._learn(fine, good)
+        self._learn_odd(new.difference(good))
+        for k, (s, f, h) in enumerate(zip(pieces, found, holes)):
+            rest = False
+            for i in h:
+                ids = f[i] = fine.get(s[i])
+                rest |= ids is None
+            if rest and not self._fill_odd(texts[k], s, f, h):
+                found[k] = [self._split_at_spaces(texts[k])]
+        return [b"".join(f) for f in found]
+
+    def _learn_odd(self, pieces) -> None:
+        """Pieces that don't end in a letter or digit: None where even the split at spaces isn't a boundary."""
+        new = [p for p in pieces if p not in self.odd]
+        good = [p for p in new if self._fit_coarse(p)]
+        self.odd.update(dict.fromkeys(set(new).difference(good)))
+        self._learn(self.odd, good)
+
+    def _fill_odd(self, text: str, pieces: list[str], found: list, holes: list[int]) -> bool:
+        """Fill in odd pieces, which are whole unless a mark split off follows one; False if the text needs fewer splits."""
+        last = len(pieces) - 1
+        for i in holes:
+            if found[i] is None:
+                ids = self.odd.get(pieces[i])
+                if ids is None or i < last and pieces[i + 1][:1] == _MARK:
+                    return False
+                found[i] = ids
+        return True
+
+    def _split_at_spaces(self, text: str) -> bytes:
+        pieces = self._coarse_lead(text) if self.lead else self._coarse_drop(text)
+        self._learn_odd({p for p in pieces if p not in self.fine})
+        ids = [self.odd[p] if (i := self.fine.get(p)) is None else i for p in pieces]
+        return self._whole(text) if None in ids else b"".join(ids)
+
+    def _learn(self, known: dict, pieces: list[str]) -> None:
+        """Ids of new pieces: those of letters only are single words for both tokenizers and go straight to the model."""
+        code, words, rest = self.code, [], []
+        for p in pieces:
+            (words if p.isalpha() and (self.lead or p.isascii() or p == p.lower() and is_normalized("NFC", p)) else rest).append(p)
+        mark, merge = "Ġ" if self.lead else "", self.model.model.tokenize
+        known.update((p, array(code, [t.id for t in merge(mark + self._symbols(p))]).tobytes()) for p in words)
+        if rest:
+            before = " " if self.lead else ""
+            found = self.model.encode_batch_fast([p[1:] if p[:1] in (_RAW, _MARK) else before + p for p in rest], add_special_tokens=False)
+            known.update(zip(rest, [array(code, e.ids).tobytes() for e in found]))
+
+    def _symbols(self, word: str) -> str:
+        """The byte-level alphabet's spelling of a word."""
+        if word.isascii():
+            return word if self.lead else word.lower()
+        return word.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+
+    @staticmethod
+    def _fine_lead(text: str) -> list[str]:
+        if not text or _RAW in text or _MARK in text:
+            return [_RAW] if text else []
+        cut = text.replace(", ", " \x02, ").replace(". ", " \x02. ").replace(".\n", " \x02. \x02\n \x01")
+        if "\x02, \x02" in cut or "\x02. \x02," in cut or "\x02. \x02." in cut:
+            return [_RAW]  # marks in a run are one piece
+        return (_RAW + (cut[:-1] + " \x02." if cut[-1] == "." else cut)).split(" ")
+
+    @staticmethod
+    def _fine_drop(text: str) -> list[str]:
+        if _RAW in text or _MARK in text:
+            return [_RAW]
+        cut = (text.lower() if text.isascii() else text).replace("\n", " ").replace(", ", " \x02, ").replace(". ", " \x02. ")
+        if "\x02, \x02" in cut or "\x02. \x02" in cut:
+            return [_RAW]
+        return (cut[:-1] + " \x02." if cut[-1:] == "." else cut).split(" ")
+
+    def _fit_fine(self, p: str) -> bool:
+        if p in ("\x02,", "\x02.", "\x02\n"):
+            return True
+        if not self.lead:
+            # As the tokenizer sees it: composed and in lower case, which may end in a mark.
+            return p == "" or p != _RAW and (p if p.isascii() else unicodedata.normalize("NFC", p).lower())[-1].isalnum()
+        p = p.removeprefix(_RAW)
+        return p != "" and not p[0].isspace() and p[-1].isalnum()
+
+    @staticmethod
+    def _coarse_lead(text: str) -> list[str]:
+        return (_RAW + text).split(" ") if _RAW not in text and _MARK not in text else [_RAW]
+
+    @staticmethod
+    def _coarse_drop(text: str) -> list[str]:
+        return text.replace("\n", " ").replace("\t", " ").split(" ") if _RAW not in text and _MARK not in text else [_RAW]
+
+    def _fit_coarse(self, p: str) -> bool:
+        if not self.lead:
+            return p != _RAW
+        p = p.removeprefix(_RAW)
+        return p != "" and not p[0].isspace() and not p[-1].isspace()
+
+    def _whole(self, text: str) -> bytes:
         """A text with spaces in a row or at its edges, split at the safe places only."""
         first, *rest = _BOUNDARY.split(text)
-        odd = [p for p in set(rest) if self.tail.get(p) is None]
-        self._run(ids := {}, odd, " ")
-        self._run(start := {}, [first], "")
-        return start[first] + b"".join(ids[p] if p in ids else self.tail[p] for p in rest)
+        found = self.model.encode_batch_fast([first, *(" " + p for p in rest)], add_special_tokens=False)
+        return b"".join(array(self.code, e.ids).tobytes() for e in found)
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
