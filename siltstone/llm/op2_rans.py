@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +29,8 @@ from .common import Stage, partitions, table, texts
 from .tokens import encoder, slices
 
 BITS, LOW = 20, np.uint64(1 << 31)
-LANES, BLOCK_IDS, CHECK_STEPS = 512, 1 << 18, 256
-_PACK = "part int, seq int, before long, doc_ids array<bigint>, sizes array<int>, ids binary"
+LANES, BLOCK_IDS, CHECK_STEPS = 2048, 1 << 20, 256
+_PACK = "part int, seq int, before long, doc_ids array<bigint>, sizes array<int>, ids binary, tally binary"
 _BLOCK = (
     "block long, start long, doc_ids array<bigint>, sizes array<int>, n_ids int, payload binary, payload_crc32 long, "
     "ids_crc32 long, check_words array<int>, check_states binary"
@@ -118,14 +117,12 @@ def decode_block(payload: bytes, n: int, marks: list[int], states: bytes, t: Tab
 
 
 def _squeeze(ids: np.ndarray) -> bytes:
-    """Ids by byte planes, compressed: the intermediate form between tokenizer and coder."""
-    planes = np.ascontiguousarray(ids.view(np.uint8).reshape(-1, ids.dtype.itemsize).T)
-    return bytes([ids.dtype.itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """The width of the ids and the ids: the intermediate form between tokenizer and coder."""
+    return bytes([ids.dtype.itemsize]) + ids.tobytes()
 
 
 def _loosen(packed: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed[1:]), np.uint8).reshape(packed[0], -1)
-    return np.ascontiguousarray(raw.T).view(f"<u{packed[0]}").ravel()
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1)
 
 
 def _record(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -133,22 +130,27 @@ def _record(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 
 
 _PACK_ARROW = {
-    "part": pa.int32(), "seq": pa.int32(), "before": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "ids": pa.binary(),
+    "part": pa.int32(), "seq": pa.int32(), "before": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int32()), "ids": pa.binary(), "tally": pa.binary(),
 }
 
 
 def tokenised_packs(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Packs of whole documents, in doc_id order within each partition."""
+    """Packs of whole documents, in doc_id order within each partition; the last has the partition's counts of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, "lead")
         end = np.array([end_id], encode.dtype).tobytes()
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         docs_, sizes, parts, n = [], [], [], 0
-
-        def full() -> pa.RecordBatch:
-            nonlocal seq, before, docs_, sizes, parts, n
-            row = (part, seq, before, docs_, sizes, _squeeze(np.frombuffer(b"".join(parts), encode.dtype)))
+        tally = np.zeros(encode.model.get_vocab_size(), np.int64)
+
+        def full(last: bool = False) -> pa.RecordBatch:
+            nonlocal seq, before, docs_, sizes, parts, n, tally
+            ids = np.frombuffer(b"".join(parts), encode.dtype)
+            more = np.bincount(ids, minlength=len(tally))
+            more[: len(tally)] += tally
+            tally = more
+            row = (part, seq, before, docs_, sizes, _squeeze(ids), tally.tobytes() if last else None)
             seq, before = seq + 1, before + n
             docs_, sizes, parts, n = [], [], [], 0
             return _record([row], _PACK_ARROW)
@@ -162,8 +164,8 @@ def tokenised_packs(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int
                     n += k
                     if n >= block_ids:
                         yield full()
-        if docs_:
-            yield full()
+        if docs_ or seq:
+            yield full(last=True)
 
     return docs.mapInArrow(run, _PACK)
 
@@ -175,6 +177,8 @@ def _repacked(packs: DataFrame, spark: SparkSession) -> DataFrame:
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for docs, sizes, packed in zip(*(batch.column(n).to_pylist() for n in ("doc_ids", "sizes", "ids"))):
+                if not docs:
+                    continue
                 ids = _loosen(packed)
                 cuts = np.cumsum(sizes)[:-1]
                 yield _record([(d, s, x.tobytes()) for d, s, x in zip(docs, sizes, np.split(ids, cuts))], single)
@@ -186,7 +190,7 @@ def _repacked(packs: DataFrame, spark: SparkSession) -> DataFrame:
             nonlocal seq, before, rows, n
             docs, sizes, ids = map(list, zip(*rows))
             width = len(ids[0]) // sizes[0]
-            row = (part, seq, before, docs, sizes, _squeeze(np.frombuffer(b"".join(ids), f"<u{width}")))
+            row = (part, seq, before, docs, sizes, _squeeze(np.frombuffer(b"".join(ids), f"<u{width}")), None)
             seq, before, rows, n = seq + 1, before + n, [], 0
             return _record([row], _PACK_ARROW)
 
@@ -215,6 +219,8 @@ def write_rans(docs: DataFrame, tokenizer: str, end_id: int, stage: Stage) -> tu
     spark = docs.sparkSession
     packs = stage.write(tokenised_packs(docs.sortWithinPartitions("doc_id"), tokenizer, end_id), "packs", "uncompressed")
 
+    counted = packs.where("tally IS NOT NULL").select("tally")
+
     def spans(df: DataFrame) -> list:
         """One row per partition: its range of ids and its size."""
         ends = df.groupBy("part").agg(
@@ -232,17 +238,17 @@ def write_rans(docs: DataFrame, tokenizer: str, end_id: int, stage: Stage) -> tu
     starts = np.cumsum([0, *(r["n"] for r in found)])
     rank = {r["part"]: (i, int(starts[i])) for i, r in enumerate(found)}
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
             for packed in batch.column(0):
-                more = np.bincount(_loosen(packed.as_py()), minlength=len(counts))
+                more = np.frombuffer(packed.as_py(), np.int64).copy()
                 more[: len(counts)] += counts
                 counts = more
         token = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(counts[token])], names=["token", "n"])
 
-    counts = packs.select("ids").mapInArrow(tally, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = counted.mapInArrow(tallies, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     rows = sorted(counts.collect())  # as many as the vocabulary has entries, at most
     tokens = np.array([r[0] for r in rows], np.int64)
     freq = normalise(tokens, np.array([r[1] for r in rows], np.int64)) if rows else np.empty(0, np.int64)
@@ -256,13 +262,15 @@ def write_rans(docs: DataFrame, tokenizer: str, end_id: int, stage: Stage) -> tu
         shared = Table(tokens, freq)
         for batch in batches:
             for part, seq, before, docs_, sizes, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if not docs_:
+                    continue
                 ids = _loosen(packed)
                 payload, marks, states = encode_block(ids, shared)
                 at, start = rank[part]
                 row = ((at << 32) | seq, start + before, docs_, sizes, len(ids), payload, zlib.crc32(payload), zlib.crc32(ids.astype("<u4")), marks, states)
                 yield _record([row], kinds)
 
-    stage.write(packs.mapInArrow(code, _BLOCK), "blocks", "uncompressed")
+    stage.write(packs.drop("tally").mapInArrow(code, _BLOCK), "blocks", "uncompressed")
     return read_rans(spark, stage.root)
 
 
