@@ -33,6 +33,8 @@ from .common import table, texts
 TRAIN_ROWS = 30_000
 #: Share of toxic texts (and least number) that must have an entry, least log odds of an entry, and longest word beginning.
 SUPPORT, LEAST_SUPPORT, LEAST_ODDS, LONGEST = 0.02, 3, 3.0, 10
+#: Candidate entries that a task counts before it passes its counts on.
+HELD_ENTRIES = 150_000
 #: Entries that the lexicon may have.
 MOST_ENTRIES = 2_000
 #: Harmless phrases around entries.
@@ -113,8 +115,19 @@ def features(text: str, automaton) -> tuple[float, float, float]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with and without the label that have each word and word beginning; one row a task and candidate."""
+    """Texts with and without the label that have each word and word beginning, as partial counts of bounded memory."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def full() -> pa.RecordBatch:
+        names = list(counts[0].keys() | counts[1].keys())
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array([counts[1][n] for n in names], pa.int64()), pa.array([counts[0][n] for n in names], pa.int64())],
+            names=["entry", "pos", "neg"],
+        )
+        for c in counts:
+            c.clear()
+        return out
+
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = set()
@@ -122,11 +135,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.add(word + " ")
                 found.update(word[:k] for k in range(3, min(len(word), LONGEST) + 1))
             counts[label].update(found)
-    names = list(counts[0].keys() | counts[1].keys())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(names, pa.string()), pa.array([counts[1][n] for n in names], pa.int64()), pa.array([counts[0][n] for n in names], pa.int64())],
-        names=["entry", "pos", "neg"],
-    )
+            if len(counts[0]) + len(counts[1]) > HELD_ENTRIES:
+                yield full()
+    if counts[0] or counts[1]:
+        yield full()
 
 
 def _lexicon(rows: list, pos: int, neg: int) -> list[tuple[str, float, bool]]:
