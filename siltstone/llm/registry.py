@@ -12,6 +12,7 @@ from .op7_packing import op7_best_fit_packing
 from .op8_toxicity import op8_toxicity
 from .op9_decontamination import op9_decontamination
 from .op10_sorted_projections import op10_sorted_projections
+from .sql import OP4_SQL, OP5_SQL, OP6_SQL, OP10_SQL
 
 QUERIES = {
     "op1_line_alignment": op1_line_alignment,
@@ -28,4 +29,8 @@ QUERIES = {
 
 SQL = {
     "op3_url_lists": OP3_SQL,
+    "op4_suffix_trees": OP4_SQL,
+    "op5_suffix_array": OP5_SQL,
+    "op6_lsh_forest": OP6_SQL,
+    "op10_sorted_projections": OP10_SQL,
 }
