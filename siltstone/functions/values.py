@@ -55,3 +55,25 @@ def rate_or_null(part: Column, whole: Column) -> Column:
 def percentage(part: Column, whole: Column) -> Column:
     """A share for bars: 0 over nothing."""
     return F.when(whole > 0, part / whole * 100).otherwise(0.0)
+
+
+_MONTHS = "(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+_CLOSES = r"(?i)(?:apply by|closes on|closing date|deadline)[: ]+(?:is |on )?"
+
+
+def closing_date(text: Column) -> Column:
+    """The day after a closing mark: 2026-01-31, 31 January 2026, January 31, 2026 or 31.01.2026; null if it is none of them."""
+    value = F.coalesce(text, F.lit(""))
+    month = lambda name: F.lpad(((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(name, 1, 3))) + 2) / 3).cast("int").cast("string"), 2, "0")
+    iso = F.regexp_extract(value, _CLOSES + r"(\d{4}-\d{2}-\d{2})", 1)
+    dotted = [F.regexp_extract(value, _CLOSES + r"(\d{1,2})\.(\d{1,2})\.(\d{4})", i) for i in (1, 2, 3)]
+    first = [F.regexp_extract(value, _CLOSES + r"(\d{1,2}) " + _MONTHS + r",? (\d{4})", i) for i in (1, 2, 3)]
+    last = [F.regexp_extract(value, _CLOSES + _MONTHS + r" (\d{1,2}),? (\d{4})", i) for i in (1, 2, 3)]
+    two = lambda c: F.lpad(c, 2, "0")
+    found = (
+        F.when(iso != "", iso)
+        .when(dotted[0] != "", F.concat_ws("-", dotted[2], two(dotted[1]), two(dotted[0])))
+        .when(first[0] != "", F.concat_ws("-", first[2], month(first[1]), two(first[0])))
+        .when(last[0] != "", F.concat_ws("-", last[2], month(last[0]), two(last[1])))
+    )
+    return F.try_to_date(found, "yyyy-MM-dd")
