@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,6 +33,7 @@ def work_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="siltstone-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
     return f"file://{_OWN[app]}"
 
 

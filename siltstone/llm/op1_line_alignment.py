@@ -145,7 +145,7 @@ def _aligned(least: int):
     return run
 
 
-_RESULT = "doc_id long, n_lines long, n_removed long, kept string, kept_sha256 string"
+_RESULT = "doc_id long, text_sha256 string, n_lines long, n_removed long, kept string, kept_sha256 string"
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,15 +160,16 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n, kept = len(out), "\n".join(line for i, line in enumerate(lines) if i not in out)
             else:
                 n, kept = 0, text
-            rows.append((doc, len(lines), n, kept, hashlib.sha256(kept.encode()).hexdigest()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        columns = zip(*rows) if rows else [()] * 5
+            before, after = (hashlib.sha256(x.encode()).hexdigest() for x in (text, kept))
+            rows.append((doc, before, len(lines), n, kept, after))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        columns = zip(*rows) if rows else [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in _RESULT.split(", ")])
 
 
 def aligned_line_dedup(docs: DataFrame, evidence: int = EVIDENCE, rare: int = RARE, several: int = SEVERAL, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept, kept_sha256) for each row of docs (doc_id, text)."""
-    stage = Stage(docs.sparkSession, "lines")
+    """(doc_id, text_sha256, n_lines, n_removed, kept, kept_sha256) for each row of docs (doc_id, text)."""
+    docs, stage = texts(docs), Stage(docs.sparkSession, "lines")
     key = F.hash("text").alias("text_key")
     known = docs.where("doc_id IS NOT NULL")
     prints = known.select("doc_id", key, F.sha2("text", 256).alias("print"))

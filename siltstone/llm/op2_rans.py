@@ -217,7 +217,7 @@ def _repacked(packs: DataFrame, spark: SparkSession) -> DataFrame:
 def write_rans(docs: DataFrame, tokenizer: str, end_id: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
     """Tokenise (doc_id, text), write table and blocks, and return both as read back."""
     spark = docs.sparkSession
-    packs = stage.write(tokenised_packs(docs.sortWithinPartitions("doc_id"), tokenizer, end_id), "packs", "uncompressed")
+    packs = stage.write(tokenised_packs(texts(docs).sortWithinPartitions("doc_id"), tokenizer, end_id), "packs", "uncompressed")
 
     counted = packs.where("tally IS NOT NULL").select("tally")
 

@@ -219,8 +219,7 @@ def _across_components(families: DataFrame, labels: DataFrame, sets: DataFrame,
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id) for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    stage = Stage(spark, "forest")
+    docs, stage = texts(docs), Stage(docs.sparkSession, "forest")
     sketch = stage.write(docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, print_a long, print_b long, signature binary"), "sketch", "uncompressed")
     prints = ["n_shingles", "print_a", "print_b"]
     full = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")

@@ -190,7 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
     share = rows / max(1, labels.count())
     if share < 1:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = docs.join(labels.select("doc_id", F.col("label").cast("int").alias("label")), "doc_id")
+    sample = texts(docs).join(labels.select("doc_id", F.col("label").cast("int").alias("label")), "doc_id")
     sample = sample.groupBy(F.sha2("text", 256)).agg(F.max("label").alias("label"), F.first("text").alias("text")).select("label", "text")
     sizes = dict(sample.groupBy("label").count().collect())
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
@@ -212,7 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
     return Model(model.entries, model.exceptions, tuple(_logistic(data[:, 1:], data[:, 0])))
 
 
-def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_hits) of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +228,7 @@ def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
                 names=["doc_id", "held_out", "score", "predicted", "n_hits"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_hits long")
+    return texts(docs).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_hits long")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

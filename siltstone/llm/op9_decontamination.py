@@ -183,7 +183,7 @@ def find_items(docs: DataFrame, items: DataFrame, q: int = Q, edits: float = EDI
     for k in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
         known = [(r["item_id"], normalised(r["text"])) for r in part.collect()]
-        found = docs.mapInArrow(_matches(known, q, edits), _MATCH)
+        found = texts(docs).mapInArrow(_matches(known, q, edits), _MATCH)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, partitions
+from .common import Stage, partitions, texts
 from .kernels import arrow_bytes, binary_array, byte_units, range_hashes, ranges, winnow, word_bounds, word_hashes
 from .tokens import slices
 
@@ -315,9 +315,9 @@ def _regions(rule: Rule, buckets: int, doc_buckets: int, keep_text: bool):
         def scan() -> None:
             """Regions of the waiting texts."""
             nonlocal waiting, waiting_bytes, part_bytes
-            texts_ = [w[2] for w in waiting]
-            offsets = np.cumsum([0, *map(len, texts_)])
-            buf = np.frombuffer(b"".join(texts_), np.uint8)
+            bodies = [w[2] for w in waiting]
+            offsets = np.cumsum([0, *map(len, bodies)])
+            buf = np.frombuffer(b"".join(bodies), np.uint8)
             units, first, start, end = _units(rule, buf, offsets)
             at, mark, lo, hi, text = winnow(units, first, rule.window, rule.k)
             if len(at):
@@ -476,7 +476,7 @@ def remove_repeats(docs: DataFrame, rule: Rule, name: str, keep_text: bool = Fal
     with a null doc_id have no order: they stay whole and remove nothing.
     Rows of one doc_id don't remove each other.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, texts(docs)
     stage, n = Stage(spark, name), partitions(spark)
     key = F.hash("text")
     known = docs.where("doc_id IS NOT NULL")

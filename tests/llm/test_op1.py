@@ -64,10 +64,10 @@ def test_against_plain(spark):
 
 
 def test_odd_rows(odd, none):
-    got = op.aligned_line_dedup(texts(odd)).collect()
+    got = op.aligned_line_dedup(odd).collect()
     assert len(got) == odd.count()
     kept = {(r["doc_id"], r["kept"]) for r in got}
     assert (None, "one two three four five six seven eight nine ten") in kept  # no id: whole
     assert (4, "") in kept and (2, "") in kept  # copies lose all, null is empty
     assert sum(r["doc_id"] == 1 and r["n_removed"] == 0 for r in got) == 2  # rows of one id don't delete from each other
-    assert op.aligned_line_dedup(texts(none)).count() == 0
+    assert op.aligned_line_dedup(none).count() == 0

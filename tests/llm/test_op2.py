@@ -83,7 +83,7 @@ def test_damage_is_found(spark):
 
 
 def test_odd_rows(spark, odd, none):
-    got = op.decoded_documents(*op.write_rans(texts(odd), BYTE, 2, Stage(spark, "t"))).collect()
+    got = op.decoded_documents(*op.write_rans(odd, BYTE, 2, Stage(spark, "t"))).collect()
     assert len(got) == odd.count() and sum(r["n_tokens"] == 1 for r in got) == 2
     assert min(got, key=lambda r: r["start"])["doc_id"] is None
-    assert op.decoded_documents(*op.write_rans(texts(none), BYTE, 2, Stage(spark, "t"))).count() == 0
+    assert op.decoded_documents(*op.write_rans(none, BYTE, 2, Stage(spark, "t"))).count() == 0

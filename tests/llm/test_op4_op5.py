@@ -72,11 +72,11 @@ def test_against_plain(spark, monkeypatch, words, seed, small):
 
 def test_odd_rows(odd, none):
     for remove in (remove_repeated_words, remove_repeated_bytes):
-        got = remove(texts(odd), window=6, anchor=3).collect()
+        got = remove(odd, window=6, anchor=3).collect()
         assert len(got) == odd.count()
         assert [r["n_removed"] == r["n_units"] > 0 for r in got if r["doc_id"] == 4] == [True]
         assert [r["n_removed"] for r in got if r["doc_id"] == 1] == [0, 0]
-        assert remove(texts(none)).count() == 0
+        assert remove(none).count() == 0
 
 
 @pytest.mark.parametrize("depth", [3, 8, 24, 25, 50])

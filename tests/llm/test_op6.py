@@ -57,6 +57,6 @@ def test_crowded_families(spark, monkeypatch):
 
 
 def test_odd_rows(odd, none):
-    got = [tuple(r)[:4] for r in op.near_duplicates(texts(odd)).collect()]
+    got = [tuple(r)[:4] for r in op.near_duplicates(odd).collect()]
     assert sorted(got, key=str) == plain([(r["doc_id"], r["text"]) for r in odd.collect()])
-    assert op.near_duplicates(texts(none)).count() == 0
+    assert op.near_duplicates(none).count() == 0

@@ -45,8 +45,8 @@ def test_learned_on_the_rest(spark):
 
 def test_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (3, 0), (4, None), (None, 1), (5, 7)], "doc_id long, label int")
-    got = op.score(texts(odd), op.learn(texts(odd), labels)).collect()
+    got = op.score(odd, op.learn(odd, labels)).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
-    assert op.score(texts(none), op.learn(texts(none), labels)).count() == 0
-    nothing = op.learn(texts(odd), labels.where("false"))
-    assert all(r["score"] == 0 and r["predicted"] == 0 for r in op.score(texts(odd), nothing).collect())
+    assert op.score(none, op.learn(none, labels)).count() == 0
+    nothing = op.learn(odd, labels.where("false"))
+    assert all(r["score"] == 0 and r["predicted"] == 0 for r in op.score(odd, nothing).collect())

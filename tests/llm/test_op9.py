@@ -76,10 +76,10 @@ def test_alignment_bands():
 def test_passes_and_odd_rows(spark, monkeypatch, odd, none):
     items = spark.createDataFrame([(1, "one two three four five six"), (2, None), (None, "one two three"), (3, "short"), (4, "ONE  two three four five six")], "item_id long, text string")
     monkeypatch.setattr(op, "PASS_CHARS", 10)
-    got = {(r["doc_id"], r["item_id"]) for r in op.find_items(texts(odd), items).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in op.find_items(odd, items).collect()}
     assert got == {(d, i) for d in (1, 4, None) for i in (1, 4)}
-    assert op.find_items(texts(none), items).count() == 0
-    assert op.find_items(texts(odd), items.where("false")).count() == 0
+    assert op.find_items(none, items).count() == 0
+    assert op.find_items(odd, items.where("false")).count() == 0
 
 
 def test_repetitive_texts(spark):

@@ -47,6 +47,27 @@ def test_stages(spark, tmp_path):
     assert cut["text"] == "\n".join(rows[905].split("\n")[:2]) and cut["n_chars"] == len(cut["text"])
 
 
+def test_odd_documents(spark, tmp_path):
+    """Nulls, repeated ids, empty tables and clashing extra columns pass through every stage."""
+    corpus(tmp_path, spark)
+    names = ["doc_id", "text", "lang", "source", "n_chars", "kept", "_kept", "_text_sha256", "n_removed", "component_id", "label", "a.b"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, _kept string, _text_sha256 string, n_removed long, component_id long, label int, `a.b` int"
+    body = "\n".join(f"a line of its own with number {k} and more" for k in range(4))
+    rows = [(1, body), (1, body), (1, body + "\nnew"), (2, body), (3, None), (None, body), (None, None), (4, ""), (5, "x " * 9000), (6, None)]
+    odd = spark.createDataFrame([(i, t, None, None, None, "k", None, "s", 1, 2, 3, 4) for i, t in rows], schema)
+    for docs, least in ((odd, 8), (odd.where("false"), 0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            found = stage(spark, docs, str(tmp_path))
+            assert k == 4 or found.columns == names
+            found.write.mode("overwrite").parquet(str(tmp_path / f"odd-{k}-{least}"))
+            docs = spark.read.parquet(str(tmp_path / f"odd-{k}-{least}"))
+            if k == 1 and least:
+                kept = sorted(r["text"] for r in docs.where("doc_id = 1").collect())
+                assert kept == [body, body, body + "\nnew"]  # one id does not delete from itself
+                assert docs.where("doc_id = 2").count() == 0
+        assert docs.count() >= least
+
+
 def test_run(spark, tmp_path):
     corpus(tmp_path, spark)
     found = corpus_pipeline.run(spark, str(tmp_path))
