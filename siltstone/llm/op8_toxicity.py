@@ -31,8 +31,8 @@ from .common import table, texts
 
 #: Labelled rows that learning may use; beyond it a share of them, by a hash of the id, is taken.
 TRAIN_ROWS = 30_000
-#: Share of toxic texts (and least number) that must have an entry, least log odds of an entry, and longest word beginning.
-SUPPORT, LEAST_SUPPORT, LEAST_ODDS, LONGEST = 0.02, 3, 3.0, 10
+#: Share of toxic texts (and least number) that must have an entry, least log odds of an entry, shortest and longest word beginning.
+SUPPORT, LEAST_SUPPORT, LEAST_ODDS, SHORTEST, LONGEST = 0.02, 3, 3.0, 4, 10
 #: Candidate entries that a task counts before it passes its counts on.
 HELD_ENTRIES = 150_000
 #: Entries that the lexicon may have.
@@ -133,7 +133,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = set()
             for word in set(_WORD.findall(fold(text))):
                 found.add(word + " ")
-                found.update(word[:k] for k in range(3, min(len(word), LONGEST) + 1))
+                found.update(word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1))
             counts[label].update(found)
             if len(counts[0]) + len(counts[1]) > HELD_ENTRIES:
                 yield full()
@@ -148,7 +148,8 @@ def _lexicon(rows: list, pos: int, neg: int) -> list[tuple[str, float, bool]]:
         weight = math.log((r["pos"] + 0.5) / (pos + 1)) - math.log((r["neg"] + 0.5) / (neg + 1))
         if weight >= LEAST_ODDS:
             scored.append((r["pos"] * weight, len(r["entry"]), r["entry"], weight))
-    scored.sort(key=lambda x: (-x[0], -x[1], x[2]))
+    # Of entries that tell about as many texts apart, the longest says most exactly what it means.
+    scored.sort(key=lambda x: (-round(20 * math.log(x[0])), -x[1], x[2]))
     taken: list[tuple[str, float, bool]] = []
     parts: set[str] = set()
     whole: set[str] = set()
