@@ -45,13 +45,23 @@ def plan_batch(pending: DataFrame, queued: DataFrame, last_id: int) -> DataFrame
 
 
 def numbered(rows: DataFrame, order: str, start: int) -> DataFrame:
-    """Dense ids in an order: ranks within range partitions, shifted by the sizes of earlier ones."""
+    """Dense ids in the order of a numeric column: ranks within ranges of it, shifted by the sizes of earlier ranges.
+
+    The ranges' bounds are approximate quantiles, so no range is a large share
+    of the rows, and a row's range depends on its value alone.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, order).withColumn("part", F.spark_partition_id())
+    bounds = sorted(set(rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: b < F.col(order).cast("double")))
+    dealt = rows.withColumn("part", place)
     inside = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(order)))
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    earlier = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return inside.join(F.broadcast(earlier), "part").select(*rows.columns, (F.lit(start) + F.col("before") + F.col("rank")).alias("id"))
+    # One number for each range.
+    sizes = dict(dealt.groupBy("part").agg(F.count("*").alias("n")).collect())
+    before, total = [], start
+    for part in range(len(bounds) + 1):
+        before.append(total)
+        total += sizes.get(part, 0)
+    return inside.select(*rows.columns, (F.get(F.array(*[F.lit(n) for n in before]), F.col("part")) + F.col("rank")).cast("long").alias("id"))
 
 
 def reevaluation_candidates(evaluated: DataFrame, changes: DataFrame) -> DataFrame:
