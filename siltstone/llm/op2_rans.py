@@ -207,10 +207,9 @@ def _repacked(packs: DataFrame, spark: SparkSession) -> DataFrame:
     parts = partitions(spark)
     only_ids = packs.select(F.explode("doc_ids").alias("doc_id"))
     bounds = sorted(set(only_ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.002)))
-    at = F.lit(0)
-    for b in bounds:
-        at = at + (F.col("doc_id").cast("double") > b).cast("int")
-    docs = docs.withColumn("at", F.coalesce(at, F.lit(0)))
+    known = F.array(*[F.lit(b) for b in bounds]).cast("array<double>")
+    at = F.size(F.filter(known, lambda b: b < F.col("doc_id").cast("double")))
+    docs = docs.withColumn("at", F.when(F.col("doc_id").isNull(), 0).otherwise(at))
     return docs.repartitionById(len(bounds) + 1, F.col("at")).sortWithinPartitions("doc_id").drop("at").mapInArrow(again, _PACK)
 
 
