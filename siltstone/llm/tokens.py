@@ -54,6 +54,10 @@ class Encoder:
         finally:
             gc.enable()
 
+    def forget(self) -> None:
+        """Give the memory of known pieces back: a worker lives on after its task and may serve other stages."""
+        self.fine, self.odd = {}, {}
+
     def _encoded(self, texts: list[str]) -> list[bytes]:
         for known in (self.fine, self.odd):
             if len(known) > CACHE_PIECES:
