@@ -7,8 +7,8 @@ from labelled texts by smoothed log odds; hits inside exception phrases don't
 count; weights are summed, normalised by length, and calibrated.
 
 Cases: a null or empty text has no hits and the score of a clean text; labels
-other than 0 and 1, and null labels or ids, are not learned from; several labels of a document
-count one by one; equal texts are learned from once; without labels of both
+other than 0 and 1, and null labels or ids, are not learned from; a document with both labels
+counts as toxic; equal texts are learned from once; without labels of both
 classes all scores are 0; other columns do not matter.
 """
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import Stage, table, texts
 
 #: Labelled rows that learning may use; beyond it a share of them, by a hash of the id, is taken.
 TRAIN_ROWS = 30_000
@@ -188,11 +188,14 @@ def held_out(doc_id: F.Column) -> F.Column:
 def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, rows: int = TRAIN_ROWS) -> Model:
     """Lexicon and calibration from labels (doc_id, label 0 or 1) of docs (doc_id, text)."""
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).distinct()
     share = rows / max(1, labels.count())
     if share < 1:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = texts(docs).join(labels.select("doc_id", F.col("label").cast("int").alias("label")), "doc_id")
+    # The labels are about `rows` at most, so the texts stay where they are; the sample is written, as three passes read it.
+    sample = texts(docs).join(F.broadcast(labels), "doc_id")
     sample = sample.groupBy(F.sha2("text", 256)).agg(F.max("label").alias("label"), F.first("text").alias("text")).select("label", "text")
+    sample = Stage(docs.sparkSession, "toxicity").write(sample, "sample")
     sizes = dict(sample.groupBy("label").count().collect())
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
