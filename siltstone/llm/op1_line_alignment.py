@@ -3,8 +3,8 @@
 Overlapping documents are found through shared lines: each line's first
 document (least id) is a partner of all later ones that have it, so a line in a
 third of all documents gives as many pairs as documents and no more.  A pair is
-aligned if it shares a rare line, or several lines.  The alignment is a patience
-diff: lines that are unique in both, their longest increasing subsequence, and
+aligned if it shares a rare line, or several lines, or lines that together are
+long enough to be deleted.  The alignment is a patience diff: lines that are unique in both, their longest increasing subsequence, and
 the same again between them; runs grow from there.  Aligned common blocks that
 are long enough are deleted from the later document.  All alignments are made on
 the input, not on what is left.
@@ -182,12 +182,13 @@ def aligned_line_dedup(docs: DataFrame, evidence: int = EVIDENCE, rare: int = RA
     # Joins are shuffled at every size: what is small here grows with the input.
     firsts = arrays.join(copies.hint("merge"), ["doc_id", "text_key"], "left_anti")
     long_ = F.filter(F.arrays_zip("lines", "sizes"), lambda x: x["sizes"] >= evidence)
-    shown = firsts.select("doc_id", "text_key", F.explode(F.array_distinct(F.transform(long_, lambda x: x["lines"]))).alias("line"))
+    shown = firsts.select("doc_id", "text_key", F.explode(F.array_distinct(long_)).alias("x")).select("doc_id", "text_key", F.col("x.lines").alias("line"), F.col("x.sizes").alias("size"))
     shown = stage.write(shown, "shown")
     known_lines = shown.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     known_lines = stage.write(known_lines.where("first < last").drop("last"), "known")
     met = shown.join(known_lines.hint("merge"), "line").where("doc_id > first").groupBy("first", "doc_id", "text_key")
-    pairs = met.agg(F.count("*").alias("lines"), F.min("n").alias("least")).where((F.col("least") <= rare) | (F.col("lines") >= several))
+    pairs = met.agg(F.count("*").alias("lines"), F.min("n").alias("least"), F.sum("size").alias("bytes"))
+    pairs = pairs.where((F.col("least") <= rare) | (F.col("lines") >= several) | (F.col("bytes") >= block))
     pairs = stage.write(pairs.select("first", "doc_id", "text_key"), "pairs")
     later = pairs.hint("merge").join(arrays, ["doc_id", "text_key"])
     both = later.hint("merge").join(arrays.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines")), "first")

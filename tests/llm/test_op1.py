@@ -71,3 +71,10 @@ def test_odd_rows(odd, none):
     assert (4, "") in kept and (2, "") in kept  # copies lose all, null is empty
     assert sum(r["doc_id"] == 1 and r["n_removed"] == 0 for r in got) == 2  # rows of one id don't delete from each other
     assert op.aligned_line_dedup(none).count() == 0
+
+
+def test_a_hot_long_line_goes_from_all_later_documents(spark):
+    hot = "one long line that many more documents than a rare line's have, and nothing else in common"
+    rows = [(i, f"own line {i} of a document\n{hot}\nanother own line {i}") for i in range(3 * op.RARE)]
+    got = {r["doc_id"]: r["n_removed"] for r in op.aligned_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(i > 0) for i, _ in rows}
