@@ -1,11 +1,14 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through shared lines: each line's first
-document (least id) is a partner of all later ones that have it, so a line in a
-third of all documents gives as many pairs as documents and no more.  A pair is
-aligned if it shares a rare line, or several lines, or lines that together are
-long enough to be deleted.  The alignment is a patience diff: lines that are unique in both, their longest increasing subsequence, and
-the same again between them; runs grow from there.  Aligned common blocks that
+Overlapping documents are found through shared runs of lines: from each line on,
+and up to each line, the shortest run that is long enough to be deleted.  Each
+run's first document (least id) is a partner of all later ones that have it, so a
+run in a third of all documents gives as many pairs as documents and no more, and
+every line of a block that an earlier document has lies in such a run.  Single
+lines give pairs as well: a pair is aligned if it shares a rare line, or several
+lines, or lines that together are long enough to be deleted.  The alignment is a patience diff: lines that are unique in both, their longest increasing subsequence, and
+the same again between them; runs grow from there.  Where no line is unique in
+both, the longest common run is taken.  Aligned common blocks that
 are long enough are deleted from the later document.  All alignments are made on
 the input, not on what is left.
 
@@ -51,6 +54,10 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
             continue
         anchors = _increasing(_unique_in_both(a, lo, hi, b, left, right))
         if not anchors:
+            i, j, n = _longest_common(a, lo, hi, b, left, right)
+            if n:
+                matches.update((i + k, j + k) for k in range(n))
+                todo += [(lo, i, left, j), (i + n, hi, j + n, right)]
             continue
         for i, j in [*anchors, (hi, right)]:
             if (lo, left) != (i, j):
@@ -80,6 +87,51 @@ def _unique_in_both(a: list[int], lo: int, hi: int, b: list[int], left: int, rig
     return sorted((once[line], j) for line, j in other.items() if j >= 0)
 
 
+def _longest_common(a: list[int], lo: int, hi: int, b: list[int], left: int, right: int) -> tuple[int, int, int]:
+    """Begin in a, begin in b and lines of the longest run that both ranges have, by a suffix automaton of the first."""
+    both = set(a[lo:hi]).intersection(b[left:right])
+    if not both:
+        return lo, left, 0
+    step: list[dict[int, int]] = [{}]
+    link, size, end = [-1], [0], [lo]
+    last = 0
+    for i in range(lo, hi):
+        new = len(step)
+        step.append({})
+        size.append(size[last] + 1)
+        end.append(i + 1)
+        link.append(0)
+        at = last
+        while at >= 0 and a[i] not in step[at]:
+            step[at][a[i]] = new
+            at = link[at]
+        if at >= 0:
+            to = step[at][a[i]]
+            if size[to] != size[at] + 1:
+                twin = len(step)
+                step.append(dict(step[to]))
+                size.append(size[at] + 1)
+                end.append(end[to])
+                link.append(link[to])
+                while at >= 0 and step[at].get(a[i]) == to:
+                    step[at][a[i]] = twin
+                    at = link[at]
+                link[to] = twin
+                to = twin
+            link[new] = to
+        last = new
+    best, at, n = (lo, left, 0), 0, 0
+    for j in range(left, right):
+        while at and b[j] not in step[at]:
+            at = link[at]
+            n = size[at]
+        if b[j] in step[at]:
+            at, n = step[at][b[j]], n + 1
+        if n > best[2]:
+            best = (end[at] - n, j + 1 - n, n)
+    return best
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence that increases in both places, by patience sorting."""
     from bisect import bisect_left
@@ -126,6 +178,37 @@ def _line_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+#: Odd, so that it has an inverse modulo 2^64.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _runs(least: int):
+    """Hashes of the shortest runs of lines, from each line on and up to each line, that have enough bytes."""
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = np.asarray(pa.compute.list_value_length(batch.column(2))).astype(np.int64)
+            lines = np.asarray(batch.column(2).flatten()).view(np.uint64)
+            bytes_ = np.concatenate([[0], np.cumsum(np.asarray(batch.column(3).flatten()), dtype=np.int64)])
+            row = np.repeat(np.arange(len(count)), count)
+            end = np.cumsum(count)[row]
+            at = np.arange(len(lines))
+            stop = np.searchsorted(bytes_, bytes_[:-1] + least, side="left")
+            start = np.searchsorted(bytes_, bytes_[1:] - least, side="right") - 1
+            on, up = stop <= end, start >= end - count[row]
+            starts, stops = np.concatenate([at[on], start[up]]), np.concatenate([stop[on], at[up] + 1])
+            power, back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(lines), x)])) for x in (_BASE, inverse))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((lines ^ (lines >> np.uint64(29)) ^ _BASE) * power[:-1])])
+            hashes = (sums[stops] - sums[starts]) * back[starts] + (stops - starts).astype(np.uint64) * _BASE
+            rows = pa.array(np.concatenate([row[on], row[up]]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(hashes.view(np.int64))], names=["doc_id", "text_key", "line"]
+            )
+
+    return run
+
+
 def _aligned(least: int):
     """Line numbers of the later document in long enough common blocks."""
 
@@ -167,8 +250,13 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in _RESULT.split(", ")])
 
 
-def aligned_line_dedup(docs: DataFrame, evidence: int = EVIDENCE, rare: int = RARE, several: int = SEVERAL, block: int = BLOCK) -> DataFrame:
-    """(doc_id, text_sha256, n_lines, n_removed, kept, kept_sha256) for each row of docs (doc_id, text)."""
+def aligned_line_dedup(docs: DataFrame, evidence: int = EVIDENCE, rare: int | None = None, several: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(doc_id, text_sha256, n_lines, n_removed, kept, kept_sha256) for each row of docs (doc_id, text).
+
+    With `rare` or `several` given, single lines alone give pairs: the narrower rule, for tests.
+    """
+    runs = rare is None and several is None
+    rare, several = RARE if rare is None else rare, SEVERAL if several is None else several
     docs, stage = texts(docs), Stage(docs.sparkSession, "lines")
     key = F.hash("text").alias("text_key")
     known = docs.where("doc_id IS NOT NULL")
@@ -189,7 +277,14 @@ def aligned_line_dedup(docs: DataFrame, evidence: int = EVIDENCE, rare: int = RA
     met = shown.join(known_lines.hint("merge"), "line").where("doc_id > first").groupBy("first", "doc_id", "text_key")
     pairs = met.agg(F.count("*").alias("lines"), F.min("n").alias("least"), F.sum("size").alias("bytes"))
     pairs = pairs.where((F.col("least") <= rare) | (F.col("lines") >= several) | (F.col("bytes") >= block))
-    pairs = stage.write(pairs.select("first", "doc_id", "text_key"), "pairs")
+    pairs = pairs.select("first", "doc_id", "text_key")
+    if runs:
+        shown = stage.write(firsts.select("doc_id", "text_key", "lines", "sizes").mapInArrow(_runs(block), "doc_id long, text_key int, line long"), "shown-runs")
+        known_runs = shown.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        known_runs = stage.write(known_runs.where("first < last").drop("last"), "known-runs")
+        met = shown.join(known_runs.hint("merge"), "line").where("doc_id > first").select("first", "doc_id", "text_key")
+        pairs = pairs.unionByName(met).distinct()
+    pairs = stage.write(pairs, "pairs")
     later = pairs.hint("merge").join(arrays, ["doc_id", "text_key"])
     both = later.hint("merge").join(arrays.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines")), "first")
     gone = both.select("doc_id", "text_key", "lines", "sizes", "first_lines").mapInArrow(_aligned(block), "doc_id long, text_key int, gone array<int>")

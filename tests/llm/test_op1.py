@@ -78,3 +78,35 @@ def test_a_hot_long_line_goes_from_all_later_documents(spark):
     rows = [(i, f"own line {i} of a document\n{hot}\nanother own line {i}") for i in range(3 * op.RARE)]
     got = {r["doc_id"]: r["n_removed"] for r in op.aligned_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: int(i > 0) for i, _ in rows}
+
+
+def test_longest_common_run_where_no_line_is_unique():
+    assert op.patience([7, 1, 2, 1, 2, 8], [9, 1, 2, 5, 1, 2, 6]) == [(1, 1, 2), (3, 4, 2)]
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.randrange(3) for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        i, j, n = op._longest_common(a, 0, len(a), b, 0, len(b))
+        assert a[i : i + n] == b[j : j + n]
+        assert n == max(k for k in range(13) if any(a[x : x + k] == b[y : y + k] for x in range(len(a) - k + 1) for y in range(len(b) - k + 1)))
+
+
+def test_blocks_whose_lines_first_stand_apart(spark):
+    a, b = "a line of some forty bytes that comes first", "and one more that is met with it only later"
+    verse = "\n".join(f"verse {k}" for k in range(9))
+    twice = "\n".join(["a passage of two lines, each of thirty", "bytes and more, that stands here twice"])
+    rows = [(1, f"x\n{a}"), (2, f"{b}\ny"), (3, f"{a}\n{b}"), (4, f"q\n{a}\n{b}\nr"), (5, f"own\n{verse}\nown"), (6, f"mine\n{verse}\nmine")]
+    rows += [(7, f"s\n{twice}\nt\n{twice}\nu"), (8, f"v\n{twice}\nw"), (9, f"{a}\n\n" + "z" * 20), (10, f"0\n{a}\n\n" + "z" * 20)]
+    got = {r["doc_id"]: r["n_removed"] for r in op.aligned_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 2, 5: 0, 6: 9, 7: 0, 8: 2, 9: 0, 10: 3}
+
+
+def test_every_block_of_one_earlier_document_goes(spark):
+    rng = random.Random(8)
+    pool = [f"{k} " * rng.randrange(1, 12) + f"of the pool {k}" for k in range(30)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(6))) for i in range(60)]
+    rows += [(100 + i, "\n".join([f"before {i}", *text.split("\n")[1:5], f"after {i}"])) for i, text in rows]
+    got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in op.aligned_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        cut = text.split("\n")[1:-1]
+        if i >= 100 and len("".join(cut)) >= op.BLOCK:
+            assert got[i] == (4, f"before {i - 100}\nafter {i - 100}")
