@@ -6,9 +6,15 @@ verified pairs of all passes are united.
 
 Windows alone would miss pairs of a crowd that is larger than a window.  So the
 passes first gather crowds into cells: a cell's vectors lie so near its leader
-that any two of them are linked.  Then one verified pair between two cells makes
-them neighbours, and neighbouring cells are compared whole, in blocks, with
-links counted and not listed.
+that any two of them are linked.  Then cells whose leaders link with one leader
+among them form groups: crowds whose members link but lie too far apart for a
+cell.  One verified pair between two groups makes them neighbours; each group is
+compared whole with itself and its neighbours, in blocks, with links counted and
+not listed.
+
+Gathering takes rounds until no row joins.  In a round, rows that have no
+neighbour of a lower rank lead (ranks are scattered ids), and all rows near a
+leader join one.
 
 Cases: null, empty or zero vectors, and vectors with null, NaN or infinite parts,
 link with nothing; vectors of different lengths link with nothing of another
@@ -32,8 +38,8 @@ from .components import components
 
 #: Neighbours on either side, hash bits of a pass, passes at least, recall at the threshold that the passes aim at.
 WINDOW, BITS, LEAST_PASSES, RECALL = 64, 62, 8, 0.98
-#: Rounds that gather cells, rows of a block of a cell.
-CELL_ROUNDS, BLOCK = 4, 1024
+#: Rows of a block of a group.
+BLOCK = 1024
 
 
 def passes(n: int, threshold: float, window: int = WINDOW) -> int:
@@ -103,18 +109,44 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _nearest_leader(limit: float):
-    """For each vector of a window, the least id among its neighbours within a cell's reach."""
+def _rank(ids: np.ndarray) -> np.ndarray:
+    """Ids scattered over all 64-bit numbers, one to one."""
+    return ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _ranked(limit: float):
+    """Each vector of a window that has a neighbour within the limit, and 1 if one of them has a lower rank, else 0."""
 
     def handle(ids, cells, h, cosines, band):
         i, j = np.nonzero(band & (cosines >= limit))
         if not len(i):
             return None
         i = i + h
-        least = ids.copy()
+        rank = _rank(ids)
+        lower = rank[j] < rank[i]
+        beaten = np.zeros(len(ids), np.int64)
+        beaten[i[lower]] = 1
+        beaten[j[~lower]] = 1
+        at = np.unique(np.concatenate([i, j]))
+        return _pairs(ids[at], beaten[at])
+
+    return lambda batches: _windows(batches, handle)
+
+
+def _nearest_leader(limit: float):
+    """For each vector of a window that does not lead (cell 0), the least leader (cell 1) within the limit."""
+
+    def handle(ids, cells, h, cosines, band):
+        i, j = np.nonzero(band & (cosines >= limit))
+        i = i + h
+        i, j = np.concatenate([i, j]), np.concatenate([j, i])
+        led = (cells[i] == 0) & (cells[j] == 1)
+        i, j = i[led], j[led]
+        if not len(i):
+            return None
+        least = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(least, i, ids[j])
-        np.minimum.at(least, j, ids[i])
-        at = np.flatnonzero(least < ids)
+        at = np.unique(i)
         return _pairs(ids[at], least[at])
 
     return lambda batches: _windows(batches, handle)
@@ -142,20 +174,44 @@ def _ordered(vectors: DataFrame, times: int, seed: int) -> DataFrame:
     return keyed.repartitionByRange(partitions(vectors.sparkSession), *order).sortWithinPartitions(*order)
 
 
+def _gather(rows: DataFrame, limit: float, seed: int, stage: Stage, name: str) -> DataFrame:
+    """(a, b): rows of (vec_id, embedding) that joined leader b, which lies within the limit of each."""
+    free, settled, k = rows.select("vec_id", "embedding", F.lit(0).cast("long").alias("cell")), None, 0
+    while True:
+        k += 1
+        ranked = _ordered(free, LEAST_PASSES, seed + k).mapInArrow(_ranked(limit), "a long, b long").groupBy("a").agg(F.max("b").alias("b"))
+        ranked = stage.write(ranked, f"{name}-ranked-{k}")
+        # Rows without a neighbour are done.
+        near = free.join(ranked, F.col("vec_id") == F.col("a")).select("vec_id", "embedding", (1 - F.col("b")).alias("cell"))
+        near = stage.write(near, f"{name}-near-{k}")
+        joined = _ordered(near, LEAST_PASSES, seed + k).mapInArrow(_nearest_leader(limit), "a long, b long").groupBy("a").agg(F.min("b").alias("b"))
+        joined = stage.write(joined, f"{name}-joined-{k}")
+        settled = joined if settled is None else settled.unionByName(joined)
+        if joined.isEmpty():
+            return stage.write(settled, f"{name}-settled")
+        left = near.where("cell = 0").join(joined.select(F.col("a").alias("vec_id")), "vec_id", "left_anti")
+        free = stage.write(left, f"{name}-free-{k}")
+
+
 def _count_links(threshold: float):
-    """Links of each vector of a block with the vectors of another: counts of copies, without a list of pairs."""
+    """Links of each vector of a block with the vectors of other cells in another block: counts of copies, without a list of pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n = [], []
-            for left, left_n, left_v, right, right_n, right_v in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = _matrix(pa.array(left_v)), _matrix(pa.array(right_v))
+            ids, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for row in range(len(batch)):
+                same = batch.column(0)[row].as_py()
+                left, left_n, left_cell, left_v, right, right_n, right_cell, right_v = (c[row].values for c in batch.columns[1:])
+                x, y = _matrix(left_v), _matrix(right_v)
                 if x.shape[1] != y.shape[1]:
                     continue
-                hit = (x @ y.T) >= threshold
-                ids += [*left, *right]
-                n += [*(hit @ np.array(right_n)).tolist(), *(hit.T @ np.array(left_n)).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["vec_id", "n"])
+                hit = ((x @ y.T) >= threshold) & (np.asarray(left_cell)[:, None] != np.asarray(right_cell)[None, :])
+                ids.append(np.asarray(left))
+                n.append(hit @ np.asarray(right_n))
+                if not same:
+                    ids.append(np.asarray(right))
+                    n.append(hit.T @ np.asarray(left_n))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(n), pa.int64())], names=["vec_id", "n"])
 
     return run
 
@@ -176,41 +232,45 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, seed: int = 90) ->
     n = unique.count()
     times = passes(n, threshold)
     half = math.cos(math.acos(threshold) / 2 - 1e-7)  # two vectors so near a leader are within the threshold of each other
-    free = stage.write(unique.select("vec_id", "embedding", F.lit(None).cast("long").alias("cell")), "free-0")
-    settled = None
-    for k in range(1, CELL_ROUNDS + 1):
-        near = _ordered(free, LEAST_PASSES, seed + k).mapInArrow(_nearest_leader(half), "a long, b long")
-        near = stage.write(near.groupBy("a").agg(F.min("b").alias("b")), f"near-{k}")
-        joined = stage.write(near.join(near.select(F.col("a").alias("b")), "b", "left_anti").select("a", "b"), f"joined-{k}")
-        settled = joined if settled is None else settled.unionByName(joined)
-        if k == CELL_ROUNDS or joined.count() * 100 < n:
-            break
-        free = stage.write(free.join(joined.select(F.col("a").alias("vec_id")), "vec_id", "left_anti"), f"free-{k}")
-    # A leader of one round can join another leader in a later one: its members then lead nowhere near, so they go back to cells of their own.
-    settled = stage.write(settled, "settled")
-    lead = settled.select(F.col("a").alias("b"))
-    settled = stage.write(settled.join(lead, "b", "left_anti").groupBy("a").agg(F.min("b").alias("b")), "cells-of")
+    settled = _gather(unique, half, seed, stage, "cells")
     celled = unique.join(settled.select(F.col("a").alias("vec_id"), F.col("b").alias("cell")), "vec_id", "left")
     celled = stage.write(celled.select("vec_id", "n", "embedding", F.coalesce("cell", "vec_id").alias("cell")), "celled")
+    led = _gather(celled.where("vec_id = cell"), threshold, seed + 1000, stage, "groups")
+    grouped = celled.join(led.select(F.col("a").alias("cell"), F.col("b").alias("group")), "cell", "left")
+    grouped = stage.write(grouped.select("vec_id", "n", "embedding", "cell", F.coalesce("group", "cell").alias("group")), "grouped")
 
-    pairs = _ordered(celled, times, seed).mapInArrow(_linked_cells(threshold), "a long, b long").distinct()
-    pairs = stage.write(pairs, "cell-pairs")
-    sizes = celled.groupBy("cell").agg(F.sum("n").alias("all"), F.count("*").alias("members"))
+    pairs = _ordered(grouped.select("vec_id", "embedding", F.col("group").alias("cell")), times, seed)
+    pairs = stage.write(pairs.mapInArrow(_linked_cells(threshold), "a long, b long").distinct(), "group-pairs")
+    sizes = grouped.groupBy("group", "cell").agg(F.sum("n").alias("all"), F.count("*").alias("members"))
     sizes = stage.write(sizes, "sizes")
-    dealt = celled.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("members") / BLOCK)).cast("int"))
-    wanted = pairs.select(F.col("a").alias("cell")).union(pairs.select(F.col("b").alias("cell"))).distinct()
-    blocks = dealt.join(wanted, "cell", "left_semi").groupBy("cell", "block").agg(
-        F.collect_list("vec_id").alias("ids"), F.collect_list("n").alias("ns"), F.collect_list("embedding").alias("vs")
+    small = F.col("members") < BLOCK
+    groups = sizes.groupBy("group").agg(F.count("*").alias("cells"), F.sum(F.when(small, F.col("members")).otherwise(0)).alias("small"))
+    wanted = pairs.select(F.col("a").alias("group")).union(pairs.select(F.col("b").alias("group"))).union(groups.where("cells > 1").select("group")).distinct()
+    dealt = grouped.join(sizes, ["group", "cell"])
+    # A cell of a block or more has blocks of its own, which are not compared with each other; the others share blocks.
+    big = F.when(~small, F.col("cell"))
+    part = F.when(small, F.pmod(F.xxhash64("cell"), F.ceil(F.col("small") / BLOCK))).otherwise(F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("members") / BLOCK)))
+    blocks = dealt.join(wanted, "group", "left_semi").join(groups, "group").select("vec_id", "n", "cell", "embedding", "group", big.alias("big"), part.alias("part"))
+    blocks = blocks.groupBy("group", "big", "part", F.size("embedding").alias("size")).agg(
+        F.collect_list("vec_id").alias("ids"), F.collect_list("n").alias("ns"), F.collect_list("cell").alias("cells"), F.collect_list("embedding").alias("vs")
     )
+    blocks = blocks.withColumn("block", F.concat_ws("/", "group", F.coalesce(F.col("big").cast("string"), F.lit("")), "part", "size"))
     blocks = stage.write(blocks, "blocks", "uncompressed")
-    side = lambda c: blocks.select(F.col("cell").alias(c), F.col("ids").alias(f"{c}_ids"), F.col("ns").alias(f"{c}_ns"), F.col("vs").alias(f"{c}_vs"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a_ids", "a_ns", "a_vs", "b_ids", "b_ns", "b_vs")
+    head = lambda c: blocks.select(F.col("group").alias(c), F.col("big").alias(f"{c}_big"), F.col("size").alias(f"{c}_size"), F.col("block").alias(f"{c}_block"))
+    own_pairs = head("a").join(head("b"), (F.col("a") == F.col("b")) & (F.col("a_block") <= F.col("b_block")) & ~F.coalesce(F.col("a_big") == F.col("b_big"), F.lit(False)))
+    near_pairs = pairs.join(head("a"), "a").join(head("b"), "b")
+    block_pairs = own_pairs.select("a_block", "b_block", "a_size", "b_size").unionByName(near_pairs.select("a_block", "b_block", "a_size", "b_size"))
+    block_pairs = stage.write(block_pairs.where("a_size = b_size").select("a_block", "b_block"), "block-pairs")
+    side = lambda c: blocks.select(F.col("block").alias(f"{c}_block"), *[F.col(k).alias(f"{c}_{k}") for k in ("ids", "ns", "cells", "vs")])
+    met = block_pairs.join(side("a"), "a_block").join(side("b"), "b_block")
+    met = met.select(F.col("a_block") == F.col("b_block"), *[f"{c}_{k}" for c in "ab" for k in ("ids", "ns", "cells", "vs")])
     outside = met.mapInArrow(_count_links(threshold), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("outside"))
     inside = dealt.select("vec_id", "n", (F.col("all") - 1).alias("inside"))
     counted = inside.join(outside, "vec_id", "left").select("vec_id", (F.col("inside") + F.coalesce("outside", F.lit(0))).alias("n_links"))
     counted = stage.write(counted.groupBy("vec_id").agg(F.max("n_links").alias("n_links")), "counted")
 
-    edges = celled.select(F.col("cell").alias("a"), F.col("vec_id").alias("b")).unionByName(pairs)
+    edges = grouped.select(F.col("cell").alias("a"), F.col("vec_id").alias("b")).unionByName(pairs)
+    edges = edges.unionByName(sizes.where("group != cell").select(F.col("group").alias("a"), F.col("cell").alias("b")))
     edges = edges.unionByName(copies.select(F.col("first").alias("a"), F.col("vec_id").alias("b")))
     final = components(edges, stage, "links")
     own = counted.unionByName(copies.join(counted, copies["first"] == counted["vec_id"]).select(copies["vec_id"], "n_links"))

@@ -51,3 +51,21 @@ def test_odd_rows(spark):
 
 def test_passes_grow_with_the_input():
     assert op.passes(10**9, 0.9) > op.passes(10**6, 0.9) > op.passes(100, 0.9) >= op.LEAST_PASSES
+
+
+def crowd(spark, spread, members=8000):
+    """Links found and true links of a crowd, with twice as many vectors far from it."""
+    rng = np.random.default_rng(6)
+    near = rng.standard_normal(64) + rng.standard_normal((members, 64)) * spread
+    vectors = np.concatenate([near, rng.standard_normal((2 * members, 64))])
+    df = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in op.near_vectors(df).collect()}
+    unit = near / np.linalg.norm(near, axis=1, keepdims=True)
+    true = ((unit @ unit.T) >= 0.9).sum(axis=1) - 1
+    assert all(got[i] <= true[i] for i in range(members))
+    return sum(got[i] for i in range(members)), int(true.sum())
+
+
+def test_a_wide_crowd_is_compared_whole(spark):
+    found, true = crowd(spark, 0.28)  # cosines of about 0.927: hardly any within a cell
+    assert found >= 0.99 * true
