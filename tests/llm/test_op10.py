@@ -69,3 +69,8 @@ def crowd(spark, spread, members=8000):
 def test_a_wide_crowd_is_compared_whole(spark):
     found, true = crowd(spark, 0.28)  # cosines of about 0.927: hardly any within a cell
     assert found >= 0.99 * true
+
+
+def test_a_tight_crowd_is_gathered_whole(spark):
+    found, true = crowd(spark, 0.14)  # cosines of about 0.98
+    assert found >= 0.99 * true
