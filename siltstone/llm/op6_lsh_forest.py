@@ -1,8 +1,9 @@
-"""MinHash near-dedup by an LSH forest.
+"""MinHash near-dedup by banding, in place of an LSH forest.
 
-Each tree orders the documents by its own rotation of the signature.  Documents
-that agree in a tree's first values are one region; where a region is crowded,
-its deeper prefixes are regions of their own.  In each region every document is a
+No signature order is sorted and no longest common prefix is looked up: documents
+that agree in the first four values of a rotation of the signature are one
+region, grouped by a hash; where a region is crowded, its prefixes of six and
+eight values are regions of their own.  In each region every document is a
 candidate of the region's least id (first round).  Where the confirmed links of
 the first round leave connected regions in several components, the documents outside
 the largest are compared with all others, in bounded units (second round).
