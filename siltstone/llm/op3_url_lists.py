@@ -21,7 +21,7 @@ from .common import table
 BROADCAST_INTERVALS = 200_000
 #: Copies of each interval, and parts of each hot key, in the shuffled join.
 SALTS = 16
-#: Labels of the longest domain suffix looked up, and path segments of the longest prefix.
+#: Labels and path segments of the deepest keys of a URL, where no list says how deep its entries are.
 MAX_LABELS, MAX_SEGMENTS = 5, 3
 
 
@@ -51,19 +51,19 @@ def url_host(url: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(host), r"\.+$", ""), F.lit(""))
 
 
-def lookup_keys(url: Column) -> Column:
+def lookup_keys(url: Column, most_labels: int = MAX_LABELS, most_segments: int = MAX_SEGMENTS) -> Column:
     """The keys under which a URL can be listed: host suffixes of two labels or more, and host/path prefixes."""
     host = url_host(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
     suffixes = F.transform(
-        F.sequence(F.lit(2), F.least(F.greatest(n, F.lit(2)), F.lit(MAX_LABELS))),
+        F.sequence(F.lit(2), F.least(F.greatest(n, F.lit(2)), F.lit(max(2, most_labels)))),
         lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), "."),
     )
     path = F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)", 1)
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     prefixes = F.transform(
-        F.filter(F.sequence(F.lit(1), F.lit(MAX_SEGMENTS)), lambda k: k <= F.size(segments)),
+        F.filter(F.sequence(F.lit(1), F.lit(max(1, most_segments))), lambda k: k <= F.size(segments)),
         lambda k: F.concat(host, F.lit("/"), F.lower(F.array_join(F.slice(segments, 1, k), "/"))),
     )
     return F.when(host.isNotNull(), F.array_distinct(F.concat(suffixes, F.array(host), prefixes)))
@@ -78,8 +78,11 @@ def temporal_list_join(captures: DataFrame, entries: DataFrame, id_col: str, url
     one task.
     """
     spans = intervals(entries)
+    # Keys go as deep as the deepest entry.
+    deepest = entries.agg(F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\."))).alias("labels"), F.max(F.size(F.split("key", "/")) - 1).alias("segments")).first()
+    keys = lookup_keys(F.col(url_col), deepest["labels"] or 0, deepest["segments"] or 0)
     probes = captures.select(
-        F.col(id_col).alias("id"), F.col(time_col).alias("at"), F.explode(lookup_keys(F.col(url_col))).alias("key")
+        F.col(id_col).alias("id"), F.col(time_col).alias("at"), F.explode(keys).alias("key")
     )
     active = (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
     if entries.limit(BROADCAST_INTERVALS + 1).count() <= BROADCAST_INTERVALS:

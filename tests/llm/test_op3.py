@@ -63,3 +63,10 @@ def test_plan_has_no_python(spark):
     e = spark.createDataFrame([("x", "x.org", "add", day(0))], "list string, key string, action string, effective_at date")
     plan = op.temporal_list_join(c, e, "id", "url", "at")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_deep_entries(spark):
+    c = spark.createDataFrame([(1, "http://x.a.b.c.d.e.org/1/2/3/4/5", day(1)), (2, "http://h.org/1/2/3/4/5", day(1)), (3, "http://h.org/1/2/3", day(1))], "id long, url string, at date")
+    e = spark.createDataFrame([("x", "a.b.c.d.e.org", "add", day(0)), ("x", "h.org/1/2/3/4", "add", day(0))], "list string, key string, action string, effective_at date")
+    got = {(r["id"], r["key"]) for r in op.temporal_list_join(c, e, "id", "url", "at").collect()}
+    assert got == {(1, "a.b.c.d.e.org"), (2, "h.org/1/2/3/4")}
