@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,19 @@ class Stage:
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_bucketed(self, df: DataFrame, name: str, buckets: int, column: str) -> DataFrame:
+        """Write a table in hash buckets of a column and read it back: joins by that column don't shuffle it again.
+
+        The catalogue knows the table only until its files and buckets are resolved.
+        """
+        known = f"siltstone_{uuid.uuid4().hex}"
+        writer = df.write.option("compression", "zstd").option("path", f"{self.root}/{name}")
+        writer.bucketBy(buckets, column).saveAsTable(known)
+        found = self.spark.table(known)
+        found.columns  # noqa: B018
+        self.spark.sql(f"DROP TABLE {known}")
+        return found
+
     def drop(self, *names: str) -> None:
         """Delete intermediates that no later step reads."""
         jvm = self.spark.sparkContext._jvm
@@ -59,6 +74,18 @@ class Stage:
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def joined_by_bucket(spark: SparkSession) -> Iterator[None]:
+    """In it, a join by a bucketed column and further columns uses the buckets as they are."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

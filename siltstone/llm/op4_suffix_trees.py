@@ -1,10 +1,12 @@
 """Substring dedup by prefix-partitioned suffix trees over words.
 
-Suffixes that start at the windows of shared regions are split by their first
-words into groups; a group too large for memory is split by longer prefixes.
-Each group's subtree is built top down: the children of a node are the runs of
-suffixes that agree in the next words.  Internal nodes of window depth or more
-are the repeats, and the smallest document below such a node keeps them.
+Suffixes are split by variable-length prefixes into groups that fit in memory: by
+the first words at the window's sampled suffix, and by the whole window where one
+such prefix has too many.  Each group's subtree is built top down: a node's children
+are the runs of suffixes that agree in the next words; a node below which only one
+document stands can hold no repeat and is not built further.  The internal nodes that
+reach the window's depth are the repeats, and the smallest document below such
+a node keeps them.
 
 Cases: a null or empty text has no words; a document of fewer words than a
 window stays whole; rows with a null doc_id stay whole and remove nothing; rows of one
@@ -18,46 +20,45 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, texts
-from .kernels import refine, rolling
-from .repeats import Rule, remove_repeats
+from .kernels import rolling
+from .repeats import Nodes, Rule, remove_repeats
 
-#: Words by which an edge of the tree goes down, and suffixes that a group may have.
-EDGE_WORDS, GROUP_SUFFIXES = 8, 200_000
+#: Words by which an edge of the tree goes down.
+EDGE_WORDS = 8
 
 
-def suffix_groups(units: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes by their first `depth` words, and the heads of the nodes at that depth."""
-    steps = [EDGE_WORDS] * (depth // EDGE_WORDS) + ([depth % EDGE_WORDS] if depth % EDGE_WORDS else [])
-    labels = {s: rolling(units, s) for s in set(steps)}
-    order = np.arange(len(starts))
-    heads = np.zeros(len(starts), dtype=bool)
-    heads[:1] = True
+def deep_nodes(units: np.ndarray, starts: np.ndarray, docs: np.ndarray, depth: int) -> Nodes:
+    """The suffixes below internal nodes of a depth, the node of each, and each node's least document.
 
-    def split(order: np.ndarray, heads: np.ndarray, level: int) -> None:
-        label, skip = labels[steps[level]], sum(steps[:level])
-        refine(order, heads, lambda rows: label[starts[rows] + skip])
+    units are numbers of words, equal only for equal words; docs are the suffixes' documents.
+    """
+    leaves = np.arange(len(starts))
+    node, least = np.zeros(len(starts), np.int64), np.zeros(1, np.int64)
+    for at in range(0, depth, EDGE_WORDS):
+        edge = min(EDGE_WORDS, depth - at)
+        if not len(leaves):
+            break
+        words = [starts[leaves] + at + i for i in range(edge)]
+        label = rolling(units.astype(np.uint64) + np.uint64(1), edge)[words[0]]
+        order = np.lexsort((label, node))
+        differs = np.logical_or.reduce([units[w[order[1:]]] != units[w[order[:-1]]] for w in words])
+        same_label = (label[order[1:]] == label[order[:-1]]) & (node[order[1:]] == node[order[:-1]])
+        if (differs & same_label).any():  # two edges of one hash: their words decide
+            order = np.lexsort((*(units[w] for w in reversed(words)), node))
+            differs = np.logical_or.reduce([units[w[order[1:]]] != units[w[order[:-1]]] for w in words])
+        leaves, node = leaves[order], node[order]
+        child = np.concatenate([[True], differs | (node[1:] != node[:-1])])
+        begins, number = np.flatnonzero(child), np.cumsum(child) - 1
+        least, most = np.minimum.reduceat(docs[leaves], begins), np.maximum.reduceat(docs[leaves], begins)
+        inner = least < most
+        leaves, node = leaves[inner[number]], (np.cumsum(inner) - 1)[number[inner[number]]]
+        least = least[inner]
+    return leaves, node, least
 
-    level = 0
-    while level < len(steps) and (level == 0 or np.diff(np.append(np.flatnonzero(heads), len(order))).max(initial=0) > GROUP_SUFFIXES):
-        split(order, heads, level)  # longer prefixes, until every group fits
-        level += 1
-    # Whole groups are taken together up to the memory limit; each one's subtree goes down on its own.
-    bounds = np.append(np.flatnonzero(heads), len(order))
-    at = 0
-    while at < len(bounds) - 1:
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + GROUP_SUFFIXES, side="right")) - 1)
-        piece = slice(bounds[at], bounds[to])
-        sub, sub_heads = order[piece].copy(), heads[piece].copy()
-        for deeper in range(level, len(steps)):
-            split(sub, sub_heads, deeper)
-        order[piece], heads[piece] = sub, sub_heads
-        at = to
-    return order, heads
 
-
-def remove_repeated_words(docs: DataFrame, window: int = 50, anchor: int = 8, keep_text: bool = False) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, window: int = 50, anchor: int = 8, keep_text: bool = False, **limits: int) -> DataFrame:
     """remove_repeats over words: see there for the columns."""
-    return remove_repeats(docs, Rule(True, window, anchor, suffix_groups), "words", keep_text)
+    return remove_repeats(docs, Rule(True, window, anchor, deep_nodes), "words", keep_text, **limits)
 
 
 def op4_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

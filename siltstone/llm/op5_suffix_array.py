@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, texts
 from .kernels import refine
-from .repeats import Rule, remove_repeats
+from .repeats import Nodes, Rule, remove_repeats
 
 #: Depth, in bytes, to which multikey quicksort goes.
 SHALLOW = 24
@@ -89,9 +89,15 @@ def deep_shallow(buf: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.nd
     return order, heads
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 50, anchor: int = 20, keep_text: bool = False) -> DataFrame:
+def deep_nodes(buf: np.ndarray, starts: np.ndarray, docs: np.ndarray, depth: int) -> Nodes:
+    """The suffixes in order, their runs of `depth` equal bytes, and each run's least document."""
+    order, heads = deep_shallow(buf, starts, depth)
+    return order, np.cumsum(heads) - 1, np.minimum.reduceat(docs[order], np.flatnonzero(heads)) if len(order) else docs
+
+
+def remove_repeated_bytes(docs: DataFrame, window: int = 50, anchor: int = 20, keep_text: bool = False, **limits: int) -> DataFrame:
     """remove_repeats over UTF-8 bytes: see there for the columns."""
-    return remove_repeats(docs, Rule(False, window, anchor, deep_shallow), "bytes", keep_text)
+    return remove_repeats(docs, Rule(False, window, anchor, deep_nodes), "bytes", keep_text, **limits)
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 
 from siltstone.llm import repeats
 from siltstone.llm.common import texts
-from siltstone.llm.op4_suffix_trees import remove_repeated_words, suffix_groups
+from siltstone.llm.op4_suffix_trees import deep_nodes, remove_repeated_words
 from siltstone.llm.op5_suffix_array import deep_shallow, remove_repeated_bytes
 
 
@@ -59,12 +59,12 @@ def corpus(seed, words):
 @pytest.mark.parametrize("small", [False, True])
 def test_against_plain(spark, monkeypatch, words, seed, small):
     if small:  # many blocks and passes
-        for name, value in (("PASS_BYTES", 300), ("BLOCK_ANCHORS", 40), ("BLOCK_REGION_BYTES", 500)):
+        for name, value in (("PASS_BYTES", 300), ("BLOCK_ANCHORS", 40), ("BLOCK_REGION_BYTES", 500), ("GROUP_SUFFIXES", 300)):
             monkeypatch.setattr(repeats, name, value)
     rows = corpus(seed, words)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     remove = remove_repeated_words if words else remove_repeated_bytes
-    found = remove(texts(df), window=12, anchor=4, keep_text=True).collect()
+    found = remove(texts(df), window=12, anchor=4, keep_text=True, hot=3 if small else 10**6).collect()
     order = lambda r: (r[0] is not None, r)
     assert sorted([tuple(r)[:5] for r in found], key=order) == sorted(plain(rows, words, 12), key=order)
     assert all(hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"] for r in found)
@@ -91,17 +91,35 @@ def test_deep_shallow_sorts(depth):
     assert heads.tolist() == [i == 0 or found[i] != found[i - 1] for i in range(len(found))]
 
 
-@pytest.mark.parametrize("limit", [10, 10**6])
-def test_suffix_groups(monkeypatch, limit):
-    from siltstone.llm import op4_suffix_trees
-
-    monkeypatch.setattr(op4_suffix_trees, "GROUP_SUFFIXES", limit)
+def test_deep_nodes():
     rng = np.random.default_rng(1)
-    base = rng.integers(1, 3, 60).astype(np.uint64)
-    units = np.concatenate([base, rng.integers(1, 3, 80).astype(np.uint64), base, np.ones(90, np.uint64)])
+    base = rng.integers(1, 3, 60)
+    units = np.concatenate([base, rng.integers(1, 3, 80), base, np.ones(90, np.int64)])
     starts = np.arange(len(units) - 20)
-    order, heads = suffix_groups(units, starts, 20)
-    found = [tuple(units[s : s + 20]) for s in starts[order]]
-    assert sorted(order) == list(range(len(starts)))
-    groups = [i for i in range(len(found)) if i == 0 or found[i] != found[i - 1]]
-    assert np.flatnonzero(heads).tolist() == groups and len({*found}) == len(groups)
+    docs = starts // 70
+    leaves, node, least = deep_nodes(units, starts, docs, 20)
+    groups = {}
+    for s in starts:
+        groups.setdefault(tuple(units[s : s + 20]), []).append(s)
+    want = {tuple(g): min(docs[g]) for g in groups.values() if len({*docs[g]}) > 1}
+    got = {tuple(sorted(leaves[node == k])): d for k, d in enumerate(least)}
+    assert got == want and len(got) > 10
+    assert [len(x) for x in deep_nodes(units, starts[:0], docs[:0], 20)[:2]] == [0, 0]
+
+
+def test_equal_hashes_of_other_bytes(monkeypatch):
+    """Regions that only look equal are kept apart."""
+    buf = np.frombuffer(b"abcdabceabcd", np.uint8)
+    at, sizes, docs = np.array([0, 4, 8]), np.array([4, 4, 4]), np.array([1, 2, 3])
+    first, least = repeats._first_of_equals(buf, at, sizes, np.zeros(3, np.uint64), docs)
+    assert first.tolist() == [0, 1, 0] and least.tolist() == [1, 2, 1]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    long_ = " ".join(rng.choice(["ab", "cd", "e"]) + str(rng.randrange(5000)) for _ in range(60_000))
+    rows = [(1, long_), (2, "x " + long_), (3, long_[: len(long_) // 2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for remove, words in ((remove_repeated_words, True), (remove_repeated_bytes, False)):
+        found = sorted(tuple(r)[:5] for r in remove(df).collect())
+        assert found == plain(rows, words, 50)
