@@ -1,12 +1,19 @@
-"""MinHash near-dedup by banding, in place of an LSH forest.
-
-No signature order is sorted and no longest common prefix is looked up: documents
-that agree in the first four values of a rotation of the signature are one
-region, grouped by a hash; where a region is crowded, its prefixes of six and
-eight values are regions of their own.  In each region every document is a
-candidate of the region's least id (first round).  Where the confirmed links of
-the first round leave connected regions in several components, the documents outside
-the largest are compared with all others, in bounded units (second round).
+"""MinHash near-dedup by an LSH forest.
+
+Each tree is an order of all documents, sorted by a rotation of their signatures: four
+values, then the next four, and four more.  Neighbours in the order have long
+common prefixes; a run of documents with one prefix is a region.  Regions begin at
+the first depth, four values.  The documents of a small region are candidates of each other.
+Where a region is crowded, each document is a candidate of the least id of its run
+at every depth.  If the confirmed links leave a crowded region in several components, its
+documents go deeper: a forest of their own, of more trees, whose regions begin at eight
+values and then at twelve, so that each depth finds a linked pair as surely as the first.
+Where even twelve common values leave a crowd in several components, its documents outside the
+largest are compared with all others of the region, in bounded units.
+
+An order is cut into partitions by ranges of the whole key, so a region in a third of all
+documents is many tasks; pieces of a region that a cut has parted are put together after.
+
 Links are confirmed on the full sets of shingle hashes.
 
 Documents with equal sets are one class and only its least id is searched.
@@ -26,21 +33,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, table, texts
+from .common import Stage, partitions, table, texts
 from .components import components
 from .kernels import arrow_bytes, binary_array, mix, range_hashes, ranges, rolling, word_bounds, word_hashes
 from .tokens import slices
 
-TREES, VALUES = 32, 128
-#: Values of the prefixes that make regions, and the members from which deeper ones are used too.
-DEPTHS, CROWD = (4, 6, 8), 200
+VALUES = 128
+#: Values of one step of a prefix; trees of the forest whose regions begin at one, two and three steps.
+STEP, TREES = 4, (32, 128, 512)
+#: Documents from which a region is crowded.
+CROWD = 8
 
 #: Documents of a block, and of a chunk, of the second round.
 UNIT = 512
 
-_rng = np.random.default_rng(611)
-_FACTOR = (_rng.integers(0, 1 << 31, VALUES, dtype=np.int64) * 2 + 1).astype(np.uint32)
-_SHIFT = _rng.integers(0, 1 << 32, VALUES, dtype=np.int64).astype(np.uint32)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -63,13 +69,16 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.n
     return found, np.searchsorted(text, np.arange(len(count) + 1))
 
 
-def signatures(found: np.ndarray, first: np.ndarray) -> np.ndarray:
+def signatures(found: np.ndarray, first: np.ndarray, values: int = VALUES) -> np.ndarray:
     """MinHash values of the non-empty sets, one row each."""
+    rng = np.random.default_rng(611 + values)
+    factor = (rng.integers(0, 1 << 31, values, dtype=np.int64) * 2 + 1).astype(np.uint32)
+    shift = rng.integers(0, 1 << 32, values, dtype=np.int64).astype(np.uint32)
     short = (found >> np.uint64(32)).astype(np.uint32)
     begins = first[:-1][np.diff(first) > 0]
-    out = np.empty((len(begins), VALUES), dtype=np.uint32)
-    for i in range(VALUES):
-        out[:, i] = np.minimum.reduceat(short * _FACTOR[i] + _SHIFT[i], begins)
+    out = np.empty((len(begins), values), dtype=np.uint32)
+    for i in range(values):
+        out[:, i] = np.minimum.reduceat(short * factor[i] + shift[i], begins)
     return out
 
 
@@ -100,29 +109,94 @@ def _sketches(words: int):
     return run
 
 
-_FOREST = ", ".join(["doc_id long", "tree int", *(f"region_{d} long" for d in DEPTHS)])
+_FOREST = "tree int, top long, rest long, doc_id long"
+
+
+def _trees(ids: np.ndarray, sig: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each document and tree: the first step of its order, and the two steps after it as halves of one number."""
+    trees = sig.shape[1] // STEP
+    steps = np.zeros((len(ids), trees), np.uint64)
+    for i in range(STEP):
+        steps = mix(steps * np.uint64(0x9E3779B97F4A7C15) + sig[:, i::STEP].astype(np.uint64) + np.uint64(1))
+    high, low = np.uint64(0xFFFFFFFF00000000), np.uint64(32)
+    for tree in range(trees):
+        rest = (steps[:, (tree + 1) % trees] & high) | (steps[:, (tree + 2) % trees] >> low)
+        columns = [pa.array(np.full(len(ids), tree, np.int32)), pa.array(steps[:, tree].view(np.int64)), pa.array(rest.view(np.int64)), pa.array(ids)]
+        yield pa.RecordBatch.from_arrays(columns, names=["tree", "top", "rest", "doc_id"])
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document and tree, with its prefixes of each depth."""
+    """Trees of the written signatures."""
     for batch in batches:
-        ids = np.asarray(batch.column(0))
         buf, _ = arrow_bytes(batch.column(1))
-        sig = np.frombuffer(buf.tobytes(), np.uint32).reshape(len(ids), VALUES)
-        for lo in range(0, len(ids), 4096):
-            part = sig[lo : lo + 4096].astype(np.uint64)
-            keys = {d: [] for d in DEPTHS}
-            for tree in range(TREES):
-                h = np.full(len(part), mix(np.array([tree], np.uint64))[0])
-                for depth in range(max(DEPTHS)):
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + part[:, (tree * VALUES // TREES + depth) % VALUES])
-                    if depth + 1 in keys:
-                        keys[depth + 1].append(h.view(np.int64))
-            trees = np.repeat(np.arange(TREES, dtype=np.int32), len(part))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(ids[lo : lo + 4096], TREES)), pa.array(trees), *(pa.array(np.concatenate(keys[d])) for d in DEPTHS)],
-                names=["doc_id", "tree", *(f"region_{d}" for d in DEPTHS)],
-            )
+        yield from _trees(np.asarray(batch.column(0)), np.frombuffer(buf.tobytes(), np.uint32).reshape(len(batch), VALUES))
+
+
+def _larger_forest(trees: int):
+    """Trees of longer signatures, from the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = arrow_bytes(batch.column(1))
+            for lo, hi in slices(np.diff(offsets), 1 << 20):
+                part = offsets[lo : hi + 1]
+                found = np.frombuffer(buf[part[0] : part[-1]].tobytes(), np.uint64)
+                yield from _trees(np.asarray(batch.column(0))[lo:hi], signatures(found, (part - part[0]) // 8, trees * STEP))
+
+    return run
+
+
+#: kind 0: a candidate pair; 1: b is a document of the crowded region; 2: a piece of a region at an edge of a partition (n documents, a the least; ids if few).
+_NEIGHBOURS = "kind int, region long, a long, b long, n long, ids array<bigint>"
+
+
+def _neighbours(depth: int):
+    """Of a stretch of the orders, the candidates in regions of `depth` steps or more."""
+
+    def rows(kind: int, size: int, **columns) -> pa.RecordBatch:
+        kinds = {"kind": pa.int32(), "region": pa.int64(), "a": pa.int64(), "b": pa.int64(), "n": pa.int64(), "ids": pa.list_(pa.int64())}
+        given = {"kind": np.full(size, kind, np.int32)} | columns
+        return pa.RecordBatch.from_arrays([pa.array(given.get(c, [None] * size), t) for c, t in kinds.items()], names=list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [tuple(np.asarray(c) for c in batch.columns) for batch in batches if len(batch)]
+        if not parts:
+            return
+        tree, top, rest, ids = (np.concatenate(x) for x in zip(*parts))
+        prefixes = [top, top ^ (rest >> 32) * 0x2545F491, top ^ rest * 0x2545F491]
+        new = [np.ones(len(ids), bool) for _ in prefixes]
+        # Common steps with the row before, in this order.
+        new[0][1:] = (tree[1:] != tree[:-1]) | (top[1:] != top[:-1])
+        new[1][1:] = new[0][1:] | (rest[1:] >> 32 != rest[:-1] >> 32)
+        new[2][1:] = new[0][1:] | (rest[1:] != rest[:-1])
+        begins = np.flatnonzero(new[depth - 1])
+        size = np.diff(np.append(begins, len(ids)))
+        region = mix((prefixes[depth - 1][begins].view(np.uint64)) ^ mix(tree[begins].astype(np.uint64) + np.uint64(7))).view(np.int64)
+        of = np.repeat(np.arange(len(begins)), size)
+        least = np.minimum.reduceat(ids, begins)
+        edge = np.zeros(len(begins), bool)
+        edge[[0, -1]] = True
+
+        pairs: list[np.ndarray] = []
+        few = (size <= CROWD) & ~edge
+        place = np.arange(len(ids)) - begins[of]
+        for k in range(1, CROWD):
+            i = np.flatnonzero(few[of] & (place + k < size[of]))
+            pairs.append(np.stack([ids[i], ids[i + k]]))
+        crowded = (size > CROWD)[of]
+        for head in new[depth - 1 :]:
+            first = np.flatnonzero(head)
+            hub = np.minimum.reduceat(ids, first)[np.cumsum(head) - 1]
+            pairs.append(np.stack([hub[crowded], ids[crowded]]))
+        both = np.concatenate(pairs, axis=1)
+        both = np.unique(np.sort(both[:, both[0] != both[1]], axis=0), axis=1)
+        yield rows(0, both.shape[1], a=both[0], b=both[1])
+        yield rows(1, int(crowded.sum()), region=region[of[crowded]], b=ids[crowded])
+        e = np.flatnonzero(edge)
+        listed = [ids[begins[i] : begins[i] + size[i]].tolist() if size[i] <= CROWD else None for i in e]
+        yield rows(2, len(e), region=region[e], a=least[e], n=size[e], ids=listed)
+
+    return run
 
 
 def _sets(words: int):
@@ -195,27 +269,42 @@ def _block_links(percent: int):
     return run
 
 
-def _across_components(families: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the components of each family of documents that regions connect.
+def _across_components(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the components of each crowd (region, doc_id, component).
 
-    A family's largest component is settled; every other document is compared
-    with the whole family, in units of a bounded block and a bounded chunk, so a
-    large family is many tasks and its pairs are never rows.
+    A crowd's largest component is settled; every other document is compared
+    with the whole crowd, in units of a bounded block and a bounded chunk, so a
+    large crowd is many tasks and its pairs are never rows.
     """
-    known = families.withColumnRenamed("component", "family").join(labels, "node", "left")
-    known = known.select("family", F.col("node").alias("doc_id"), F.coalesce("component", "node").alias("component"))
-    sizes = known.groupBy("family", "component").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("family").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
-    rows = known.join(sizes.where("n > most"), "family")
+    sizes = crowds.groupBy("region", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("region").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    rows = crowds.join(sizes.where("n > most"), "region")
     blocks, chunks = F.ceil(F.col("n") / UNIT).cast("int"), F.ceil((F.col("n") - F.col("most")) / UNIT).cast("int")
     spread = lambda n: F.sequence(F.lit(0), n - 1)
     own = F.xxhash64("doc_id")
-    wide = rows.select("family", "doc_id", "component", F.lit(0).alias("side"), F.pmod(own, blocks).cast("int").alias("block"), F.explode(spread(chunks)).alias("chunk"))
+    wide = rows.select("region", "doc_id", "component", F.lit(0).alias("side"), F.pmod(own, blocks).cast("int").alias("block"), F.explode(spread(chunks)).alias("chunk"))
     few = rows.where("component != main").select(
-        "family", "doc_id", "component", F.lit(1).alias("side"), F.explode(spread(blocks)).alias("block"), F.pmod(own, chunks).cast("int").alias("chunk")
+        "region", "doc_id", "component", F.lit(1).alias("side"), F.explode(spread(blocks)).alias("block"), F.pmod(own, chunks).cast("int").alias("chunk")
     )
     units = wide.unionByName(few.select(wide.columns)).join(sets, "doc_id")
-    return units.groupBy("family", "block", "chunk").applyInArrow(_block_links(percent), "a long, b long").distinct()
+    return units.groupBy("region", "block", "chunk").applyInArrow(_block_links(percent), "a long, b long").distinct()
+
+
+def _candidates(forest: DataFrame, depth: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b), and the documents (region, doc_id) of crowded regions, of a forest."""
+    order = ["tree", "top", "rest", "doc_id"]
+    ordered = forest.repartitionByRange(partitions(forest.sparkSession), *order).sortWithinPartitions(*order)
+    found = stage.write(ordered.mapInArrow(_neighbours(depth), _NEIGHBOURS), f"neighbours-{depth}")
+    # Regions that a cut of the orders has parted, put together: a row for each partition at most.
+    pieces = found.where("kind = 2").groupBy("region").agg(
+        F.sum("n").alias("n"), F.min("a").alias("least"), F.collect_list("a").alias("firsts"), F.flatten(F.collect_list("ids")).alias("ids")
+    )
+    whole = pieces.where(F.col("n") <= CROWD).select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b")
+    parted = pieces.where(F.col("n") > CROWD)
+    star = parted.select(F.col("least").alias("a"), F.explode(F.array_union("firsts", "ids")).alias("b")).where("a < b")
+    pairs = found.where("kind = 0").select("a", "b").unionByName(whole).unionByName(star).distinct()
+    crowded = found.where("kind = 1").select("region", F.col("b").alias("doc_id")).unionByName(parted.select("region", F.explode("ids").alias("doc_id")))
+    return pairs, crowded
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -232,37 +321,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     firsts = firsts.dropDuplicates(["doc_id", *prints])
 
     forest = firsts.select("doc_id", "signature").mapInArrow(_forest, _FOREST)
-    base = f"region_{DEPTHS[0]}"
-    # Only regions of two members matter: counted first, so that single rows are dropped before anything is written.
-    forest = stage.write(forest, "trees")
-    counts = forest.groupBy(base).agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    counts = stage.write(counts, "regions")
-    members = stage.write(forest.join(counts, base).drop("tree"), "members")
-    stage.drop("trees")
-    star = members.where("doc_id != a").select("a", F.col("doc_id").alias("b"))
-    for depth in DEPTHS[1:]:
-        region = f"region_{depth}"
-        crowded = members.where(F.col("n") > CROWD)
-        deeper = crowded.groupBy(region).agg(F.min("doc_id").alias("first"))
-        star = star.unionByName(crowded.join(deeper, region).where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
-    pairs = stage.write(star.distinct(), "pairs-1")
-
-    wanted = members.select("doc_id").distinct()
-    # Sets of the documents in regions only; a document that has several rows has several sets, all of which are compared.
-    sets = stage.write(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets", "uncompressed")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+    links = copies.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
+    sets = None
+    for depth, trees in enumerate(TREES, 1):
+        if depth > 1:
+            deeper = sets.join(crowds.select("doc_id").distinct(), "doc_id", "left_semi")
+            forest = deeper.mapInArrow(_larger_forest(trees), _FOREST)
+        pairs, crowded = _candidates(forest, depth, stage)
+        pairs = stage.write(pairs, f"pairs-{depth}")
+        if sets is None:
+            # Sets of candidates only; a document that has several rows has several sets, all of which are compared.
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary")
+            sets = stage.write(sets.where(F.length("shingles") > 0), "sets", "uncompressed")
         right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
         left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-        return stage.write(both.mapInArrow(_confirm(percent), "a long, b long"), name)
-
-    links = confirmed(pairs, "links-1")
-    labels = components(links, stage, "round-1")
-    more = stage.write(_across_components(components(pairs, stage, "families"), labels, sets, percent), "links-2")
-
-    edges = links.unionByName(more).unionByName(copies.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b")))
-    final = components(edges, stage, "round-2")
+        links = links.unionByName(stage.write(both.mapInArrow(_confirm(percent), "a long, b long"), f"links-{depth}"))
+        final = components(links, stage, f"round-{depth}")
+        known = crowded.distinct().join(final, F.col("doc_id") == F.col("node"), "left")
+        known = stage.write(known.select("region", "doc_id", F.coalesce("component", "doc_id").alias("component")), f"crowded-{depth}")
+        apart = known.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
+        crowds = stage.write(known.join(apart.select("region"), "region"), f"crowds-{depth}")
+        stage.drop(f"neighbours-{depth}", f"pairs-{depth}", f"crowded-{depth}")
+        if crowds.isEmpty():
+            break
+    else:
+        more = stage.write(_across_components(crowds, sets, percent), "links-crowds")
+        final = components(links.unionByName(more), stage, "last-round")
     same = copies.groupBy("doc_id", *prints).agg(F.min("class_id").alias("class_id"))
     out = sketch.drop("signature").join(final, sketch["doc_id"] == final["node"], "left")
     out = out.join(same, ["doc_id", *prints], "left")

@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from siltstone.llm import op6_lsh_forest as op
 from siltstone.llm.common import texts
 
@@ -48,9 +50,12 @@ def test_against_all_pairs(spark):
         assert sorted(got, key=str) == plain(rows)
 
 
-def test_crowded_families(spark, monkeypatch):
-    monkeypatch.setattr(op, "CROWD", 5)
+@pytest.mark.parametrize("trees", [(32, 128, 512), (32,)])
+def test_crowded_regions(spark, monkeypatch, trees):
+    """All regions crowded: deeper forests find the links, and so does the comparison of what is left of a crowd."""
+    monkeypatch.setattr(op, "CROWD", 2)
     monkeypatch.setattr(op, "UNIT", 7)
+    monkeypatch.setattr(op, "TREES", trees)
     rows = corpus(3)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted([tuple(r)[:4] for r in op.near_duplicates(texts(df)).collect()], key=str) == plain(rows)
@@ -60,3 +65,20 @@ def test_odd_rows(odd, none):
     got = [tuple(r)[:4] for r in op.near_duplicates(odd).collect()]
     assert sorted(got, key=str) == plain([(r["doc_id"], r["text"]) for r in odd.collect()])
     assert op.near_duplicates(none).count() == 0
+
+
+def test_a_region_over_many_partitions(spark):
+    """One crowd of near copies, of which every partition holds a piece, and strangers."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(80)]
+    rows = [(i, " ".join(base + [f"x{i}"])) for i in range(300)] + [(1000 + i, " ".join(f"y{rng.randrange(10**6)}" for _ in range(30))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted([tuple(r)[:4] for r in op.near_duplicates(texts(df)).collect()], key=str) == plain(rows)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    long_ = [f"w{rng.randrange(3000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long_)), (2, " ".join(long_[5000:])), (3, " ".join(long_[:30_000])), (4, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted([tuple(r)[:4] for r in op.near_duplicates(texts(df)).collect()], key=str) == plain(rows)
