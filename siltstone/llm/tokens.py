@@ -33,6 +33,9 @@ class Encoder:
     Pieces end at spaces, and before a comma or full stop that follows a letter
     or digit and ends its run; both vocabularies always split there.  A text
     where such a mark follows another one falls back to splits at spaces.
+
+    As in a plain call of the library, the string of a special token in a text
+    gives that token's id; such a text is encoded as a whole.
     """
 
     def __init__(self, path: str, spaces: str):
@@ -40,7 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.model.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
         self.dtype = np.dtype("<u2") if self.model.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.lead = spaces == "lead"
@@ -59,6 +62,10 @@ class Encoder:
         self.fine, self.odd = {}, {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
+        if special := [k for k, t in enumerate(texts) if self.special.search(t)]:
+            whole = iter(self.model.encode_batch_fast([texts[k] for k in special], add_special_tokens=False))
+            rest = iter(self._encoded([t for t in texts if not self.special.search(t)]))
+            return [array(self.code, next(whole).ids).tobytes() if k in special else next(rest) for k in range(len(texts))]
         for known in (self.fine, self.odd):
             if len(known) > CACHE_PIECES:
                 short = {p: ids for p, ids in known.items() if len(p) <= SHORT}

@@ -54,9 +54,17 @@ def test_encoder_is_exact(path, spaces):
     check()
 
 
+@pytest.mark.parametrize(("path", "spaces", "ids"), [(BYTE, "lead", [64, 220, 50256, 275]), (WORD, "drop", [320, 49407, 321])])
+def test_strings_of_special_tokens(path, spaces, ids):
+    encoder, plain = Encoder(path, spaces), Tokenizer.from_file(path)
+    values = ["plain text", "a <|endoftext|> b", "x<|endoftext|>", "<|startoftext|>, y. z", "a <|EndOfText|> b", ""]
+    got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder(values)]
+    assert got == [e.ids for e in plain.encode_batch(values, add_special_tokens=False)]
+    assert got[1] == ids
+
+
 def expected(rows):
     model = Tokenizer.from_file(BYTE)
-    model.encode_special_tokens = True
     out, start = [], 0
     for doc, text in rows:
         ids = np.array([*model.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
