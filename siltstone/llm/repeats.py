@@ -549,7 +549,8 @@ def remove_repeats(docs: DataFrame, rule: Rule, name: str, keep_text: bool = Fal
 
     prints = stage.write(bodies.where("doc_id IS NOT NULL").select("part", "row", "doc_id", F.sha2("text", 256).alias("print")), "prints")
     groups = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = stage.write(prints.join(groups, "print").where("doc_id > first").select("part", "row"), "copies")
+    groups = stage.write(groups.drop("last"), "groups")  # written, so that the join may split a hot print's rows
+    copies = stage.write(prints.join(groups.hint("merge"), "print").where("doc_id > first").select("part", "row"), "copies")
 
     with joined_by_bucket(spark):
         known = bodies.where("doc_id IS NOT NULL").join(copies.hint("shuffle_hash"), ["part", "row"], "left_anti")
@@ -571,7 +572,7 @@ def remove_repeats(docs: DataFrame, rule: Rule, name: str, keep_text: bool = Fal
         settled = found.where("kind = 'S'").select(F.col("bucket").alias("slot"), "rows", "counts", F.col("content").alias("payload"))
         spans = groups.mapInArrow(_resolve(rule), _PACKED).unionByName(settled)
         spans = stage.write_bucketed(spans.repartitionById(n, F.col("slot")).mapInArrow(_gathered(2), _GATHERED), "spans", n, "part")
-        stage.drop("prints", "places", "regions", "lengthened")
+        stage.drop("prints", "groups", "places", "regions", "lengthened")
 
         rest = bodies.join(spans.hint("shuffle_hash"), ["part", "row"], "left").join(
             copies.withColumn("copy", F.lit(True)).hint("shuffle_hash"), ["part", "row"], "left"
