@@ -1,19 +1,22 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through shared runs of lines: from each line on,
-and up to each line, the shortest run that is long enough to be deleted.  Each
-run's first document (least id) is a partner of all later ones that have it, so a
-run in a third of all documents gives as many pairs as documents and no more, and
-every line of a block that an earlier document has lies in such a run.  Single
-lines give pairs as well: a pair is aligned if it shares a rare line, or several
-lines, or lines that together are long enough to be deleted.  The alignment is a patience diff: lines that are unique in both, their longest increasing subsequence, and
-the same again between them; runs grow from there.  Where no line is unique in
-both, the longest common run is taken.  Aligned common blocks that
-are long enough are deleted from the later document.  All alignments are made on
-the input, not on what is left.
+Overlapping documents are found through shared rare lines: a document is aligned
+with every earlier one that shares a line which only a few documents have.  Commoner
+lines, and runs of lines, give star pairs: from each line on, and up to each line, the
+shortest run that is long enough to be deleted has a first document (least id),
+which is a partner of all later ones that have the run.  So a run in a third of all documents gives as
+many pairs as documents and no more, and every line of a block that an earlier
+document has lies in a run whose first document is a partner.  A commoner line alone
+gives a pair if the pair shares several, or lines that together are long enough to be deleted.
+
+The alignment is a patience diff: lines that are unique in both, their longest
+increasing subsequence, and the same again between them; runs grow from there.  Where
+no line is unique in both, the longest common run is taken.  Aligned common
+blocks that are long enough are deleted from the later document.  All alignments
+are made on the input, not on what is left.
 
 Cases: a null or empty text has no lines and stays; exact copies of a smaller id
-lose all lines; rows with a null doc_id stay whole and are no partners; rows
+are one aligned block, so they lose all lines if a block long; rows with a null doc_id stay whole and are no partners; rows
 of one doc_id don't delete from each other; an empty table gives no rows; other
 columns do not matter.
 """
@@ -32,8 +35,8 @@ from .common import Stage, table, texts
 from .kernels import arrow_bytes, byte_units, range_hashes
 from .tokens import slices
 
-#: Bytes of a line that counts as evidence, documents that may have a rare line, lines that make up for one.
-EVIDENCE, RARE, SEVERAL = 20, 64, 3
+#: Bytes of a line that counts as evidence, documents that may have a rare line, common lines that make up for one.
+EVIDENCE, RARE, SEVERAL = 20, 8, 3
 #: Bytes of a block that is deleted.
 BLOCK = 60
 
@@ -59,12 +62,12 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
                 matches.update((i + k, j + k) for k in range(n))
                 todo += [(lo, i, left, j), (i + n, hi, j + n, right)]
             continue
-        for i, j in [*anchors, (hi, right)]:
+        for i, j in anchors:
             if (lo, left) != (i, j):
                 todo.append((lo, i, left, j))
-            if i < hi and j < right and (i, j) in anchors:
-                matches[i] = j
-                lo, left = i + 1, j + 1
+            matches[i] = j
+            lo, left = i + 1, j + 1
+        todo.append((lo, hi, left, right))
     blocks: list[tuple[int, int, int]] = []
     for i in sorted(matches):
         j = matches[i]
@@ -250,13 +253,8 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in _RESULT.split(", ")])
 
 
-def aligned_line_dedup(docs: DataFrame, evidence: int = EVIDENCE, rare: int | None = None, several: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(doc_id, text_sha256, n_lines, n_removed, kept, kept_sha256) for each row of docs (doc_id, text).
-
-    With `rare` or `several` given, single lines alone give pairs: the narrower rule, for tests.
-    """
-    runs = rare is None and several is None
-    rare, several = RARE if rare is None else rare, SEVERAL if several is None else several
+def aligned_line_dedup(docs: DataFrame, evidence: int = EVIDENCE, rare: int = RARE, several: int = SEVERAL, block: int = BLOCK) -> DataFrame:
+    """(doc_id, text_sha256, n_lines, n_removed, kept, kept_sha256) for each row of docs (doc_id, text)."""
     docs, stage = texts(docs), Stage(docs.sparkSession, "lines")
     key = F.hash("text").alias("text_key")
     known = docs.where("doc_id IS NOT NULL")
@@ -264,6 +262,8 @@ def aligned_line_dedup(docs: DataFrame, evidence: int = EVIDENCE, rare: int | No
     groups = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     groups = stage.write(groups.drop("last"), "groups")
     copies = stage.write(prints.join(groups.hint("merge"), "print").where("doc_id > first").select("doc_id", "text_key").distinct(), "copies")
+    # What an aligned copy loses: all its lines, if they have the bytes of a block.
+    own_bytes = F.octet_length("text") - F.length("text") + F.length(F.regexp_replace("text", "\n", ""))
 
     arrays = known.select("doc_id", key, "text").mapInArrow(_line_arrays, "doc_id long, text_key int, lines array<bigint>, sizes array<int>")
     arrays = stage.write(arrays, "arrays")
@@ -274,25 +274,27 @@ def aligned_line_dedup(docs: DataFrame, evidence: int = EVIDENCE, rare: int | No
     shown = stage.write(shown, "shown")
     known_lines = shown.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
     known_lines = stage.write(known_lines.where("first < last").drop("last"), "known")
-    met = shown.join(known_lines.hint("merge"), "line").where("doc_id > first").groupBy("first", "doc_id", "text_key")
-    pairs = met.agg(F.count("*").alias("lines"), F.min("n").alias("least"), F.sum("size").alias("bytes"))
-    pairs = pairs.where((F.col("least") <= rare) | (F.col("lines") >= several) | (F.col("bytes") >= block))
-    pairs = pairs.select("first", "doc_id", "text_key")
-    if runs:
-        shown = stage.write(firsts.select("doc_id", "text_key", "lines", "sizes").mapInArrow(_runs(block), "doc_id long, text_key int, line long"), "shown-runs")
-        known_runs = shown.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        known_runs = stage.write(known_runs.where("first < last").drop("last"), "known-runs")
-        met = shown.join(known_runs.hint("merge"), "line").where("doc_id > first").select("first", "doc_id", "text_key")
-        pairs = pairs.unionByName(met).distinct()
+    met = shown.join(known_lines.hint("merge"), "line")
+    few = met.where(F.col("n") <= rare).groupBy("line").agg(F.collect_list(F.struct("doc_id", "text_key")).alias("holders"))
+    few = few.select("holders", F.explode("holders").alias("later")).select(F.explode(F.filter("holders", lambda x: x["doc_id"] < F.col("later.doc_id"))).alias("x"), "later")
+    few = few.select(F.col("x.doc_id").alias("first"), "later.doc_id", "later.text_key")
+    common = met.where((F.col("n") > rare) & (F.col("doc_id") > F.col("first"))).groupBy("first", "doc_id", "text_key")
+    common = common.agg(F.count("*").alias("lines"), F.sum("size").alias("bytes")).where((F.col("lines") >= several) | (F.col("bytes") >= block))
+    runs = stage.write(firsts.select("doc_id", "text_key", "lines", "sizes").mapInArrow(_runs(block), "doc_id long, text_key int, line long"), "shown-runs")
+    known_runs = runs.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    known_runs = stage.write(known_runs.where("first < last").drop("last"), "known-runs")
+    of_runs = runs.join(known_runs.hint("merge"), "line").where("doc_id > first").select("first", "doc_id", "text_key")
+    pairs = few.unionByName(common.select("first", "doc_id", "text_key")).unionByName(of_runs).distinct()
     pairs = stage.write(pairs, "pairs")
     later = pairs.hint("merge").join(arrays, ["doc_id", "text_key"])
     both = later.hint("merge").join(arrays.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines")), "first")
     gone = both.select("doc_id", "text_key", "lines", "sizes", "first_lines").mapInArrow(_aligned(block), "doc_id long, text_key int, gone array<int>")
     gone = stage.write(gone.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")
 
+    stage.drop("groups", "shown", "known", "shown-runs", "known-runs", "pairs")
     marks = gone.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "text_key", F.array().cast("array<int>").alias("gone"), F.lit(True).alias("copy")))
     out = docs.select("doc_id", key, "text").join(marks.hint("shuffle_hash"), ["doc_id", "text_key"], "left")
-    return out.select("doc_id", "text", "copy", "gone").mapInArrow(_without, _RESULT)
+    return out.select("doc_id", "text", (F.col("copy") & (own_bytes >= block)).alias("copy"), "gone").mapInArrow(_without, _RESULT)
 
 
 def op1_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Toxicity: a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Folding lowers case, composes compatibility forms, drops invisible characters,
-and maps look-alike letters and digit substitutions inside words to Latin
-letters.  The lexicon (words, and beginnings of words) and its weights are learned
-from labelled texts by smoothed log odds; hits inside exception phrases don't
-count; weights are summed, normalised by length, and calibrated.
+joins letters that are split by signs or spaces, and maps look-alike letters and
+digit substitutions inside words to Latin letters.  The lexicon (words, and
+beginnings of words of 4 to 10 letters) and its weights are learned from labelled texts by
+smoothed log odds.  So are the exception phrases: a hit with the word before or
+after it, where that pair of words stands in clean texts and hardly in toxic ones; hits inside
+them don't count.  Weights are summed, normalised by length, and calibrated.
 
 Cases: a null or empty text has no hits and the score of a clean text; labels
 other than 0 and 1, and null labels or ids, are not learned from; a document with both labels
@@ -33,12 +35,10 @@ from .common import Stage, table, texts
 TRAIN_ROWS = 30_000
 #: Share of toxic texts (and least number) that must have an entry, least log odds of an entry, shortest and longest word beginning.
 SUPPORT, LEAST_SUPPORT, LEAST_ODDS, SHORTEST, LONGEST = 0.02, 3, 3.0, 4, 10
+#: Least log odds of an exception.
+LEAST_EXCUSE = 1.5
 #: Candidate entries that a task counts before it passes its counts on.
 HELD_ENTRIES = 150_000
-#: Entries that the lexicon may have.
-MOST_ENTRIES = 2_000
-#: Harmless phrases around entries.
-EXCEPTIONS = ("trash can", "trash cans", "trash bin", "trash bins", "clown fish", "clownfish", "circus clown", "circus clowns")
 
 # Letters that look like Latin ones (fixed values).
 _LOOKALIKES = str.maketrans("авеёіїјкмнорсѕтухһԁԛԝαβεικνορτυχω", "abeeiijkmhopcstyxhdqwabeiknoptuxw")
@@ -50,6 +50,10 @@ _TOKEN = re.compile(r"[\w@$]*[0-9@$][\w@$]*")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
+# A word and one space before a hit; the rest of a hit word, and one space and the next word.
+_BEFORE, _AFTER = re.compile(r"(?<![^\W\d_])[^\W\d_]{1,30} $"), re.compile(r"([^\W\d_]*)( [^\W\d_]+)?")
+# Four single letters or more with one and the same sign or space between them.
+_SPLIT = re.compile(r"(?<![^\W_])[^\W\d_]([ .*_-])[^\W\d_](?:\1[^\W\d_]){2,}(?![^\W_])")
 
 
 def _unmask(match: re.Match) -> str:
@@ -67,7 +71,7 @@ def _lookalike(match: re.Match) -> str:
 
 
 def fold(text: str) -> str:
-    text = text.lower()
+    text = _SPLIT.sub(lambda m: m[0].replace(m[1], ""), text.lower())
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
         if _HIDDEN.search(text):
@@ -98,22 +102,43 @@ class Model:
         return automaton
 
 
+def _hits(text: str, automaton) -> Iterator[tuple[int, int, float | None]]:
+    """Begin, end and weight (None: an exception) of the entries in a folded text."""
+    for end, (size, weight, whole) in automaton.iter(text):
+        begin = end - size + 1
+        if not (begin and text[begin - 1].isalpha() or whole and end + 1 < len(text) and text[end + 1].isalpha()):
+            yield begin, end, weight
+
+
 def features(text: str, automaton) -> tuple[float, float, float]:
     """Of a folded text: log of the weight of its hits, that weight by the root of its words, and log of its hits."""
     if not len(automaton) or not text:
         return 0.0, 0.0, 0.0
-    hits, excused = [], []
-    for end, (size, weight, whole) in automaton.iter(text):
-        begin = end - size + 1
-        if begin and text[begin - 1].isalpha() or whole and end + 1 < len(text) and text[end + 1].isalpha():
-            continue
-        (excused if weight is None else hits).append((begin, end, weight))
-    if excused:
-        hits = [h for h in hits if not any(b <= h[0] and h[1] <= e for b, e, _ in excused)]
-    total = sum(h[2] for h in hits)
+    hits, reach = [], -1
+    found = list(_hits(text, automaton))
+    # Exceptions in order of their beginnings; a hit is excused if one that begins no later ends no earlier.
+    excused = iter(sorted((b, e) for b, e, weight in found if weight is None))
+    ahead = next(excused, None)
+    for begin, end, weight in sorted(h for h in found if h[2] is not None):
+        while ahead and ahead[0] <= begin:
+            reach, ahead = max(reach, ahead[1]), next(excused, None)
+        if end > reach:
+            hits.append(weight)
+    total = sum(hits)
     return math.log1p(total), total / math.sqrt(text.count(" ") + 10), math.log1p(len(hits))
 
 
+def _around(text: str, automaton) -> set[str]:
+    """The words hit in a folded text, each with the word before it and with the word after it."""
+    out = set()
+    for begin, end, _ in _hits(text, automaton):
+        before, after = _BEFORE.search(text, max(0, begin - 40), begin), _AFTER.match(text, end + 1)
+        rest = after[1]
+        out.update([before[0] + text[begin : end + 1] + rest] if before else [])
+        out.update([text[begin : end + 1] + rest + after[2]] if after[2] else [])
+    return out
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with and without the label that have each word and word beginning, as partial counts of bounded memory."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
@@ -160,8 +185,6 @@ def _lexicon(rows: list, pos: int, neg: int) -> list[tuple[str, float, bool]]:
         whole.add(text)
         parts.update(text[:k] for k in range(1, len(text) + 1))
         taken.append((text, round(weight, 6), entry.endswith(" ")))
-        if len(taken) == MOST_ENTRIES:
-            break
     return taken
 
 
@@ -185,8 +208,12 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(True))
 
 
-def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS, rows: int = TRAIN_ROWS) -> Model:
-    """Lexicon and calibration from labels (doc_id, label 0 or 1) of docs (doc_id, text)."""
+def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (), rows: int = TRAIN_ROWS) -> Model:
+    """Lexicon, exceptions and calibration from labels (doc_id, label 0 or 1) of docs (doc_id, text).
+
+    `exceptions` are known beforehand.  An entry stands in a given share of the toxic
+    texts, so their number is bounded by the entries of an average text.
+    """
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).distinct()
     share = rows / max(1, labels.count())
@@ -204,7 +231,21 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
     counted = sample.mapInArrow(_candidates, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # log odds of LEAST_ODDS bound neg by pos, so what is collected is bounded by the sample.
     entries = _lexicon(counted.where(F.col("pos") >= support).where("neg < pos").collect(), pos, neg)
-    model = Model(tuple(entries), tuple(exceptions), (0.0, 0.0, 0.0, 0.0))
+    bare = Model(tuple(entries), (), (0.0, 0.0, 0.0, 0.0))
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = bare.matcher()
+        for batch in batches:
+            if not len(automaton):
+                continue
+            found = [(phrase, label) for label, text in zip(*(c.to_pylist() for c in batch.columns)) for phrase in _around(fold(text), automaton)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([x for _, x in found], pa.int32())], names=["phrase", "label"])
+
+    harmless = sample.mapInArrow(phrases, "phrase string, label int").groupBy("phrase").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+    odds = F.log((F.col("neg") + 0.5) / (neg + 1)) - F.log((F.col("pos") + 0.5) / (pos + 1))
+    harmless = harmless.where((F.col("neg") >= LEAST_SUPPORT) & (odds >= LEAST_EXCUSE)).orderBy("phrase")
+    learned = [r["phrase"] for r in harmless.collect()]  # bounded by the sample
+    model = Model(bare.entries, tuple(sorted({*learned, *exceptions})), bare.coef)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = model.matcher()

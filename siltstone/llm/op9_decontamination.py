@@ -7,7 +7,8 @@ are kept, and a banded alignment decides.  Texts are compared in lower case with
 runs of white space as one space, whole.
 
 Cases: a null or empty text holds nothing; an item of fewer than q characters
-is no evidence and matches nothing; null items are none; equal items and equal
+is no evidence and matches nothing; null items are none; of an item that stands several
+times in a text, the best place is given; equal items and equal
 texts match each on their own; an empty benchmark matches nothing; other columns
 do not matter.
 """
@@ -18,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts
+from .common import Stage, table, texts
 from .kernels import rolling
 from .tokens import slices
 
@@ -174,23 +176,31 @@ def find_items(docs: DataFrame, items: DataFrame, q: int = Q, edits: float = EDI
     """Matches (doc_id, item_id, begin, end, edits) of docs (doc_id, text) with items (item_id, text).
 
     One row for each document and item, its best region; places are in the
-    normalised text.  Items are sent to the tasks in passes of bounded size.
+    normalised text.  Items whose characters are few enough are broadcast; more
+    are dealt to passes of about that size, and each pass's matches are written
+    before the next pass's items are taken, so neither the driver nor a task ever holds more.
     """
+    spark = docs.sparkSession
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = -(-chars // PASS_CHARS) or 1
-    out = None
+
+    def matches(part: DataFrame) -> DataFrame:
+        known = spark.sparkContext.broadcast([(r["item_id"], normalised(r["text"])) for r in part.collect()])
+        return texts(docs).mapInArrow(_matches(known, q, edits), _MATCH)
+
+    if passes == 1:
+        return matches(items)
+    stage, out = Stage(spark, "benchmark"), None
     for k in range(passes):
-        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        known = [(r["item_id"], normalised(r["text"])) for r in part.collect()]
-        found = texts(docs).mapInArrow(_matches(known, q, edits), _MATCH)
+        found = stage.write(matches(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)), f"pass-{k}")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _matches(items: list[tuple[int, str]], q: int, edits: float):
+def _matches(items: Broadcast, q: int, edits: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items, q, edits)
+        index = Index(items.value, q, edits)
         for batch in batches:
             if not len(index.ids):
                 continue

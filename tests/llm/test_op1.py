@@ -1,6 +1,7 @@
 """Line dedup: patience diff against its definition, and whole results against a plain version."""
 
 import random
+import time
 
 from siltstone.llm import op1_line_alignment as op
 from siltstone.llm.common import texts
@@ -24,43 +25,78 @@ def test_patience_keeps_unique_lines_in_order():
 
 
 def plain(rows, evidence, rare, several, block):
-    """The same rule by loops over documents of distinct ids."""
+    """The rule by loops over all pairs of documents of distinct ids."""
     order = sorted(r for r in rows if r[0] is not None)
     lines = {i: (t or "").split("\n") if t else [] for i, t in order}
+    size = lambda x: len(x.encode())
     first_text, copies = {}, set()
     for i, t in order:
         if first_text.setdefault(t or "", i) != i:
             copies.add(i)
-    have = {}
+
+    def runs(x):
+        """Shortest runs of a block's bytes from each line on and up to each line."""
+        out = set()
+        for k in range(len(x)):
+            for some in ([x[k:e] for e in range(k + 1, len(x) + 1)], [x[b : k + 1] for b in range(k, -1, -1)]):
+                out.update([next((tuple(r) for r in some if sum(map(size, r)) >= block), ())])
+        return out - {()}
+
+    holders, run_first = {}, {}
     for i in lines:
         if i not in copies:
-            for line in {x for x in lines[i] if len(x.encode()) >= evidence}:
-                have.setdefault(line, []).append(i)
-    met = {}
-    for found in have.values():
-        for i in found[1:]:
-            met.setdefault((found[0], i), []).append(len(found))
+            for line in {x for x in lines[i] if size(x) >= evidence}:
+                holders.setdefault(line, []).append(i)
+            for r in runs(lines[i]):
+                run_first.setdefault(r, i)
     gone = {i: set() for i in lines}
-    for (a, b), n in met.items():
-        if min(n) <= rare or len(n) >= several:
-            for _, j, k in op.patience(lines[a], lines[b]):
-                if sum(len(x.encode()) for x in lines[b][j : j + k]) >= block:
-                    gone[b].update(range(j, j + k))
+    for b in lines:
+        for a in lines:
+            if a >= b or a in copies or b in copies:
+                continue
+            both = {x for x in {*lines[a]} & {*lines[b]} if size(x) >= evidence}
+            star = [x for x in both if len(holders[x]) > rare and holders[x][0] == a]
+            partner = any(len(holders[x]) <= rare for x in both) or len(star) >= several or sum(map(size, star)) >= block
+            if partner or any(run_first[r] == a for r in runs(lines[b])):
+                for _, j, k in op.patience(lines[a], lines[b]):
+                    if sum(map(size, lines[b][j : j + k])) >= block:
+                        gone[b].update(range(j, j + k))
     out = {}
     for i in lines:
-        kept = [] if i in copies else [x for k, x in enumerate(lines[i]) if k not in gone[i]]
+        whole = i in copies and sum(map(size, lines[i])) >= block
+        kept = [] if whole else [x for k, x in enumerate(lines[i]) if k not in gone[i]]
         out[i] = (len(lines[i]), len(lines[i]) - len(kept), "\n".join(kept))
     return out
 
 
-def test_against_plain(spark):
+def test_against_all_pairs(spark):
     rng = random.Random(7)
-    pool = ["line number %d of the shared pool é" % k for k in range(40)]
+    pool = ["line number %d of the shared pool é" % k for k in range(40)] + ["short", "", "a few words"]
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 9)))) for i in range(80)]
-    rows += [(90, rows[3][1]), (91, "\n".join(pool[:6])), (92, "\n".join(["new"] + pool[1:5] + ["", "x"])), (93, None), (94, "short\nshort"), (95, "short\nshort!")]
+    rows += [(90, rows[3][1]), (91, "\n".join(pool[:6])), (92, "\n".join(["new"] + pool[1:5] + ["", "x"])), (93, None), (94, "short\nshort"), (95, "short\nshort!"), (96, "short\nshort")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept"]) for r in op.aligned_line_dedup(texts(df), rare=3, several=2, block=60).collect()}
-    assert got == plain(rows, op.EVIDENCE, 3, 2, 60)
+    for rare, several in ((3, 2), (20, 3), (1, 1)):
+        got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept"]) for r in op.aligned_line_dedup(texts(df), rare=rare, several=several).collect()}
+        assert got == plain(rows, op.EVIDENCE, rare, several, op.BLOCK)
+
+
+def test_later_holders_of_rare_lines_are_partners(spark):
+    """Six lines that six documents have one each of, and two later ones have all of."""
+    pool = [f"shared line {k} of some forty bytes in all it is" for k in range(6)]
+    rows = [(k + 1, f"own {k}\n{line}\nown too {k}") for k, line in enumerate(pool)] + [(10, "\n".join(pool)), (11, "\n".join(["x", *pool, "y"]))]
+    got = {r["doc_id"]: r["n_removed"] for r in op.aligned_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[11] == 6 and got[10] == 0
+
+
+def test_long_documents_align_in_linear_time(spark):
+    a, b = [x for k in range(20_000) for x in (k, -1)], [x for k in range(20_000) for x in (k, -2)]
+    began = time.perf_counter()
+    assert len(op.patience(a, b)) == 20_000
+    assert time.perf_counter() - began < 5
+    text = "\n".join(f"line {k} of a very long document" for k in range(30_000))
+    rows = [(1, text), (2, "first\n" + text + "\nlast")]
+    got = {r["doc_id"]: r["kept"] for r in op.aligned_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: text, 2: "first\nlast"}
 
 
 def test_odd_rows(odd, none):
@@ -68,14 +104,16 @@ def test_odd_rows(odd, none):
     assert len(got) == odd.count()
     kept = {(r["doc_id"], r["kept"]) for r in got}
     assert (None, "one two three four five six seven eight nine ten") in kept  # no id: whole
-    assert (4, "") in kept and (2, "") in kept  # copies lose all, null is empty
+    assert (4, "one two three four five six seven eight nine ten") in kept and (2, "") in kept  # a copy shorter than a block stays, null is empty
+    long_copies = odd.where("doc_id IN (1, 4)").selectExpr("doc_id", "repeat(text, 3) AS text")
+    assert {(r["doc_id"], r["kept"] == "") for r in op.aligned_line_dedup(long_copies).collect()} == {(1, False), (4, True)}
     assert sum(r["doc_id"] == 1 and r["n_removed"] == 0 for r in got) == 2  # rows of one id don't delete from each other
     assert op.aligned_line_dedup(none).count() == 0
 
 
 def test_a_hot_long_line_goes_from_all_later_documents(spark):
     hot = "one long line that many more documents than a rare line's have, and nothing else in common"
-    rows = [(i, f"own line {i} of a document\n{hot}\nanother own line {i}") for i in range(3 * op.RARE)]
+    rows = [(i, f"own line {i} of a document\n{hot}\nanother own line {i}") for i in range(200)]
     got = {r["doc_id"]: r["n_removed"] for r in op.aligned_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: int(i > 0) for i, _ in rows}
 

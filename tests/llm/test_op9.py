@@ -86,3 +86,12 @@ def test_repetitive_texts(spark):
     docs = spark.createDataFrame([(1, "a" * 50000), (2, "ab" * 20000)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a" * 300), (2, "ba" * 100)], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in op.find_items(docs, items).collect()} == {(1, 1), (2, 2)}
+
+
+def test_clashing_columns_and_long_texts(spark):
+    rng = random.Random(5)
+    long_ = " ".join(f"w{rng.randrange(10**5)}" for _ in range(60_000))
+    item = "an item of the benchmark that stands in a very long text"
+    docs = spark.createDataFrame([(1, f"{long_} {item} {long_}", 7, 1), (2, long_, 8, 2)], "doc_id long, text string, item_id long, begin long")
+    items = spark.createDataFrame([(5, item, 1, "x")], "item_id long, text string, doc_id long, edits string")
+    assert [(r["doc_id"], r["item_id"], r["edits"]) for r in op.find_items(docs, items).collect()] == [(1, 5, 0)]
