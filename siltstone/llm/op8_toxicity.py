@@ -242,7 +242,7 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = (),
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([x for _, x in found], pa.int32())], names=["phrase", "label"])
 
     harmless = sample.mapInArrow(phrases, "phrase string, label int").groupBy("phrase").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    odds = F.log((F.col("neg") + 0.5) / (neg + 1)) - F.log((F.col("pos") + 0.5) / (pos + 1))
+    odds = F.log((F.col("neg") + 0.5) / (F.col("pos") + 0.5))  # by documents as they are: most hits stand in toxic ones
     harmless = harmless.where((F.col("neg") >= LEAST_SUPPORT) & (odds >= LEAST_EXCUSE)).orderBy("phrase")
     learned = [r["phrase"] for r in harmless.collect()]  # bounded by the sample
     model = Model(bare.entries, tuple(sorted({*learned, *exceptions})), bare.coef)

@@ -52,7 +52,7 @@ def test_learned_exceptions(spark):
         kind = rng.random()
         if kind < 0.3:
             words[rng.randrange(38)] = rng.choice(["trash", "scumbag", "vermin"])
-        elif kind < 0.308:
+        elif i % 240 == 1:
             words[5:7] = ["trash", "can"]
         rows.append((i, " ".join(words)))
         labels.append((i, int(kind < 0.3)))
