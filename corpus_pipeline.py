@@ -35,9 +35,13 @@ def _columns(docs: DataFrame) -> list:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without line blocks of earlier ones; those of which nothing is left go."""
+    """Documents without line blocks of earlier ones; those of which nothing is left go.
+
+    Edited copies stay whole: the next stage judges them by their whole texts, and
+    would not know them by the changed lines alone.
+    """
     key, kept = _own_name(docs, "_text_sha256"), _own_name(docs, "_kept")
-    found = op1_line_alignment.aligned_line_dedup(docs).where("n_removed > 0 AND doc_id IS NOT NULL")
+    found = op1_line_alignment.aligned_line_dedup(docs).where("n_removed > 0 AND NOT edited_copy AND doc_id IS NOT NULL")
     # Rows of one doc_id are told apart by their texts; equal ones are alike here.
     found = found.select("doc_id", F.col("text_sha256").alias(key), F.col("kept").alias(kept)).dropDuplicates(["doc_id", key])
     found = Stage(spark, "line-dedup").write(found, "changed")

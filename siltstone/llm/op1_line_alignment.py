@@ -15,6 +15,10 @@ no line is unique in both, the longest common run is taken.  Aligned common
 blocks that are long enough are deleted from the later document.  All alignments
 are made on the input, not on what is left.
 
+A document is an edited copy if it has as many lines as an earlier one between any two
+aligned blocks, and a quarter of its bytes aligned: only lines within changed.  Its lines
+are deleted like others, and `edited_copy` tells callers who judge whole documents.
+
 Cases: a null or empty text has no lines and stays; exact copies of a smaller id
 are one aligned block, so they lose all lines if a block long; rows with a null doc_id stay whole and are no partners; rows
 of one doc_id don't delete from each other; an empty table gives no rows; other
@@ -212,32 +216,38 @@ def _runs(least: int):
     return run
 
 
+def _edited(blocks: list[tuple[int, int, int]], sizes: list[int], other: int) -> bool:
+    """Whether the blocks show an edited copy: a quarter of the bytes aligned, and as many lines between them on both sides."""
+    ends = [(0, 0, 0), *blocks, (other, len(sizes), 0)]
+    even = all(q[0] - p[0] == q[1] - p[1] for p, q in zip(ends, ends[1:]))
+    return even and 4 * sum(sum(sizes[j : j + n]) for _, j, n in blocks) >= sum(sizes)
+
+
 def _aligned(least: int):
-    """Line numbers of the later document in long enough common blocks."""
+    """Line numbers of the later document in long enough common blocks, and whether it is an edited copy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, key, lines, sizes, first in zip(*(c.to_pylist() for c in batch.columns)):
-                gone = [k for _, at, n in patience(first, lines) if sum(sizes[at : at + n]) >= least for k in range(at, at + n)]
+                blocks = patience(first, lines)
+                gone = [k for _, at, n in blocks if sum(sizes[at : at + n]) >= least for k in range(at, at + n)]
                 if gone:
-                    rows.append((doc, key, gone))
+                    rows.append((doc, key, gone, _edited(blocks, sizes, len(first))))
             if rows:
-                docs, keys, gone = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(keys, pa.int32()), pa.array(gone, pa.list_(pa.int32()))], names=["doc_id", "text_key", "gone"]
-                )
+                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "text_key", "gone", "edited"])
 
     return run
 
 
-_RESULT = "doc_id long, text_sha256 string, n_lines long, n_removed long, kept string, kept_sha256 string"
+_RESULT = "doc_id long, text_sha256 string, n_lines long, n_removed long, kept string, kept_sha256 string, edited_copy boolean"
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, text, copy, gone in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc, text, copy, gone, edited in zip(*(c.to_pylist() for c in batch.columns)):
             lines = text.split("\n") if text else []
             if copy:
                 n, kept = len(lines), ""
@@ -247,14 +257,14 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 n, kept = 0, text
             before, after = (hashlib.sha256(x.encode()).hexdigest() for x in (text, kept))
-            rows.append((doc, before, len(lines), n, kept, after))
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        columns = zip(*rows) if rows else [()] * 6
+            rows.append((doc, before, len(lines), n, kept, after, bool(edited)))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
+        columns = zip(*rows) if rows else [()] * 7
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[c.split()[0] for c in _RESULT.split(", ")])
 
 
 def aligned_line_dedup(docs: DataFrame, evidence: int = EVIDENCE, rare: int = RARE, several: int = SEVERAL, block: int = BLOCK) -> DataFrame:
-    """(doc_id, text_sha256, n_lines, n_removed, kept, kept_sha256) for each row of docs (doc_id, text)."""
+    """(doc_id, text_sha256, n_lines, n_removed, kept, kept_sha256, edited_copy) for each row of docs (doc_id, text)."""
     docs, stage = texts(docs), Stage(docs.sparkSession, "lines")
     key = F.hash("text").alias("text_key")
     known = docs.where("doc_id IS NOT NULL")
@@ -288,13 +298,14 @@ def aligned_line_dedup(docs: DataFrame, evidence: int = EVIDENCE, rare: int = RA
     pairs = stage.write(pairs, "pairs")
     later = pairs.hint("merge").join(arrays, ["doc_id", "text_key"])
     both = later.hint("merge").join(arrays.select(F.col("doc_id").alias("first"), F.col("lines").alias("first_lines")), "first")
-    gone = both.select("doc_id", "text_key", "lines", "sizes", "first_lines").mapInArrow(_aligned(block), "doc_id long, text_key int, gone array<int>")
-    gone = stage.write(gone.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")), "gone")
+    gone = both.select("doc_id", "text_key", "lines", "sizes", "first_lines").mapInArrow(_aligned(block), "doc_id long, text_key int, gone array<int>, edited boolean")
+    gone = gone.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"), F.max("edited").alias("edited"))
+    gone = stage.write(gone, "gone")
 
     stage.drop("groups", "shown", "known", "shown-runs", "known-runs", "pairs")
-    marks = gone.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "text_key", F.array().cast("array<int>").alias("gone"), F.lit(True).alias("copy")))
+    marks = gone.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "text_key", F.array().cast("array<int>").alias("gone"), F.lit(False).alias("edited"), F.lit(True).alias("copy")))
     out = docs.select("doc_id", key, "text").join(marks.hint("shuffle_hash"), ["doc_id", "text_key"], "left")
-    return out.select("doc_id", "text", (F.col("copy") & (own_bytes >= block)).alias("copy"), "gone").mapInArrow(_without, _RESULT)
+    return out.select("doc_id", "text", (F.col("copy") & (own_bytes >= block)).alias("copy"), "gone", "edited").mapInArrow(_without, _RESULT)
 
 
 def op1_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,3 +148,10 @@ def test_every_block_of_one_earlier_document_goes(spark):
         cut = text.split("\n")[1:-1]
         if i >= 100 and len("".join(cut)) >= op.BLOCK:
             assert got[i] == (4, f"before {i - 100}\nafter {i - 100}")
+
+
+def test_edited_copies(spark):
+    lines = [f"line {k} of a document with a number of words in it" for k in range(8)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join([*lines[:3], "changed", *lines[4:]])), (3, "\n".join(["new", *lines[:3]])), (4, "\n".join([*lines[:2], *["other words in this line and " * 5] * 6]))]
+    got = {r["doc_id"]: r["edited_copy"] for r in op.aligned_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False}

@@ -19,6 +19,8 @@ def corpus(tmp_path, spark):
     near = rows[5][1].replace("\n", " ").split(" ")
     near[3] = "changed"
     planted = {900: rows[1][1], 901: text(2) + "\n" + item + "\n" + text(1), 902: " ".join(near), 903: None, 904: "", 905: text(2) + "\n" + "\n".join(rows[7][1].split("\n")[1:3])}
+    edited = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(20)]
+    planted |= {906: "\n".join(edited), 907: "\n".join([*edited[:9], edited[9].replace(" ", " edited ", 1), *edited[10:]])}
     rows += list(planted.items())
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
@@ -40,7 +42,7 @@ def test_stages(spark, tmp_path):
         ids.append({r[0] for r in docs.select("doc_id").collect()})
     assert ids[0] - ids[1] == set(range(300, 400))
     assert ids[1] - ids[2] == {900}
-    assert ids[2] - ids[3] == {902}
+    assert ids[2] - ids[3] == {902, 907}
     assert ids[3] - ids[4] == {901}
     assert ids[4] == ids[5]
     cut = spark.read.parquet(str(tmp_path / "out-1")).where(F.col("doc_id") == 905).first()
@@ -72,4 +74,4 @@ def test_run(spark, tmp_path):
     corpus(tmp_path, spark)
     found = corpus_pipeline.run(spark, str(tmp_path))
     assert found.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
-    assert found.select("doc_id").distinct().count() == 303
+    assert found.select("doc_id").distinct().count() == 304
