@@ -19,8 +19,12 @@ leader join one.
 Cases: null, empty or zero vectors, and vectors with null, NaN or infinite parts,
 link with nothing; vectors of different lengths link with nothing of another
 length; equal vectors are one for the search and linked with each other; rows of one vec_id are
-one node; rows with a null vec_id link with nothing and are kept; an empty table
-gives no rows; other columns do not matter.
+one node of the graph, each with its own vector, and n_links is the most that one of the
+vectors has; rows with a null vec_id link with nothing and are kept; an empty table gives no
+rows; other columns do not matter.
+
+A distinct vector has a number of its own for the search, so that several vectors of one
+vec_id stay apart; links are between vec_ids again at the end.
 """
 
 from __future__ import annotations
@@ -58,7 +62,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _hashed(times: int, seed: int):
-    """A row for each vector and pass, with its key in that order."""
+    """A row for each vector and pass, with its key in that order; vectors keep their own precision on the way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,9 +171,8 @@ def _linked_cells(threshold: float):
 
 def _ordered(vectors: DataFrame, times: int, seed: int) -> DataFrame:
     """All passes' orders, cut into partitions by ranges of (pass, key): a crowd of near keys spreads over several."""
-    keyed = vectors.select("vec_id", "cell", "embedding").mapInArrow(
-        _hashed(times, seed), "pass int, size int, key long, vec_id long, cell long, embedding array<double>"
-    )
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    keyed = vectors.select("vec_id", "cell", "embedding").mapInArrow(_hashed(times, seed), f"pass int, size int, key long, vec_id long, cell long, embedding {kind}")
     order = ["pass", "size", "key", "vec_id"]
     return keyed.repartitionByRange(partitions(vectors.sparkSession), *order).sortWithinPartitions(*order)
 
@@ -220,14 +223,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, seed: int = 90) ->
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     stage = Stage(spark, "projections")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    floats = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "array<float>" if floats else "array<double>"  # floats are compared in double precision, but travel as they are
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     good = rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(finite)
-    # Rows of one id and several vectors: each vector is searched, under the id.
-    unique = good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
-    unique = stage.write(unique.select("vec_id", "n", "embedding"), "unique")
-    several = stage.write(unique.where("n > 1").select(F.col("vec_id").alias("first"), "n", "embedding"), "several")
-    copies = stage.write(good.join(several, "embedding").where("vec_id != first").select("vec_id", "first", "n"), "copies")
+    unique = good.groupBy("embedding").agg(F.min("vec_id").alias("first"), F.max("vec_id").alias("last"), F.count("*").alias("n"))
+    unique = stage.write(unique.withColumn("number", F.monotonically_increasing_id()), "unique")
+    several = stage.write(unique.where("n > 1").select("first", "number", "embedding"), "several")
+    copies = stage.write(good.join(several, "embedding").where("vec_id != first").select("vec_id", "first", "number").distinct(), "copies")
+    named = stage.write(unique.select(F.col("number"), F.col("first")), "named")
+    unique = unique.select(F.col("number").alias("vec_id"), "n", "embedding")
 
     n = unique.count()
     times = passes(n, threshold)
@@ -270,11 +276,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, seed: int = 90) ->
     counted = stage.write(counted.groupBy("vec_id").agg(F.max("n_links").alias("n_links")), "counted")
 
     edges = grouped.select(F.col("cell").alias("a"), F.col("vec_id").alias("b")).unionByName(pairs)
-    edges = edges.unionByName(sizes.where("group != cell").select(F.col("group").alias("a"), F.col("cell").alias("b")))
-    edges = edges.unionByName(copies.select(F.col("first").alias("a"), F.col("vec_id").alias("b")))
-    final = components(edges, stage, "links")
-    own = counted.unionByName(copies.join(counted, copies["first"] == counted["vec_id"]).select(copies["vec_id"], "n_links"))
-    own = own.groupBy("vec_id").agg(F.max("n_links").alias("n_links"))
+    edges = edges.unionByName(sizes.where("group != cell").select(F.col("group").alias("a"), F.col("cell").alias("b"))).where("a != b")
+    name = lambda end: named.select(F.col("number").alias(end), F.col("first").alias(f"{end}_id"))
+    edges = edges.join(name("a"), "a").join(name("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    final = components(edges.unionByName(copies.select(F.col("first").alias("a"), F.col("vec_id").alias("b"))), stage, "links")
+    counted = counted.withColumnRenamed("vec_id", "number")
+    holders = named.select(F.col("first").alias("vec_id"), "number").unionByName(copies.select("vec_id", "number"))
+    own = holders.join(counted, "number").groupBy("vec_id").agg(F.max("n_links").alias("n_links"))
     out = rows.select("vec_id").join(own, "vec_id", "left").join(final, F.col("vec_id") == F.col("node"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select(

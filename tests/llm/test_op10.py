@@ -49,6 +49,16 @@ def test_odd_rows(spark):
     assert op.near_vectors(df.where("false")).count() == 0
 
 
+def test_several_vectors_of_one_id(spark):
+    """Vectors of one id stay apart: a far one inherits no link, and joins the id's components."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (5, [0.99, 0.01, 0.0]), (6, [0.0, 0.0, 2.0])]
+    df = spark.createDataFrame([(*r, 0, 0, 0, 0) for r in rows], "vec_id long, embedding array<float>, cell int, key int, size int, first int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in op.near_vectors(df).collect())
+    # Equal directions are linked; the two equal rows of 4 are links of each other.
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False), (3, 1, 1, False), (4, 2, 4, True), (4, 2, 4, True), (5, 2, 1, False), (6, 2, 4, False)]
+
+
 def test_passes_grow_with_the_input():
     assert op.passes(10**9, 0.9) > op.passes(10**6, 0.9) > op.passes(100, 0.9) >= op.LEAST_PASSES
 
