@@ -5,8 +5,9 @@ values, then the next four, and four more.  Neighbours in the order have long
 common prefixes; a run of documents with one prefix is a region.  Regions begin at
 the first depth, four values.  The documents of a small region are candidates of each other.
 Where a region is crowded, each document is a candidate of the least id of its run
-at every depth.  If the confirmed links leave a crowded region in several components, its
-documents go deeper: a forest of their own, of more trees, whose regions begin at eight
+at every depth.  If the confirmed links leave a few documents of a crowded region outside
+its largest component, these are candidates of all documents of the region.  If they
+leave many, the region's documents go deeper: a forest of their own, of more trees, whose regions begin at eight
 values and then at twelve, so that each depth finds a linked pair as surely as the first.
 Where even twelve common values leave a crowd in several components, its documents outside the
 largest are compared with all others of the region, in bounded units.
@@ -41,8 +42,8 @@ from .tokens import slices
 VALUES = 128
 #: Values of one step of a prefix; trees of the forest whose regions begin at one, two and three steps.
 STEP, TREES = 4, (32, 128, 512)
-#: Documents from which a region is crowded.
-CROWD = 8
+#: Documents from which a region is crowded, and those outside its largest component that are few.
+CROWD, FEW = 8, 32
 
 #: Documents of a block, and of a chunk, of the second round.
 UNIT = 512
@@ -323,6 +324,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     forest = firsts.select("doc_id", "signature").mapInArrow(_forest, _FOREST)
     links = copies.select(F.col("class_id").alias("a"), F.col("doc_id").alias("b"))
     sets = None
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
+        left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
+        both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
+        return both.mapInArrow(_confirm(percent), "a long, b long")
+
     for depth, trees in enumerate(TREES, 1):
         if depth > 1:
             deeper = sets.join(crowds.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -334,16 +342,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
             sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary")
             sets = stage.write(sets.where(F.length("shingles") > 0), "sets", "uncompressed")
-        right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
-        left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-        links = links.unionByName(stage.write(both.mapInArrow(_confirm(percent), "a long, b long"), f"links-{depth}"))
+        links = links.unionByName(stage.write(confirmed(pairs), f"links-{depth}"))
         final = components(links, stage, f"round-{depth}")
         known = crowded.distinct().join(final, F.col("doc_id") == F.col("node"), "left")
         known = stage.write(known.select("region", "doc_id", F.coalesce("component", "doc_id").alias("component")), f"crowded-{depth}")
-        apart = known.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-        crowds = stage.write(known.join(apart.select("region"), "region"), f"crowds-{depth}")
-        stage.drop(f"neighbours-{depth}", f"pairs-{depth}", f"crowded-{depth}")
+        sizes = known.groupBy("region", "component").agg(F.count("*").alias("n")).groupBy("region")
+        sizes = sizes.agg((F.sum("n") - F.max("n")).alias("outside"), F.max_by("component", F.struct("n", "component")).alias("main"))
+        sizes = stage.write(sizes.where("outside > 0"), f"apart-{depth}")
+        outside = known.join(sizes.where(F.col("outside") <= FEW), "region").where("component != main")
+        outside = outside.groupBy("region").agg(F.collect_list("doc_id").alias("others"))
+        met = known.join(outside, "region").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+        met = met.select("doc_id", F.explode("others").alias("other")).where("doc_id != other")
+        met = met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+        more = stage.write(confirmed(met), f"more-{depth}")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            final = components(links, stage, f"joined-{depth}")
+        crowds = known.join(sizes.where(F.col("outside") > FEW).select("region"), "region").select("region", "doc_id")
+        crowds = crowds.join(final, F.col("doc_id") == F.col("node"), "left").select("region", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        crowds = stage.write(crowds, f"crowds-{depth}")
+        stage.drop(f"neighbours-{depth}", f"pairs-{depth}", f"crowded-{depth}", f"apart-{depth}")
         if crowds.isEmpty():
             break
     else:
