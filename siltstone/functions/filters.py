@@ -89,6 +89,6 @@ def triage(score: Column) -> Column:
 def public_url(url: Column) -> Column:
     """http(s), no credentials, and no private, local or numeric host."""
     value = F.lower(F.trim(F.coalesce(url, F.lit(""))))
-    host = F.regexp_extract(value, r"^https?://([^/?#:]+)", 1)
+    host = F.regexp_replace(F.regexp_extract(value, r"^https?://([^/?#:]+)", 1), r"\.+$", "")
     private = host.rlike(r"^(localhost|.*\.local|.*\.internal|0x[0-9a-fx.]+|[0-9.]+|\[.*)$")
     return value.rlike(r"^https?://") & (host != "") & ~F.contains(F.regexp_extract(value, r"^https?://([^/?#]*)", 1), F.lit("@")) & ~private & F.contains(host, F.lit("."))

@@ -1,4 +1,4 @@
-"""Near-duplicate joins: 64-bit SimHash, banded Hamming joins, token-set similarity."""
+"""Near-duplicate joins: 64-bit SimHash, Hamming joins over blocks, token-set similarity."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ from ..functions.text import jaccard, normalized_description, token_set
 
 #: Least characters of a normalised text, and words of a shingle.
 LEAST_CHARS, SHINGLE = 200, 3
-#: Bits of each band: six bands find every pair of at most five differing bits.
-BANDS = (11, 11, 11, 11, 10, 10)
+#: Bits of each block: of seven blocks, two at least are equal where at most five bits differ.
+BLOCKS = (10, 9, 9, 9, 9, 9, 9)
 
 
 def simhash64(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -21,8 +21,8 @@ def simhash64(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     base = docs.select(F.col(id_col).alias("id"), normalized_description(F.col(text_col)).alias("text"))
     base = base.where(F.length("text") >= LEAST_CHARS).select("id", F.split("text", " ").alias("words")).where(F.size("words") >= SHINGLE)
-    at = F.explode(F.sequence(F.lit(1), F.size("words") - SHINGLE + 1))
-    shingles = base.select("id", "words", at.alias("at")).select("id", F.array_join(F.slice("words", F.col("at"), SHINGLE), " ").alias("shingle"))
+    ends = [F.slice("words", k + 1, F.size("words") - SHINGLE + 1) for k in range(SHINGLE)]
+    shingles = base.select("id", F.explode(F.zip_with(F.zip_with(ends[0], ends[1], lambda a, b: F.concat_ws(" ", a, b)), ends[2], lambda a, b: F.concat_ws(" ", a, b))).alias("shingle"))
     hashed = shingles.select("id", F.conv(F.substring(F.sha1("shingle"), 1, 16), 16, -10).cast("long").alias("h"))
     sums = hashed.groupBy("id").agg(*[F.sum(2 * F.getbit("h", F.lit(b)).cast("int") - 1).alias(f"b{b}") for b in range(64)])
     value = F.lit(0).cast("long")
@@ -31,46 +31,58 @@ def simhash64(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return sums.select("id", value.alias("fingerprint"))
 
 
-def bands(fingerprint: Column) -> Column:
-    """Band number and value, for an equi-join that misses no pair within five bits."""
-    out, low = [], 0
-    for i, width in enumerate(BANDS):
-        value = F.shiftrightunsigned(fingerprint, low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        out.append(F.struct(F.lit(i).alias("band"), value.alias("value")))
+def block_keys(fingerprint: Column) -> Column:
+    """Each two blocks' numbers and values, for an equi-join that misses no pair within five bits: keys of 18 bits or more."""
+    values, low = [], 0
+    for width in BLOCKS:
+        values.append(F.shiftrightunsigned(fingerprint, low).bitwiseAND(F.lit((1 << width) - 1).cast("long")))
         low += width
-    return F.array(*out)
+    return F.array(*[F.lit((7 * i + j) << 20).cast("long") + F.shiftleft(values[i], 10) + values[j] for i in range(7) for j in range(i + 1, 7)])
 
 
-def hamming_join(left: DataFrame, right: DataFrame, most: int = 5) -> DataFrame:
-    """Pairs (left_id, right_id, distance) of fingerprints (id, fingerprint) that differ in at most `most` (up to 5) bits.
-
-    Equal fingerprints are joined once and spread over their ids afterwards, so
-    a crowd of equal texts does not meet band by band.
-    """
-    if not 0 <= most < len(BANDS):
-        raise ValueError("the bands serve distances of at most 5")
-    side = lambda df, name: df.select(F.col("fingerprint").alias(name)).distinct().select(name, F.explode(bands(F.col(name))).alias("key"))
-    near = side(left, "x").join(side(right, "y"), "key").select("x", "y").distinct()
-    near = near.withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y")))).where(F.col("distance") <= most)
-    out = near.join(left.select(F.col("id").alias("left_id"), F.col("fingerprint").alias("x")), "x")
-    return out.join(right.select(F.col("id").alias("right_id"), F.col("fingerprint").alias("y")), "y").select("left_id", "right_id", "distance")
+def most_distance(threshold: float) -> int:
+    """The largest Hamming distance of 64 bits whose similarity meets a threshold: 5 for 0.92."""
+    return max((d for d in range(65) if 1 - d / 64 >= threshold), default=-1)
 
 
-def jaccard_join(left: DataFrame, right: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (left_id, right_id, similarity) whose token sets meet a threshold above 0, by prefix filtering.
+def hamming_join(left: DataFrame, right: DataFrame, most: int = 5, different: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (left_id, right_id, distance, similarity) of fingerprints (id, fingerprint) that differ in at most `most` (up to 5) bits.
 
-    Sets that meet it share one of their rarest tokens, so only those are joined.
+    Rows also have to differ in each column of `different` (a company, a URL).
+    Equal fingerprints are joined once and spread over their ids afterwards, so
+    a crowd of equal texts does not meet key by key.
+    """
+    if not 0 <= most <= len(BLOCKS) - 2:
+        raise ValueError("the blocks serve distances of at most 5")
+    side = lambda df, name: df.select(F.col("fingerprint").alias(name)).distinct().select(name, F.explode(block_keys(F.col(name))).alias("key"))
+    near = side(left, "x").join(side(right, "y"), "key").select("x", "y").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most).distinct()
+    near = near.withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))))
+    named = lambda df, name, key: df.select(F.col("id").alias(f"{name}_id"), F.col("fingerprint").alias(key), *[F.col(c).alias(f"{name}_{c}") for c in different])
+    out = near.join(named(left, "left", "x"), "x").join(named(right, "right", "y"), "y")
+    for c in different:
+        out = out.where(~F.col(f"left_{c}").eqNullSafe(F.col(f"right_{c}")))
+    return out.select("left_id", "right_id", "distance", (1 - F.col("distance") / 64).alias("similarity"))
+
+
+def jaccard_classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (left_id, right_id, similarity, left_copies, right_copies) of token sets that meet a threshold above 0.
+
+    Documents with equal sets are one class, named by its least id, and only classes
+    are paired (left_id < right_id); documents without tokens are in none.  Sets
+    that meet the threshold share one of their rarest tokens and have sizes within its factor,
+    so only such are joined, over 64-bit hashes of the tokens; the tokens
+    are taken once and kept.
     """
-    side = lambda df, name: df.select(F.col(id_col).alias(name), token_set(F.col(text_col)).alias(f"{name}_tokens")).where(F.size(f"{name}_tokens") > 0)
-    a, b = side(left, "left_id"), side(right, "right_id")
-    rows = lambda df, name: df.select(name, F.size(f"{name}_tokens").alias("n"), F.explode(f"{name}_tokens").alias("token"))
-    often = rows(a, "left_id").select("token").unionByName(rows(b, "right_id").select("token")).groupBy("token").agg(F.count("*").alias("df"))
-
-    def prefix(df: DataFrame, name: str) -> DataFrame:
-        ranked = rows(df, name).join(often, "token").groupBy(name, "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
-        size = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
-        return ranked.select(name, F.explode(F.slice("order", 1, F.least(size, F.size("order")))["token"]).alias("token"))
-
-    pairs = prefix(a, "left_id").join(prefix(b, "right_id"), "token").select("left_id", "right_id").distinct()
-    scored = pairs.join(a, "left_id").join(b, "right_id").withColumn("similarity", jaccard(F.col("left_id_tokens"), F.col("right_id_tokens")))
-    return scored.where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
+    tokens = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.transform(token_set(F.col(text_col)), lambda w: F.xxhash64(w)))).alias("tokens"))
+    sets = tokens.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("id").alias("id"), F.count("*").alias("copies")).persist()
+    rows = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    often = rows.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = rows.join(often, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
+    size = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
+    prefix = ranked.select("id", "n", F.explode(F.slice("order", 1, F.least(size, F.size("order")))["token"]).alias("token"))
+    side = lambda name: prefix.select(F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"), "token")
+    fits = (F.col("left_id") < F.col("right_id")) & (F.least("left_n", "right_n") >= F.greatest("left_n", "right_n") * threshold)
+    pairs = side("left").join(side("right"), "token").where(fits).select("left_id", "right_id").distinct()
+    whole = lambda name: sets.select(F.col("id").alias(f"{name}_id"), F.col("tokens").alias(f"{name}_tokens"), F.col("copies").alias(f"{name}_copies"))
+    scored = pairs.join(whole("left"), "left_id").join(whole("right"), "right_id").withColumn("similarity", jaccard(F.col("left_tokens"), F.col("right_tokens")))
+    return scored.where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity", "left_copies", "right_copies")

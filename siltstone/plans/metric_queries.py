@@ -30,7 +30,7 @@ CANON = f"""
 alias(name, stage) AS (VALUES {_ALIASES}),
 keyed AS (SELECT *, lower(trim(replace(coalesce(status, ''), '**', ''))) AS key FROM tracker),
 canon AS (SELECT keyed.* EXCLUDE (key), CASE WHEN key IN ('', '—', '-') THEN 'DISCARDED' ELSE coalesce(stage, upper(key)) END AS stage
-  FROM keyed LEFT JOIN alias ON alias.name = replace(key, ' ', '_'))
+  FROM keyed LEFT JOIN alias ON alias.name = key)
 """
 T = f"WITH {t.TRACKER_SQL}"
 TC = f"WITH {t.TRACKER_SQL}, {CANON}"
@@ -87,10 +87,7 @@ def _rules(rules: list[tuple[str, str]], value: str, otherwise: str) -> str:
     return f"CASE {cases} ELSE '{otherwise}' END"
 
 
-_SENIORITY = [
-    (r"\b(chief|vp|vice president|director|head of)\b", "Executive"), (r"\b(staff|principal)\b", "Staff / Principal"), (r"\b(lead|manager|management)\b", "Lead / Manager"),
-    (r"\b(senior|sr|expert)\b", "Senior"), (r"\b(junior|jr|graduate|grad|intern|internship|trainee|entry|campus|protege|protégé)\b", "Junior / Entry"),
-]
+_SENIORITY = [(rf"\b({words})\b", label) for label, words in text.SENIORITY.items()]
 
 
 @query(_breakdown(_rules(_SENIORITY, "lower(role)", "Mid-Level")))
@@ -153,24 +150,48 @@ def ledger_latest(spark, sf_dir):
     return found.select("num", F.col("latest").cast("string").alias("latest"))
 
 
-@query()
+# The whole fold: entry after entry, with the surviving observations as a list.
+_ENTRY = "{'date': g.date, 'origin': CASE WHEN upper(g.origin) = upper(void) THEN '-' ELSE g.origin END, 'target': g.target}"
+_LAST = "(len(seen) - list_position(list_reverse(list_transform(seen, lambda x: x.target)), g.target) + 1)"
+_FOLDED = f"""{t.LOG_SQL}, good AS (SELECT *, row_number() OVER (PARTITION BY num ORDER BY seq) AS pos FROM log),
+walk(num, pos, seen, void) AS (
+  SELECT DISTINCT num, CAST(0 AS bigint), CAST([] AS STRUCT(date DATE, origin VARCHAR, target VARCHAR)[]), CAST(NULL AS varchar) FROM good
+  UNION ALL SELECT g.num, g.pos,
+    CASE WHEN g.target = '-' THEN seen[1 : len(seen) - 1]
+      WHEN g.source = 'correction' AND list_contains(list_transform(seen, lambda x: x.target), g.target)
+      THEN list_concat(list_append(seen[1 : {_LAST} - 1], {_ENTRY}), seen[{_LAST} + 1 : len(seen)])
+      ELSE list_append(seen, {_ENTRY}) END,
+    CASE WHEN g.target = '-' THEN CASE WHEN len(seen) > 0 THEN seen[len(seen)].target ELSE void END END
+  FROM walk w JOIN good g ON g.num = w.num AND g.pos = w.pos + 1),
+ends AS (SELECT num, max_by(seen, pos) AS seen FROM walk GROUP BY num),
+folded AS (SELECT num, position - 1 AS position, x.date AS date, x.origin AS origin, x.target AS target
+  FROM (SELECT num, unnest(seen) AS x, unnest(range(1, len(seen) + 1)) AS position FROM ends))"""
+_RANK = lambda c: f"coalesce(CASE upper({c}) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in text.STAGE_RANK.items()) + " END, 0)"
+_RECOVERED = f"""{t.TRACKER_SQL}, {CANON}, {_FOLDED}, past AS (SELECT num, max(greatest({_RANK("origin")}, {_RANK("target")})) AS past FROM folded GROUP BY num),
+recovered AS (SELECT n, max(greatest({_RANK("stage")}, coalesce(past, 0))) AS rank FROM canon LEFT JOIN past ON num = n WHERE stage <> 'SKIP' GROUP BY n)"""
+_EPISODES = f"""{_FOLDED}, starts AS (SELECT num, position, date AS applied, lead(position) OVER (PARTITION BY num ORDER BY position) AS next FROM folded WHERE upper(target) = 'APPLIED'),
+spans AS (SELECT o.outcome, s.num, s.position, applied, min(f.date) AS answered FROM (VALUES ('RESPONDED'), ('OFFER')) o(outcome) JOIN starts s ON true
+  LEFT JOIN folded f ON f.num = s.num AND upper(f.target) = o.outcome AND f.position > s.position AND (next IS NULL OR f.position < next) GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {_FOLDED} SELECT num, CAST(position AS int) AS position, CAST(date AS varchar) AS date, origin, target FROM folded")
 def ledger_fold(spark, sf_dir):
     return ledger.fold(t.status_log(spark, sf_dir)).withColumn("date", F.col("date").cast("string"))
 
 
-
-
-@query()
+@query(f"WITH RECURSIVE {_RECOVERED} SELECT n, CAST(rank AS int) AS rank FROM recovered")
 def stage_recovery(spark, sf_dir):
     return ledger.recovered_stages(t.tracker(spark, sf_dir), ledger.fold(t.status_log(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RECOVERED} SELECT count(*) FILTER (rank >= 1) AS applied, count(*) FILTER (rank >= 2) AS responded, count(*) FILTER (rank >= 4) AS interview,
+count(*) FILTER (rank >= 5) AS offer FROM recovered""")
 def stage_tiles(spark, sf_dir):
     return ledger.stage_tiles(ledger.recovered_stages(t.tracker(spark, sf_dir), ledger.fold(t.status_log(spark, sf_dir))))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EPISODES} SELECT outcome, median(date_diff('day', applied, answered)) AS median_days, count(answered) AS n, count(*) - count(answered) AS censored
+FROM spans GROUP BY outcome""")
 def ledger_velocity(spark, sf_dir):
     folded = ledger.fold(t.status_log(spark, sf_dir))
     return ledger.velocity(folded, "RESPONDED").withColumn("outcome", F.lit("RESPONDED")).unionByName(ledger.velocity(folded, "OFFER").withColumn("outcome", F.lit("OFFER")))

@@ -40,12 +40,14 @@ def simhash64(spark, sf_dir):
     return similarity.simhash64(_docs(spark, sf_dir), "doc_id", "text")
 
 
-@query(f"""WITH {_SIM} SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.fingerprint, b.fingerprint)) AS int) AS distance
-FROM prints a JOIN prints b ON a.id % 2 = 0 AND b.id % 2 = 1 AND bit_count(xor(a.fingerprint, b.fingerprint)) <= 5""")
+@query(f"""WITH {_SIM} , d AS (SELECT id, fingerprint, source FROM prints JOIN documents ON doc_id = id)
+SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.fingerprint, b.fingerprint)) AS int) AS distance, 1 - bit_count(xor(a.fingerprint, b.fingerprint)) / 64 AS similarity
+FROM d a JOIN d b ON a.id < b.id AND a.source IS DISTINCT FROM b.source AND bit_count(xor(a.fingerprint, b.fingerprint)) <= 5""")
 def crosslist_pairs(spark, sf_dir):
-    """Offers (even ids) against history (odd ids): two collections, all rows of each."""
-    prints = similarity.simhash64(_docs(spark, sf_dir), "doc_id", "text")
-    return similarity.hamming_join(prints.where("id % 2 = 0"), prints.where("id % 2 = 1"))
+    """Listings of different sources with nearly one text, over all documents."""
+    docs = _docs(spark, sf_dir)
+    prints = similarity.simhash64(docs, "doc_id", "text").join(docs.select(F.col("doc_id").alias("id"), "source"), "id").persist()
+    return similarity.hamming_join(prints, prints, similarity.most_distance(0.92), ("source",)).where("left_id < right_id")
 
 
 @query("""SELECT md5(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1""")
@@ -74,12 +76,14 @@ def term_lift(spark, sf_dir):
 
 
 @query(f"""WITH {_TOKENS}, size AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY doc_id),
-met AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS c FROM tok a JOIN tok b USING (token) WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 GROUP BY 1, 2)
-SELECT l AS left_id, r AS right_id, c / (x.n + y.n - c) AS similarity FROM met JOIN size x ON x.doc_id = l JOIN size y ON y.doc_id = r WHERE c / (x.n + y.n - c) >= 0.8""")
+class AS (SELECT min(doc_id) AS id, count(*) AS copies FROM (SELECT doc_id, list(token ORDER BY token) AS tokens FROM tok GROUP BY doc_id) GROUP BY tokens),
+own AS (SELECT doc_id, token FROM tok JOIN class ON id = doc_id),
+met AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS c FROM own a JOIN own b ON a.token = b.token AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT l AS left_id, r AS right_id, c / (x.n + y.n - c) AS similarity, p.copies AS left_copies, q.copies AS right_copies FROM met JOIN size x ON x.doc_id = l JOIN size y ON y.doc_id = r
+JOIN class p ON p.id = l JOIN class q ON q.id = r WHERE c / (x.n + y.n - c) >= 0.8""")
 def jaccard_pairs(spark, sf_dir):
-    """Even against odd ids: two collections, all rows of each."""
-    docs = _docs(spark, sf_dir)
-    return similarity.jaccard_join(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), 0.8, "doc_id", "text")
+    """Classes of equal token sets over all documents, and the pairs of classes that are alike."""
+    return similarity.jaccard_classes(_docs(spark, sf_dir), 0.8, "doc_id", "text")
 
 
 @query("""SELECT doc_id, CAST(ceil(length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) / 4) AS bigint) AS tokens FROM documents""")

@@ -23,9 +23,17 @@ TRACKER_ALIASES = {
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(seq, line) of text files in file order: the place of a line is part of a ledger's meaning.
 
-    seq is the file's order and the line's offset in it, taken at the read, before any shuffle.
+    seq orders lines by append (files outside of any come first, by their times), file,
+    block of the file, and place in the block; it does not depend on how Spark packs the
+    blocks into tasks.
     """
-    rows = spark.read.text(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"))
+    meta = lambda name: F.col(f"_metadata.{name}")
+    batch = F.regexp_extract(meta("file_path"), r"/append-([0-9]+)/[^/]*$", 1)
+    written = F.when(batch == "", meta("file_modification_time"))
+    place = F.struct(
+        batch.alias("append"), written.alias("written"), meta("file_path").alias("file"), meta("file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
+    rows = spark.read.option("recursiveFileLookup", True).text(path).select("value", place.alias("seq"))
     return rows.select("seq", F.regexp_replace("value", r"\r$", "").alias("line")).where(F.trim("line") != "")
 
 

@@ -4,21 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def rolling_usage(events: DataFrame, hours: int, slide_hours: int = 1, lateness: str = "1 hour") -> DataFrame:
-    """Sums of value by user over sliding windows; a message key counts once, with its watermark's lateness."""
-    known = events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["event_id"])
-    return known.groupBy(F.window("ts", f"{hours} hours", f"{slide_hours} hours"), "user_id").agg(F.sum("value").alias("total"), F.count("*").alias("n"))
+def rolling_usage(events: DataFrame, hours: int) -> DataFrame:
+    """(event_id, user_id, ts, total, n): at each event, the sum and count of the user's values of the last `hours`, itself included.
 
+    A message key counts once, with the largest value it was seen with.  A user's state is the events of the window.
+    """
 
-def admitted(offers: DataFrame, lateness: str = "7 days") -> DataFrame:
-    """The seen-set gate on a stream: an offer's URL is let through once."""
-    return offers.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["url"])
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = pd.DataFrame(dict(zip(("event_id", "ts", "value"), state.get))) if state.exists else None
+        new = pd.concat(frames)[["event_id", "ts", "value"]]
+        new["ts"] = new["ts"].astype("datetime64[us]").astype("int64")
+        both = pd.concat([known, new]) if known is not None else new
+        both = both.sort_values(["event_id", "value"]).drop_duplicates("event_id", keep="last").sort_values(["ts", "event_id"])
+        width = hours * 3_600_000_000
+        begin = both["ts"].searchsorted(both["ts"] - width, side="right")
+        sums = np.concatenate([[0.0], both["value"].cumsum()])
+        out = both.assign(total=sums[1:] - sums[begin], n=np.arange(1, len(both) + 1) - begin, user_id=key[0])
+        recent = both[both["ts"] > both["ts"].max() - width]
+        state.update(tuple(recent[c].tolist() for c in ("event_id", "ts", "value")))
+        out = out[out["event_id"].isin(new["event_id"])]
+        yield out.assign(ts=out["ts"].astype("datetime64[us]"))[["event_id", "user_id", "ts", "total", "n"]]
+
+    return events.groupBy("user_id").applyInPandasWithState(
+        step, "event_id long, user_id long, ts timestamp, total double, n long", "ids array<long>, times array<long>, values array<double>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def admitted(offers: DataFrame) -> DataFrame:
+    """The seen-set gate on a stream: an offer's URL is let through once, ever; its state is the set of all URLs."""
+    return offers.dropDuplicates(["url"])
 
 
 def dead_board_counter(probes: DataFrame, cap: int = 3) -> DataFrame:
@@ -26,9 +46,8 @@ def dead_board_counter(probes: DataFrame, cap: int = 3) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         misses = state.get[0] if state.exists else 0
-        for frame in frames:
-            for missing in frame.sort_values("seq")["missing"]:
-                misses = min(cap, misses + 1) if missing else 0
+        for missing in pd.concat(frames).sort_values("seq")["missing"]:  # in order over all of the trigger's frames
+            misses = min(cap, misses + 1) if missing else 0
         if misses:
             state.update((misses,))
         elif state.exists:

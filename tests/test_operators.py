@@ -110,14 +110,21 @@ def test_simhash_and_bands(spark):
     assert pairs == {(a, b) for a in got for b in got if a % 2 == 0 and b % 2 == 1 and near(got[a], got[b])}
 
 
-def test_jaccard_join(spark):
+def test_jaccard_classes(spark):
     rng = random.Random(2)
-    rows = [(i, " ".join(rng.sample(["w%d" % k for k in range(14)], rng.randrange(0, 12)))) for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r[0], r[1]) for r in similarity.jaccard_join(df.where("doc_id % 2 = 0"), df.where("doc_id % 2 = 1"), 0.6, "doc_id", "text").collect()}
-    sets = {i: set(t.split()) for i, t in rows}
-    want = {(a, b) for a in sets for b in sets if a % 2 == 0 and b % 2 == 1 and sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6}
-    assert got == want
+    docs = [(i, " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) for _ in range(rng.randrange(0, 9)))) for i in range(60)]
+    found = similarity.jaccard_classes(spark.createDataFrame(docs, "doc_id long, text string"), 0.6, "doc_id", "text").collect()
+    classes = {}
+    for i, t in docs:
+        if t:
+            classes.setdefault(frozenset(t.split()), []).append(i)
+    want = {}
+    for x, a in classes.items():
+        for y, b in classes.items():
+            if a[0] < b[0] and len(x & y) / len(x | y) >= 0.6:
+                want[a[0], b[0]] = (len(x & y) / len(x | y), len(a), len(b))
+    assert {(r["left_id"], r["right_id"]): (r["similarity"], r["left_copies"], r["right_copies"]) for r in found} == want and len(want) > 5
+
 
 
 def test_admission_is_stateful(spark):

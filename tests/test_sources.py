@@ -53,6 +53,28 @@ def test_writers(spark, tmp_path):
     assert got.agg(F.count("*")).first()[0] == 2 and got.first()["note"] == "a b"
 
 
+def test_order_of_appends(spark, tmp_path):
+    """A later, larger append keeps its place: Spark packs larger files first."""
+    row = lambda target, note="": (1, "2024-01-01", "Applied", target, "web", note)
+    schema = "num long, date string, origin string, target string, source string, note string"
+    writers.append_transitions(spark.createDataFrame([row("Applied"), row("Interview")], schema).coalesce(1), str(tmp_path / "log"))
+    later = [row("-", "x" * 500)] + [row("Responded", f"{k}" * 200) for k in range(50)]
+    writers.append_transitions(spark.createDataFrame(later, schema).coalesce(1), str(tmp_path / "log"))
+    got = [r["target"] for r in readers.status_log(spark, str(tmp_path / "log")).orderBy("seq").collect()]
+    assert got == ["Applied", "Interview", "-"] + ["Responded"] * 50
+    from siltstone.operators import ledger
+
+    assert [r["target"] for r in ledger.fold(readers.status_log(spark, str(tmp_path / "log"))).orderBy("position").limit(2).collect()] == ["Applied", "Responded"]
+
+
+def test_chunks_and_manifest(spark, tmp_path):
+    writers.export_chunks(spark.range(12).selectExpr("CAST(id AS string) AS value").coalesce(1), str(tmp_path / "c"), rows=5)
+    assert sorted(len(f.read_text().split()) for f in (tmp_path / "c").glob("part-*.txt")) == [2, 5, 5]
+    rows = spark.createDataFrame([("/o/a.pdf",), ("/o/b.pdf",), ("/x/c.pdf",), ("/o/../c.pdf",)], "path string")
+    files = spark.createDataFrame([("/o/a.pdf",), ("/x/c.pdf",), ("/o/../c.pdf",)], "path string")
+    assert [r["path"] for r in writers.kept_manifest(rows, files, "/o").collect()] == ["/o/a.pdf"]
+
+
 def test_postings(spark, tmp_path):
     path = put(tmp_path / "p.jsonl", '{"title": "T", "posted_at": 0, "salary": {"min": 1}, "other": 5}\n{"url": "u"}\n')
     rows = readers.postings(spark, path).collect()

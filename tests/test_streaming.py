@@ -34,5 +34,7 @@ def test_admitted(spark, tmp_path):
 def test_rolling_usage(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     rows = [[(1, t, 7, 2.0), (1, t, 7, 2.0), (2, t + dt.timedelta(hours=1), 7, 3.0)]]
-    got = run(stateful.rolling_usage(source(spark, tmp_path, rows, "event_id long, ts timestamp, user_id long, value double"), 5), "update", spark, "usage")
-    assert max(r[2] for r in got) == 5.0
+    got = run(stateful.rolling_usage(source(spark, tmp_path, rows, "event_id long, ts timestamp, user_id long, value double"), 5), "append", spark, "usage")
+    assert sorted((r[0], r[3], r[4]) for r in got) == [(1, 2.0, 1), (2, 5.0, 2)]
+    more = stateful.rolling_usage(source(spark, tmp_path / "more", [[(k, t + dt.timedelta(hours=3 * k), 7, 1.0) for k in range(5)]], "event_id long, ts timestamp, user_id long, value double"), 5)
+    assert sorted((r[0], r[3]) for r in run(more, "append", spark, "more")) == [(0, 1.0), (1, 2.0), (2, 2.0), (3, 2.0), (4, 2.0)]
