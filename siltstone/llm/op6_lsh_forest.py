@@ -5,12 +5,12 @@ values, then the next four, and four more.  Neighbours in the order have long
 common prefixes; a run of documents with one prefix is a region.  Regions begin at
 the first depth, four values.  The documents of a small region are candidates of each other.
 Where a region is crowded, each document is a candidate of the least id of its run
-at every depth.  If the confirmed links leave a few documents of a crowded region outside
-its largest component, these are candidates of all documents of the region.  If they
-leave many, the region's documents go deeper: a forest of their own, of more trees, whose regions begin at eight
-values and then at twelve, so that each depth finds a linked pair as surely as the first.
-Where even twelve common values leave a crowd in several components, its documents outside the
-largest are compared with all others of the region, in bounded units.
+at every depth.  Crowded regions that the confirmed links leave in several components
+make families, by the documents that they share; a family's documents outside its
+largest component are compared with the whole family, in bounded units.  Where such documents are
+too many, the family's documents go deeper: a forest of their own, of more trees, whose regions
+begin at eight values and then at twelve, so that each depth finds a linked pair as surely as the
+first, and crowds come apart.  At the last depth all families are compared.
 
 An order is cut into partitions by ranges of the whole key, so a region in a third of all
 documents is many tasks; pieces of a region that a cut has parted are put together after.
@@ -42,8 +42,8 @@ from .tokens import slices
 VALUES = 128
 #: Values of one step of a prefix; trees of the forest whose regions begin at one, two and three steps.
 STEP, TREES = 4, (32, 128, 512)
-#: Documents from which a region is crowded, and those outside its largest component that are few.
-CROWD, FEW = 8, 32
+#: Documents from which a region is crowded, and documents outside a family's largest component from which it goes deeper.
+CROWD, MANY = 8, 8192
 
 #: Documents of a block, and of a chunk, of the second round.
 UNIT = 512
@@ -271,24 +271,22 @@ def _block_links(percent: int):
 
 
 def _across_components(crowds: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between the components of each crowd (region, doc_id, component).
+    """Links (a, b) between the components of each family (family, doc_id, component, n, most, main).
 
-    A crowd's largest component is settled; every other document is compared
-    with the whole crowd, in units of a bounded block and a bounded chunk, so a
-    large crowd is many tasks and its pairs are never rows.
+    A family's largest component is settled; every other document is compared
+    with the whole family, in units of a bounded block and a bounded chunk, so a
+    large family is many tasks and its pairs are never rows.
     """
-    sizes = crowds.groupBy("region", "component").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("region").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
-    rows = crowds.join(sizes.where("n > most"), "region")
+    rows = crowds
     blocks, chunks = F.ceil(F.col("n") / UNIT).cast("int"), F.ceil((F.col("n") - F.col("most")) / UNIT).cast("int")
     spread = lambda n: F.sequence(F.lit(0), n - 1)
     own = F.xxhash64("doc_id")
-    wide = rows.select("region", "doc_id", "component", F.lit(0).alias("side"), F.pmod(own, blocks).cast("int").alias("block"), F.explode(spread(chunks)).alias("chunk"))
+    wide = rows.select("family", "doc_id", "component", F.lit(0).alias("side"), F.pmod(own, blocks).cast("int").alias("block"), F.explode(spread(chunks)).alias("chunk"))
     few = rows.where("component != main").select(
-        "region", "doc_id", "component", F.lit(1).alias("side"), F.explode(spread(blocks)).alias("block"), F.pmod(own, chunks).cast("int").alias("chunk")
+        "family", "doc_id", "component", F.lit(1).alias("side"), F.explode(spread(blocks)).alias("block"), F.pmod(own, chunks).cast("int").alias("chunk")
     )
     units = wide.unionByName(few.select(wide.columns)).join(sets, "doc_id")
-    return units.groupBy("region", "block", "chunk").applyInArrow(_block_links(percent), "a long, b long").distinct()
+    return units.groupBy("family", "block", "chunk").applyInArrow(_block_links(percent), "a long, b long").distinct()
 
 
 def _candidates(forest: DataFrame, depth: int, stage: Stage) -> tuple[DataFrame, DataFrame]:
@@ -332,7 +330,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         return both.mapInArrow(_confirm(percent), "a long, b long")
 
     for depth, trees in enumerate(TREES, 1):
-        if depth > 1:
+        if depth > 1:  # the documents of families that go deeper
             deeper = sets.join(crowds.select("doc_id").distinct(), "doc_id", "left_semi")
             forest = deeper.mapInArrow(_larger_forest(trees), _FOREST)
         pairs, crowded = _candidates(forest, depth, stage)
@@ -346,27 +344,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         final = components(links, stage, f"round-{depth}")
         known = crowded.distinct().join(final, F.col("doc_id") == F.col("node"), "left")
         known = stage.write(known.select("region", "doc_id", F.coalesce("component", "doc_id").alias("component")), f"crowded-{depth}")
-        sizes = known.groupBy("region", "component").agg(F.count("*").alias("n")).groupBy("region")
-        sizes = sizes.agg((F.sum("n") - F.max("n")).alias("outside"), F.max_by("component", F.struct("n", "component")).alias("main"))
-        sizes = stage.write(sizes.where("outside > 0"), f"apart-{depth}")
-        outside = known.join(sizes.where(F.col("outside") <= FEW), "region").where("component != main")
-        outside = outside.groupBy("region").agg(F.collect_list("doc_id").alias("others"))
-        met = known.join(outside, "region").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
-        met = met.select("doc_id", F.explode("others").alias("other")).where("doc_id != other")
-        met = met.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-        more = stage.write(confirmed(met), f"more-{depth}")
+        apart = known.groupBy("region").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min("doc_id").alias("hub")).where("least < most")
+        apart = stage.write(apart.select("region", "hub"), f"apart-{depth}")
+        if apart.isEmpty():
+            break
+        joined = known.join(apart, "region").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+        families = components(joined, stage, f"families-{depth}").withColumnRenamed("component", "family")
+        members = families.join(final, "node", "left").select("family", F.col("node").alias("doc_id"), F.coalesce("component", "node").alias("component"))
+        sizes = members.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family")
+        sizes = sizes.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main")).where("n > most")
+        crowds = stage.write(members.join(sizes, "family"), f"crowds-{depth}")
+        deep = (F.col("n") - F.col("most") > MANY) & F.lit(depth < len(TREES))
+        more = stage.write(_across_components(crowds.where(~deep), sets, percent), f"more-{depth}")
         if not more.isEmpty():
             links = links.unionByName(more)
             final = components(links, stage, f"joined-{depth}")
-        crowds = known.join(sizes.where(F.col("outside") > FEW).select("region"), "region").select("region", "doc_id")
-        crowds = crowds.join(final, F.col("doc_id") == F.col("node"), "left").select("region", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        crowds = stage.write(crowds, f"crowds-{depth}")
+        crowds = crowds.where(deep)
         stage.drop(f"neighbours-{depth}", f"pairs-{depth}", f"crowded-{depth}", f"apart-{depth}")
         if crowds.isEmpty():
             break
-    else:
-        more = stage.write(_across_components(crowds, sets, percent), "links-crowds")
-        final = components(links.unionByName(more), stage, "last-round")
     same = copies.groupBy("doc_id", *prints).agg(F.min("class_id").alias("class_id"))
     out = sketch.drop("signature").join(final, sketch["doc_id"] == final["node"], "left")
     out = out.join(same, ["doc_id", *prints], "left")

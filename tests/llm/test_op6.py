@@ -50,10 +50,10 @@ def test_against_all_pairs(spark):
         assert sorted(got, key=str) == plain(rows)
 
 
-@pytest.mark.parametrize(("trees", "few"), [((32, 128, 512), 0), ((32,), 0), ((32, 128), 2)])
-def test_crowded_regions(spark, monkeypatch, trees, few):
+@pytest.mark.parametrize(("trees", "many"), [((32, 128, 512), 0), ((32,), 0), ((32, 128), 2)])
+def test_crowded_regions(spark, monkeypatch, trees, many):
     """All regions crowded: deeper forests find the links, and so does the comparison of what is left of a crowd."""
-    monkeypatch.setattr(op, "FEW", few)
+    monkeypatch.setattr(op, "MANY", many)
     monkeypatch.setattr(op, "CROWD", 2)
     monkeypatch.setattr(op, "UNIT", 7)
     monkeypatch.setattr(op, "TREES", trees)
