@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import identity_queries, metric_queries, more_queries, report_queries, text_queries
+from . import identity_queries, metric_queries, more_queries, label_queries, report_queries, text_queries, vendor_queries
 
-QUERIES = {**metric_queries.QUERIES, **text_queries.QUERIES, **more_queries.QUERIES, **report_queries.QUERIES, **identity_queries.QUERIES}
-SQL = {**metric_queries.SQL, **text_queries.SQL, **more_queries.SQL, **report_queries.SQL, **identity_queries.SQL}
+QUERIES = {**metric_queries.QUERIES, **text_queries.QUERIES, **more_queries.QUERIES, **report_queries.QUERIES, **identity_queries.QUERIES, **vendor_queries.QUERIES, **label_queries.QUERIES}
+SQL = {**metric_queries.SQL, **text_queries.SQL, **more_queries.SQL, **report_queries.SQL, **identity_queries.SQL, **vendor_queries.SQL, **label_queries.SQL}
