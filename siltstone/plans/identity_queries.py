@@ -24,25 +24,30 @@ def query(sql: str | None = None):
 
 _FORMS = "(" + ", ".join(f"'{w}'" for w in identity.FORMS) + ")"
 _UNITS = "(" + ", ".join(f"'{w}'" for w in identity.UNITS) + ")"
-_NAMES = ("Acme Inc", "acme", "Acme Labs", "Acme Rocket Works", "Acme Rocket Works Berlin", "Beta GmbH", "Beta Cloud", "Gamma", "")
 
 
 def _tokens(c: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '' AND w NOT IN {_FORMS})"
 
 
-@query(f"""WITH names(name) AS (VALUES {", ".join(f"('{n}')" for n in _NAMES)}), k AS (SELECT name, {_tokens("name")} AS tok FROM names),
-p AS (SELECT a.name AS left_name, b.name AS right_name, CASE WHEN len(a.tok) <= len(b.tok) THEN a.tok ELSE b.tok END AS s, CASE WHEN len(a.tok) <= len(b.tok) THEN b.tok ELSE a.tok END AS l, a.tok = b.tok AS eq FROM k a, k b)
-SELECT left_name, right_name, CASE WHEN len(s) > 0 AND eq THEN 'same' WHEN len(s) > 0 AND l[1 : len(s)] = s AND (len(s) >= 2 OR coalesce(l[len(s) + 1], '') IN {_UNITS}) THEN 'parent' END AS relation FROM p""")
+@query(f"""WITH names AS (SELECT p_name AS name FROM part UNION SELECT p_name || ' Inc' FROM part UNION SELECT p_name || ' ' || p_type FROM part UNION SELECT p_type FROM part UNION SELECT p_type || ' Labs' FROM part),
+k AS (SELECT name, {_tokens("name")} AS tok FROM names),
+p AS (SELECT a.name AS left_name, b.name AS right_name, CASE WHEN len(a.tok) <= len(b.tok) THEN a.tok ELSE b.tok END AS s, CASE WHEN len(a.tok) <= len(b.tok) THEN b.tok ELSE a.tok END AS l, a.tok = b.tok AS eq
+  FROM k a JOIN k b ON a.tok[1] = b.tok[1] AND a.name < b.name),
+r AS (SELECT left_name, right_name, CASE WHEN len(s) > 0 AND eq THEN 'same' WHEN len(s) > 0 AND l[1 : len(s)] = s AND (len(s) >= 2 OR coalesce(l[len(s) + 1], '') IN {_UNITS}) THEN 'parent' END AS relation FROM p)
+SELECT * FROM r WHERE relation IS NOT NULL""")
 def company_relations(spark, sf_dir):
-    """All pairs of a fixed short list of names (a test of the relation, not of the tables)."""
-    names = spark.createDataFrame([(n,) for n in _NAMES], "name string")
-    pairs = names.select(F.col("name").alias("left_name")).join(F.broadcast(names.select(F.col("name").alias("right_name"))))
-    return pairs.withColumn("relation", identity.company_relation(F.col("left_name"), F.col("right_name")))
+    """Related names among all names of parts and of their kinds; related names begin with one word, so only such meet."""
+    part = t.read(spark, sf_dir, "part")
+    forms = ("p_name", "concat(p_name, ' Inc')", "concat(p_name, ' ', p_type)", "p_type", "concat(p_type, ' Labs')")
+    names = part.select(F.explode(F.array(*[F.expr(f) for f in forms])).alias("name")).distinct()
+    side = lambda c: names.select(F.col("name").alias(c), F.get(identity.company_tokens(F.col("name")), 0).alias("first"))
+    pairs = side("left_name").join(side("right_name"), "first").where("left_name < right_name").drop("first")
+    return pairs.withColumn("relation", identity.company_relation(F.col("left_name"), F.col("right_name"))).where("relation IS NOT NULL")
 
 
 _IMPORT = """r AS (SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'k' || CAST(event_id % 700 AS varchar) END AS url_key, 'c' || CAST(user_id AS varchar) || ' Inc' AS company, event_type AS role FROM events),
-known AS (SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'k' || CAST(user_id AS varchar) END AS url_key, 'c' || CAST(user_id AS varchar) AS company, 'view' AS role FROM events WHERE user_id < 60),
+known AS (SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'k' || CAST(user_id AS varchar) END AS url_key, 'c' || CAST(user_id AS varchar) AS company, 'view' AS role FROM events WHERE event_type = 'purchase'),
 i AS (SELECT *, replace(company, ' Inc', '') || '|' || role AS identity, CASE WHEN url_key IS NOT NULL THEN 'u:' || url_key ELSE 'i:' || replace(company, ' Inc', '') || '|' || role END AS own FROM r),
 f AS (SELECT own, min(seq) AS first FROM i GROUP BY own), n AS (SELECT company || '|' || role AS identity, bool_or(url_key IS NULL) AS bare FROM known GROUP BY 1)"""
 
@@ -56,7 +61,7 @@ def import_plan(spark, sf_dir):
         F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("k"), (F.col("event_id") % 700).cast("string"))).alias("url_key"),
         F.concat(user, F.lit(" Inc")).alias("company"), F.col("event_type").alias("role"),
     )
-    known = events.where("user_id < 60").select(F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("k"), F.col("user_id").cast("string"))).alias("url_key"), user.alias("company"), F.lit("view").alias("role"))
+    known = events.where("event_type = 'purchase'").select(F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("k"), F.col("user_id").cast("string"))).alias("url_key"), user.alias("company"), F.lit("view").alias("role"))
     return identity.import_plan(rows, known.distinct())
 
 

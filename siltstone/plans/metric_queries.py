@@ -302,11 +302,11 @@ def closing_clash(spark, sf_dir):
     return found.select(F.col("day").cast("string").alias("day"), "closings")
 
 
-@query(f"""{T}, seen AS (SELECT company, 'board-' || CAST(n % 97 AS varchar) AS board FROM tracker WHERE n % 2 = 0), tracked AS (SELECT company, 'board-' || CAST(n % 97 AS varchar) AS board FROM tracker WHERE n % 211 = 1)
+@query(f"""{T}, seen AS (SELECT company, 'board-' || company AS board FROM tracker), tracked AS (SELECT company, 'board-' || company AS board FROM tracker WHERE status = '**Hired**')
 SELECT company, count(*) AS sightings FROM seen WHERE company NOT IN (SELECT company FROM tracked) AND company NOT IN (SELECT company FROM seen WHERE board IN (SELECT board FROM tracked)) GROUP BY company""")
 def discover_new(spark, sf_dir):
-    rows = t.tracker(spark, sf_dir).select("company", "n", F.concat(F.lit("board-"), (F.col("n") % 97).cast("string")).alias("board"))
-    return joins.discover_new(rows.where("n % 2 = 0").select("company", "board"), rows.where("n % 211 = 1").select("company", "board"), F.col("board"))
+    rows = t.tracker(spark, sf_dir).select("company", "status", F.concat(F.lit("board-"), "company").alias("board"))
+    return joins.discover_new(rows.select("company", "board"), rows.where("status = '**Hired**'").select("company", "board"), F.col("board"))
 
 
 @query("""WITH offers AS (SELECT event_id AS seq, 'u' || CAST(user_id AS varchar) || event_type AS url, 'c' || CAST(user_id % 40 AS varchar) AS company, value FROM events),
@@ -322,12 +322,12 @@ def admission_reasons(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT 'k' || CAST(user_id * 7 % 1009 AS varchar) AS key, min(event_id) AS seq FROM events WHERE event_type = 'view' GROUP BY 1),
-q AS (SELECT DISTINCT 'k' || CAST(user_id * 7 % 1009 AS varchar) AS key FROM events WHERE event_type = 'error' AND event_id % 10 = 0)
+q AS (SELECT DISTINCT 'k' || CAST(user_id * 7 % 1009 AS varchar) AS key FROM events WHERE event_type = 'error' AND value > 80)
 SELECT key, seq, 500 + row_number() OVER (ORDER BY seq) AS id FROM p WHERE key NOT IN (SELECT key FROM q)""")
 def batch_plan(spark, sf_dir):
     rows = t.read(spark, sf_dir, "events").withColumn("key", F.concat(F.lit("k"), (F.col("user_id") * 7 % 1009).cast("string")))
     pending = rows.where("event_type = 'view'").select("key", F.col("event_id").alias("seq"))
-    return joins.plan_batch(pending, rows.where("event_type = 'error' AND event_id % 10 = 0"), 500)
+    return joins.plan_batch(pending, rows.where("event_type = 'error' AND value > 80"), 500)
 
 
 @query("""WITH b AS (SELECT 'u' || CAST(user_id AS varchar) AS url, event_id AS id, event_type AS state FROM events)
