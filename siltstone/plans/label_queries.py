@@ -315,7 +315,7 @@ def company_cards(spark, sf_dir):
     answered = F.count_if(stage.isin("RESPONDED", "ASSESSMENT", "INTERVIEW", "OFFER", "REJECTED", "HIRED"))
     silent = F.count_if(stage == "APPLIED")
     verdict = F.when((answered > 0) & (silent > 0), "mixed").when(answered > 0, "responded-before").when(silent > 0, "silent").otherwise("no-history")
-    return t.tracker(spark, sf_dir).groupBy("company").agg(verdict.alias("verdict"))
+    return t.tracker(spark, sf_dir, roles=False).groupBy("company").agg(verdict.alias("verdict"))
 
 
 @query(f"""WITH {t.TRACKER_SQL}, a AS (SELECT split_part(role, ' ', 1) AS archetype, count(score) AS n, avg(score) AS mean FROM tracker WHERE split_part(role, ' ', 1) <> '' GROUP BY 1 HAVING count(score) >= 3)

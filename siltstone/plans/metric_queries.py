@@ -48,20 +48,20 @@ def _funnel_sql() -> str:
 
 @query(_funnel_sql())
 def funnel_cumulative(spark, sf_dir):
-    return metrics.funnel(t.tracker(spark, sf_dir))
+    return metrics.funnel(t.tracker(spark, sf_dir, roles=False))
 
 
 @query(f"""{TC}, totals AS (SELECT {", ".join(f"count(*) FILTER (stage IN {s}) AS {k.lower()}" for k, s in _IN.items())} FROM canon)
 SELECT applied, CASE WHEN applied > 0 THEN responded / applied * 100 END AS response_rate, CASE WHEN applied > 0 THEN interview / applied * 100 END AS interview_rate,
 CASE WHEN applied > 0 THEN offer / applied * 100 END AS offer_rate, applied < 10 AS small_sample FROM totals""")
 def funnel_rates(spark, sf_dir):
-    return metrics.rates(t.tracker(spark, sf_dir))
+    return metrics.rates(t.tracker(spark, sf_dir, roles=False))
 
 
 @query(f"""{TC} SELECT count(*) AS tracked, coalesce(round(avg(score) FILTER (score > 0), 6), 0.0) AS avg_score, coalesce(max(score) FILTER (score > 0), 0.0) AS top_score,
 count(*) FILTER (stage IN {metrics.ACTIVE}) AS active, count(*) FILTER (stage IN ('OFFER', 'HIRED')) AS offers FROM canon""")
 def progress_metrics(spark, sf_dir):
-    return metrics.progress(t.tracker(spark, sf_dir))
+    return metrics.progress(t.tracker(spark, sf_dir, roles=False))
 
 
 @query(f"""{T}, b(position, lo, hi, label) AS (VALUES {", ".join(f"({i}, {lo}, {hi}, '{label}')" for i, (lo, hi, label) in enumerate(metrics.SCORE_BUCKETS))}),
@@ -69,12 +69,12 @@ s AS (SELECT score FROM tracker WHERE score > 0)
 SELECT position, label, count(score) AS count, CASE WHEN (SELECT count(*) FROM s) > 0 THEN count(score) / (SELECT count(*) FROM s) * 100 ELSE 0.0 END AS pct
 FROM b LEFT JOIN s ON score >= lo AND score < hi GROUP BY position, label""")
 def score_histogram(spark, sf_dir):
-    return metrics.score_histogram(t.tracker(spark, sf_dir))
+    return metrics.score_histogram(t.tracker(spark, sf_dir, roles=False))
 
 
 @query(f"""{T} SELECT strftime(day, '%G-W%V') AS week, count(*) AS count FROM tracker GROUP BY 1 ORDER BY 1 DESC LIMIT 8""")
 def weekly_activity(spark, sf_dir):
-    return metrics.weekly_activity(t.tracker(spark, sf_dir), "day")
+    return metrics.weekly_activity(t.tracker(spark, sf_dir, roles=False), "day")
 
 
 def _breakdown(label: str, where: str = "true", limit: str = "", source: str = T) -> str:
@@ -105,35 +105,35 @@ _PLACES = {"Wien, AT": "Vienna", "singapore": "Singapore", "new york, ny": "New
 
 @query(_breakdown(t._case(_PLACES, "place"), "place IS NOT NULL", "ORDER BY count DESC, label LIMIT 8"))
 def stats_locations_top8(spark, sf_dir):
-    return metrics.breakdown(t.tracker(spark, sf_dir), text.location(F.col("place")), 8)
+    return metrics.breakdown(t.tracker(spark, sf_dir, roles=False), text.location(F.col("place")), 8)
 
 
 @query(_breakdown("CASE " + " ".join(f"WHEN score >= {lo} THEN '{label}'" for lo, label in metrics.QUALITY) + " END", "score > 0"))
 def quality_tiers(spark, sf_dir):
-    return metrics.quality_tiers(t.tracker(spark, sf_dir))
+    return metrics.quality_tiers(t.tracker(spark, sf_dir, roles=False))
 
 
 @query(f"""{T}, p AS (SELECT * FROM tracker WHERE pay > 0) SELECT count(*) AS count, count(*) FILTER (upper(pay_source) = 'POSTED') AS posted,
 count(*) FILTER (lower(pay_source) = 'est') AS estimated, round(avg(pay), 4) AS avg_pay, median(pay) AS median_pay, max(pay) AS max_pay FROM p""")
 def pay_summary(spark, sf_dir):
-    return metrics.pay_summary(t.tracker(spark, sf_dir))
+    return metrics.pay_summary(t.tracker(spark, sf_dir, roles=False))
 
 
 @query(_breakdown("CASE WHEN pay < 100000 THEN '< $100K' WHEN pay <= 140000 THEN '$100K - $140K' WHEN pay <= 180000 THEN '$140K - $180K' WHEN pay <= 220000 THEN '$180K - $220K' ELSE '$220K+' END", "pay > 0"))
 def pay_bands(spark, sf_dir):
-    rows = t.tracker(spark, sf_dir).where("pay > 0")
+    rows = t.tracker(spark, sf_dir, roles=False).where("pay > 0")
     return metrics.breakdown(rows, metrics.pay_band(F.col("pay")))
 
 
 @query(f"{TC} SELECT status, stage, count(*) AS count FROM canon GROUP BY status, stage")
 def status_canonical(spark, sf_dir):
-    rows = t.tracker(spark, sf_dir)
+    rows = t.tracker(spark, sf_dir, roles=False)
     return rows.groupBy("status", text.canonical_status(F.col("status")).alias("stage")).agg(F.count("*").alias("count"))
 
 
 @query(f"{TC} SELECT CASE WHEN stage IN ('EVALUATED', 'APPLIED', 'INTERVIEW', 'OFFER') THEN stage ELSE 'OTHER' END AS tab, count(*) AS count FROM canon GROUP BY 1")
 def tab_counts(spark, sf_dir):
-    return metrics.tab_counts(t.tracker(spark, sf_dir), ("EVALUATED", "APPLIED", "INTERVIEW", "OFFER"))
+    return metrics.tab_counts(t.tracker(spark, sf_dir, roles=False), ("EVALUATED", "APPLIED", "INTERVIEW", "OFFER"))
 
 
 # The ledger fold in SQL: a row survives unless a later '-' pops it; without corrections (the SQL query drops them) that is a matching of
@@ -181,13 +181,13 @@ def ledger_fold(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_RECOVERED} SELECT n, CAST(rank AS int) AS rank FROM recovered")
 def stage_recovery(spark, sf_dir):
-    return ledger.recovered_stages(t.tracker(spark, sf_dir), ledger.fold(t.status_log(spark, sf_dir)))
+    return ledger.recovered_stages(t.tracker(spark, sf_dir, roles=False), ledger.fold(t.status_log(spark, sf_dir)))
 
 
 @query(f"""WITH RECURSIVE {_RECOVERED} SELECT count(*) FILTER (rank >= 1) AS applied, count(*) FILTER (rank >= 2) AS responded, count(*) FILTER (rank >= 4) AS interview,
 count(*) FILTER (rank >= 5) AS offer FROM recovered""")
 def stage_tiles(spark, sf_dir):
-    return ledger.stage_tiles(ledger.recovered_stages(t.tracker(spark, sf_dir), ledger.fold(t.status_log(spark, sf_dir))))
+    return ledger.stage_tiles(ledger.recovered_stages(t.tracker(spark, sf_dir, roles=False), ledger.fold(t.status_log(spark, sf_dir))))
 
 
 @query(f"""WITH RECURSIVE {_EPISODES} SELECT outcome, median(date_diff('day', applied, answered)) AS median_days, count(answered) AS n, count(*) - count(answered) AS censored
@@ -216,12 +216,12 @@ def _seen(spark, sf_dir):
 
 @query(f"{_SANKEY} SELECT * FROM nodes")
 def sankey_nodes(spark, sf_dir):
-    return metrics.sankey_nodes(t.tracker(spark, sf_dir), _seen(spark, sf_dir))
+    return metrics.sankey_nodes(t.tracker(spark, sf_dir, roles=False), _seen(spark, sf_dir))
 
 
 @query(f"{_SANKEY} SELECT parent AS source, node AS target, value FROM nodes JOIN parents USING (node)")
 def sankey_links(spark, sf_dir):
-    return metrics.sankey_links(metrics.sankey_nodes(t.tracker(spark, sf_dir), _seen(spark, sf_dir)))
+    return metrics.sankey_links(metrics.sankey_nodes(t.tracker(spark, sf_dir, roles=False), _seen(spark, sf_dir)))
 
 
 @query(f"WITH {t.DISCARD_SQL} SELECT reason, count(*) AS count FROM discards GROUP BY reason")
@@ -265,7 +265,7 @@ def awaiting_top6(spark, sf_dir):
 
 @query(f"""{T} SELECT n, company, CAST(row_number() OVER (PARTITION BY company ORDER BY score DESC NULLS LAST, day DESC NULLS LAST, n) AS int) AS place FROM tracker""")
 def inbox_order(spark, sf_dir):
-    rows = t.tracker(spark, sf_dir).select("n", "company", "score", "day")
+    rows = t.tracker(spark, sf_dir, roles=False).select("n", "company", "score", "day")
     return metrics.ranked(rows, F.desc_nulls_last("score"), F.desc_nulls_last("day"), F.asc("n"), by=("company",)).select("n", "company", "place")
 
 
@@ -289,7 +289,7 @@ def stale_rows(spark, sf_dir):
 @query(f"""{T}, e AS (SELECT n AS id, day AS evaluated FROM tracker), c AS (SELECT user_id AS id, max(CAST(ts AS date)) AS changed FROM events GROUP BY user_id)
 SELECT id, CAST(evaluated AS varchar) AS evaluated, CAST(changed AS varchar) AS changed FROM e JOIN c USING (id) WHERE changed > evaluated""")
 def reeval_candidates(spark, sf_dir):
-    evaluated = t.tracker(spark, sf_dir).select(F.col("n").alias("id"), F.col("day").alias("evaluated"))
+    evaluated = t.tracker(spark, sf_dir, roles=False).select(F.col("n").alias("id"), F.col("day").alias("evaluated"))
     found = joins.reevaluation_candidates(evaluated, t.status_log(spark, sf_dir).select(F.col("num").alias("id"), F.col("date").alias("changed")))
     return found.select("id", F.col("evaluated").cast("string").alias("evaluated"), F.col("changed").cast("string").alias("changed"))
 
@@ -305,7 +305,7 @@ def closing_clash(spark, sf_dir):
 @query(f"""{T}, seen AS (SELECT company, 'board-' || company AS board FROM tracker), tracked AS (SELECT company, 'board-' || company AS board FROM tracker WHERE status = '**Hired**')
 SELECT company, count(*) AS sightings FROM seen WHERE company NOT IN (SELECT company FROM tracked) AND company NOT IN (SELECT company FROM seen WHERE board IN (SELECT board FROM tracked)) GROUP BY company""")
 def discover_new(spark, sf_dir):
-    rows = t.tracker(spark, sf_dir).select("company", "status", F.concat(F.lit("board-"), "company").alias("board"))
+    rows = t.tracker(spark, sf_dir, roles=False).select("company", "status", F.concat(F.lit("board-"), "company").alias("board"))
     return joins.discover_new(rows.select("company", "board"), rows.where("status = '**Hired**'").select("company", "board"), F.col("board"))
 
 
@@ -355,7 +355,7 @@ def freshness_windows(spark, sf_dir):
 
 @query(f"""{TC} SELECT stage, count(*) AS rows, count(*) FILTER (keep) AS kept FROM (SELECT stage, day IS NULL OR date_diff('day', day, date '1999-06-01') <= 90 OR stage IN ('APPLIED', 'INTERVIEW') AS keep FROM canon) GROUP BY stage""")
 def retention_plan(spark, sf_dir):
-    rows = t.tracker(spark, sf_dir).select("day", text.canonical_status(F.col("status")).alias("status"))
+    rows = t.tracker(spark, sf_dir, roles=False).select("day", text.canonical_status(F.col("status")).alias("status"))
     kept = joins.retention(rows, F.expr("date '1999-06-01'"), 90, ("APPLIED", "INTERVIEW"))
     return kept.groupBy(F.col("status").alias("stage")).agg(F.count("*").alias("rows"), metrics.count_if(F.col("keep")).alias("kept"))
 
@@ -370,5 +370,5 @@ def pay_annualized(spark, sf_dir):
 def fit_bands(spark, sf_dir):
     score = F.col("score")
     bucket = F.when(score >= 4.5, "top").when(score >= 4, "good").when(score >= 3, "fair").otherwise("low")
-    rows = t.tracker(spark, sf_dir).where(score.isNotNull())
+    rows = t.tracker(spark, sf_dir, roles=False).where(score.isNotNull())
     return rows.groupBy(text.canonical_status(F.col("status")).alias("stage"), bucket.alias("bucket")).agg(F.count("*").alias("count"))

@@ -75,7 +75,7 @@ def dead_boards(spark, sf_dir):
 @query(f"""WITH {t.TRACKER_SQL}, r AS (SELECT n, n % 3 AS sent, day + CASE WHEN n % 3 = 0 THEN 7 ELSE 14 END AS due FROM tracker)
 SELECT n, CASE WHEN sent >= 2 THEN 'cold' WHEN due < date '1999-01-01' THEN 'overdue' WHEN due = date '1999-01-01' THEN 'urgent' ELSE 'waiting' END AS urgency FROM r""")
 def followup_cadence(spark, sf_dir):
-    rows = t.tracker(spark, sf_dir).select("n", F.col("day").alias("last_contact"), (F.col("n") % 3).alias("sent"))
+    rows = t.tracker(spark, sf_dir, roles=False).select("n", F.col("day").alias("last_contact"), (F.col("n") % 3).alias("sent"))
     return state.cadence(rows, F.expr("date '1999-01-01'")).select("n", "urgency")
 
 

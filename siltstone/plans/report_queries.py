@@ -55,14 +55,14 @@ _FOLLOW = "follow AS (SELECT user_id AS n FROM events WHERE event_type = 'click'
 @query(f"""{TC}, {_FOLLOW}, per AS (SELECT n, count(*) AS k FROM follow GROUP BY n), a AS (SELECT DISTINCT n FROM canon WHERE stage IN {ACTIVE})
 SELECT CAST(coalesce(sum(k), 0) AS bigint) AS total, count(k) AS with_followup, count(*) FILTER (k IS NULL) AS without, round(avg(k), 2) AS average FROM a FULL JOIN per USING (n)""")
 def followup_stats(spark, sf_dir):
-    applied = t.tracker(spark, sf_dir).where(text.canonical_status(F.col("status")).isin(*ACTIVE))
+    applied = t.tracker(spark, sf_dir, roles=False).where(text.canonical_status(F.col("status")).isin(*ACTIVE))
     return reports.followup_stats(applied, t.read(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("n")))
 
 
 @query(f"""{TC}, {_FOLLOW} SELECT n FROM canon WHERE stage = 'APPLIED' AND n IN (SELECT n FROM follow GROUP BY n HAVING count(*) >= 12)""")
 def cold_applications(spark, sf_dir):
     status = text.canonical_status(F.col("status"))
-    active = t.tracker(spark, sf_dir).where(status.isin(*ACTIVE)).select("n", (status != "APPLIED").alias("responded"))
+    active = t.tracker(spark, sf_dir, roles=False).where(status.isin(*ACTIVE)).select("n", (status != "APPLIED").alias("responded"))
     return reports.cold(active, t.read(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("n")), 12)
 
 
@@ -129,7 +129,7 @@ def advance_rates(spark, sf_dir):
 
 @query(f"""{T}, r AS (SELECT n AS id, day, score AS fit FROM tracker) SELECT id, CAST(day AS varchar) AS day, fit FROM r WHERE day > date '2000-06-01' ORDER BY fit DESC NULLS LAST, r.day DESC, id LIMIT 12""")
 def whats_new(spark, sf_dir):
-    rows = t.tracker(spark, sf_dir).select(F.col("n").alias("id"), "day", F.col("score").alias("fit"))
+    rows = t.tracker(spark, sf_dir, roles=False).select(F.col("n").alias("id"), "day", F.col("score").alias("fit"))
     return reports.whats_new(rows, F.expr("date '2000-06-01'"), 12).select("id", F.col("day").cast("string").alias("day"), "fit")
 
 
@@ -143,7 +143,7 @@ def keyword_coverage(spark, sf_dir):
 
 @query(f"""{T} SELECT company, date_diff('day', max(day), date '2002-01-01') AS days FROM tracker GROUP BY company ORDER BY days DESC, company LIMIT 10""")
 def quiet_companies(spark, sf_dir):
-    return reports.quiet(t.tracker(spark, sf_dir), F.expr("date '2002-01-01'")).withColumn("days", F.col("days").cast("long"))
+    return reports.quiet(t.tracker(spark, sf_dir, roles=False), F.expr("date '2002-01-01'")).withColumn("days", F.col("days").cast("long"))
 
 
 @query(f"""{T} SELECT n, CASE WHEN trim(place) = '' THEN true WHEN contains(lower(place), 'falls') THEN false WHEN contains(lower(place), 'paris') THEN true WHEN contains(lower(place), 'lumpur') THEN false
@@ -157,7 +157,7 @@ def location_filter(spark, sf_dir):
 def salary_filter(spark, sf_dir):
     low = F.when(F.col("pay_source").isNotNull(), F.col("pay"))
     currency = F.expr("CASE WHEN n % 5 = 0 THEN 'EUR' ELSE 'usd' END")
-    return t.tracker(spark, sf_dir).select("n", filters.salary_filter(low, F.lit(None).cast("double"), currency, 150000.0, "USD").alias("passes"))
+    return t.tracker(spark, sf_dir, roles=False).select("n", filters.salary_filter(low, F.lit(None).cast("double"), currency, 150000.0, "USD").alias("passes"))
 
 
 _KINDS = ("Full-time", "part time", "Internship", "not a contract", "Contractor, full-time", "", "seasonal")
@@ -187,7 +187,7 @@ def posting_fit(spark, sf_dir):
 CASE WHEN score >= 3.5 THEN 'PASS' WHEN score >= 3 THEN 'MARGINAL' WHEN score IS NOT NULL THEN 'FAIL' END AS triage FROM tracker""")
 def recommendations(spark, sf_dir):
     score = F.col("score")
-    return t.tracker(spark, sf_dir).select("n", filters.recommendation(score, F.col("n") % 13 == 0, F.col("n") % 3 == 0).alias("advice"), filters.triage(score).alias("triage"))
+    return t.tracker(spark, sf_dir, roles=False).select("n", filters.recommendation(score, F.col("n") % 13 == 0, F.col("n") % 3 == 0).alias("advice"), filters.triage(score).alias("triage"))
 
 
 @query("""SELECT page_id, page_id % 3 = 0 AS safe FROM pages""")

@@ -42,15 +42,17 @@ tracker AS (
 """
 
 
-def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applications (n, day, company, role, status, score, pay, pay_source, place) out of orders."""
-    first = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("partkey"))
-    parts = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+def tracker(spark: SparkSession, sf_dir: str, roles: bool = True) -> DataFrame:
+    """Applications (n, day, company, role, status, score, pay, pay_source, place) out of orders; without roles, parts and line items are not read."""
     rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.join(first, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(parts, F.col("p_partkey") == F.col("partkey"), "left")
+    role = []
+    if roles:
+        first = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("partkey"))
+        parts = read(spark, sf_dir, "part").select("p_partkey", "p_name")
+        rows = rows.join(first, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(parts, F.col("p_partkey") == F.col("partkey"), "left")
+        role = [F.concat(F.expr(_pick(TITLES, "o_orderkey")), F.lit(" "), F.coalesce("p_name", F.lit("role"))).alias("role")]
     return rows.select(
-        F.col("o_orderkey").alias("n"), F.to_date("o_orderdate").alias("day"), F.col("c_name").alias("company"),
-        F.concat(F.expr(_pick(TITLES, "o_orderkey")), F.lit(" "), F.coalesce("p_name", F.lit("role"))).alias("role"),
+        F.col("o_orderkey").alias("n"), F.to_date("o_orderdate").alias("day"), F.col("c_name").alias("company"), *role,
         F.expr(_pick(RAW_STATUSES, "o_orderkey")).alias("status"),
         F.when(F.col("o_orderkey") % 17 != 0, F.floor(F.least(F.col("o_totalprice") / 100000.0, F.lit(5.0)) * 10) / 10).alias("score"),
         F.col("o_totalprice").alias("pay"), F.expr("CASE o_orderkey % 3 WHEN 0 THEN 'POSTED' WHEN 1 THEN 'est' END").alias("pay_source"),
