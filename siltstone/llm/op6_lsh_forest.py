@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, partitions, table, texts
+from .common import Stage, joined_by_bucket, partitions, table, texts
 from .components import components
 from .kernels import arrow_bytes, binary_array, mix, range_hashes, ranges, rolling, word_bounds, word_hashes
 from .tokens import slices
@@ -102,9 +102,9 @@ def _sketches(words: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[lo:hi], pa.array(size, pa.int64()), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)),
-                        binary_array(sig.view(np.uint8).ravel(), np.arange(hi - lo + 1) * VALUES * 4),
+                        binary_array(sig.view(np.uint8).ravel(), np.arange(hi - lo + 1) * VALUES * 4), *(c[lo:hi] for c in batch.columns[2:]),
                     ],
-                    names=["doc_id", "n_shingles", "print_a", "print_b", "signature"],
+                    names=["doc_id", "n_shingles", "print_a", "print_b", "signature", "part", "row"],
                 )
 
     return run
@@ -308,8 +308,13 @@ def _candidates(forest: DataFrame, depth: int, stage: Stage) -> tuple[DataFrame,
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id) for each row of docs (doc_id, text)."""
-    docs, stage = texts(docs), Stage(docs.sparkSession, "forest")
-    sketch = stage.write(docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, print_a long, print_b long, signature binary"), "sketch", "uncompressed")
+    spark = docs.sparkSession
+    stage, n = Stage(spark, "forest"), min(partitions(spark), 100_000)
+    # Texts are written where they are read, in buckets of their partition's number, and never shuffled.
+    bodies = texts(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("part", F.shiftright("row", 33).cast("int"))
+    bodies = stage.write_bucketed(bodies, "bodies", n, "part")
+    columns = "doc_id long, n_shingles long, print_a long, print_b long, signature binary, part int, row long"
+    sketch = stage.write(bodies.select("doc_id", "text", "part", "row").mapInArrow(_sketches(words), columns), "sketch", "uncompressed")
     prints = ["n_shingles", "print_a", "print_b"]
     full = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = full.groupBy(*prints).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -338,8 +343,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         if sets is None:
             # Sets of candidates only; a document that has several rows has several sets, all of which are compared.
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary")
-            sets = stage.write(sets.where(F.length("shingles") > 0), "sets", "uncompressed")
+            found = full.select("doc_id", "part", "row").join(wanted, "doc_id").select("part", "row")
+            with joined_by_bucket(spark):
+                texts_ = bodies.join(found.hint("shuffle_hash"), ["part", "row"], "left_semi").select("doc_id", "text")
+                sets = stage.write(texts_.mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets", "uncompressed")
+            stage.drop("bodies")
         links = links.unionByName(stage.write(confirmed(pairs), f"links-{depth}"))
         final = components(links, stage, f"round-{depth}")
         known = crowded.distinct().join(final, F.col("doc_id") == F.col("node"), "left")
@@ -364,7 +372,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         if crowds.isEmpty():
             break
     same = copies.groupBy("doc_id", *prints).agg(F.min("class_id").alias("class_id"))
-    out = sketch.drop("signature").join(final, sketch["doc_id"] == final["node"], "left")
+    stage.drop("sets")
+    out = sketch.drop("signature", "part", "row").join(final, sketch["doc_id"] == final["node"], "left")
     out = out.join(same, ["doc_id", *prints], "left")
     component = F.coalesce("component", "doc_id")
     return out.select(
