@@ -7,7 +7,9 @@ entries active at its fetch time.
 Cases: a null URL, a URL without a host and a null fetch time match nothing and
 are kept; several entries of one key, list and instant are folded into one (a
 removal wins); repeated adds keep the first add's interval going; an empty list
-keeps every capture.  Other columns of the captures do not matter.
+keeps every capture; repeated capture rows match each on their own; hosts and
+paths of any depth and length are looked up as deep as the list's deepest entry.  Other
+columns of the captures do not matter.
 """
 
 from __future__ import annotations

@@ -70,3 +70,13 @@ def test_deep_entries(spark):
     e = spark.createDataFrame([("x", "a.b.c.d.e.org", "add", day(0)), ("x", "h.org/1/2/3/4", "add", day(0))], "list string, key string, action string, effective_at date")
     got = {(r["id"], r["key"]) for r in op.temporal_list_join(c, e, "id", "url", "at").collect()}
     assert got == {(1, "a.b.c.d.e.org"), (2, "h.org/1/2/3/4")}
+
+
+def test_odd_captures(spark):
+    """Very long URLs, repeated rows, columns with the join's own names, and an empty table."""
+    e = spark.createDataFrame([("x", "h.org/a/b", "add", day(0)), ("x", "z.h.org", "add", day(0))], "list string, key string, action string, effective_at date")
+    long_ = "http://" + "a." * 5000 + "z.h.org/" + "s/" * 50_000
+    rows = [(1, "http://h.org/a/b/c", day(1), "k", 1, "l"), (1, "http://h.org/a/b/c", day(1), "k", 1, "l"), (2, long_, day(1), "k", 2, "l")]
+    c = spark.createDataFrame(rows, "id long, url string, at date, key string, salt int, list string")
+    assert sorted((r["id"], r["key"]) for r in op.temporal_list_join(c, e, "id", "url", "at").collect()) == [(1, "h.org/a/b"), (1, "h.org/a/b"), (2, "z.h.org")]
+    assert op.temporal_list_join(c.where("false"), e, "id", "url", "at").count() == 0
