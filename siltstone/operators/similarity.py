@@ -24,10 +24,15 @@ def simhash64(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ends = [F.slice("words", k + 1, F.size("words") - SHINGLE + 1) for k in range(SHINGLE)]
     shingles = base.select("id", F.explode(F.zip_with(F.zip_with(ends[0], ends[1], lambda a, b: F.concat_ws(" ", a, b)), ends[2], lambda a, b: F.concat_ws(" ", a, b))).alias("shingle"))
     hashed = shingles.select("id", F.conv(F.substring(F.sha1("shingle"), 1, 16), 16, -10).cast("long").alias("h"))
-    sums = hashed.groupBy("id").agg(*[F.sum(2 * F.getbit("h", F.lit(b)).cast("int") - 1).alias(f"b{b}") for b in range(64)])
+    # Two counters of set bits in each sum: bit b in its lower half, bit b + 32 in its upper.
+    both = F.lit((1 << 32) + 1).cast("long")
+    counts = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(both)).alias(f"b{b}") for b in range(32)]
+    sums = hashed.groupBy("id").agg(F.count("*").alias("n"), *counts)
     value = F.lit(0).cast("long")
     for b in range(64):
-        value = value.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+        half = F.col(f"b{b % 32}")
+        ones = F.shiftrightunsigned(half, 32) if b >= 32 else half.bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
+        value = value.bitwiseOR(F.when(2 * ones > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
     return sums.select("id", value.alias("fingerprint"))
 
 
