@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.functions import days, labels, matchers, pay, vendors
+from siltstone.functions import days, labels, matchers, pages, pay, vendors
 from siltstone.operators import lookups, queues, similarity
 
 
@@ -73,3 +73,20 @@ def test_first_acceptable(spark):
 
 def test_company_key(spark):
     assert value(spark, lookups.company_key(F.lit(" Acme, Inc. "), forms=False)) == "acme" and value(spark, lookups.company_key(F.lit("Acme Inc"))) == "acme inc"
+
+
+def test_pages(spark):
+    one = '<script type="application/ld+json">{"@graph": [{"@type": "Thing"}, {"@type": "JobPosting", "title": "T", "hiringOrganization": {"name": "A"}, "validThrough": "2024-01-01"}]}</script>'
+    plain = '<script type="application/ld+json">[{"@type": "JobPosting", "title": "U", "hiringOrganization": "B"}]</script>'
+    got = value(spark, pages.job_posting(F.lit(one)))
+    assert (got["title"], got["company"], got["closes"]) == ("T", "A", "2024-01-01")
+    assert value(spark, pages.job_posting(F.lit(plain)))["company"] == "B"
+    for none in (one + plain, "", None, '<script type="application/ld+json">broken</script>'):
+        assert value(spark, pages.job_posting(F.lit(none).cast("string"))) is None
+    html = 'x {"description": "a"} y {"description" : "long \\"one\\" \\u00e9"}'
+    assert value(spark, pages.embedded_description(F.lit(html))) == 'long "one" é' and value(spark, pages.embedded_description(F.lit("no"))) is None
+    role = value(spark, pages.panel_role(F.lit("Director of Engineering and Product")))
+    assert (role["role"], role["also"]) == ("hiring-manager", ["engineer", "product"]) and value(spark, pages.panel_role(F.lit("Chef"))) is None
+    fresh = lambda d, c, x: value(spark, pages.evidence_freshness(F.lit(d).cast("int"), F.lit(c), F.lit(x)))
+    assert [fresh(None, 0, False), fresh(40, 0, False), fresh(3, 1, False), fresh(3, 0, True), fresh(3, 0, False)] == ["unknown", "stale", "stale", "partial", "fresh"]
+    assert value(spark, pages.blocker_group(F.lit(" "), F.lit("Visa"), F.lit("x"))) == "visa"
