@@ -58,8 +58,9 @@ def prep_questions(rows: DataFrame, most: int = 6) -> DataFrame:
 
 def first_acceptable(stripped: Column, candidates: list[Column], least: int) -> Column:
     """The first candidate text of `least` words that has more than the stripped text (any, if that is thin); else the longest of all."""
-    words = lambda c: F.size(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\S+)"), F.lit(1)))
+    words = lambda c: F.size(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([^ \t\r\n\f]+)"), F.lit(1)))
     own = words(stripped)
     good = [F.when((words(c) >= least) & ((own < least) | (words(c) > own)), c) for c in candidates]
-    longest = F.element_at(F.array_sort(F.array(*[F.struct(words(c).alias("n"), F.coalesce(c, F.lit("")).alias("text")) for c in [stripped, *candidates]])), -1)["text"]
+    every = [F.struct(words(c).alias("n"), F.lit(-i).alias("place"), F.coalesce(c, F.lit("")).alias("text")) for i, c in enumerate([stripped, *candidates])]
+    longest = F.array_max(F.array(*every))["text"]  # of equal ones the first
     return F.coalesce(*good, longest)

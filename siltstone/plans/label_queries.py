@@ -224,8 +224,8 @@ def prep_questions(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT doc_id, coalesce(text, '') AS text, array_to_string(string_split(coalesce(text, ''), ' ')[1:30], ' ') AS head, coalesce(lang, '') AS lang FROM documents),
-w AS (SELECT *, len(regexp_extract_all(text, '\\S+')) AS nt, len(regexp_extract_all(head, '\\S+')) AS nh, len(regexp_extract_all(lang, '\\S+')) AS nl FROM c)
-SELECT doc_id, md5(CASE WHEN nl >= 40 AND (nh < 40 OR nl > nh) THEN lang WHEN nt >= 40 AND (nh < 40 OR nt > nh) THEN text WHEN nt >= nh AND nt >= nl THEN text WHEN nh >= nl THEN head ELSE lang END) AS chosen FROM w""")
+w AS (SELECT *, len(regexp_extract_all(text, '[^ \\t\\r\\n\\f]+')) AS nt, len(regexp_extract_all(head, '[^ \\t\\r\\n\\f]+')) AS nh, len(regexp_extract_all(lang, '[^ \\t\\r\\n\\f]+')) AS nl FROM c)
+SELECT doc_id, md5(CASE WHEN nl >= 40 AND (nh < 40 OR nl > nh) THEN lang WHEN nt >= 40 AND (nh < 40 OR nt > nh) THEN text WHEN nh >= nl AND nh >= nt THEN head WHEN nl >= nt THEN lang ELSE text END) AS chosen FROM w""")
 def first_acceptable(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
     head = F.array_join(F.slice(F.split(text, " "), 1, 30), " ")
