@@ -12,6 +12,7 @@ from .op7_packing import op7_best_fit_packing
 from .op8_toxicity import op8_toxicity
 from .op9_decontamination import op9_decontamination
 from .op10_sorted_projections import op10_sorted_projections
+from .op11_collocations import OP11_SQL, op11_collocations
 from .op13_conversation_repair import OP13_SQL, op13_conversation_repair
 from .sql import OP4_SQL, OP5_SQL, OP6_SQL, OP10_SQL
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_sorted_projections": op10_sorted_projections,
+    "op11_collocations": op11_collocations,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -35,5 +37,6 @@ SQL = {
     "op5_suffix_array": OP5_SQL,
     "op6_lsh_forest": OP6_SQL,
     "op10_sorted_projections": OP10_SQL,
+    "op11_collocations": OP11_SQL,
     "op13_conversation_repair": OP13_SQL,
 }
