@@ -179,7 +179,7 @@ def _merge(rows: pa.Table) -> pa.Table:
     return _arrow([{k: v for k, v in _row(level[0], found[0]["part"], found[0]["blk"], True).items() if k in _NAMES}], SUMMARY)
 
 
-RESULT = "conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
+RESULT = "conv_id long, part long, blk long, open boolean, n long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
 
 
 def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,7 @@ def _results(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in map(_read, batch.to_pylist()):
             cost, audit = cheapest(r["matrix"])
             gaps = 0 if r["least_turn"] is None else r["last_turn"] - r["least_turn"] + 1 - r["turns"]
-            out.append({k: r[k] for k in ("conv_id", "blank", "duplicate", "truncated", "illegal")} | {"gaps": gaps, "cost": cost, "audit": audit})
+            out.append({k: r[k] for k in ("conv_id", "part", "blk", "open", "n", "blank", "duplicate", "truncated", "illegal")} | {"gaps": gaps, "cost": cost, "audit": audit})
         yield from _arrow(out, RESULT).to_batches()
 
 
@@ -199,9 +199,18 @@ def _slices(results: pa.Table, blocks: pa.Table) -> pa.Table:
     """Cut a conversation's audit at its blocks; before counts the turns that are there already."""
     if not results.num_rows:
         return _arrow([], SLICE)
-    audit = results.column("audit")[0].as_py()
-    opens = (len(audit) - audit.count("D")) % 2 == 1
     found = sorted(blocks.to_pylist(), key=lambda r: (r["part"], r["blk"]))
+    return _arrow(_cut(results.column("audit")[0].as_py(), found), SLICE)
+
+
+def _whole_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slices of conversations of one block."""
+    for batch in batches:
+        yield from _arrow([s for r in batch.to_pylist() for s in _cut(r["audit"], [r])], SLICE).to_batches()
+
+
+def _cut(audit: str, found: list[dict]) -> list[dict]:
+    opens = (len(audit) - audit.count("D")) % 2 == 1
     out, at, before = [], 0, 0
     for k, r in enumerate(found):
         end, rows = at, 0
@@ -212,7 +221,7 @@ def _slices(results: pa.Table, blocks: pa.Table) -> pa.Table:
         piece = audit[at:end]
         out.append({"part": r["part"], "blk": r["blk"], "conv_id": r["conv_id"], "piece": piece, "before": before, "opens": opens, "whole": len(found) == 1})
         at, before = end, before + len(piece) - piece.count("D")
-    return _arrow(out, SLICE)
+    return out
 
 
 REPAIRED = "conv_id long, part long, blk long, position long, edit string, role string, text string"
@@ -326,9 +335,11 @@ def repair(turns: DataFrame, stage: Stage | None = None) -> tuple[DataFrame, Dat
         merged = going.groupBy("conv_id", F.floor(F.col("part") / width)).applyInArrow(lambda _, rows: _merge(rows), SUMMARY)
         going = stage.write(merged, f"merged-{width}")
     results = stage.write(blocks.where("NOT open").unionByName(going).mapInArrow(_results, RESULT), "results")
-    cut = blocks.select("conv_id", "part", "blk", "n").groupBy("conv_id")
-    slices = stage.write(results.select("conv_id", "audit").groupBy("conv_id").cogroup(cut).applyInArrow(_slices, SLICE), "slices")
-    return results, slices, rows
+    whole = results.where("NOT open").select("conv_id", "audit", "part", "blk", "n").mapInArrow(_whole_slices, SLICE)
+    parts = blocks.where("open").select("conv_id", "part", "blk", "n").groupBy("conv_id")
+    cut = results.where("open").select("conv_id", "audit").groupBy("conv_id").cogroup(parts).applyInArrow(_slices, SLICE)
+    slices = stage.write(whole.unionByName(cut), "slices")
+    return results.drop("part", "blk", "open", "n"), slices, rows
 
 
 def repaired_turns(turns: DataFrame) -> DataFrame:
