@@ -2,13 +2,12 @@
 
 1. Texts are lower-cased (A-Z), split into pieces, and equal pieces of a language become one
    with a multiplicity, so copies cost one piece.
-2. Each task turns its pieces into windows, a word with the two words after it, counts them
-   with their weights, and sends each distinct window once: first words and pairs as *heads*,
-   third words as *tails* of a pair.
-3. Windows are dealt by the hash of (language, head).  Each bucket is counted in duckdb under
-   a memory limit; what doesn't fit goes to a folder of the task, which goes with it.  Counts
-   of LEAST and more are written; a phrase's parts are at least as frequent as the phrase,
-   so all that is ever looked up is there.
+2. Each task turns its pieces into windows, a word with the two words after it, adds up the
+   weights of equal ones, and sends each distinct window once, in one compressed parcel for
+   each bucket.  A window's bucket is the hash of its language and first two words.
+3. Each bucket is counted in duckdb under a memory limit; what doesn't fit goes to a folder of
+   the task, which goes with it.  Counts of LEAST and more are written; a phrase's parts are
+   at least as frequent as the phrase, so all that is ever looked up is there.
 4. Each cut of a candidate asks for its two parts: the requests are shuffled to the counts.
    Candidates inside a longer one that keeps half of their occurrences go; each language's
    first TOP remain.
@@ -21,11 +20,12 @@ they are there; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -45,9 +45,9 @@ WORDS_AT_ONCE = 2_000_000
 MEMORY_MB = 300
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-WINDOW = "lang string, head string, tail string, m long"
+PARCEL = "bucket int, windows binary"
 COUNT = "lang string, words int, phrase string, f long"
-_WINDOW = pa.schema([("lang", pa.string()), ("head", pa.string()), ("tail", pa.string()), ("m", pa.int64())])
+_PARCEL = pa.schema([("bucket", pa.int32()), ("windows", pa.binary())])
 _COUNT = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 
 
@@ -67,7 +67,7 @@ class _Duck:
 
         self.folder = tempfile.TemporaryDirectory(prefix="counts-")
         config = {"memory_limit": f"{MEMORY_MB}MB", "threads": 1, "temp_directory": self.folder.name, "preserve_insertion_order": False}
-        self.connection = duckdb.connect(os.path.join(self.folder.name, "counts.db"), config=config)
+        self.connection = duckdb.connect(config=config)
         return self.connection
 
     def __exit__(self, *_):
@@ -75,44 +75,74 @@ class _Duck:
         self.folder.cleanup()
 
 
-def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Codes in the order of the values, the distinct values, and a hash of each that all tasks agree on."""
     coded = pc.dictionary_encode(values)
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-
-
-def _counted(rows: list[pa.RecordBatch], duck) -> Iterator[pa.RecordBatch]:
-    """Distinct windows of some pieces, with the sums of their weights."""
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    distinct = coded.dictionary.take(pa.array(order))
+    hashes = pd.util.hash_array(distinct.to_numpy(zero_copy_only=False), categorize=False)
+    return rank[coded.indices.to_numpy(zero_copy_only=False)], distinct, hashes
+
+
+def _bucket_of(lang: np.ndarray, first: np.ndarray, second: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = lang + first * np.uint64(0x9E3779B97F4A7C15) + (second ^ (second >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(buckets)).astype(np.int32)
+
+
+def _parcels(bucket: np.ndarray, columns: dict[str, tuple[np.ndarray, pa.Array] | np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One compressed parcel for each bucket; rows are sorted by bucket."""
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for start, stop in zip(cuts[:-1], cuts[1:]):
+        arrays = {}
+        for name, column in columns.items():
+            if isinstance(column, tuple):
+                codes, values = column[0][start:stop], column[1]
+                arrays[name] = values.take(pa.array(codes, mask=codes < 0))
+            else:
+                arrays[name] = pa.array(column[start:stop], pa.int64())
+        sink = io.BytesIO()
+        table_ = pa.table(arrays)
+        with pa.ipc.new_stream(sink, table_.schema, options=options) as writer:
+            writer.write_table(table_)
+        yield pa.RecordBatch.from_arrays([pa.array([bucket[start]], pa.int32()), pa.array([sink.getvalue()], pa.binary())], schema=_PARCEL)
+
+
+def _counted(rows: list[pa.RecordBatch], duck, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Distinct windows of some pieces with the sums of their weights, in parcels by bucket."""
     found = pa.Table.from_batches(rows).combine_chunks()
     words = pc.split_pattern(found["piece"], " ").combine_chunks()
     if isinstance(words, pa.ChunkedArray):
         words = words.chunk(0)
     sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    word, vocabulary = _codes(words.flatten())
-    lang, langs = _codes(found["lang"])
+    word, vocabulary, hashes = _codes(words.flatten())
+    lang, langs, lang_hashes = _codes(found["lang"])
+    lang, weight = np.repeat(lang, sizes), np.repeat(found["m"].to_numpy(), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(word))  # words up to the piece's end, this one included
     after = lambda k: np.where(left > k, np.concatenate([word[k:], np.zeros(k, np.int64)]), -1)
-    windows = pa.table({"l": np.repeat(lang, sizes), "a": word, "b": after(1), "c": after(2), "m": np.repeat(found["m"].to_numpy(), sizes)})
+    second = after(1)
+    pair = second >= 0
+    l, a, b, c, m = lang[pair], word[pair], second[pair], after(2)[pair], weight[pair]
+    windows = pa.table({"bucket": _bucket_of(lang_hashes[l], hashes[a], hashes[b], buckets), "l": l, "a": a, "b": b, "c": c, "m": m})
     duck.register("windows", windows)
-    reader = duck.sql("SELECT l, a, b, c, CAST(sum(m) AS bigint) AS m FROM windows GROUP BY ALL").to_arrow_reader(200_000)
-    totals = np.zeros((len(langs), len(vocabulary)), np.int64)
-    for batch in reader:
-        l, a, b, c, m = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-        np.add.at(totals, (l, a), m)
-        pair = b >= 0
-        if pair.any():
-            l, a, b, c, m = l[pair], a[pair], b[pair], c[pair], m[pair]
-            head = pc.binary_join_element_wise(vocabulary.take(pa.array(a)), vocabulary.take(pa.array(b)), " ")
-            tail = vocabulary.take(pa.array(c, mask=c < 0))
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(l)), head, tail, pa.array(m)], schema=_WINDOW)
+    sums = duck.sql("SELECT bucket, l, a, b, c, CAST(sum(m) AS bigint) AS m FROM windows GROUP BY ALL ORDER BY bucket, l, a, b, c").fetchnumpy()
     duck.unregister("windows")
-    l, a = np.nonzero(totals)
-    for k in range(0, len(l), 200_000):
-        at = slice(k, k + 200_000)
-        yield pa.RecordBatch.from_arrays([langs.take(pa.array(l[at])), vocabulary.take(pa.array(a[at])), pa.nulls(len(l[at]), pa.string()), pa.array(totals[l[at], a[at]])], schema=_WINDOW)
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _parcels(sums["bucket"], {"lang": (sums["l"], langs), "a": (sums["a"], vocabulary), "b": (sums["b"], vocabulary), "c": (sums["c"], vocabulary), "m": sums["m"]})
+    key, place = np.unique(lang * len(vocabulary) + word, return_inverse=True)
+    total = np.zeros(len(key), np.int64)
+    np.add.at(total, place, weight)
+    l, a = np.divmod(key, len(vocabulary))
+    bucket = _bucket_of(lang_hashes[l], hashes[a], np.zeros(len(a), np.uint64), buckets)
+    order = np.argsort(bucket, kind="stable")
+    none = (np.full(len(order), -1), vocabulary)
+    yield from _parcels(bucket[order], {"lang": (l[order], langs), "a": (a[order], vocabulary), "b": none, "c": none, "m": total[order]})
+
+
+def windows_of(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Parcels of the windows of a task's pieces, WORDS_AT_ONCE at a time."""
     with _Duck() as duck:
         held, words = [], 0
         for batch in batches:
@@ -120,32 +150,40 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words += pc.sum(pc.count_substring(batch.column("piece"), " ")).as_py() or 0
             words += batch.num_rows
             if words >= WORDS_AT_ONCE:
-                yield from _counted(held, duck)
+                yield from _counted(held, duck, buckets)
                 held, words = [], 0
         if words:
-            yield from _counted(held, duck)
+            yield from _counted(held, duck, buckets)
 
 
-def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def count_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of one bucket: phrases of LEAST and more occurrences, and words 0, the occurrences of all words."""
     with _Duck() as duck:
-        duck.execute("CREATE TABLE windows (lang varchar, head varchar, tail varchar, m bigint)")
+        duck.execute("CREATE TABLE windows (lang varchar, a varchar, b varchar, c varchar, m bigint)")
         for batch in batches:
-            duck.register("batch", pa.Table.from_batches([batch]))
-            duck.execute("INSERT INTO windows SELECT * FROM batch")
-            duck.unregister("batch")
-        heads = f"SELECT lang, CAST(1 + contains(head, ' ')::int AS int) AS words, head AS phrase, CAST(sum(m) AS bigint) AS f FROM windows GROUP BY lang, head HAVING sum(m) >= {LEAST}"
-        tails = f"SELECT lang, CAST(3 AS int) AS words, head || ' ' || tail AS phrase, CAST(sum(m) AS bigint) AS f FROM windows WHERE tail IS NOT NULL GROUP BY lang, head, tail HAVING sum(m) >= {LEAST}"
-        every = "SELECT lang, CAST(0 AS int) AS words, '' AS phrase, CAST(sum(m) AS bigint) AS f FROM windows WHERE NOT contains(head, ' ') GROUP BY lang"
-        for sql in (heads, tails, every):
+            for parcel in batch.column("windows"):
+                duck.register("parcel", pa.ipc.open_stream(parcel.as_buffer()).read_all())
+                duck.execute("INSERT INTO windows SELECT lang, a, b, c, m FROM parcel")
+                duck.unregister("parcel")
+
+        def sums(words: int, phrase: str, by: str, where: str, least: int) -> str:
+            return f"SELECT lang, CAST({words} AS int) AS words, {phrase} AS phrase, CAST(sum(m) AS bigint) AS f FROM windows WHERE {where} GROUP BY {by} HAVING sum(m) >= {least}"
+
+        for sql in (
+            sums(0, "''", "lang", "b IS NULL", 0),
+            sums(1, "a", "lang, a", "b IS NULL", LEAST),
+            sums(2, "a || ' ' || b", "lang, a, b", "b IS NOT NULL", LEAST),
+            sums(3, "a || ' ' || b || ' ' || c", "lang, a, b, c", "c IS NOT NULL", LEAST),
+        ):
             for batch in duck.sql(sql).to_arrow_reader(100_000):
                 yield batch.cast(_COUNT)
 
 
 def phrase_counts(docs: DataFrame) -> DataFrame:
     """(lang, words, phrase, f): all phrases of 1 to 3 words with f >= LEAST; rows of words 0 add up to a language's words."""
-    windows = pieces(docs).mapInArrow(_windows, WINDOW)
-    return windows.repartition(partitions(docs.sparkSession), "lang", "head").mapInArrow(_bucket, COUNT)
+    buckets = partitions(docs.sparkSession)
+    parcels = pieces(docs).mapInArrow(lambda batches: windows_of(batches, buckets), PARCEL)
+    return parcels.repartitionById(buckets, F.col("bucket")).mapInArrow(count_bucket, COUNT)
 
 
 def collocations(docs: DataFrame, stage: Stage | None = None) -> DataFrame:

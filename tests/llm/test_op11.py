@@ -66,10 +66,13 @@ def test_out_of_core(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(op11, "MEMORY_MB", 40)
-    heads = [f"word-number-{k} and-another-long-word-{k}" for k in range(100_000)]
-    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(heads)), pa.array(heads), pa.array(["tail"] * len(heads)), pa.array([3] * len(heads), pa.int64())], schema=op11._WINDOW)
-    got = pa.Table.from_batches(op11._bucket(iter([batch] * 5)))
-    assert got.num_rows == 2 * len(heads) and set(got["f"].to_pylist()) == {15}
+    n = 60_000
+    pieces = [f"word-number-{k} and-another-long-word-{k} last" for k in range(n)]
+    rows = pa.RecordBatch.from_arrays([pa.array(["en"] * n), pa.array(pieces), pa.array([3] * n, pa.int64())], names=["lang", "piece", "m"])
+    parcels = list(op11.windows_of(iter([rows] * 5), 1))
+    got = pa.Table.from_batches(op11.count_bucket(iter(parcels)))
+    assert got.num_rows == 1 + 2 * n + 1 + 2 * n + n
+    assert set(got["f"].to_pylist()) == {15, 15 * n, 45 * n}
 
 
 def test_exact_beyond_64_bits(spark, monkeypatch):
