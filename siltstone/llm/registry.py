@@ -13,6 +13,7 @@ from .op8_toxicity import op8_toxicity
 from .op9_decontamination import op9_decontamination
 from .op10_sorted_projections import op10_sorted_projections
 from .op11_collocations import OP11_SQL, op11_collocations
+from .op12_contextual_pii import op12_contextual_pii
 from .op13_conversation_repair import OP13_SQL, op13_conversation_repair
 from .sql import OP4_SQL, OP5_SQL, OP6_SQL, OP10_SQL
 
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_sorted_projections": op10_sorted_projections,
     "op11_collocations": op11_collocations,
+    "op12_contextual_pii": op12_contextual_pii,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
