@@ -40,9 +40,9 @@ TOP = 2000
 #: A longer candidate with this share (per cent) of the occurrences replaces a shorter one.
 SHARE = 50
 #: Words whose windows a task counts at once before it sends them.
-WORDS_AT_ONCE = 2_000_000
+WORDS_AT_ONCE = 600_000
 #: Memory of duckdb in one task, in MB; more goes to the task's folder.
-MEMORY_MB = 300
+MEMORY_MB = 200
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 PARCEL = "bucket int, windows binary"
@@ -80,8 +80,8 @@ def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     coded = pc.dictionary_encode(values)
     coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
     order = pc.sort_indices(coded.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
     distinct = coded.dictionary.take(pa.array(order))
     hashes = pd.util.hash_array(distinct.to_numpy(zero_copy_only=False), categorize=False)
     return rank[coded.indices.to_numpy(zero_copy_only=False)], distinct, hashes
@@ -121,8 +121,8 @@ def _counted(rows: list[pa.RecordBatch], duck, buckets: int) -> Iterator[pa.Reco
     word, vocabulary, hashes = _codes(words.flatten())
     lang, langs, lang_hashes = _codes(found["lang"])
     lang, weight = np.repeat(lang, sizes), np.repeat(found["m"].to_numpy(), sizes)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(word))  # words up to the piece's end, this one included
-    after = lambda k: np.where(left > k, np.concatenate([word[k:], np.zeros(k, np.int64)]), -1)
+    left = (np.repeat(np.cumsum(sizes), sizes) - np.arange(len(word))).astype(np.int32)  # words up to the piece's end, this one included
+    after = lambda k: np.where(left > k, np.concatenate([word[k:], np.zeros(min(k, len(word)), np.int32)]), np.int32(-1))
     second = after(1)
     pair = second >= 0
     l, a, b, c, m = lang[pair], word[pair], second[pair], after(2)[pair], weight[pair]
@@ -130,8 +130,10 @@ def _counted(rows: list[pa.RecordBatch], duck, buckets: int) -> Iterator[pa.Reco
     duck.register("windows", windows)
     sums = duck.sql("SELECT bucket, l, a, b, c, CAST(sum(m) AS bigint) AS m FROM windows GROUP BY ALL ORDER BY bucket, l, a, b, c").fetchnumpy()
     duck.unregister("windows")
+    del windows, left, second, pair, l, a, b, c, m
     yield from _parcels(sums["bucket"], {"lang": (sums["l"], langs), "a": (sums["a"], vocabulary), "b": (sums["b"], vocabulary), "c": (sums["c"], vocabulary), "m": sums["m"]})
-    key, place = np.unique(lang * len(vocabulary) + word, return_inverse=True)
+    del sums
+    key, place = np.unique(lang.astype(np.int64) * len(vocabulary) + word, return_inverse=True)
     total = np.zeros(len(key), np.int64)
     np.add.at(total, place, weight)
     l, a = np.divmod(key, len(vocabulary))
