@@ -48,6 +48,8 @@ SUPPORT, CONFIDENCE, LEAST_SCORE = 3, 0.5, 0.75
 ROUNDS = 3
 #: Patterns up to this number are broadcast (at most 70 characters each); more are shuffled.
 BROADCAST_PATTERNS = 100_000
+#: Patterns are held against one in so many texts before all texts: what stands in a place there is a lower bound.
+SLICES = 16
 #: Characters beside a match in which its words are looked for, and the most of a word.
 BESIDE, WORD = 120, 32
 
@@ -170,9 +172,17 @@ def scored(docs: DataFrame, spans: DataFrame, stage: Stage) -> DataFrame:
     edges = edges.groupBy("pattern", "value").agg(label)
     many = edges.groupBy("pattern").agg(F.count("*").alias("values")).where(F.col("values") >= SUPPORT)
     many = stage.write(many, "patterns")
-    patterns = many.join(_plain_places(docs, many, many.count() <= BROADCAST_PATTERNS), "pattern", "left").select("pattern", "values", F.coalesce("plain", F.lit(0)).alias("plain"))
-    # A pattern whose place holds too many plain words can't become confident, whatever its values' scores are.
-    patterns = patterns.where(F.col("values") >= CONFIDENCE * (F.col("values") + F.col("plain")))
+
+    def possible(over: DataFrame, patterns: DataFrame) -> DataFrame:
+        """Patterns that can become confident: those whose places hold too many plain words can't, whatever their values' scores are."""
+        counted = patterns.join(_plain_places(over, patterns, patterns.count() <= BROADCAST_PATTERNS), "pattern", "left")
+        counted = counted.select("pattern", "values", F.coalesce("plain", F.lit(0)).alias("plain"))
+        return counted.where(F.col("values") >= CONFIDENCE * (F.col("values") + F.col("plain")))
+
+    # Most go by what a part of the texts shows already; the counts that remain are of all texts.
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(SLICES)) == 0)
+    many = stage.write(possible(part, many).select("pattern", "values"), "possible-patterns")
+    patterns = possible(docs, many)
     edges = stage.write(edges.join(patterns, "pattern"), "edges")
     found = None
     for step in range(ROUNDS):
