@@ -32,6 +32,24 @@ def company_relation(left: Column, right: Column) -> Column:
     return F.when((n > 0) & (a == b), "same").when(prefix & ((n >= 2) | next_.isin(*UNITS)), "parent")
 
 
+def company_relations(names: DataFrame) -> DataFrame:
+    """All related pairs (left_name, right_name, relation) of names, left before right.
+
+    A related name's words are a beginning of the other's, so each name is looked up
+    under its whole sequence of words by all beginnings of the others: as many rows as
+    names have words, however many begin alike.
+    """
+    rows = names.where("name IS NOT NULL").distinct().withColumn("words", company_tokens(F.col("name"))).where(F.size("words") > 0)
+    begin = F.transform(F.sequence(F.lit(1), F.size("words")), lambda n: F.struct(F.array_join(F.slice("words", 1, n), " ").alias("key"), n.alias("n"), F.get("words", n).alias("next")))
+    longer = rows.select(F.col("name").alias("long_name"), F.explode(begin).alias("x")).select("long_name", "x.*")
+    longer = longer.where((F.col("n") >= 2) | F.col("next").isNull() | F.col("next").isin(*UNITS))
+    whole = rows.select(F.col("name").alias("short_name"), F.array_join("words", " ").alias("key"))
+    # Equal names find each other twice, and one name itself.
+    met = whole.join(longer, "key").where("short_name < long_name OR (next IS NOT NULL AND short_name != long_name)")
+    relation = F.when(F.col("next").isNull(), "same").otherwise("parent")
+    return met.select(F.least("short_name", "long_name").alias("left_name"), F.greatest("short_name", "long_name").alias("right_name"), relation.alias("relation"))
+
+
 def import_plan(rows: DataFrame, known: DataFrame) -> DataFrame:
     """Each imported row (seq, url_key, company, role) as new, known or repeated.
 

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import jaccard, normalized_description, token_set
+from .lineage import checkpointed
 
 #: Least characters of a normalised text, and words of a shingle.
 LEAST_CHARS, SHINGLE = 200, 3
@@ -13,27 +21,35 @@ LEAST_CHARS, SHINGLE = 200, 3
 BLOCKS = (10, 9, 9, 9, 9, 9, 9)
 
 
+#: Shingles whose bits are added up at once.
+AT_ONCE = 8192
+
+
+def _signs(words: list[str]) -> int:
+    """Signs of the sums of SHA-1 bits over the shingles of a text, as a signed number; equal sums give 0."""
+    ones, n = np.zeros(64, np.int64), len(words) - SHINGLE + 1
+    for start in range(0, n, AT_ONCE):
+        hashes = b"".join(hashlib.sha1(" ".join(words[i : i + SHINGLE]).encode()).digest()[:8] for i in range(start, min(n, start + AT_ONCE)))
+        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [text.split(" ") for text in batch.column("text").to_pylist()]
+        long_ = [k for k, found in enumerate(words) if len(found) >= SHINGLE]
+        values = pa.array([_signs(words[k]) for k in long_], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(long_, pa.int64())), values], names=["id", "fingerprint"])
+
+
 def simhash64(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fingerprint) of every text long enough: signs of the sums of SHA-1 bits over word shingles.
 
-    Repeated shingles are counted, not listed; the 64 sums are partial
-    aggregates, so a long text never meets in one task as rows of its own.
+    A text's bits are added up where it is read, over Arrow batches; nothing is shuffled.
     """
-    base = docs.select(F.col(id_col).alias("id"), normalized_description(F.col(text_col)).alias("text"))
-    base = base.where(F.length("text") >= LEAST_CHARS).select("id", F.split("text", " ").alias("words")).where(F.size("words") >= SHINGLE)
-    ends = [F.slice("words", k + 1, F.size("words") - SHINGLE + 1) for k in range(SHINGLE)]
-    shingles = base.select("id", F.explode(F.zip_with(F.zip_with(ends[0], ends[1], lambda a, b: F.concat_ws(" ", a, b)), ends[2], lambda a, b: F.concat_ws(" ", a, b))).alias("shingle"))
-    hashed = shingles.select("id", F.conv(F.substring(F.sha1("shingle"), 1, 16), 16, -10).cast("long").alias("h"))
-    # Two counters of set bits in each sum: bit b in its lower half, bit b + 32 in its upper.
-    both = F.lit((1 << 32) + 1).cast("long")
-    counts = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(both)).alias(f"b{b}") for b in range(32)]
-    sums = hashed.groupBy("id").agg(F.count("*").alias("n"), *counts)
-    value = F.lit(0).cast("long")
-    for b in range(64):
-        half = F.col(f"b{b % 32}")
-        ones = F.shiftrightunsigned(half, 32) if b >= 32 else half.bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
-        value = value.bitwiseOR(F.when(2 * ones > F.col("n"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return sums.select("id", value.alias("fingerprint"))
+    base = docs.select(F.col(id_col).alias("id"), normalized_description(F.col(text_col)).alias("text")).where(F.length("text") >= LEAST_CHARS)
+    schema = T.StructType([base.schema["id"], T.StructField("fingerprint", T.LongType())])
+    return base.mapInArrow(_prints, schema)
 
 
 def block_keys(fingerprint: Column) -> Column:
@@ -69,24 +85,52 @@ def hamming_join(left: DataFrame, right: DataFrame, most: int = 5, different: tu
     return out.select("left_id", "right_id", "distance", (1 - F.col("distance") / 64).alias("similarity"))
 
 
+#: Tokens of which the frequency is known when sets are ordered; the others come first, by hash.
+KNOWN_TOKENS = 20_000
+
+
+def _prefixes(threshold: float, rank: dict[int, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each set's rarest tokens, of which similar sets share one: (id, n, place, token), places from 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, places, tokens = [], [], [], []
+            for k, found in enumerate(batch.column("tokens").to_pylist()):
+                n = len(found)
+                first = sorted(found, key=lambda t: (rank.get(t, 0), t))[: n - math.ceil(n * threshold) + 1]
+                ids += [k] * len(first)
+                sizes += [n] * len(first)
+                places += range(1, len(first) + 1)
+                tokens += first
+            arrays = [batch.column("id").take(pa.array(ids, pa.int64())), pa.array(sizes, pa.int32()), pa.array(places, pa.int32()), pa.array(tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "place", "token"])
+
+    return run
+
+
 def jaccard_classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """Pairs (left_id, right_id, similarity, left_copies, right_copies) of token sets that meet a threshold above 0.
 
     Documents with equal sets are one class, named by its least id, and only classes
-    are paired (left_id < right_id); documents without tokens are in none.  Sets
-    that meet the threshold share one of their rarest tokens and have sizes within its factor,
-    so only such are joined, over 64-bit hashes of the tokens; the tokens
-    are taken once and kept.
+    are paired (left_id < right_id); documents without tokens are in none.  Sets are
+    64-bit hashes in one order, rare tokens first.  Similar sets share one of their
+    first tokens, have sizes within the threshold's factor, and after the first token
+    that they share as many others as the threshold asks for; only such are compared.
+    The order holds at any size: it takes frequencies of at most KNOWN_TOKENS tokens.
     """
     tokens = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.transform(token_set(F.col(text_col)), lambda w: F.xxhash64(w)))).alias("tokens"))
-    sets = tokens.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("id").alias("id"), F.count("*").alias("copies")).persist()
-    rows = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    often = rows.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = rows.join(often, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
-    size = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
-    prefix = ranked.select("id", "n", F.explode(F.slice("order", 1, F.least(size, F.size("order")))["token"]).alias("token"))
-    side = lambda name: prefix.select(F.col("id").alias(f"{name}_id"), F.col("n").alias(f"{name}_n"), "token")
-    fits = (F.col("left_id") < F.col("right_id")) & (F.least("left_n", "right_n") >= F.greatest("left_n", "right_n") * threshold)
+    sets = checkpointed(tokens.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    often = sets.select(F.explode("tokens").alias("token")).groupBy("token").count().orderBy(F.desc("count"), "token").limit(KNOWN_TOKENS)
+    rank = {r[0]: r[1] for r in often.collect()}
+    fields = [sets.schema["id"], *(T.StructField(c, T.IntegerType()) for c in ("n", "place")), T.StructField("token", T.LongType())]
+    prefix = sets.select("id", "tokens").mapInArrow(_prefixes(threshold, rank), T.StructType(fields))
+    side = lambda name: prefix.select("token", *(F.col(c).alias(f"{name}_{c}") for c in ("id", "n", "place")))
+    enough = F.lit(threshold / (1 + threshold)) * (F.col("left_n") + F.col("right_n")) - 1e-6
+    fits = (
+        (F.col("left_id") < F.col("right_id"))
+        & (F.least("left_n", "right_n") >= F.greatest("left_n", "right_n") * threshold)
+        & (F.least(F.col("left_n") - F.col("left_place"), F.col("right_n") - F.col("right_place")) + 1 >= enough)
+    )
     pairs = side("left").join(side("right"), "token").where(fits).select("left_id", "right_id").distinct()
     whole = lambda name: sets.select(F.col("id").alias(f"{name}_id"), F.col("tokens").alias(f"{name}_tokens"), F.col("copies").alias(f"{name}_copies"))
     scored = pairs.join(whole("left"), "left_id").join(whole("right"), "right_id").withColumn("similarity", jaccard(F.col("left_tokens"), F.col("right_tokens")))

@@ -37,13 +37,10 @@ p AS (SELECT a.name AS left_name, b.name AS right_name, CASE WHEN len(a.tok) <=
 r AS (SELECT left_name, right_name, CASE WHEN len(s) > 0 AND eq THEN 'same' WHEN len(s) > 0 AND l[1 : len(s)] = s AND (len(s) >= 2 OR coalesce(l[len(s) + 1], '') IN {_UNITS}) THEN 'parent' END AS relation FROM p)
 SELECT * FROM r WHERE relation IS NOT NULL""")
 def company_relations(spark, sf_dir):
-    """Related names among all names of parts and of their kinds; related names begin with one word, so only such meet."""
+    """Related names among all names of parts and of their kinds."""
     part = t.read(spark, sf_dir, "part")
     forms = ("p_name", "concat(p_name, ' Inc')", "concat(p_name, ' ', p_type)", "p_type", "concat(p_type, ' Labs')")
-    names = part.select(F.explode(F.array(*[F.expr(f) for f in forms])).alias("name")).distinct()
-    side = lambda c: names.select(F.col("name").alias(c), F.get(identity.company_tokens(F.col("name")), 0).alias("first"))
-    pairs = side("left_name").join(side("right_name"), "first").where("left_name < right_name").drop("first")
-    return pairs.withColumn("relation", identity.company_relation(F.col("left_name"), F.col("right_name"))).where("relation IS NOT NULL")
+    return identity.company_relations(part.select(F.explode(F.array(*[F.expr(f) for f in forms])).alias("name")))
 
 
 _IMPORT = """r AS (SELECT event_id AS seq, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'k' || CAST(event_id % 700 AS varchar) END AS url_key, 'c' || CAST(user_id AS varchar) || ' Inc' AS company, event_type AS role FROM events),

@@ -15,8 +15,21 @@ STAGES = {"view": "Applied", "click": "Responded", "signup": "Interview", "purch
 REASONS = {"view": "salary", "click": "location", "signup": "stale", "purchase": "seniority", "error": "other"}
 
 
+#: Tables of texts, by the column that spreads their rows.
+TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One table.
+
+    A table of texts whose scan has fewer splits than the session has cores (so less than a
+    split's size a core) is dealt over all cores; a larger one stays as its files are.
+    """
+    found = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and found.rdd.getNumPartitions() < cores:
+        return found.repartition(cores, TEXTS[name])
+    return found
 
 
 def _pick(values: tuple[str, ...], key: str) -> str:
