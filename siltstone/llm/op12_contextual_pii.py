@@ -48,8 +48,8 @@ SUPPORT, CONFIDENCE, LEAST_SCORE = 3, 0.5, 0.75
 ROUNDS = 3
 #: Patterns up to this number are broadcast (at most 70 characters each); more are shuffled.
 BROADCAST_PATTERNS = 100_000
-#: Patterns are held against one in so many texts before all texts: what stands in a place there is a lower bound.
-SLICES = 16
+#: Patterns are held against one in so many texts, then more, then all: what stands in a place in some texts is a lower bound.
+SLICES = (256, 16, 1)
 #: Characters beside a match in which its words are looked for, and the most of a word.
 BESIDE, WORD = 120, 32
 
@@ -156,13 +156,9 @@ def _plain_places(docs: DataFrame, patterns: DataFrame, broadcast: bool) -> Data
     cut = lambda c: F.substring(F.coalesce(c, F.lit("^")), 1, WORD).alias(c)
     rows = rows.select(*map(cut, ("two", "one", "word", "right")))
     wanted = patterns.select("pattern")
-    # Most places go by their left word alone, before any pattern is put together.
-    parts = F.split("pattern", " ")
-    lefts = wanted.select(F.when(F.size(parts) == 3, parts[0]).otherwise(parts[1]).alias("one")).distinct()
-    if broadcast:
-        wanted, lefts = F.broadcast(wanted), F.broadcast(lefts)
-    rows = rows.join(lefts, "one", "left_semi").select("word", F.explode(_patterns(F.col("two"), F.col("one"), F.col("right"))).alias("pattern"))
-    return rows.join(wanted, "pattern").distinct().groupBy("pattern").agg(F.count("*").alias("plain"))
+    rows = rows.select("word", F.explode(_patterns(F.col("two"), F.col("one"), F.col("right"))).alias("pattern"))
+    met = rows.join(F.broadcast(wanted) if broadcast else wanted, "pattern")
+    return met.distinct().groupBy("pattern").agg(F.count("*").alias("plain"))
 
 
 def scored(docs: DataFrame, spans: DataFrame, stage: Stage) -> DataFrame:
@@ -179,10 +175,10 @@ def scored(docs: DataFrame, spans: DataFrame, stage: Stage) -> DataFrame:
         counted = counted.select("pattern", "values", F.coalesce("plain", F.lit(0)).alias("plain"))
         return counted.where(F.col("values") >= CONFIDENCE * (F.col("values") + F.col("plain")))
 
-    # Most go by what a part of the texts shows already; the counts that remain are of all texts.
-    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(SLICES)) == 0)
-    many = stage.write(possible(part, many).select("pattern", "values"), "possible-patterns")
-    patterns = possible(docs, many)
+    # Most go by what some of the texts show already; the counts that remain are of all texts.
+    patterns = many
+    for k in SLICES:
+        patterns = stage.write(possible(docs.where(F.pmod(F.xxhash64("text"), F.lit(k)) == 0), patterns), f"possible-{k}")
     edges = stage.write(edges.join(patterns, "pattern"), "edges")
     found = None
     for step in range(ROUNDS):
