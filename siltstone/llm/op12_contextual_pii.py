@@ -171,7 +171,7 @@ def scored(docs: DataFrame, spans: DataFrame, stage: Stage) -> DataFrame:
 
     def possible(over: DataFrame, patterns: DataFrame) -> DataFrame:
         """Patterns that can become confident: those whose places hold too many plain words can't, whatever their values' scores are."""
-        counted = patterns.join(_plain_places(over, patterns, patterns.count() <= BROADCAST_PATTERNS), "pattern", "left")
+        counted = patterns.select("pattern", "values").join(_plain_places(over, patterns, patterns.count() <= BROADCAST_PATTERNS), "pattern", "left")
         counted = counted.select("pattern", "values", F.coalesce("plain", F.lit(0)).alias("plain"))
         return counted.where(F.col("values") >= CONFIDENCE * (F.col("values") + F.col("plain")))
 
