@@ -54,12 +54,12 @@ def url_host(url: Column) -> Column:
 
 
 def lookup_keys(url: Column, most_labels: int = MAX_LABELS, most_segments: int = MAX_SEGMENTS) -> Column:
-    """The keys under which a URL can be listed: host suffixes of two labels or more, and host/path prefixes."""
+    """The keys under which a URL can be listed: host suffixes of one label or more, and host/path prefixes."""
     host = url_host(url)
     labels = F.split(host, r"\.")
     n = F.size(labels)
     suffixes = F.transform(
-        F.sequence(F.lit(2), F.least(F.greatest(n, F.lit(2)), F.lit(max(2, most_labels)))),
+        F.sequence(F.lit(1), F.least(F.greatest(n, F.lit(1)), F.lit(max(1, most_labels)))),
         lambda k: F.array_join(F.slice(labels, F.greatest(n - k + 1, F.lit(1)), k), "."),
     )
     path = F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^?#]*)", 1)
@@ -112,6 +112,7 @@ LIST_ENTRIES = (
     ("review", "ththre.example.com/fr", "add", "2024-01-01"),
     ("review", "example.org", "add", "2024-07-01"),
     ("review", "example.org", "remove", "2024-07-03"),
+    ("review", "net", "add", "2024-12-24"),
 )
 #: The captures have no fetch time of their own: page n counts as fetched on day n mod 366 of 2024.
 FIRST_DAY, DAYS = "2024-01-01", 366
@@ -152,7 +153,7 @@ states AS (SELECT *, coalesce(lag(active) OVER (PARTITION BY list, key ORDER BY
 spans AS (SELECT list, key, active, effective_at AS valid_from,
   lead(effective_at) OVER (PARTITION BY list, key ORDER BY effective_at) AS valid_to FROM states WHERE active <> was),
 pages_at AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host,
-  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1)) AS path,
+  lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/+', '/', 'g')) AS path,
   CAST(date '{FIRST_DAY}' + CAST(page_id % {DAYS} AS int) AS date) AS fetched_on FROM pages),
 hits AS (SELECT DISTINCT page_id, list, key FROM pages_at p JOIN spans s
   ON s.active = 1 AND fetched_on >= valid_from AND (valid_to IS NULL OR fetched_on < valid_to)

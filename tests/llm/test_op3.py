@@ -23,7 +23,7 @@ def plain(captures, entries):
         if not host:
             continue
         labels = host.split(".")
-        keys = {host, *(".".join(labels[-k:]) for k in range(2, min(len(labels), op.MAX_LABELS) + 1))}
+        keys = {host, *(".".join(labels[-k:]) for k in range(1, min(len(labels), op.MAX_LABELS) + 1))}
         parts = [p for p in path.split("/") if p]
         keys |= {host + "/" + "/".join(parts[:k]).lower() for k in range(1, min(len(parts), op.MAX_SEGMENTS) + 1)}
         for name in {e[0] for e in entries}:
@@ -65,6 +65,14 @@ def test_plan_has_no_python(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_entries_of_one_label(spark):
+    """A top-level domain, and an internal host without a dot."""
+    captures = spark.createDataFrame([(1, "https://a.example.com/x", "2024-05-01"), (2, "http://intranet//a", "2024-05-01"), (3, "https://com.example.org/", "2024-05-01")], "id long, url string, day string")
+    entries = spark.createDataFrame([("block", "com", "add", "2024-01-01"), ("block", "intranet/a", "add", "2024-01-01"), ("review", "intranet", "add", "2024-01-01")], "list string, key string, action string, effective_at string")
+    got = {(r["id"], r["list"], r["key"]) for r in op.temporal_list_join(captures, entries, "id", "url", "day").collect()}
+    assert got == {(1, "block", "com"), (2, "review", "intranet"), (2, "block", "intranet/a")}
+
+
 def test_deep_entries(spark):
     c = spark.createDataFrame([(1, "http://x.a.b.c.d.e.org/1/2/3/4/5", day(1)), (2, "http://h.org/1/2/3/4/5", day(1)), (3, "http://h.org/1/2/3", day(1))], "id long, url string, at date")
     e = spark.createDataFrame([("x", "a.b.c.d.e.org", "add", day(0)), ("x", "h.org/1/2/3/4", "add", day(0))], "list string, key string, action string, effective_at date")
