@@ -12,8 +12,13 @@ gives a pair if the pair shares several, or lines that together are long enough
 The alignment is a patience diff: lines that are unique in both, their longest
 increasing subsequence, and the same again between them; runs grow from there.  Where
 no line is unique in both, the longest common run is taken.  Aligned common
-blocks that are long enough are deleted from the later document.  All alignments
-are made on the input, not on what is left.
+blocks that are long enough are deleted from the later document.  An alignment keeps the
+order, so blocks that stand in another order in the later document are looked for in
+what it left.  All alignments are made on the input, not on what is left.
+
+The result is that of all pairs: a line goes if and only if it lies in a run of lines, of
+a block's bytes, that a document with a smaller id has as well.  The shortest such run around the
+line has a first document, and that is a partner; so the number of holders changes no result.
 
 A document is an edited copy if it has as many lines as an earlier one between any two
 aligned blocks, and a quarter of its bytes aligned: only lines within changed.  Its lines
@@ -29,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -94,11 +100,8 @@ def _unique_in_both(a: list[int], lo: int, hi: int, b: list[int], left: int, rig
     return sorted((once[line], j) for line, j in other.items() if j >= 0)
 
 
-def _longest_common(a: list[int], lo: int, hi: int, b: list[int], left: int, right: int) -> tuple[int, int, int]:
-    """Begin in a, begin in b and lines of the longest run that both ranges have, by a suffix automaton of the first."""
-    both = set(a[lo:hi]).intersection(b[left:right])
-    if not both:
-        return lo, left, 0
+def _automaton(a: list[int], lo: int, hi: int) -> tuple[list[dict[int, int]], list[int], list[int], list[int]]:
+    """Suffix automaton of a range: steps, links, longest lengths, ends of first occurrences."""
     step: list[dict[int, int]] = [{}]
     link, size, end = [-1], [0], [lo]
     last = 0
@@ -127,6 +130,15 @@ def _longest_common(a: list[int], lo: int, hi: int, b: list[int], left: int, rig
                 to = twin
             link[new] = to
         last = new
+    return step, link, size, end
+
+
+def _longest_common(a: list[int], lo: int, hi: int, b: list[int], left: int, right: int) -> tuple[int, int, int]:
+    """Begin in a, begin in b and lines of the longest run that both ranges have."""
+    both = set(a[lo:hi]).intersection(b[left:right])
+    if not both:
+        return lo, left, 0
+    step, link, size, end = _automaton(a, lo, hi)
     best, at, n = (lo, left, 0), 0, 0
     for j in range(left, right):
         while at and b[j] not in step[at]:
@@ -139,6 +151,36 @@ def _longest_common(a: list[int], lo: int, hi: int, b: list[int], left: int, rig
     return best
 
 
+def _moved(a: list[int], b: list[int], sizes: list[int], gone: set[int], least: int) -> set[int]:
+    """Lines of b in runs of `least` bytes that a has as well, where an alignment, which keeps the order, left some of their lines."""
+    have, stretches, start = set(a), [], None
+    for j in range(len(b) + 1):
+        inside = j < len(b) and b[j] in have
+        if inside and start is None:
+            start = j
+        elif not inside and start is not None:
+            if any(k not in gone for k in range(start, j)) and sum(sizes[start:j]) >= least:
+                stretches.append((start, j))
+            start = None
+    if not stretches:
+        return set()
+    step, link, size, _ = _automaton(a, 0, len(a))
+    sums = [0, *accumulate(sizes)]
+    out, marked = set(), 0
+    for start, stop in stretches:
+        at, n = 0, 0
+        for j in range(start, stop):
+            while at and b[j] not in step[at]:
+                at = link[at]
+                n = size[at]
+            if b[j] in step[at]:
+                at, n = step[at][b[j]], n + 1
+            if sums[j + 1] - sums[j + 1 - n] >= least:
+                out.update(range(max(j + 1 - n, marked), j + 1))
+                marked = j + 1
+    return out
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence that increases in both places, by patience sorting."""
     from bisect import bisect_left
@@ -231,9 +273,10 @@ def _aligned(least: int):
             rows = []
             for doc, key, lines, sizes, first in zip(*(c.to_pylist() for c in batch.columns)):
                 blocks = patience(first, lines)
-                gone = [k for _, at, n in blocks if sum(sizes[at : at + n]) >= least for k in range(at, at + n)]
+                gone = {k for _, at, n in blocks if sum(sizes[at : at + n]) >= least for k in range(at, at + n)}
+                gone |= _moved(first, lines, sizes, gone, least)
                 if gone:
-                    rows.append((doc, key, gone, _edited(blocks, sizes, len(first))))
+                    rows.append((doc, key, sorted(gone), _edited(blocks, sizes, len(first))))
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "text_key", "gone", "edited"])

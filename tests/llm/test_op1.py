@@ -24,48 +24,19 @@ def test_patience_keeps_unique_lines_in_order():
     assert op.patience([], [1]) == []
 
 
-def plain(rows, evidence, rare, several, block):
-    """The rule by loops over all pairs of documents of distinct ids."""
-    order = sorted(r for r in rows if r[0] is not None)
-    lines = {i: (t or "").split("\n") if t else [] for i, t in order}
+def plain(rows, block):
+    """By all pairs of documents: a line goes if it lies in a run of a block's bytes that a document with a smaller id has as well."""
     size = lambda x: len(x.encode())
-    first_text, copies = {}, set()
-    for i, t in order:
-        if first_text.setdefault(t or "", i) != i:
-            copies.add(i)
-
-    def runs(x):
-        """Shortest runs of a block's bytes from each line on and up to each line."""
-        out = set()
-        for k in range(len(x)):
-            for some in ([x[k:e] for e in range(k + 1, len(x) + 1)], [x[b : k + 1] for b in range(k, -1, -1)]):
-                out.update([next((tuple(r) for r in some if sum(map(size, r)) >= block), ())])
-        return out - {()}
-
-    holders, run_first = {}, {}
-    for i in lines:
-        if i not in copies:
-            for line in {x for x in lines[i] if size(x) >= evidence}:
-                holders.setdefault(line, []).append(i)
-            for r in runs(lines[i]):
-                run_first.setdefault(r, i)
-    gone = {i: set() for i in lines}
-    for b in lines:
-        for a in lines:
-            if a >= b or a in copies or b in copies:
-                continue
-            both = {x for x in {*lines[a]} & {*lines[b]} if size(x) >= evidence}
-            star = [x for x in both if len(holders[x]) > rare and holders[x][0] == a]
-            partner = any(len(holders[x]) <= rare for x in both) or len(star) >= several or sum(map(size, star)) >= block
-            if partner or any(run_first[r] == a for r in runs(lines[b])):
-                for _, j, k in op.patience(lines[a], lines[b]):
-                    if sum(map(size, lines[b][j : j + k])) >= block:
-                        gone[b].update(range(j, j + k))
+    lines = {i: (t or "").split("\n") if t else [] for i, t in rows if i is not None}
+    runs = {i: {tuple(x[b:e]) for b in range(len(x)) for e in range(b + 1, len(x) + 1)} for i, x in lines.items()}
     out = {}
-    for i in lines:
-        whole = i in copies and sum(map(size, lines[i])) >= block
-        kept = [] if whole else [x for k, x in enumerate(lines[i]) if k not in gone[i]]
-        out[i] = (len(lines[i]), len(lines[i]) - len(kept), "\n".join(kept))
+    for i, x in lines.items():
+        gone = set()
+        for b in range(len(x)):
+            for e in range(b + 1, len(x) + 1):
+                if sum(map(size, x[b:e])) >= block and any(j < i and tuple(x[b:e]) in runs[j] for j in lines):
+                    gone.update(range(b, e))
+        out[i] = (len(x), len(gone), "\n".join(line for k, line in enumerate(x) if k not in gone))
     return out
 
 
@@ -77,7 +48,23 @@ def test_against_all_pairs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     for rare, several in ((3, 2), (20, 3), (1, 1)):
         got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept"]) for r in op.aligned_line_dedup(texts(df), rare=rare, several=several).collect()}
-        assert got == plain(rows, op.EVIDENCE, rare, several, op.BLOCK)
+        assert got == plain(rows, op.BLOCK)
+
+
+def test_crossed_blocks_with_many_holders(spark):
+    """Two long lines in one order in twelve documents, and in the other order in two later ones."""
+    x, y = "x" * 69 + "!", "y" * 69 + "?"
+    rows = [(k, f"{x}\nown {k}\n{y}") for k in range(1, 13)] + [(20, f"{y}\n{x}\nown 20"), (21, f"{y}\n{x}\nown 21"), (22, f"{x}\n{y}")]
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept"]) for r in op.aligned_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain(rows, op.BLOCK)
+    assert got[20][1] == got[21][1] == got[22][1] == 2
+
+
+def test_one_very_long_line(spark):
+    line = "a line without an end " * 50_000
+    rows = [(1, line), (2, f"x\n{line}"), (3, line + "y")]
+    got = {r["doc_id"]: r["n_removed"] for r in op.aligned_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
 
 
 def test_later_holders_of_rare_lines_are_partners(spark):
