@@ -14,15 +14,50 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(found), r"\.+$", "")
 
 
+def _port(value: Column) -> Column:
+    """':8443', '' for none or the scheme's own."""
+    found = F.regexp_extract(value, r"^[A-Za-z]+://[^/?#]*?:([0-9]+)(?:[/?#]|$)", 1)
+    own = (found == "") | (found == "443") | (value.rlike("(?i)^http:") & (found == "80"))
+    return F.when(own, "").otherwise(F.concat(F.lit(":"), found))
+
+
+def _pairs(query: Column) -> Column:
+    """Parameters as (name, rest): the rest begins with '=' or is empty."""
+    parts = F.filter(F.split(query, "&"), lambda p: p != "")
+    return F.transform(parts, lambda p: F.struct(F.split(p, "=", 2)[0].alias("name"), F.regexp_replace(p, "^[^=]*", "").alias("rest")))
+
+
+# A job's page within a page (fixed value), and the parameters that name a language.
+_JOB_FRAGMENT = r"(?i)#!?/jobs?/([^/?#]+)/?(?:\?([^#]*))?$"
+_LANGUAGE = "^(language|lang|locale)$"
+
+
+def _fragment_pairs(value: Column, name: Column, given: Column) -> Column:
+    """Parameters that a fragment stands for: the id of a job, and its language where the query has none; other fragments mean nothing."""
+    job = F.try_url_decode(F.regexp_replace(F.regexp_extract(value, _JOB_FRAGMENT, 1), r"\+", "%2B"))
+    asked = F.filter(_pairs(F.regexp_extract(value, _JOB_FRAGMENT, 2)), lambda p: p["name"].rlike(_LANGUAGE) & (F.length(p["rest"]) > 1) & ~F.exists(given, lambda g: g["name"] == p["name"]))
+    label = F.when(name == "app.mokahr.com", "mokahr_job_id").otherwise("fragment_job_id")
+    none = F.array().cast("array<struct<name:string,rest:string>>")
+    return F.when(F.coalesce(job, F.lit("")) != "", F.concat(F.array(F.struct(label.alias("name"), F.concat(F.lit("="), job).alias("rest"))), asked)).otherwise(none)
+
+
 def normalized_url(url: Column, tracking: str = TRACKING) -> Column:
-    """A stable key: https, lower host, no fragment, no tracking parameters, the rest sorted, no trailing slash; '' for others than http(s)."""
+    """A stable key: https, lower host, its port, no tracking parameters, the rest sorted, no trailing slash; '' for others than http(s).
+
+    A fragment is dropped, but for the job's id in ``#/job/{id}`` and ``#/jobs/{id}``, which becomes a parameter.
+    One vendor's jobs have one shape, whether the id stands in the path or in the query.
+    """
     value = F.trim(F.coalesce(url, F.lit("")))
+    name = host(value)
     path = F.regexp_extract(value, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
     path = F.when(path == "", "/").when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
-    query = F.regexp_extract(value, r"^[^?#]*\?([^#]*)", 1)
-    pairs = F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.split(p, "=")[0].rlike("(?i)" + tracking))
-    kept = F.array_join(F.array_sort(pairs), "&")
-    key = F.concat(F.lit("https://"), host(value), path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+    given = _pairs(F.regexp_extract(value, r"^[^?#]*\?([^#]*)", 1))
+    pairs = F.filter(F.concat(given, _fragment_pairs(value, name, given)), lambda p: ~p["name"].rlike("(?i)" + tracking))
+    kept = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p["name"], p["rest"])), "&")
+    key = F.concat(F.lit("https://"), name, _port(value), path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+    job = F.coalesce(F.nullif(F.regexp_extract(path, "(?i)^/careers/job/([0-9]+)$", 1), F.lit("")), F.when(path.rlike("(?i)^/careers$"), F.regexp_extract(value, r"[?&]pid=([0-9]+)(?:[&#]|$)", 1)))
+    one_shape = (name == "apply.careers.microsoft.com") & (F.coalesce(job, F.lit("")) != "")
+    key = F.when(one_shape, F.concat(F.lit("https://apply.careers.microsoft.com/careers?domain=microsoft.com&pid="), job)).otherwise(key)
     return F.when(value.rlike(r"(?i)^https?://[^/?#]"), key).otherwise("")
 
 

@@ -84,7 +84,7 @@ def posting_language(url: Column) -> Column:
 
 
 def job_key(url: Column) -> Column:
-    """One key for all spellings of a job's URL: the vendor's id where it shows, else the plain URL in lower case; '' for none.
+    """One key for all spellings of a job's URL: the vendor's id where it shows, else the plain URL with its path in lower case; '' for none.
 
     Language and visitor parameters, a locale before a path, and the last step of an application form don't count.
     """
@@ -101,7 +101,9 @@ def job_key(url: Column) -> Column:
     indeed = F.when(on_domains(name, ("indeed.com",)), F.coalesce(found(param(url, "jk")), found(param(url, "vjk"))))
     recruiters = r"(?i)^/([^/]+)/(" + _UUID + r"|[0-9]+)(?:-[^/]*)?/?$"
     smart = F.when((name == "jobs.smartrecruiters.com") & way.rlike(recruiters), F.lower(F.concat_ws("/", F.regexp_extract(way, recruiters, 1), F.regexp_extract(way, recruiters, 2))))
-    plain = F.lower(normalized_url(F.regexp_replace(url, rf"(?i)([?&])(?:{LANGUAGE_PARAMS}|{SOURCE_PARAMS})=[^&#]*", "$1")))
+    whole = normalized_url(F.regexp_replace(url, rf"(?i)([?&])(?:{LANGUAGE_PARAMS}|{SOURCE_PARAMS})=[^&#]*", "$1"))
+    # Ids in parameters may differ in case only; paths don't.
+    plain = F.concat(F.lower(F.regexp_extract(whole, r"^[^?]*", 0)), F.regexp_extract(whole, r"\?.*$", 0))
     plain = F.when(name.rlike(r"\.myworkdayjobs\.com$"), F.regexp_replace(plain, r"^(https://[^/]+)/[a-z]{2}-[a-z]{2}(?=/)", "$1")).otherwise(plain)
     form = rf"^(https://jobs\.(?:lever\.co|ashbyhq\.com)/[^/]+/(?:{_UUID}|[0-9]+))/(?:apply|application)$"
     plain = F.regexp_replace(plain, form, "$1")

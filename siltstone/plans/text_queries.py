@@ -103,6 +103,24 @@ def url_normalize(spark, sf_dir):
     return t.read(spark, sf_dir, "pages").select("page_id", urls.normalized_url(F.col("url")).alias("key"))
 
 
+_APPS = {"job": "#/job/", "jobs": "#!/jobs/", "section": "#part-", "port": ""}
+
+
+@query(f"""WITH {_URL}, parts AS (SELECT page_id, host, CASE WHEN path_ = '' THEN '/' WHEN length(path_) > 1 THEN regexp_replace(path_, '/$', '') ELSE path_ END AS path, kept FROM
+  (SELECT n.page_id, n.host, n.path AS path_, n.kept FROM n)),
+kinds AS (SELECT page_id, kind, 'https://' || host || CASE WHEN kind = 'port' THEN ':8443' ELSE '' END || path AS front,
+  list_sort(CASE WHEN kind IN ('job', 'jobs') THEN kept || ['fragment_job_id=J ' || CAST(page_id AS varchar)] ELSE kept END) AS all_ FROM parts, (VALUES ('job'), ('jobs'), ('section'), ('port')) v(kind))
+SELECT page_id, kind, front || CASE WHEN len(all_) = 0 THEN '' ELSE '?' || array_to_string(all_, '&') END AS key FROM kinds""")
+def app_url_keys(spark, sf_dir):
+    """Keys of pages within pages: a job's id in the fragment counts, other fragments don't, a port does."""
+    pages = t.read(spark, sf_dir, "pages").where("url IS NOT NULL")
+    plain = F.regexp_replace("url", "#.*$", "")
+    ported = F.regexp_replace(plain, "^([A-Za-z]+://[^/?#]+)", "$1:8443")
+    spelt = [F.when(F.col("kind") == k, F.concat(plain, F.lit(mark), F.lit("J%20"), F.col("page_id").cast("string"))) for k, mark in _APPS.items() if mark]
+    rows = pages.select("page_id", "url", F.explode(F.array(*map(F.lit, _APPS))).alias("kind"))
+    return rows.select("page_id", "kind", urls.normalized_url(F.coalesce(*spelt, ported)).alias("key"))
+
+
 @query(f"WITH {_URL} SELECT key, min(page_id) AS page_id, min_by(url, page_id) AS url FROM k GROUP BY key")
 def first_page_per_url(spark, sf_dir):
     rows = t.read(spark, sf_dir, "pages").select("page_id", "url", urls.normalized_url(F.col("url")).alias("key"))

@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.functions import markup, privacy, text, urls, values
+from siltstone.functions import markup, privacy, text, urls, values, vendors
 
 
 def column(spark, rows, expr, kind="string"):
@@ -67,6 +67,30 @@ def test_urls(spark):
     assert column(spark, raw, urls.normalized_url) == ["https://a.example.com/x?a=1&b=2", "https://b.example.com/", "", "", ""]
 
 
+def test_urls_of_pages_within_pages(spark):
+    """Ids of jobs in fragments, ports, and parameters that differ in case name different jobs."""
+    cases = {
+        "https://x.org/#/job/1": "https://x.org/?fragment_job_id=1",
+        "https://x.org/#!/jobs/a%20b/": "https://x.org/?fragment_job_id=a b",
+        "https://x.org/#/job/1%zz": "https://x.org/",
+        "https://x.org/a/?q=2#/jobs/2?lang=de&x=1": "https://x.org/a?fragment_job_id=2&lang=de&q=2",
+        "https://x.org/a?lang=fr#/jobs/2?lang=de": "https://x.org/a?fragment_job_id=2&lang=fr",
+        "https://app.mokahr.com/apply/x#/job/9": "https://app.mokahr.com/apply/x?mokahr_job_id=9",
+        "https://x.org/#/job/": "https://x.org/",
+        "https://x.org/#/team/1": "https://x.org/",
+        "https://x.org:8443/a?id=AbC": "https://x.org:8443/a?id=AbC",
+        "http://x.org:80/a": "https://x.org/a",
+        "https://x.org:443/a": "https://x.org/a",
+        "https://user@x.org:81/a": "https://x.org:81/a",
+        "https://apply.careers.microsoft.com/careers/job/17": "https://apply.careers.microsoft.com/careers?domain=microsoft.com&pid=17",
+        "https://apply.careers.microsoft.com/careers?domain=microsoft.com&pid=17&x=1": "https://apply.careers.microsoft.com/careers?domain=microsoft.com&pid=17",
+        "https://apply.careers.microsoft.com/careers?q=data": "https://apply.careers.microsoft.com/careers?q=data",
+    }
+    assert dict(zip(cases, column(spark, list(cases), urls.normalized_url))) == cases
+    keys = column(spark, ["https://X.org/A?id=AbC", "https://x.org/a?id=aBc", "https://x.org/a?lang=de&id=AbC", "https://x.org/#/job/1?lang=de", "https://x.org/#/job/1", "https://x.org/#/job/2"], vendors.job_key)
+    assert keys[0] == keys[2] != keys[1] and keys[3] == keys[4] != keys[5]
+
+
 def test_listing_key(spark):
     key = spark.range(1).select(urls.listing_key(F.lit("greenhouse"), F.lit("example"), F.lit("12345")), urls.listing_key(F.lit("x"), F.lit(None), F.lit("1"))).first()
     assert key[0].startswith("listing_v1_a8b20889") and key[0].endswith("ecc6") and key[1] is None
