@@ -5,14 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Named entities (fixed values); &amp; comes last, so that one pass decodes one level.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
-
-
-def decoded(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+from .scanners import entities_decoded
 
 
 def html_to_text(html: Column, most: int = 4000) -> Column:
@@ -22,7 +15,7 @@ def html_to_text(html: Column, most: int = 4000) -> Column:
     out = F.regexp_replace(out, r"(?is)<script\b[^>]*>.*?</script\s*>", " ")
     out = F.regexp_replace(out, r"(?is)<style\b[^>]*>.*?</style\s*>", " ")
     for _ in range(2):
-        out = decoded(F.regexp_replace(out, r"<[^>]*>", " "))
+        out = entities_decoded(F.regexp_replace(out, r"<[^>]*>", " "))
     return F.substring(F.trim(F.regexp_replace(out, r"\s+", " ")), 1, most)
 
 
@@ -30,12 +23,12 @@ def block_text(html: Column) -> Column:
     """Like html_to_text, whole and with a line for each block."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", " ")
     out = F.regexp_replace(out, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|section|article|ul|ol|table)\s*>", "\n")
-    out = decoded(F.regexp_replace(out, r"<[^>]*>", ""))
+    out = entities_decoded(F.regexp_replace(out, r"<[^>]*>", ""))
     lines = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r" *\n\s*", "\n")
     return F.regexp_replace(lines, r"^\s+|\s+$", "")
 
 
-INVISIBLE = "[­​-‏‪-‮⁠-⁤﻿]"
+INVISIBLE = "[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]"
 
 
 def without_invisible(text: Column) -> Column:

@@ -28,7 +28,8 @@ def _html_sql(column: str) -> str:
         out = f"regexp_replace({out}, '{pattern}', ' ', '{flags}')"
     for _ in range(2):
         out = f"regexp_replace({out}, '<[^>]*>', ' ', 'g')"
-        for name, char in markup.ENTITIES:
+        # The references of these pages; &amp; comes last, so that one pass decodes one level.
+        for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&middot;", "·"), ("&amp;", "&")):
             out = "replace({}, '{}', '{}')".format(out, name, char.replace("'", "''"))
     return f"substr(trim(regexp_replace({out}, '\\s+', ' ', 'g')), 1, 4000)"
 
