@@ -59,45 +59,78 @@ _labelled("import_stages", "orders", "o_orderkey", {
     "": "APPLIED", "aplicado": "APPLIED", "Bookmarked": "", "phone screen": "RESPONDED", "final round": "INTERVIEW", "Negotiating": "OFFER", "not selected": "REJECTED",
     "withdrawn": "DISCARDED", "something else": None, "**Hired**": "HIRED", "Geo Blocker": "SKIP",
 }, labels.import_stage, "stage")
-_labelled("rank_stamps", "orders", "o_orderkey", {
-    "4/5 — strong match": (4.0, "strong match"), "rank: 3.5/5 - near": (3.5, "near"), "2 / 5 –  far ": (2.0, "far"), "5/5": (None, None), "4/6 - x": (None, None), "": (None, None),
-}, labels.rank_stamp, "score", "reason")
-_labelled("role_levels", "orders", "o_orderkey", {
-    "Engineer II": "2", "Engineer Level 3 (Remote)": "3", "Engineer II/III": "2,3", "5G Engineer": "", "Analyst, IV": "4", "VI - Lead": "6", "Web3 Developer 3.0": "", "i Engineer": "1",
-}, lambda c: F.array_join(labels.levels(c), ","), "levels")
-_labelled("role_acronyms", "orders", "o_orderkey", {
-    "QA Engineer": "QA", "ML and NLP Lead": "ML,NLP", "SENIOR QA ENGINEER": "", "Senior SRE II": "SRE", "Developer": "", "AI/ML Engineer": "AI,ML", "Agent007 CX2": "",
-}, lambda c: F.array_join(labels.acronyms(c), ","), "acronyms")
-_labelled("from_headers", "orders", "o_orderkey", {
-    '"Ann Lee" <Ann.Lee@Example.com>': ("Ann Lee", "ann.lee@example.com"), "bob@example.org": ("", "bob@example.org"), "Careers Team": ("Careers Team", None), "Eve <nowhere>": ("Eve", None),
-    "": ("", None), "<x@y.io>": ("", "x@y.io"),
-}, labels.from_header, "name", "email")
 _labelled("contact_types", "orders", "o_orderkey", {
     "I am the hiring manager": "hiring-manager", "the interview panel meets": "interviewer", "Your panelist": "interviewer", "hello": "recruiter", "": "recruiter",
     "the hiring manager and interviewer": "hiring-manager",
 }, labels.contact_type, "type")
-_labelled("company_slugs", "orders", "o_orderkey", {
-    "Zoë Café": "zoe-cafe", "Acme, Inc.": "acme-inc", "  R&D 2000 ": "r-d-2000", "": None, "—": None, "ÜBER Größe": "uber-gro-e",
-}, labels.slug, "slug")
 _labelled("placeholder_cells", "orders", "o_orderkey", {"Acme": 0, "—": 1, " N/A ": 1, "": 1, "None of us": 0, "Confidential": 1}, lambda c: labels.placeholder(c).cast("int"), "placeholder")
 _labelled("fit_tones", "orders", "o_orderkey", {
     "**Strong** match": "good", "Gap in years": "bad", "partial": "warn", "Adjacent field": "warn", "strongly": None, "Exceeds": "good", "missing": "bad", "": None, "failing": "bad",
     "ok but this cell goes on for so long that it is no verdict any more": None,
 }, labels.fit_tone, "tone")
-_labelled("token_values", "events", "event_id", {"12.3k": 12300, "1,234": 1234, " 0.5K ": 500, "": 0, "many": 0, "77 tokens": 77}, labels.token_value, "tokens")
-_labelled("posting_hrefs", "orders", "o_orderkey", {
-    "https://example.com/1": "https://example.com/1", "[Job](https://example.com/2)": "https://example.com/2", "see [x](mailto:a) or [y](http://example.com/3)": "http://example.com/3",
-    "no link": None, "": None, "https://example.com/ 4": None,
-}, labels.href, "href")
-_labelled("status_cleanups", "orders", "o_orderkey", {
-    "**Applied** 2024-01-05": ("APPLIED", "2024-01-05"), "Duplicado #12": ("DISCARDED", "Duplicado #12"), "Rejected (no reply)": ("REJECTED", "(no reply)"), "aplicado": ("APPLIED", ""),
-    "": ("DISCARDED", ""), "Interview 3rd round": ("INTERVIEW", "3rd round"),
-}, labels.status_cleanup, "status", "note")
 _labelled("workplace_types", "orders", "o_orderkey", {" Remote ": "remote", "HYBRID": "hybrid", "on-site": "onsite", "onsite": "onsite", "office": None, "": None}, matchers.workplace, "workplace")
-_labelled("posting_urls", "orders", "o_orderkey", {
-    " https://example.com/a ": "https://example.com/a", "http://u:p@example.com": None, "ftp://example.com": None, "https://": None, "": None, "HTTPS://Example.com": "HTTPS://Example.com",
-}, matchers.posting_url, "url")
-_labelled("coverage_bands", "lineitem", "l_orderkey", {"80": "strong", "75": "strong", "74": "partial", "50": "partial", "49": "weak", "": None}, lambda c: labels.coverage_band(c.try_cast("double")), "band", row="l_orderkey * 10 + l_linenumber")
+
+def _read_off(name: str, table: str, row: str, cell: str, function, where: str = "true", /, **means: str) -> None:
+    """Register a query that labels every row of a table by a cell of its own columns; the SQL of each output says what the columns mean."""
+    outputs = list(means)
+
+    def run(spark, sf_dir):
+        found = t.read(spark, sf_dir, table).where(where).select(F.expr(row).alias("n"), function(F.expr(cell)).alias("found"))
+        if len(outputs) == 1:
+            return found.select("n", F.col("found").alias(outputs[0]))
+        return found.select("n", *[F.col(f"found.{o}").alias(o) for o in outputs])
+
+    run.__name__, run.__doc__ = name, f"{', '.join(outputs)} of {cell} for every row of {table}."
+    QUERIES[name] = run
+    SQL[name] = f"SELECT {row} AS n, " + ", ".join(f"{sql} AS {o}" for o, sql in means.items()) + f" FROM {table} WHERE {where}"
+
+
+_DAY = "CAST(CAST(o_orderdate AS date) AS varchar(10))"
+_read_off(
+    "rank_stamps", "orders", "o_orderkey", "concat('rank: ', CAST(CAST(floor(o_totalprice / 100000) AS int) AS varchar(9)), ' /5 - ', o_orderpriority)", labels.rank_stamp,
+    score="CAST(floor(o_totalprice / 100000) AS double)", reason="trim(o_orderpriority)",
+)
+_read_off(
+    "role_levels", "part", "p_partkey", "concat(p_name, ' Level ', CAST(p_size AS varchar(9)), '/', substr(p_brand, 7))", lambda c: F.array_join(labels.levels(c), ","),
+    levels="array_to_string(list_sort(list_distinct(list_filter([p_size, TRY_CAST(substr(p_brand, 7) AS int)], lambda x: x BETWEEN 1 AND 6))), ',')",
+)
+_read_off(
+    "role_acronyms", "documents", "doc_id", "text", lambda c: F.array_join(labels.acronyms(c), ","),
+    acronyms=f"""CASE WHEN regexp_matches(coalesce(text, ''), '[\\p{{Ll}}\\p{{Lt}}\\p{{Lm}}\\p{{Lo}}]') THEN
+  array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda w: regexp_full_match(w, '[A-Z]{{2,3}}') AND w NOT IN {labels.NO_ACRONYMS}))), ',') ELSE '' END""",
+)
+_MAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*[A-Za-z0-9]"
+_read_off(
+    "from_headers", "documents", "doc_id", f"concat('\"', source, '\" <', upper(regexp_extract(text, '{_MAIL}', 0)), '>')", labels.from_header, f"text RLIKE '{_MAIL}'",
+    name="source", email=f"CASE WHEN contains(regexp_extract(regexp_extract(text, '{_MAIL}'), '@(.*)$', 1), '.') THEN lower(regexp_extract(text, '{_MAIL}')) END",
+)
+SQL["from_headers"] = SQL["from_headers"].replace(f"WHERE text RLIKE '{_MAIL}'", f"WHERE regexp_matches(text, '{_MAIL}')")
+_PLAIN = "translate(lower(split_part(coalesce(text, ''), chr(10), 1)), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+_read_off(
+    "company_slugs", "documents", "doc_id", "split_part(text, chr(10), 1)", labels.slug,
+    slug=f"nullif(array_to_string(list_filter(regexp_split_to_array({_PLAIN}, '[^a-z0-9]+'), lambda w: w <> ''), '-'), '')",
+)
+_read_off(
+    "token_values", "documents", "doc_id", "CASE WHEN doc_id % 2 = 0 THEN concat(' ', CAST(CAST(n_chars AS decimal(9,1)) AS varchar(12)), 'K') ELSE concat(CAST(n_chars AS varchar(12)), ' tokens') END", labels.token_value,
+    tokens="CASE WHEN doc_id % 2 = 0 THEN n_chars * 1000 ELSE n_chars END",
+)
+_read_off(
+    "posting_hrefs", "pages", "page_id", "CASE WHEN page_id % 2 = 0 THEN concat('see [', html, '](mailto:x) or [', 'job](', url, ')') ELSE concat(' ', url) END", labels.href, "html NOT LIKE '%](http%'",
+    href="CASE WHEN regexp_full_match(url, 'https?://[^\\s<>\")]+') THEN url END",
+)
+_read_off(
+    "status_cleanups", "orders", "o_orderkey", f"CASE WHEN o_orderstatus = 'P' THEN concat('Duplicado #', CAST(o_custkey AS varchar(12))) ELSE concat('**Applied** ', {_DAY}, ' (', o_orderpriority, ')') END", labels.status_cleanup,
+    status="CASE WHEN o_orderstatus = 'P' THEN 'DISCARDED' ELSE 'APPLIED' END",
+    note=f"CASE WHEN o_orderstatus = 'P' THEN 'Duplicado #' || CAST(o_custkey AS varchar) ELSE {_DAY} || ' (' || o_orderpriority || ')' END",
+)
+_read_off(
+    "posting_urls", "pages", "page_id", "CASE WHEN page_id % 5 = 0 THEN replace(url, '://', '://user@') ELSE concat(url, ' ') END", matchers.posting_url,
+    url="CASE WHEN page_id % 5 <> 0 AND (starts_with(lower(url), 'http://') OR starts_with(lower(url), 'https://')) AND NOT contains(split_part(split_part(url, '://', 2), '/', 1), '@') THEN trim(url) END",
+)
+_read_off(
+    "coverage_bands", "lineitem", "l_orderkey * 10 + l_linenumber", "l_discount * 1000", labels.coverage_band,
+    band="CASE WHEN l_discount * 1000 >= 75 THEN 'strong' WHEN l_discount * 1000 >= 50 THEN 'partial' WHEN l_discount IS NOT NULL THEN 'weak' END",
+)
 
 
 _WORD = lambda w: f"regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){w}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')"
