@@ -66,18 +66,44 @@ def most_distance(threshold: float) -> int:
     return max((d for d in range(65) if 1 - d / 64 >= threshold), default=-1)
 
 
+#: Rows of a left side that is compared whole.
+FEW = 1000
+
+
+def _near_few(values: list[int], right: DataFrame, most: int) -> DataFrame:
+    """(x, y, distance) of the right side's fingerprints near one of a few values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few = np.array(values, np.int64).view(np.uint64)
+        for batch in batches:
+            own = np.unique(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
+            for at in range(0, len(own), 4096):
+                part = own[at : at + 4096]
+                apart = np.bitwise_count(few[:, None] ^ part[None, :])
+                i, j = np.nonzero(apart <= most)
+                columns = [pa.array(few[i].view(np.int64)), pa.array(part[j].view(np.int64)), pa.array(apart[i, j].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["x", "y", "distance"])
+
+    return right.mapInArrow(run, "x long, y long, distance int").distinct()
+
+
 def hamming_join(left: DataFrame, right: DataFrame, most: int = 5, different: tuple[str, ...] = ()) -> DataFrame:
     """Pairs (left_id, right_id, distance, similarity) of fingerprints (id, fingerprint) that differ in at most `most` (up to 5) bits.
 
     Rows also have to differ in each column of `different` (a company, a URL).
     Equal fingerprints are joined once and spread over their ids afterwards, so
-    a crowd of equal texts does not meet key by key.
+    a crowd of equal texts does not meet key by key.  A left side of FEW rows at most
+    (the offers of one scan) goes to the tasks of the right side and is compared there.
     """
     if not 0 <= most <= len(BLOCKS) - 2:
         raise ValueError("the blocks serve distances of at most 5")
-    side = lambda df, name: df.select(F.col("fingerprint").alias(name)).distinct().select(name, F.explode(block_keys(F.col(name))).alias("key"))
-    near = side(left, "x").join(side(right, "y"), "key").select("x", "y").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most).distinct()
-    near = near.withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))))
+    few = left.select("fingerprint").limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        near = _near_few(sorted({r[0] for r in few if r[0] is not None}), right.select("fingerprint"), most)
+    else:
+        side = lambda df, name: df.select(F.col("fingerprint").alias(name)).distinct().select(name, F.explode(block_keys(F.col(name))).alias("key"))
+        near = side(left, "x").join(side(right, "y"), "key").select("x", "y").where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= most).distinct()
+        near = near.withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))))
     named = lambda df, name, key: df.select(F.col("id").alias(f"{name}_id"), F.col("fingerprint").alias(key), *[F.col(c).alias(f"{name}_{c}") for c in different])
     out = near.join(named(left, "left", "x"), "x").join(named(right, "right", "y"), "y")
     for c in different:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..operators import joins, mining, similarity
+from ..operators.lineage import checkpointed
 from . import tables as t
 
 QUERIES: dict = {}
@@ -46,7 +47,7 @@ FROM d a JOIN d b ON a.id < b.id AND a.source IS DISTINCT FROM b.source AND bit_
 def crosslist_pairs(spark, sf_dir):
     """Listings of different sources with nearly one text, over all documents."""
     docs = _docs(spark, sf_dir)
-    prints = similarity.simhash64(docs, "doc_id", "text").join(docs.select(F.col("doc_id").alias("id"), "source"), "id")
+    prints = checkpointed(similarity.simhash64(docs, "doc_id", "text").join(docs.select(F.col("doc_id").alias("id"), "source"), "id"))
     return similarity.hamming_join(prints, prints, similarity.most_distance(0.92), ("source",)).where("left_id < right_id")
 
 
