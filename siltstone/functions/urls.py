@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(found), r"\.+$", "")
 
 
+def let(value: Column, function: Callable[[Column], Column]) -> Column:
+    """The function of a value that is evaluated once, however often the function names it."""
+    return F.get(F.transform(F.array(value), function), 0)
+
+
 def _port(value: Column) -> Column:
     """':8443', '' for none or the scheme's own."""
     found = F.regexp_extract(value, r"^[A-Za-z]+://[^/?#]*?:([0-9]+)(?:[/?#]|$)", 1)
@@ -52,12 +59,14 @@ def normalized_url(url: Column, tracking: str = TRACKING) -> Column:
     path = F.regexp_extract(value, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
     path = F.when(path == "", "/").when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
     given = _pairs(F.regexp_extract(value, r"^[^?#]*\?([^#]*)", 1))
-    pairs = F.filter(F.concat(given, _fragment_pairs(value, name, given)), lambda p: ~p["name"].rlike("(?i)" + tracking))
+    named = F.when(value.contains("#"), F.concat(given, _fragment_pairs(value, name, given))).otherwise(given)
+    pairs = F.filter(named, lambda p: ~p["name"].rlike("(?i)" + tracking))
     kept = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p["name"], p["rest"])), "&")
-    key = F.concat(F.lit("https://"), name, _port(value), path, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))
+    key = F.concat(F.lit("https://"), name, _port(value), path, let(kept, lambda k: F.when(k == "", "").otherwise(F.concat(F.lit("?"), k))))
+    microsoft = name == "apply.careers.microsoft.com"
     job = F.coalesce(F.nullif(F.regexp_extract(path, "(?i)^/careers/job/([0-9]+)$", 1), F.lit("")), F.when(path.rlike("(?i)^/careers$"), F.regexp_extract(value, r"[?&]pid=([0-9]+)(?:[&#]|$)", 1)))
-    one_shape = (name == "apply.careers.microsoft.com") & (F.coalesce(job, F.lit("")) != "")
-    key = F.when(one_shape, F.concat(F.lit("https://apply.careers.microsoft.com/careers?domain=microsoft.com&pid="), job)).otherwise(key)
+    one_shape = F.when(microsoft & (F.coalesce(job, F.lit("")) != ""), F.concat(F.lit("https://apply.careers.microsoft.com/careers?domain=microsoft.com&pid="), job))
+    key = F.coalesce(one_shape, key)
     return F.when(value.rlike(r"(?i)^https?://[^/?#]"), key).otherwise("")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .urls import host, normalized_url
+from .urls import host, let, normalized_url
 
 # Domains of each hiring system (fixed values).
 VENDOR_DOMAINS = {
@@ -102,11 +102,15 @@ def job_key(url: Column) -> Column:
     recruiters = r"(?i)^/([^/]+)/(" + _UUID + r"|[0-9]+)(?:-[^/]*)?/?$"
     smart = F.when((name == "jobs.smartrecruiters.com") & way.rlike(recruiters), F.lower(F.concat_ws("/", F.regexp_extract(way, recruiters, 1), F.regexp_extract(way, recruiters, 2))))
     whole = normalized_url(F.regexp_replace(url, rf"(?i)([?&])(?:{LANGUAGE_PARAMS}|{SOURCE_PARAMS})=[^&#]*", "$1"))
-    # Ids in parameters may differ in case only; paths don't.
-    plain = F.concat(F.lower(F.regexp_extract(whole, r"^[^?]*", 0)), F.regexp_extract(whole, r"\?.*$", 0))
-    plain = F.when(name.rlike(r"\.myworkdayjobs\.com$"), F.regexp_replace(plain, r"^(https://[^/]+)/[a-z]{2}-[a-z]{2}(?=/)", "$1")).otherwise(plain)
     form = rf"^(https://jobs\.(?:lever\.co|ashbyhq\.com)/[^/]+/(?:{_UUID}|[0-9]+))/(?:apply|application)$"
-    plain = F.regexp_replace(plain, form, "$1")
+
+    def folded(key: Column) -> Column:
+        # Ids in parameters may differ in case only; paths don't.
+        cased = F.concat(F.lower(F.regexp_extract(key, r"^[^?]*", 0)), F.regexp_extract(key, r"\?.*$", 0))
+        unlocal = F.regexp_replace(cased, r"^(https://[^/]+\.myworkdayjobs\.com)/[a-z]{2}-[a-z]{2}(?=/)", "$1")
+        return F.regexp_replace(unlocal, form, "$1")
+
+    plain = let(whole, folded)
     keyed = lambda label, c: F.concat(F.lit(label + ":"), c)
     key = F.coalesce(keyed("linkedin.com", linked), keyed("indeed.com", indeed), keyed("greenhouse", greenhouse), keyed("smartrecruiters", smart), plain)
     return F.when(F.trim(url).rlike(_WEB), key).otherwise("")

@@ -24,4 +24,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="siltstone-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
         context.setCheckpointDir(shared)
-    return df.checkpoint()
+    # Kept while it is written, or the rows would be computed once for the action and once for the files.
+    kept = df.persist()
+    out = kept.checkpoint()
+    kept.unpersist()
+    return out

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import checkpointed
+
 WORD = "[a-z0-9][a-z0-9+#.-]*[a-z0-9+#]|[a-z0-9]"
 #: Words never offered as terms (fixed values).
 STOP_WORDS = (
@@ -42,30 +44,38 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS else df
 
 
+def _keys(found: Column) -> Column:
+    """(seq, key) of a phrase: its pairs of neighbouring words, or its one word."""
+    pairs = F.transform(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), lambda w, i: F.struct(i.alias("seq"), F.concat_ws(" ", w, F.get(found, i + 1)).alias("key")))
+    return F.when(F.size(found) == 1, F.array(F.struct(F.lit(0).alias("seq"), F.get(found, 0).alias("key")))).otherwise(pairs)
+
+
 def positions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The positional index: (id, pos, word), places from 0."""
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(words(F.col(text_col))).alias("pos", "word"))
+    """The positional index: (id, pos, key) for every word and every pair of neighbouring words, places from 0."""
+    rows = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w")).withColumn("next", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))))
+    rows = rows.select("id", F.posexplode(F.arrays_zip("w", "next")).alias("pos", "x"))
+    return rows.select("id", "pos", F.explode(F.array(F.col("x.w"), F.concat(F.col("x.w"), F.lit(" "), F.col("x.next")))).alias("key")).where("key IS NOT NULL")
 
 
 def phrase_hits(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(phrase, id, pos): where each phrase's words stand in a row in a text.
 
-    Only words of phrases enter the index.  A phrase is looked up by its rarest word;
-    its other words are asked for at their places by text and place, so neither
-    phrases times texts nor all places of a common word meet.
-    Phrases without words are nowhere.
+    Only pairs of words that phrases have, and phrases of one word, enter the index.  A
+    phrase is looked up by its rarest pair; its other pairs are asked for at their
+    places by text and place, so neither phrases times texts nor all places of a
+    common pair meet.  Phrases without words are nowhere.
     """
-    parts = phrases.select("phrase").where("phrase IS NOT NULL").distinct().select("phrase", words(F.col("phrase")).alias("w"))
-    parts = parts.where(F.size("w") > 0).select("phrase", F.size("w").alias("n"), F.posexplode("w").alias("seq", "word"))
-    vocabulary = parts.select("word").distinct()
-    index = positions(docs, id_col, text_col).join(_bounded(vocabulary), "word", "left_semi").select("id", "pos", "word")
-    often = index.groupBy("word").agg(F.count("*").alias("places"))
-    # A word that is nowhere leads its phrase nowhere.
-    led = parts.join(often, "word", "left").groupBy("phrase", "n").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "seq", "word")).alias("lead"))
-    led = led.where("lead.places > 0").select("phrase", "n", F.col("lead.seq").alias("seq"), F.col("lead.word").alias("word"))
-    starts = index.join(led, "word").select("phrase", "n", "id", (F.col("pos") - F.col("seq")).alias("start")).where("start >= 0").distinct()
-    asked = starts.join(parts.select("phrase", "seq", "word"), "phrase").select("phrase", "n", "id", "start", (F.col("start") + F.col("seq")).alias("pos"), "word")
-    met = asked.join(index.distinct(), ["id", "pos", "word"]).groupBy("phrase", "n", "id", "start").agg(F.count("*").alias("met"))
+    parts = phrases.select("phrase").where("phrase IS NOT NULL").distinct().select("phrase", words(F.col("phrase")).alias("w")).where(F.size("w") > 0)
+    parts = parts.select("phrase", _keys(F.col("w")).alias("k")).select("phrase", F.size("k").alias("n"), F.explode("k").alias("x")).select("phrase", "n", "x.seq", "x.key")
+    index = positions(docs, id_col, text_col).join(_bounded(parts.select("key").distinct()), "key", "left_semi").select("id", "pos", "key")
+    often = index.groupBy("key").agg(F.count("*").alias("places"))
+    # A pair that is nowhere leads its phrase nowhere.
+    led = parts.join(often, "key", "left").groupBy("phrase", "n").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "seq", "key")).alias("lead"))
+    led = led.where("lead.places > 0").select("phrase", "n", F.col("lead.seq").alias("seq"), F.col("lead.key").alias("key"))
+    starts = index.join(led, "key").select("phrase", "n", "id", (F.col("pos") - F.col("seq")).alias("start")).where("start >= 0").distinct()
+    asked = starts.join(parts.select("phrase", "seq", "key"), "phrase").select("phrase", "n", "id", "start", (F.col("start") + F.col("seq")).alias("pos"), "key")
+    # Places are counted, not rows: a repeated row of a text has its places twice.
+    met = asked.hint("shuffle_hash").join(index, ["id", "pos", "key"]).groupBy("phrase", "n", "id", "start").agg(F.countDistinct("pos").alias("met"))
     return met.where("met = n").select("phrase", "id", F.col("start").alias("pos"))
 
 
@@ -104,7 +114,7 @@ def terms(docs: DataFrame, id_col: str, text_col: str, least: int = 1, names: Da
     """
     rows = sentence_words(docs, id_col, text_col)
     single = rows.select("id", F.explode("w").alias("term")).where(usable(F.col("term"))).distinct()
-    often = _bounded(single.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= least).select("term"))
+    often = _bounded(checkpointed(single.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= least).select("term")))
     n = F.greatest(F.size("w") - 1, F.lit(0))
     pairs = rows.select("id", F.explode(F.zip_with(F.slice("w", 1, n), F.slice("w", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("p")).select("id", "p.a", "p.b")
     pairs = pairs.withColumn("term", F.concat_ws(" ", "a", "b"))
