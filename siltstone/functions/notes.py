@@ -81,10 +81,15 @@ def note_fields(notes: Column, role: Column, place: Column, applied: Column) ->
     contact = F.regexp_extract_all(F.regexp_replace(_text(notes), _POSTED, "$1"), F.lit(_DAY), F.lit(0))
     where = stated_place(notes, role, place)
     money = let(pay, lambda p: F.struct(p.alias("span"), pay_ceiling(p).alias("max"), F.when(p != "", source).alias("source")))
-    return F.struct(
-        where.alias("place"), stated_mode(notes, role, where).alias("mode"), money["span"].alias("pay"), money["max"].alias("pay_max"), money["source"].alias("pay_source"), posted.alias("posted_on"),
-        F.greatest(F.array_max(contact), applied.cast("string")).alias("last_contact"),
-    )
+
+    def fields(found: Column) -> Column:
+        place_, pay_ = found["place"], found["money"]
+        return F.struct(
+            place_.alias("place"), stated_mode(notes, role, place_).alias("mode"), pay_["span"].alias("pay"), pay_["max"].alias("pay_max"), pay_["source"].alias("pay_source"), posted.alias("posted_on"),
+            F.greatest(F.array_max(contact), applied.cast("string")).alias("last_contact"),
+        )
+
+    return let(F.struct(where.alias("place"), money.alias("money")), fields)
 
 
 def report_score(text: Column) -> Column:

@@ -19,17 +19,16 @@ REASONS = {"view": "salary", "click": "location", "signup": "stale", "purchase":
 TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table.
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan that has fewer splits than the session has cores (so less than a split's size a core), dealt over all cores; a larger one stays as its files are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
 
-    A table of texts whose scan has fewer splits than the session has cores (so less than a
-    split's size a core) is dealt over all cores; a larger one stays as its files are.
-    """
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table; a table of texts is spread."""
     found = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXTS and found.rdd.getNumPartitions() < cores:
-        return found.repartition(cores, TEXTS[name])
-    return found
+    return spread(found, TEXTS[name]) if name in TEXTS else found
 
 
 def _pick(values: tuple[str, ...], key: str) -> str:

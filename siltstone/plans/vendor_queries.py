@@ -60,7 +60,7 @@ def listings(spark, sf_dir):
         "closes": _pick(CLOSES, "o_orderkey", {"A": "(o_orderkey % 10)"}), "stamp": _pick(DATES, "o_orderkey", {"B": "(o_orderkey % 9 + 1)"}),
         "state": "o_orderstatus", "day": "CAST(o_orderdate AS date)", "title": "o_orderpriority",
     }
-    return t.read(spark, sf_dir, "orders").select([F.expr(v).alias(k) for k, v in given.items()])
+    return t.spread(t.read(spark, sf_dir, "orders"), "o_orderkey").select([F.expr(v).alias(k) for k, v in given.items()])
 
 
 # The same facts by other means: each system's URLs are taken apart by one pattern each.
