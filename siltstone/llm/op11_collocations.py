@@ -100,8 +100,11 @@ def _parcels(bucket: np.ndarray, columns: dict[str, tuple[np.ndarray, pa.Array]
         arrays = {}
         for name, column in columns.items():
             if isinstance(column, tuple):
-                codes, values = column[0][start:stop], column[1]
-                arrays[name] = values.take(pa.array(codes, mask=codes < 0))
+                # The parcel's own dictionary: codes take a third of what the words take.
+                used, codes = np.unique(column[0][start:stop], return_inverse=True)
+                none = int(len(used) > 0 and used[0] < 0)
+                codes = codes.astype(np.int32) - none
+                arrays[name] = pa.DictionaryArray.from_arrays(pa.array(codes, mask=codes < 0), column[1].take(pa.array(used[none:])))
             else:
                 arrays[name] = pa.array(column[start:stop], pa.int64())
         sink = io.BytesIO()
