@@ -194,6 +194,7 @@ def scored(docs: DataFrame, spans: DataFrame, stage: Stage) -> DataFrame:
         hits = edges.where("seed IS NULL").select("pattern", "value").join(sure, "pattern")
         odds = hits.groupBy("value").agg(F.max(F.struct("confidence", "kind"))["kind"].alias("kind"), (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         found = stage.write(odds.where(F.col("score") >= LEAST_SCORE), f"found-{step}")
+    stage.drop("patterns", "edges", *(f"possible-{k}" for k in SLICES), *(f"found-{step}" for step in range(ROUNDS - 1)))
     return found
 
 

@@ -330,15 +330,18 @@ def repair(turns: DataFrame, stage: Stage | None = None) -> tuple[DataFrame, Dat
     blocks = stage.write(slim.groupBy("part", "blk").applyInArrow(_block, SUMMARY), "blocks")
     going, width = blocks.where("open"), 1
     going = stage.write(going.groupBy("conv_id", "part").applyInArrow(_merge, SUMMARY), "merged-0")
+    levels = ["merged-0"]
     while width < partitions(spark):
         width *= FAN_IN
         merged = going.groupBy("conv_id", F.floor(F.col("part") / width)).applyInArrow(lambda _, rows: _merge(rows), SUMMARY)
-        going = stage.write(merged, f"merged-{width}")
+        levels.append(f"merged-{width}")
+        going = stage.write(merged, levels[-1])
     results = stage.write(blocks.where("NOT open").unionByName(going).mapInArrow(_results, RESULT), "results")
     whole = results.where("NOT open").select("conv_id", "audit", "part", "blk", "n").mapInArrow(_whole_slices, SLICE)
     parts = blocks.where("open").select("conv_id", "part", "blk", "n").groupBy("conv_id")
     cut = results.where("open").select("conv_id", "audit").groupBy("conv_id").cogroup(parts).applyInArrow(_slices, SLICE)
     slices = stage.write(whole.unionByName(cut), "slices")
+    stage.drop("blocks", *levels)
     return results.drop("part", "blk", "open", "n"), slices, rows
 
 
