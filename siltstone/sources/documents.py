@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalized_url
+from .cells import pipe_cells
 from .readers import lines
 
 # Headings of the pending section (fixed values).
@@ -14,14 +15,6 @@ PENDING_HEADINGS = r"(?i)^#+\s*(pending|pendientes?|en attente|ausstehend|待处
 LIST_ALIASES = {"url": ("url", "link", "website"), "name": ("name", "company", "employer")}
 
 
-def pipe_cells(line: Column) -> Column:
-    """Cells of a Markdown table's line; an escaped pipe belongs to its cell, an escaped backslash does not escape."""
-    inner = F.regexp_replace(F.trim(line), r"^\|", "")
-    marked = F.regexp_replace(F.regexp_replace(inner, r"\\\\", "\u0001"), r"\\\|", "\u0002")
-    cells = F.split(F.regexp_replace(marked, r"\|$", ""), r"\|", -1)
-    return F.transform(cells, lambda c: F.trim(F.translate(F.replace(c, F.lit("\u0001"), F.lit("\\")), "\u0002", "|")))
-
-
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(file, text): whole files; reports are small."""
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)

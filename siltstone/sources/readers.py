@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import formula_unescape
 from ..functions.values import score_cell
+from .cells import pipe_cells
 
 # Columns of the sighting log, in file order (fixed values).
 HISTORY = (
@@ -64,8 +65,8 @@ def discard_log(spark: SparkSession, path: str) -> DataFrame:
 
 def tracker(spark: SparkSession, path: str) -> DataFrame:
     """A Markdown pipe table with an alias header; rows without a numeric id are dropped."""
-    rows = lines(spark, path).where(F.trim("line").startswith("|")).withColumn("cells", F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|", -1))
-    cells = F.transform("cells", lambda c: F.trim(c))
+    rows = lines(spark, path).where(F.trim("line").startswith("|")).withColumn("cells", pipe_cells(F.col("line")))
+    cells = F.col("cells")
     header = rows.where(F.exists(cells, lambda c: F.lower(c).isin("company"))).orderBy("seq").select(cells.alias("h")).first()
     if header is None:
         raise ValueError("no header row with a company column")

@@ -79,3 +79,10 @@ def test_postings(spark, tmp_path):
     path = put(tmp_path / "p.jsonl", '{"title": "T", "posted_at": 0, "salary": {"min": 1}, "other": 5}\n{"url": "u"}\n')
     rows = readers.postings(spark, path).collect()
     assert rows[0]["title"] == "T" and rows[0]["salary"]["min"] == 1.0 and rows[1]["title"] is None
+
+
+def test_tracker_cells_with_escaped_pipes(spark, tmp_path):
+    """An escaped pipe belongs to its cell."""
+    (tmp_path / "t.md").write_text("| # | Company | Role | Score | Status |\n|-|-|-|-|-|\n| 1 | A \\| B | Lead \\\\ | 4.0/5 | Applied |\n| x | C | D | 1/5 | Applied |\n")
+    (row,) = readers.tracker(spark, str(tmp_path / "t.md")).collect()
+    assert (row.n, row.company, row.role) == (1, "A | B", "Lead \\")
