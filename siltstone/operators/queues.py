@@ -6,15 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import APPLY_LABELS, apply_label, flagged
+from .lineage import checkpointed
 
 
-def placed(df: DataFrame, group: str, keys: list[tuple[str, bool]], tie: str) -> DataFrame:
-    """Adds each row's place in its group, by keys (name, ascending); missing and empty values are last in either direction."""
+def _order(df: DataFrame, keys: list[tuple[str, bool]], tie: str) -> list[Column]:
+    """Keys (name, ascending), missing, empty and not-a-number values alike and last in either direction, ties by a column of distinct values."""
     order = []
     for name, up in keys:
-        value = F.nullif(F.col(name).cast("string"), F.lit(""))
-        order += [value.isNull(), F.col(name).asc() if up else F.col(name).desc()]
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order, tie)))
+        missing = F.nullif(F.col(name).cast("string"), F.lit("")).isNull()
+        if df.schema[name].dataType.typeName() in ("double", "float"):
+            missing = missing | F.isnan(name)
+        value = F.when(~missing, F.col(name))
+        order += [missing.asc(), value.asc() if up else value.desc()]
+    return [*order, F.col(tie)]
+
+
+def placed(df: DataFrame, group: str, keys: list[tuple[str, bool]], tie: str) -> DataFrame:
+    """Adds each row's place in its group, by keys (name, ascending); missing and empty values are last in either direction."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*_order(df, keys, tie))))
+
+
+def placed_overall(df: DataFrame, keys: list[tuple[str, bool]], tie: str) -> DataFrame:
+    """Adds each row's place among all rows, by keys (name, ascending).
+
+    Rows are sorted by ranges, so every task has a stretch of the order; a row's place is its
+    number in its stretch, and the sizes of the stretches before, one number each, are all that is gathered.
+    """
+    number = F.monotonically_increasing_id()
+    rows = df.orderBy(*_order(df, keys, tie)).withColumns({"_part": F.spark_partition_id(), "_at": number.bitwiseAND(F.lit((1 << 33) - 1))})
+    rows = checkpointed(rows)
+    before, total = {}, 0
+    for part, n in sorted(rows.groupBy("_part").agg(F.count("*").alias("n")).collect()):
+        before[part] = total
+        total += n
+    if not before:
+        return rows.withColumn("place", F.col("_at")).drop("_part", "_at")
+    sizes = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
+    return rows.withColumn("place", F.try_element_at(sizes, F.col("_part")).cast("long") + F.col("_at") + 1).drop("_part", "_at")
 
 
 def awaiting(df: DataFrame) -> list[Column]:

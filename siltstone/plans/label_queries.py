@@ -225,6 +225,24 @@ def tracker_sorted(spark, sf_dir):
     return _evaluated(spark, sf_dir).select("n", "company", F.row_number().over(order).alias("place"))
 
 
+@query(f"WITH {_ROWS_SQL} SELECT n, row_number() OVER (ORDER BY nullif(decision, '') IS NULL, decision, score IS NULL, score DESC, n) AS place FROM evaluated")
+def results_order(spark, sf_dir):
+    """Places among all rows by decision upwards and score downwards, empty ones last."""
+    return queues.placed_overall(_evaluated(spark, sf_dir), [("decision", True), ("score", False)], "n").select("n", "place")
+
+
+@query(f"WITH {_ROWS_SQL} SELECT n, row_number() OVER (ORDER BY close IS NULL, close, score IS NULL, score DESC, n) AS place FROM evaluated WHERE decision <> 'Skip'")
+def pending_order(spark, sf_dir):
+    """Places among all pending rows by close day, then score."""
+    return queues.placed_overall(_evaluated(spark, sf_dir).where("decision != 'Skip'"), [("close", True), ("score", False)], "n").select("n", "place")
+
+
+@query(f"WITH {_ROWS_SQL} SELECT n, row_number() OVER (ORDER BY score DESC NULLS LAST, n) AS place FROM evaluated")
+def tracker_order(spark, sf_dir):
+    """Places among all rows by score, the highest first and none last, equal ones by number."""
+    return queues.placed_overall(_evaluated(spark, sf_dir), [("score", False)], "n").select("n", "place")
+
+
 _KINDS = {"view": "follow-up", "click": "decision", "signup": "match", "purchase": "follow-up", "error": "other"}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ def tracker_state(spark: SparkSession, path: str) -> str:
     """missing (no such file), malformed (no table with a company column), empty or rows."""
     try:
         table = first_table(spark, path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
             return "missing"
         raise
     headed = table.where("place = 0").where(F.exists("cells", lambda c: F.lower(c) == "company"))

@@ -1,6 +1,7 @@
 """Labels, matchers, vendors and pay on single values."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,3 +91,16 @@ def test_pages(spark):
     fresh = lambda d, c, x: value(spark, pages.evidence_freshness(F.lit(d).cast("int"), F.lit(c), F.lit(x)))
     assert [fresh(None, 0, False), fresh(40, 0, False), fresh(3, 1, False), fresh(3, 0, True), fresh(3, 0, False)] == ["unknown", "stale", "stale", "partial", "fresh"]
     assert value(spark, pages.blocker_group(F.lit(" "), F.lit("Visa"), F.lit("x"))) == "visa"
+
+
+def test_places_among_all_rows(spark):
+    """As a plain sort has them, missing, empty and not-a-number values last in either direction, over many partitions."""
+    rng = random.Random(5)
+    rows = [(k, rng.choice(["a", "b", "", None]), rng.choice([1.5, 2.0, 3.0, None, float("nan")])) for k in range(400)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "n long, decision string, score double").repartition(7)
+    got = {r.n: r.place for r in queues.placed_overall(df, [("decision", True), ("score", False)], "n").collect()}
+    none = lambda s: s is None or s != s
+    order = sorted(rows, key=lambda r: (not r[1], r[1] or "", none(r[2]), 0 if none(r[2]) else -r[2], r[0]))
+    assert got == {r[0]: k for k, r in enumerate(order, 1)}
+    assert queues.placed_overall(df.limit(0), [("decision", True)], "n").collect() == []
