@@ -45,6 +45,18 @@ def placed_overall(df: DataFrame, keys: list[tuple[str, bool]], tie: str) -> Dat
     return rows.withColumn("place", F.try_element_at(sizes, F.col("_part")).cast("long") + F.col("_at") + 1).drop("_part", "_at")
 
 
+def results_view(offers: DataFrame, query: str = "", hidden: tuple[str, ...] = (), keys: list[tuple[str, bool]] | None = None, tie: str = "n") -> DataFrame:
+    """Offers (title, company, band, ..) whose title or company has the query, without the hidden bands, with their places in the view's order."""
+    wanted = query.strip().lower()
+    rows = offers
+    if wanted:
+        has = lambda c: F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(wanted))
+        rows = rows.where(has("title") | has("company"))
+    if hidden:
+        rows = rows.where(~F.coalesce(F.col("band"), F.lit("")).isin(*hidden))
+    return placed_overall(rows, keys or [("score", False)], tie)
+
+
 def awaiting(df: DataFrame) -> list[Column]:
     """The order of rows that await a decision: score, date and number, the largest first."""
     return [F.col("score").desc_nulls_last(), F.col("day").desc_nulls_last(), F.col("n").desc()]

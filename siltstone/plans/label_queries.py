@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import labels, matchers
+from ..functions import captures, labels, matchers
 from ..operators import lookups, queues
 from . import tables as t
 
@@ -243,6 +243,25 @@ def tracker_order(spark, sf_dir):
     return queues.placed_overall(_evaluated(spark, sf_dir), [("score", False)], "n").select("n", "place")
 
 
+_BAND = "CASE WHEN score >= 4 THEN 'high' WHEN score >= 2 THEN 'medium' WHEN score IS NOT NULL THEN 'low' END"
+
+
+@query(f"""WITH {_ROWS_SQL}, v AS (SELECT *, {_BAND} AS band FROM evaluated)
+SELECT n, band, row_number() OVER (ORDER BY score IS NULL, score DESC, n) AS place FROM v WHERE (contains(lower(title), 'high') OR contains(CAST(company AS varchar), 'high')) AND coalesce(band, '') <> 'low'""")
+def results_view(spark, sf_dir):
+    """The results that a view shows: a text in title or company, no low band, the best first."""
+    rows = _evaluated(spark, sf_dir).withColumn("band", F.expr(_BAND))
+    return queues.results_view(rows, " High ", ("low",)).select("n", "band", "place")
+
+
+_SLUG = "list_filter(regexp_split_to_array(regexp_replace(lower(split_part(coalesce(text, ''), chr(10), 1)), '[^A-Za-z0-9_\\s-]', '', 'g'), '[\\s_]+'), lambda w: w <> '')"
+_read_off(
+    "capture_slugs", "documents", "doc_id", "split_part(text, chr(10), 1)", captures.capture_slug, "text RLIKE '^[A-Za-z]'",
+    slug=f"substr(regexp_replace(array_to_string({_SLUG}, '-'), '^-+|-+$', '', 'g'), 1, {captures.SLUG_BYTES})",
+)
+SQL["capture_slugs"] = SQL["capture_slugs"].replace("WHERE text RLIKE '^[A-Za-z]'", "WHERE regexp_matches(text, '^[A-Za-z]')")
+
+
 _KINDS = {"view": "follow-up", "click": "decision", "signup": "match", "purchase": "follow-up", "error": "other"}
 
 
