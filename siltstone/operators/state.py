@@ -21,9 +21,14 @@ def cadence(rows: DataFrame, today: Column, first: int = 7, again: int = 14, mos
     return rows.withColumn("due", due).withColumn("urgency", urgency)
 
 
-def fresh_facts(facts: DataFrame, now: Column, ttl_seconds: int, floor: Column | None = None) -> DataFrame:
-    """Facts (key, stamped, ...) that still hold: the latest of each key, not from the future, within their time and not before the invalidation floor."""
-    age = F.unix_seconds(now) - F.unix_seconds(F.col("stamped"))
-    held = facts.where((age >= 0) & (age <= ttl_seconds) & (F.lit(True) if floor is None else F.col("stamped") >= floor))
+def fresh_facts(facts: DataFrame, now: Column, ttl_seconds: int, floor: Column | None = None, seq: str | None = None) -> DataFrame:
+    """Facts (key, stamped, ...) that still hold: the latest of each key, not from the future, within their time and not before the invalidation floor.
+
+    Of several with one time, the first by `seq` counts where that is given.
+    """
+    # Whole seconds would let in a fact of the second that has just begun.
+    age = F.unix_micros(now) - F.unix_micros(F.col("stamped"))
+    held = facts.where((age >= 0) & (age <= ttl_seconds * 1_000_000) & (F.lit(True) if floor is None else F.col("stamped") >= floor))
     values = [c for c in facts.columns if c != "key"]
-    return held.groupBy("key").agg(F.max_by(F.struct(*values), "stamped").alias("r")).select("key", *[F.col(f"r.{c}").alias(c) for c in values])
+    latest = F.col("stamped") if seq is None else F.struct("stamped", (-F.col(seq)).alias("seq"))
+    return held.groupBy("key").agg(F.max_by(F.struct(*values), latest).alias("r")).select("key", *[F.col(f"r.{c}").alias(c) for c in values])

@@ -83,5 +83,5 @@ def followup_cadence(spark, sf_dir):
 @query("""WITH f AS (SELECT user_id AS key, ts AS stamped, value FROM events WHERE ts <= timestamp '2024-01-15 12:00:00' AND ts >= timestamp '2024-01-14 12:00:00')
 SELECT key, max_by(value, stamped) AS value FROM f GROUP BY key""")
 def fresh_facts(spark, sf_dir):
-    facts = t.read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("stamped"), "value")
-    return state.fresh_facts(facts, F.expr("timestamp '2024-01-15 12:00:00'"), 86400).select("key", "value")
+    facts = t.read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("stamped"), F.col("event_id").alias("seq"), "value")
+    return state.fresh_facts(facts, F.expr("timestamp '2024-01-15 12:00:00'"), 86400, seq="seq").select("key", "value")

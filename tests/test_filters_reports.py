@@ -105,6 +105,16 @@ def test_fresh_facts(spark):
     assert state.fresh_facts(facts, now, 86400, F.expr("timestamp '2024-01-01 06:00:00'")).count() == 0
 
 
+def test_fresh_facts_within_a_second(spark):
+    t = dt.datetime
+    facts = spark.createDataFrame(
+        [("a", t(2024, 1, 1, 11), 1, 1), ("a", t(2024, 1, 1, 12, 0, 0, 400_000), 2, 2), ("b", t(2024, 1, 1, 12, 0, 0, 1), 3, 3), ("c", t(2024, 1, 1, 9), 5, 4), ("c", t(2024, 1, 1, 9), 4, 5), ("d", t(2023, 12, 31, 12), 6, 6)],
+        "key string, stamped timestamp, seq long, v int",
+    )
+    now = F.expr("timestamp '2024-01-01 12:00:00'")
+    assert {r["key"]: r["v"] for r in state.fresh_facts(facts, now, 86400, seq="seq").collect()} == {"a": 1, "c": 5, "d": 6}
+
+
 def test_cadence(spark):
     rows = spark.createDataFrame([(1, dt.date(2024, 1, 1), 0), (2, dt.date(2024, 1, 3), 0), (3, dt.date(2024, 1, 5), 0), (4, dt.date(2024, 1, 1), 2)], "n int, last_contact date, sent int")
     got = {r["n"]: r["urgency"] for r in state.cadence(rows, F.expr("date '2024-01-10'")).collect()}
