@@ -45,7 +45,9 @@ def found(rows: DataFrame, queries: DataFrame) -> DataFrame:
 
     part = names("company") | names("role")
     same = same_role(F.col("company"), F.col("query")) | same_role(F.col("role"), F.col("query"))
-    met = rows.select("num", "company", "role").join(F.broadcast(words), F.coalesce(part | same, F.lit(False)))
-    by_name = met.select("query", "num", F.when(part, "part").otherwise("role").alias("by_what"))
+    # Each spelling meets the queries once, however many rows have it.
+    named = rows.select("company", "role").distinct()
+    met = named.join(F.broadcast(words), F.coalesce(part | same, F.lit(False))).select(F.struct("company", "role").alias("named"), "query", F.when(part, "part").otherwise("role").alias("by_what"))
+    by_name = rows.select("num", F.struct("company", "role").alias("named")).join(met, "named").select("query", "num", "by_what")
     every = by_row.unionByName(by_report).unionByName(by_name)
     return every.groupBy("query", "num").agg(F.max("by_what").alias("by_what"))

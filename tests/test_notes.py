@@ -74,3 +74,18 @@ def test_found(spark):
     queries = spark.createDataFrame([("007",), (" acme ",), ("data engineer",), ("",), ("nothing",), (None,)], "query string")
     got = {(r.query, r.num): r.by_what for r in enrichment.found(rows, queries).collect()}
     assert got == {("007", 7): "row", ("007", 12): "report", ("acme", 7): "part", ("data engineer", 7): "part", ("data engineer", 3): "role"}
+
+
+def test_found_meets_each_spelling_once(spark, capsys):
+    rows = spark.createDataFrame([(k, k + 500, "Acme" if k % 2 else None, "Data Engineer") for k in range(100)], "num long, report long, company string, role string")
+    got = enrichment.found(rows, spark.createDataFrame([("engineer",), ("acme",)], "query string"))
+    got.explain("simple")
+    below = capsys.readouterr().out.split("BroadcastNestedLoopJoin", 1)[1]
+    assert "HashAggregate(keys=[company" in below.split("Broadcast", 1)[0]
+    assert sorted((r["query"], r["num"]) for r in got.collect()) == sorted([("engineer", k) for k in range(100)] + [("acme", k) for k in range(1, 100, 2)])
+
+
+def test_funding_is_taken_with_its_span(spark):
+    text = "Raised $107M series B; $80-95K (POSTED); 12,000 EUR per month; $5M round; 3 USD Valuation; zł 40 Total  raised"
+    row = spark.range(1).select(notes.pay_spans(F.lit(text)).alias("spans")).first()
+    assert row["spans"] == ["$80-95K", "12,000 EUR"]
