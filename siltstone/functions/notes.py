@@ -23,10 +23,14 @@ _SIGN = "|".join(s.replace("$", r"\$") for s in SIGNS)
 _BEFORE = f"{_SIGN}|(?:{'|'.join(CODES)}) ?"
 _AMOUNT = r"\d[\d,]*(?:\.\d+)?[KkMmBb]?"
 #: A currency and an amount or range; or an amount, not within a word, and its currency; without what describes a company's money.
+_FIRST = "".join(sorted({s[0] for s in (*SIGNS, *CODES)}))
 _SPAN = (
-    rf"(?:~?(?:{_BEFORE})\s*{_AMOUNT}(?:\s*[-–]\s*(?:{_BEFORE})?{_AMOUNT})?|(?<![\p{{L}}\p{{N}}])~?{_AMOUNT}(?:\s*[-–]\s*{_AMOUNT})?\s+(?:{_SIGN}|{'|'.join(CODES)}))"
+    # Few characters can begin one; at the others no alternative is tried.
+    rf"(?=[~\d{_FIRST}])(?:~?(?:{_BEFORE})\s*{_AMOUNT}(?:\s*[-–]\s*(?:{_BEFORE})?{_AMOUNT})?|(?<![\p{{L}}\p{{N}}])~?{_AMOUNT}(?:\s*[-–]\s*{_AMOUNT})?\s+(?:{_SIGN}|{'|'.join(CODES)}))"
 )
-_FUNDING = r"(?i)^\s*(?:valuation|(?:total\s+)?raised|series\s|round\b)"
+#: A span with the word of funding that follows, if one does; and what such a match ends with.
+_SPAN_OF = rf"{_SPAN}(?:\s*(?i:valuation|(?:total\s+)?raised|series\s|round\b))?"
+_FUNDING = r"(?i)(?:valuation|raised|series\s|round)\z"
 _POSTED = r"(?im)(^|[;|])[^\S\n]*posted(?::[^\S\n]*|[^\S\n]+)(20\d{2}-\d{2}-\d{2})\b"
 _DAY = r"\b20\d{2}-\d{2}-\d{2}\b"
 
@@ -48,17 +52,17 @@ def stated_place(notes: Column, role: Column, given: Column) -> Column:
 def stated_mode(notes: Column, role: Column, place: Column) -> Column:
     """Hybrid before RemoteFlex before Remote before Full; a place without a word about it is Full; '' for nothing."""
     all_ = F.lower(F.concat_ws(" ", _text(role), _text(notes), _text(place)))
-    flexible = all_.contains("remote") & all_.rlike("flex|remote[- ]first")
-    mode = F.when(all_.contains("hybrid"), "Hybrid").when(flexible, "RemoteFlex").when(all_.contains("remote"), "Remote").when(all_.rlike("onsite|on-site|in-office"), "Full")
-    return F.coalesce(mode, F.when(_text(place) != "", "Full"), F.lit(""))
+
+    def named(a: Column) -> Column:
+        flexible = a.contains("remote") & a.rlike("flex|remote[- ]first")
+        return F.when(a.contains("hybrid"), "Hybrid").when(flexible, "RemoteFlex").when(a.contains("remote"), "Remote").when(a.rlike("onsite|on-site|in-office"), "Full")
+
+    return F.coalesce(let(all_, named), F.when(_text(place) != "", "Full"), F.lit(""))
 
 
 def pay_spans(notes: Column) -> Column:
     """Spans of pay in order; a span before a word of funding describes a company and is left out."""
-    whole = F.regexp_extract_all(_text(notes), F.lit(_SPAN), F.lit(0))
-    after = F.split(_text(notes), _SPAN, -1)
-    kept = F.filter(F.transform(whole, lambda s, i: F.struct(s.alias("span"), F.get(after, i + 1).alias("next"))), lambda x: ~x["next"].rlike(_FUNDING))
-    return F.transform(kept, lambda x: x["span"])
+    return F.filter(F.regexp_extract_all(_text(notes), F.lit(_SPAN_OF), F.lit(0)), lambda s: ~s.rlike(_FUNDING))
 
 
 def pay_ceiling(span: Column) -> Column:
@@ -76,7 +80,7 @@ def note_fields(notes: Column, role: Column, place: Column, applied: Column) ->
     """
     all_ = F.lower(F.concat_ws(" ", _text(role), _text(notes), _text(place)))
     pay = let(pay_spans(notes), lambda spans: F.coalesce(F.get(F.filter(spans, lambda s: s.rlike("[-–]")), 0), F.get(spans, 0), F.lit("")))
-    source = F.when(all_.contains("(posted"), "POSTED").when(all_.rlike(r"\(est[),;. ]|\best\)|\bmarket\b"), "est")
+    source = let(all_, lambda a: F.when(a.contains("(posted"), "POSTED").when(a.rlike(r"\(est[),;. ]|\best\)|\bmarket\b"), "est"))
     posted = F.array_max(F.regexp_extract_all(_text(notes), F.lit(_POSTED), F.lit(2)))
     contact = F.regexp_extract_all(F.regexp_replace(_text(notes), _POSTED, "$1"), F.lit(_DAY), F.lit(0))
     where = stated_place(notes, role, place)

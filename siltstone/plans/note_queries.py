@@ -42,7 +42,7 @@ CASE s WHEN 'P' THEN 'POSTED' WHEN 'O' THEN 'est' END AS pay_source, CAST(day AS
 p AS archetype, CAST(num % 6 AS double) AS report_score, s = 'F' AS hard_stop, p = '5-LOW' AS suspicious FROM f""")
 def application_enrichment(spark, sf_dir):
     """What every application's notes and report say."""
-    orders = t.spread(t.read(spark, sf_dir, "orders"), "o_orderkey")
+    orders = t.spread(t.read(spark, sf_dir, "orders"), "o_orderkey", 4)
     apps = orders.select(F.col("o_orderkey").alias("num"), F.lit("Engineer").alias("role"), F.expr(_NOTES).alias("notes"), F.lit("").alias("place"), F.expr(_ON).alias("day"), F.col("o_orderkey").alias("report"))
     reports = orders.select(F.col("o_orderkey").alias("report"), F.expr(_REPORT).alias("text"))
     found = enrichment.enriched(apps, reports)
