@@ -24,14 +24,15 @@ def let(value: Column, function: Callable[[Column], Column]) -> Column:
 def _port(value: Column) -> Column:
     """':8443', '' for none or the scheme's own."""
     found = F.regexp_extract(value, r"^[A-Za-z]+://[^/?#]*?:([0-9]+)(?:[/?#]|$)", 1)
-    own = (found == "") | (found == "443") | (value.rlike("(?i)^http:") & (found == "80"))
-    return F.when(own, "").otherwise(F.concat(F.lit(":"), found))
+    named = let(found, lambda p: F.when((p == "") | (p == "443") | (value.rlike("(?i)^http:") & (p == "80")), "").otherwise(F.concat(F.lit(":"), p)))
+    # The colon of http: and https: stands before.
+    return F.when(F.locate(":", value, 7) > 0, named).otherwise("")
 
 
 def _pairs(query: Column) -> Column:
     """Parameters as (name, rest): the rest begins with '=' or is empty."""
     parts = F.filter(F.split(query, "&"), lambda p: p != "")
-    return F.transform(parts, lambda p: F.struct(F.split(p, "=", 2)[0].alias("name"), F.regexp_replace(p, "^[^=]*", "").alias("rest")))
+    return F.transform(parts, lambda p: F.struct(F.substring_index(p, "=", 1).alias("name"), F.regexp_replace(p, "^[^=]*", "").alias("rest")))
 
 
 # A job's page within a page (fixed value), and the parameters that name a language.
@@ -55,19 +56,23 @@ def normalized_url(url: Column, tracking: str = TRACKING) -> Column:
     One vendor's jobs have one shape, whether the id stands in the path or in the query.
     """
     value = F.trim(F.coalesce(url, F.lit("")))
-    name = host(value)
-    path = F.regexp_extract(value, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
-    path = F.when(path == "", "/").when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
-    given = _pairs(F.regexp_extract(value, r"^[^?#]*\?([^#]*)", 1))
-    named = F.when(value.contains("#"), F.concat(given, _fragment_pairs(value, name, given))).otherwise(given)
-    pairs = F.filter(named, lambda p: ~p["name"].rlike("(?i)" + tracking))
-    kept = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p["name"], p["rest"])), "&")
-    key = F.concat(F.lit("https://"), name, _port(value), path, let(kept, lambda k: F.when(k == "", "").otherwise(F.concat(F.lit("?"), k))))
-    microsoft = name == "apply.careers.microsoft.com"
-    job = F.coalesce(F.nullif(F.regexp_extract(path, "(?i)^/careers/job/([0-9]+)$", 1), F.lit("")), F.when(path.rlike("(?i)^/careers$"), F.regexp_extract(value, r"[?&]pid=([0-9]+)(?:[&#]|$)", 1)))
-    one_shape = F.when(microsoft & (F.coalesce(job, F.lit("")) != ""), F.concat(F.lit("https://apply.careers.microsoft.com/careers?domain=microsoft.com&pid="), job))
-    key = F.coalesce(one_shape, key)
-    return F.when(value.rlike(r"(?i)^https?://[^/?#]"), key).otherwise("")
+    # Each part is found once, and only where its mark shows: one URL in a table of many asks for few of the patterns.
+    query = F.when(value.contains("?"), F.regexp_extract(value, r"^[^?#]*\?([^#]*)", 1)).otherwise("")
+    parts = F.struct(value.alias("value"), host(value).alias("name"), F.regexp_extract(value, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1).alias("path"), _pairs(query).alias("given"))
+
+    def key(u: Column) -> Column:
+        value, name, given = u["value"], u["name"], u["given"]
+        path = F.when(u["path"] == "", "/").when(F.length(u["path"]) > 1, F.regexp_replace(u["path"], "/$", "")).otherwise(u["path"])
+        named = F.when(value.contains("#"), F.concat(given, _fragment_pairs(value, name, given))).otherwise(given)
+        pairs = F.filter(named, lambda p: ~p["name"].rlike("(?i)" + tracking))
+        kept = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p["name"], p["rest"])), "&")
+        asked = F.when(value.contains("?") | value.contains("#"), let(kept, lambda k: F.when(k == "", "").otherwise(F.concat(F.lit("?"), k)))).otherwise("")
+        plain = F.concat(F.lit("https://"), name, _port(value), path, asked)
+        job = F.coalesce(F.nullif(F.regexp_extract(path, "(?i)^/careers/job/([0-9]+)$", 1), F.lit("")), F.when(path.rlike("(?i)^/careers$"), F.regexp_extract(value, r"[?&]pid=([0-9]+)(?:[&#]|$)", 1)))
+        one_shape = let(F.coalesce(job, F.lit("")), lambda j: F.when(j != "", F.concat(F.lit("https://apply.careers.microsoft.com/careers?domain=microsoft.com&pid="), j)))
+        return F.coalesce(F.when(name == "apply.careers.microsoft.com", one_shape), plain)
+
+    return F.when(value.rlike(r"(?i)^https?://[^/?#]"), let(parts, key)).otherwise("")
 
 
 def listing_key(provider: Column, board: Column, posting: Column) -> Column:

@@ -27,7 +27,7 @@ def path(url: Column) -> Column:
 
 def param(url: Column, name: str) -> Column:
     """A query parameter, '' where it is not given."""
-    return F.regexp_extract(F.coalesce(url, F.lit("")), rf"[?&]{name}=([^&#\s]*)", 1)
+    return F.when(url.contains(f"{name}="), F.regexp_extract(url, rf"[?&]{name}=([^&#\s]*)", 1)).otherwise("")
 
 
 def segment(url: Column, k: int) -> Column:
@@ -36,7 +36,10 @@ def segment(url: Column, k: int) -> Column:
 
 
 def on_domains(name: Column, domains: tuple[str, ...]) -> Column:
-    return name.rlike(r"(^|\.)(" + "|".join(d.replace(".", r"\.") for d in domains) + ")$")
+    some = F.lit(False)
+    for d in domains:
+        some = some | name.contains(d)
+    return some & name.rlike(r"(^|\.)(" + "|".join(d.replace(".", r"\.") for d in domains) + ")$")
 
 
 def ats_vendor(url: Column) -> Column:
@@ -88,37 +91,49 @@ def job_key(url: Column) -> Column:
 
     Language and visitor parameters, a locale before a path, and the last step of an application form don't count.
     """
-    name, way = host(url), path(url)
+    # Host and path are found once; a vendor's patterns see only URLs that name the vendor.
+    parts = F.struct(url.alias("url"), host(url).alias("name"), path(url).alias("way"))
+    key = F.when(F.trim(url).rlike(_WEB), let(parts, lambda u: _job_key(u["url"], u["name"], u["way"])))
+    return F.coalesce(key, F.lit(""))
+
+
+def _job_key(url: Column, name: Column, way: Column) -> Column:
     digits = lambda c: F.when(c.rlike("^[0-9]+$"), c)
     found = lambda c: F.nullif(c, F.lit(""))
     board = on_domains(name, ("greenhouse.io",)) & name.rlike(r"^(job-boards|boards|boards-api)\.")
     in_path = F.when(board, F.coalesce(found(F.regexp_extract(way, r"/jobs/([0-9]+)/?$", 1)), F.when(way.rlike("^/embed/job_app/?$"), digits(param(url, "token")))))
-    in_query = digits(param(url, "gh_jid"))
-    greenhouse = F.when(in_path.isNull() | in_query.isNull() | (in_path == in_query), F.coalesce(in_path, in_query))
+    ids = F.struct(in_path.alias("path"), digits(param(url, "gh_jid")).alias("query"))
+    greenhouse = let(ids, lambda x: F.when(x["path"].isNull() | x["query"].isNull() | (x["path"] == x["query"]), F.coalesce(x["path"], x["query"])))
     linked = F.when(
         on_domains(name, ("linkedin.com",)), F.coalesce(found(F.regexp_extract(way, r"^/(?:comm/)?jobs/view/(?:[^/]*-)?([0-9]{7,})/?$", 1)), digits(param(url, "currentJobId")))
     )
     indeed = F.when(on_domains(name, ("indeed.com",)), F.coalesce(found(param(url, "jk")), found(param(url, "vjk"))))
     recruiters = r"(?i)^/([^/]+)/(" + _UUID + r"|[0-9]+)(?:-[^/]*)?/?$"
     smart = F.when((name == "jobs.smartrecruiters.com") & way.rlike(recruiters), F.lower(F.concat_ws("/", F.regexp_extract(way, recruiters, 1), F.regexp_extract(way, recruiters, 2))))
-    whole = normalized_url(F.regexp_replace(url, rf"(?i)([?&])(?:{LANGUAGE_PARAMS}|{SOURCE_PARAMS})=[^&#]*", "$1"))
+    asked = F.when(url.contains("="), F.regexp_replace(url, rf"(?i)([?&])(?:{LANGUAGE_PARAMS}|{SOURCE_PARAMS})=[^&#]*", "$1")).otherwise(url)
     form = rf"^(https://jobs\.(?:lever\.co|ashbyhq\.com)/[^/]+/(?:{_UUID}|[0-9]+))/(?:apply|application)$"
 
     def folded(key: Column) -> Column:
         # Ids in parameters may differ in case only; paths don't.
-        cased = F.concat(F.lower(F.regexp_extract(key, r"^[^?]*", 0)), F.regexp_extract(key, r"\?.*$", 0))
-        unlocal = F.regexp_replace(cased, r"^(https://[^/]+\.myworkdayjobs\.com)/[a-z]{2}-[a-z]{2}(?=/)", "$1")
-        return F.regexp_replace(unlocal, form, "$1")
+        lower = F.lower(F.substring_index(key, "?", 1))
+        cased = F.when(key.contains("?"), F.concat(lower, F.regexp_extract(key, r"\?.*$", 0))).otherwise(lower)
+        unlocal = lambda c: F.when(c.contains(".myworkdayjobs.com/"), F.regexp_replace(c, r"^(https://[^/]+\.myworkdayjobs\.com)/[a-z]{2}-[a-z]{2}(?=/)", "$1")).otherwise(c)
+        return let(cased, lambda c: F.when(c.startswith("https://jobs.lever.co/") | c.startswith("https://jobs.ashbyhq.com/"), F.regexp_replace(c, form, "$1")).otherwise(unlocal(c)))
 
-    plain = let(whole, folded)
     keyed = lambda label, c: F.concat(F.lit(label + ":"), c)
-    key = F.coalesce(keyed("linkedin.com", linked), keyed("indeed.com", indeed), keyed("greenhouse", greenhouse), keyed("smartrecruiters", smart), plain)
-    return F.when(F.trim(url).rlike(_WEB), key).otherwise("")
+    return F.coalesce(keyed("linkedin.com", linked), keyed("indeed.com", indeed), keyed("greenhouse", greenhouse), keyed("smartrecruiters", smart), let(normalized_url(asked), folded))
 
 
 def url_relation(left: Column, right: Column) -> Column:
     """same, distinct, one-sided-language (one of two equal keys asks for a language) or no-key."""
-    a, b, x, y = job_key(left), job_key(right), posting_language(left), posting_language(right)
-    return (
-        F.when((a == "") | (b == ""), "no-key").when(a != b, "distinct").when(x == y, "same").when((x != "") & (y != ""), "distinct").otherwise("one-sided-language")
-    )
+
+    def languages(l: Column) -> Column:
+        x, y = l["x"], l["y"]
+        return F.when(x == y, "same").when((x != "") & (y != ""), "distinct").otherwise("one-sided-language")
+
+    def relation(u: Column) -> Column:
+        a, b = u["a"], u["b"]
+        asked = F.struct(posting_language(u["left"]).alias("x"), posting_language(u["right"]).alias("y"))
+        return F.when((a == "") | (b == ""), "no-key").when(a != b, "distinct").otherwise(let(asked, languages))
+
+    return let(F.struct(left.alias("left"), right.alias("right"), job_key(left).alias("a"), job_key(right).alias("b")), relation)
