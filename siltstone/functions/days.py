@@ -5,22 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .urls import let
+
 _TIME = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[T ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
 
 
 def close_day(value: Column) -> Column:
     """The UTC day of a structured close time: a plain day, or a time with an offset of at most 14 hours; null for anything else."""
-    text = F.trim(F.coalesce(value, F.lit("")))
-    part = lambda i: F.regexp_extract(text, _TIME, i)
-    day, hour, minute, second, zone = (part(i) for i in range(1, 6))
     number = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
-    right = (number(hour) <= 23) & (number(minute) <= 59) & (number(second) <= 59)
-    away = number(F.substring(zone, 2, 2)) * 60 + number(F.regexp_extract(zone, "([0-9]{2})$", 1))
-    away = F.when(zone.rlike("^[+-]"), away * F.when(zone.startswith("-"), -1).otherwise(1)).otherwise(0)
-    minutes = number(hour) * 60 + number(minute) - away
-    moved = F.date_add(F.try_to_date(day, "yyyy-MM-dd"), F.floor(minutes / 1440).cast("int"))
-    plain = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
-    return F.when(day == "", plain).when(right & (F.abs(away) <= 840), moved)
+
+    def timed(p: Column) -> Column:
+        hour, minute, second, zone = number(p["hour"]), number(p["minute"]), number(p["second"]), p["zone"]
+        away = number(F.substring(zone, 2, 2)) * 60 + number(F.regexp_extract(zone, "([0-9]{2})$", 1))
+        away = F.when(zone.rlike("^[+-]"), away * F.when(zone.startswith("-"), -1).otherwise(1)).otherwise(0)
+        moved = lambda a: F.date_add(F.try_to_date(p["day"], "yyyy-MM-dd"), F.floor((hour * 60 + minute - a) / 1440).cast("int"))
+        right = (hour <= 23) & (minute <= 59) & (second <= 59)
+        return F.when(right, let(away, lambda a: F.when(F.abs(a) <= 840, moved(a))))
+
+    def day(text: Column) -> Column:
+        parts = F.struct(*[F.regexp_extract(text, _TIME, i).alias(name) for i, name in enumerate(("day", "hour", "minute", "second", "zone"), 1)])
+        return F.when(text.rlike(_TIME), let(parts, timed)).when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+
+    return let(F.trim(F.coalesce(value, F.lit(""))), day)
 
 
 #: Formats of source dates; the two with slashes are told apart by the whole source.
