@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import days, pay, vendors
 from ..operators import postings
+from ..operators.lineage import settled
 from . import tables as t
 
 QUERIES: dict = {}
@@ -60,7 +61,7 @@ def listings(spark, sf_dir):
         "closes": _pick(CLOSES, "o_orderkey", {"A": "(o_orderkey % 10)"}), "stamp": _pick(DATES, "o_orderkey", {"B": "(o_orderkey % 9 + 1)"}),
         "state": "o_orderstatus", "day": "CAST(o_orderdate AS date)", "title": "o_orderpriority",
     }
-    return t.spread(t.read(spark, sf_dir, "orders"), "o_orderkey").select([F.expr(v).alias(k) for k, v in given.items()])
+    return t.spread(t.read(spark, sf_dir, "orders"), "o_orderkey", 4).select([F.expr(v).alias(k) for k, v in given.items()])
 
 
 # The same facts by other means: each system's URLs are taken apart by one pattern each.
@@ -124,8 +125,8 @@ SELECT key, min(n) AS n, arg_min(url, n) AS url FROM keyed WHERE state <> 'P' AN
 def inbox_pending(spark, sf_dir):
     """Inbox rows (all but the tracked ones) whose job is not tracked under any spelling, one for each job."""
     rows = listings(spark, sf_dir)
-    tracked = rows.where("state = 'P'").select(vendors.job_key(F.col("report_url")).alias("key"))
-    inbox = rows.where("state != 'P'").select(vendors.job_key(F.col("url")).alias("key"), "n", "url")
+    tracked = settled(rows.where("state = 'P'"), vendors.job_key(F.col("report_url")).alias("key"))
+    inbox = settled(rows.where("state != 'P'"), vendors.job_key(F.col("url")).alias("key"), "n", "url")
     return postings.pending(inbox, tracked)
 
 
@@ -134,17 +135,16 @@ named AS (SELECT company, title, max(n) AS known FROM keyed WHERE state = 'F' AN
 SELECT k.n, coalesce(a.known, b.known) AS evaluated, CASE WHEN a.known IS NOT NULL THEN 'url' WHEN b.known IS NOT NULL THEN 'name' END AS by_what FROM keyed k
 LEFT JOIN known a ON a.key = k.key LEFT JOIN named b ON b.company = k.company AND b.title = k.title WHERE k.state = 'O'""")
 def evaluated_match(spark, sf_dir):
-    rows = listings(spark, sf_dir).withColumn("key", vendors.job_key(F.col("url")))
-    done = rows.where("state = 'F'").select("n", "company", "title", vendors.job_key(F.col("report_url")).alias("key"))
-    return postings.already_evaluated(rows.where("state = 'O'"), done)
+    keyed = lambda state, url: settled(listings(spark, sf_dir).where(F.col("state") == state), "n", "company", "title", vendors.job_key(F.col(url)).alias("key"))
+    return postings.already_evaluated(keyed("O", "url"), keyed("F", "report_url"))
 
 
 @query(f"""{_KEYED}, u AS (SELECT key, 'history' AS source FROM keyed WHERE state = 'F' UNION ALL SELECT key, 'pipeline' FROM keyed WHERE state = 'O' UNION ALL SELECT report_key, 'tracker' FROM keyed WHERE state = 'P')
 SELECT key, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, count(*) AS rows FROM u WHERE key <> '' GROUP BY key""")
 def known_postings(spark, sf_dir):
     rows = listings(spark, sf_dir)
-    key = lambda c: vendors.job_key(F.col(c)).alias("key")
-    return postings.known({"history": rows.where("state = 'F'").select(key("url")), "pipeline": rows.where("state = 'O'").select(key("url")), "tracker": rows.where("state = 'P'").select(key("report_url"))})
+    keyed = lambda state, url: settled(rows.where(F.col("state") == state), vendors.job_key(F.col(url)).alias("key"))
+    return postings.known({"history": keyed("F", "url"), "pipeline": keyed("O", "url"), "tracker": keyed("P", "report_url")})
 
 
 @query(f"""WITH {LISTINGS_SQL}, {_BOARDS}, seeds AS (SELECT board, 'tracker' AS source FROM pages WHERE state = 'P' UNION ALL SELECT board, 'history' FROM pages WHERE state <> 'P')
@@ -190,7 +190,7 @@ def closing_states(spark, sf_dir):
 SELECT key, CAST(coalesce(arg_max(close, n) FILTER (state = 'P'), arg_max(close, n)) AS varchar) AS close FROM keyed WHERE key <> '' GROUP BY key""")
 def close_by_url(spark, sf_dir):
     """The close day of each job: that of a tracked row, which later sightings don't override, else the last seen."""
-    rows = listings(spark, sf_dir).select(vendors.job_key(F.col("url")).alias("key"), days.close_day(F.col("closes")).alias("close"), "n", (F.col("state") == "P").alias("pinned"))
+    rows = settled(listings(spark, sf_dir), vendors.job_key(F.col("url")).alias("key"), days.close_day(F.col("closes")).alias("close"), "n", (F.col("state") == "P").alias("pinned"))
     return postings.close_days(rows.where("key != ''")).withColumn("close", F.col("close").cast("string"))
 
 
