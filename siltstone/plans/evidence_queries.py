@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vendors
 from ..operators import diagnosis, mail_links
+from ..operators.lineage import settled
 from . import tables as t
 from . import vendor_queries as v
 
@@ -43,13 +44,15 @@ SELECT n, code, CASE code WHEN 'filtered' THEN CASE WHEN status IN ('skipped_tit
   WHEN 'untracked' THEN CASE WHEN title_ok THEN 'add ' || vendor || ':' || slug ELSE 'add with a title keyword' END ELSE 'none' END AS advice, entry, other AS other_board FROM d""")
 def coverage_diagnosis(spark, sf_dir):
     """Why no scanner brought each listing, by nine codes."""
-    rows = v.listings(spark, sf_dir).withColumn("b", vendors.ats_coordinates(F.col("url")))
+    rows = v.listings(spark, sf_dir)
     named = F.concat(F.lit("c"), (F.col("company") % 400).cast("string")).alias("company")
-    key = vendors.job_key(F.col("url")).alias("key")
-    posted = rows.select("n", "url", named, F.col("b.vendor").alias("vendor"), F.col("b.slug").alias("slug"), "title", key, F.when(F.col("n") % 5 == 0, "").otherwise(F.col("state")).alias("location"))
-    history = rows.where("n % 11 = 0").select(key, F.col("day").alias("seen_on"), F.expr(_STATUS).alias("status"))
+    key, board = vendors.job_key(F.col("url")).alias("key"), vendors.ats_coordinates(F.col("url")).alias("b")
+    posted = settled(rows, "n", "url", named, board, "title", key, F.when(F.col("n") % 5 == 0, "").otherwise(F.col("state")).alias("location"))
+    posted = posted.select("n", "url", "company", F.col("b.vendor").alias("vendor"), F.col("b.slug").alias("slug"), "title", "key", "location")
+    history = settled(rows.where("n % 11 = 0"), key, F.col("day").alias("seen_on"), F.expr(_STATUS).alias("status"))
     vendor = F.when(F.col("n") % 4 != 0, vendors.ats_vendor(F.col("url")))
-    entries = rows.where("n % 97 = 0").select(F.col("n").alias("entry"), named, F.col("b.vendor").alias("vendor"), F.col("b.slug").alias("slug"), (F.col("n") % 3 != 0).alias("enabled"), vendor.alias("provider"))
+    entries = settled(rows.where("n % 97 = 0"), F.col("n").alias("entry"), named, board, (F.col("n") % 3 != 0).alias("enabled"), vendor.alias("provider"))
+    entries = entries.select("entry", "company", F.col("b.vendor").alias("vendor"), F.col("b.slug").alias("slug"), "enabled", "provider")
     scanned = rows.where("n % 53 = 0").select(named)
     return diagnosis.coverage(posted, history, entries, scanned, F.col("title") != "5-LOW", F.col("location") != "P")
 

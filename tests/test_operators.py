@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import joins, ledger, metrics, mining, roles, similarity, state
+from siltstone.operators.lineage import settled
+from siltstone.plans import registry
 
 
 def tracker(spark, counts):
@@ -165,3 +167,17 @@ def test_dead_boards(spark):
     rows = [("a", 1, True), ("a", 2, False), ("a", 3, True), ("b", 1, True), ("b", 2, True), ("b", 3, True), ("b", 4, True), ("c", 1, False)]
     df = spark.createDataFrame(rows, "board string, seq long, missing boolean")
     assert {tuple(r) for r in state.dead_boards(df).collect()} == {("a", 1), ("b", 3)}
+
+
+def test_settled_columns_are_computed_once(spark, capsys):
+    rows = settled(spark.createDataFrame([("a-b",), (None,), ("c",)], "x string"), F.regexp_replace("x", "marker|-", "").alias("key"), "x")
+    kept = rows.where("key != 'c'").groupBy("key").agg(F.max("x").alias("x"))
+    kept.explain("simple")
+    assert capsys.readouterr().out.count("marker|-") == 1
+    assert [tuple(r) for r in kept.collect()] == [("ab", "a-b")]
+
+
+def test_queries_compute_job_keys_once(spark, capsys):
+    for name, times in (("inbox_pending", 2), ("evaluated_match", 2), ("known_postings", 3), ("close_by_url", 1), ("coverage_diagnosis", 2)):
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001").explain("simple")
+        assert capsys.readouterr().out.count("currentJobId=([") == 2 * times, name  # each key shows the pattern twice
