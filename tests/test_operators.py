@@ -178,6 +178,13 @@ def test_settled_columns_are_computed_once(spark, capsys):
 
 
 def test_queries_compute_job_keys_once(spark, capsys):
-    for name, times in (("inbox_pending", 2), ("evaluated_match", 2), ("known_postings", 3), ("close_by_url", 1), ("coverage_diagnosis", 2)):
+    for name, times in (("inbox_pending", 2), ("evaluated_match", 3), ("known_postings", 3), ("close_by_url", 1), ("coverage_diagnosis", 2)):
         registry.QUERIES[name](spark, "/root/testdata/sf0.001").explain("simple")
         assert capsys.readouterr().out.count("currentJobId=([") == 2 * times, name  # each key shows the pattern twice
+
+
+def test_rare_tokens_come_first(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "KNOWN_TOKENS", 1)
+    sets = spark.createDataFrame([(k, [1, 2, 3, 5000 - k]) for k in range(300)], "id long, tokens array<long>")
+    prefix = sets.mapInArrow(similarity._prefixes(0.8, *similarity._frequencies(sets)), "id long, n int, place int, token long, last long")
+    assert sorted(tuple(r) for r in prefix.collect()) == [(k, 4, 1, 5000 - k, 0) for k in range(300)]
