@@ -6,6 +6,8 @@ with one or with + or #, or one letter or digit, after lower-casing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,7 @@ BROADCAST_WORDS = 200_000
 
 def words(text: Column) -> Column:
     """The words of a text in order."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    return F.filter(F.transform(found, lambda w: F.regexp_replace(w, r"\A[.-]+|[.-]+\z", "")), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -68,6 +69,8 @@ def phrase_hits(docs: DataFrame, phrases: DataFrame, id_col: str, text_col: str)
     parts = phrases.select("phrase").where("phrase IS NOT NULL").distinct().select("phrase", words(F.col("phrase")).alias("w")).where(F.size("w") > 0)
     parts = parts.select("phrase", _keys(F.col("w")).alias("k")).select("phrase", F.size("k").alias("n"), F.explode("k").alias("x")).select("phrase", "n", "x.seq", "x.key")
     index = positions(docs, id_col, text_col).join(_bounded(parts.select("key").distinct()), "key", "left_semi").select("id", "pos", "key")
+    # Texts are read once for all three uses of the index.
+    index = checkpointed(index)
     often = index.groupBy("key").agg(F.count("*").alias("places"))
     # A pair that is nowhere leads its phrase nowhere.
     led = parts.join(often, "key", "left").groupBy("phrase", "n").agg(F.min(F.struct(F.coalesce("places", F.lit(0)).alias("places"), "seq", "key")).alias("lead"))
@@ -98,11 +101,35 @@ def without_comments(text: Column) -> Column:
     return once(once(text))
 
 
+def _said(text: Column) -> Column:
+    """The words of each part of a text: see `sentence_words`."""
+    clean = F.lower(F.regexp_replace(F.regexp_replace(without_comments(text), r"https?://\S+", " "), "[`*_>#|]", " "))
+    return F.transform(F.split(clean, r'[\n;:,()\[\]{}"]+|[.!?]+(?=\s|\z)'), words)
+
+
 def sentence_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, w): the words of every sentence, line, or part between commas, colons and brackets; without URLs and marks of emphasis."""
-    clean = F.lower(F.regexp_replace(F.regexp_replace(without_comments(F.col(text_col)), r"https?://\S+", " "), "[`*_>#|]", " "))
-    parts = docs.select(F.col(id_col).alias("id"), F.explode(F.split(clean, r'[\n;:,()\[\]{}"]+|[.!?]+(?=\s|\z)')).alias("part"))
-    return parts.select("id", words(F.col("part")).alias("w")).where(F.size("w") > 0)
+    return docs.select(F.col(id_col).alias("id"), F.explode(_said(F.col(text_col))).alias("w")).where(F.size("w") > 0)
+
+
+def _terms_of_texts(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """`terms` where each text is one row: a text's own words and pairs are made distinct where it is read, so only counts are shuffled."""
+    said = _said(F.col(text_col))
+    single = docs.select(F.explode(F.array_distinct(F.flatten(said))).alias("term")).where(usable(F.col("term")))
+    often = checkpointed(single.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= least))
+
+    def neighbours(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    pairs = docs.select(F.explode(F.array_distinct(F.flatten(F.transform(said, neighbours)))).alias("term"))
+    known = _bounded(often.select("term"))
+    for place in (0, 1):
+        side = F.substring_index("term", " ", 1 if place == 0 else -1)
+        pairs = pairs.withColumn("side", side).join(known.withColumnRenamed("term", "side"), "side", "left_semi").select("term")
+    counted = pairs.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
+    kinds = [(often, "word"), (counted, "phrase")]
+    return reduce(DataFrame.unionByName, [df.select("term", F.lit(kind).alias("kind"), "texts") for df, kind in kinds])
 
 
 def terms(docs: DataFrame, id_col: str, text_col: str, least: int = 1, names: DataFrame | None = None) -> DataFrame:
@@ -112,6 +139,8 @@ def terms(docs: DataFrame, id_col: str, text_col: str, least: int = 1, names: Da
     ``names`` is (id, name) of dictionary finds; a name is its lower-case term, of kind
     ``skill`` wherever a word or pair is the same.
     """
+    if names is None and docs.groupBy(id_col).count().where("count > 1").isEmpty():
+        return _terms_of_texts(docs, id_col, text_col, least)
     rows = sentence_words(docs, id_col, text_col)
     single = rows.select("id", F.explode("w").alias("term")).where(usable(F.col("term"))).distinct()
     often = _bounded(checkpointed(single.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= least).select("term")))
