@@ -4,7 +4,9 @@ import re
 
 import pytest
 
+import pyarrow as pa
 from siltstone.operators import annotations, dictionary, phrases
+from siltstone.operators.lineage import slices
 
 TERMS = [
     ("React", "React", None), ("React Native", "React Native", None), ("C++", "C++", None), (".NET", ".NET", None), ("CI/CD", "CI/CD", None), ("Golang", "Go", None), ("Go", "Go", "exact-word"),
@@ -153,3 +155,25 @@ def test_sentences(spark):
     rows = sorted(annotations.sentences(docs, "doc_id", "text").collect())
     assert [r.text for r in rows] == ["One.", "Two!", "three?four", "."]
     assert all(text[r.begin : r.end] == r.text for r in rows) and [r.sentence for r in rows] == [0, 1, 2, 3]
+
+
+def test_slices_hold_few_texts():
+    texts = ["x" * 10] * 600 + ["y" * (1 << 20)] * 3 + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    cut = list(slices(iter([batch, batch.slice(0, 0)])))
+    assert [t for b in cut for t in b.column("text").to_pylist()] == texts
+    assert max(b.num_rows for b in cut) == 256 and len(cut) >= 6
+
+
+def test_terms_of_single_texts_need_no_shuffle_of_texts(spark, capsys):
+    rows = [(k, "Data pipelines, data pipelines! Spark jobs <!-- no --> run; c++ c++." if k % 2 else "Spark jobs. data-driven work") for k in range(8)] + [(8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    none = spark.createDataFrame([], "id long, name string")
+    for least in (1, 4, 9):
+        got = sorted(tuple(r) for r in phrases.terms(docs, "id", "text", least).collect())
+        assert got == sorted(tuple(r) for r in phrases.terms(docs, "id", "text", least, none).collect())
+        assert bool(got) == (least < 9)
+    phrases.terms(docs, "id", "text", 4).explain("simple")
+    assert "hashpartitioning(id" not in capsys.readouterr().out
+    twice = phrases.terms(docs.unionByName(docs), "id", "text", 4)
+    assert {r["term"]: r["texts"] for r in twice.collect()}["data pipelines"] == 4
