@@ -1,6 +1,6 @@
 """Scanners over characters where a pattern cannot say the context: references of markup, invisible characters.
 
-They run over Arrow batches, and only on texts in which a built-in function has seen what they look for.
+Strict references are decoded by built-in functions; the others run over Arrow batches, and only on texts in which a built-in function has seen what they look for.
 """
 
 from __future__ import annotations
@@ -29,6 +29,9 @@ STRICT_NAMES = _LETTERS | _SIGNS
 #: Names that count in any case (fixed values).
 ANY_CASE = ("amp", "lt", "gt", "quot", "apos", "nbsp")
 _STRICT = regex.compile(r"&(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z]+);")
+#: For Java: the same, and a text's references and what is between them, in order and without gaps.
+_REFERENCE = "&(?:#[xX][0-9a-fA-F]++|#[0-9]++|[a-zA-Z]++);"
+_TOKENS = f"{_REFERENCE}|&?+[^&]++|&+(?=&)|&"
 _LOOSE = regex.compile(r"&(?:(#[xX][0-9a-fA-F]+|#[0-9]+);?|([a-zA-Z][a-zA-Z0-9]*)(;?))")
 _FULL = {name[:-1]: char for name, char in html.entities.html5.items() if name.endswith(";")}
 _LEGACY = {name: char for name, char in html.entities.html5.items() if not name.endswith(";")}
@@ -82,6 +85,35 @@ def decode_text(text: str, mode: str = "strict") -> str:
     return _LOOSE.sub(_loose(mode == "text"), text)
 
 
+def _strict_number(token: Column) -> Column:
+    """The character of a numeric reference; null where XML does not allow it."""
+    hexadecimal = F.lower(F.substring(token, 3, 1)) == "x"
+    digits = F.ltrim(F.regexp_replace(token, "^&#[xX]?|;$", ""), F.lit("0"))
+    # Eight hex digits sort as their numbers do.
+    code = F.when(F.length(digits) <= 8, F.lpad(F.when(hexadecimal, F.conv(digits, 16, 16)).otherwise(F.conv(digits, 10, 16)), 8, "0"))
+
+    def char(code: Column) -> Column:
+        fine = code.isin("00000009", "0000000A", "0000000D") | code.between("00000020", "0000D7FF") | code.between("0000E000", "0000FFFD") | code.between("00010000", "0010FFFF")
+        # The blank keeps U+FEFF from being read as a mark of byte order.
+        return F.when(fine, F.substring(F.decode(F.unhex(F.concat(F.lit("00000020"), code)), "UTF-32"), 2, 1))
+
+    return F.transform(F.array(code), char)[0]
+
+
+def _strict_decoded(text: Column) -> Column:
+    """`decode_text` in strict mode by built-in functions."""
+    known = F.create_map(*[F.lit(x) for pair in (_SIGNS | _LETTERS).items() for x in pair])
+    any_case = F.create_map(*[F.lit(x) for name in ANY_CASE for x in (name, STRICT_NAMES[name])])
+
+    def decoded(token: Column) -> Column:
+        name = F.rtrim(F.ltrim(token, F.lit("&")), F.lit(";"))
+        named = F.coalesce(F.try_element_at(known, name), F.try_element_at(any_case, F.lower(name)))
+        reference = F.coalesce(F.when(token.startswith("&#"), _strict_number(token)).otherwise(named), token)
+        return F.when(token.rlike(rf"\A{_REFERENCE}\z"), reference).otherwise(token)
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0)), decoded), "")
+
+
 def _mapped(function: Callable[[str], str]) -> Callable[[Column], Column]:
     return F.pandas_udf(lambda s: s.map(function, na_action="ignore"), T.StringType())
 
@@ -97,6 +129,8 @@ def entities_decoded(text: Column, mode: str = "strict") -> Column:
     """
     if mode not in ("strict", "attribute", "text"):
         raise ValueError(f"unknown mode {mode!r}")
+    if mode == "strict":
+        return _strict_decoded(text)
     return F.when(text.contains("&"), _mapped(lambda s: decode_text(s, mode))(text)).otherwise(text)
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.functions import scanners
+from siltstone.functions import markup, scanners
 
 STRICT = {
     "D&eacute;veloppeur &amp; Fran&ccedil;ais": "Développeur & Français", "&Eacute;&eacute;": "Éé", "&AMP;&Lt;": "&<", "&copy; &eth; &thorn;": "&copy; &eth; &thorn;", "&#65;&#x42;&#X43;": "ABC",
@@ -44,6 +44,22 @@ def test_numbers_over_all_code_points():
         assert scanners.decode_text(f"&#{code};") == scanners.decode_text(f"&#x{code:X};") == (chr(code) if xml else f"&#{code};") or not xml
 
 
+def test_strict_references_need_no_python(spark, capsys):
+    """Built-in functions give what the plain version gives, for each name and number and for texts of many references."""
+    rng = random.Random(12)
+    parts = ["&", "amp", "AMP", "Lt", "&lt;", "&gT;", "&nbsp;", "copy", "eacute", ";", "#", "#x", "X1F600", "41", "0000000000065", "xfeff", "\ufeff", "\n", "\r", "\u2028", "ü", "😀", " ", "b;&", "&#xFEFF;", "&#38;", "9" * 30]
+    codes = [*range(0x300), *range(0xD7F0, 0xE010), 0xFEFF, *range(0xFFF0, 0x10010), 0x10FFFF, 0x110000, 10**7, 10**8 - 1, 10**8, 0xFFFFFFFF]
+    texts = [f"{form.format(c)}" for c in codes for form in ("&#{};", "&#x{:x};", "a&#X{:08X};b")]
+    texts += [f"&{case};" for name in {*scanners.STRICT_NAMES, "copy", "thorn"} for case in (name, name.lower(), name.upper(), name.title())]
+    texts += ["".join(rng.choices(parts, k=12)) for _ in range(3000)] + ["x&amp;" * 20000, "&" * 50000, "&" + "a" * 50000, "no reference " * 9000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, v string").select("k", scanners.entities_decoded(F.col("v")).alias("d"))
+    got = {r.k: r.d for r in rows.collect()}
+    assert [texts[k] for k in range(len(texts)) if got[k] != scanners.decode_text(texts[k])] == []
+    pages = spark.createDataFrame([("<p>&lt;</p>",)], "v string")
+    pages.select(markup.html_to_text(F.col("v")), markup.block_text(F.col("v"))).explain()
+    assert "EvalPython" not in capsys.readouterr().out
+
+
 ZWSP, ZWNJ, ZWJ, VS16, SHY = "\u200b", "\u200c", "\u200d", "\ufe0f", "\u00ad"
 MAN, LAPTOP, TONE, HEART = "\U0001f468", "\U0001f4bb", "\U0001f3fd", "❤"
 #: A text, what stays of it, and what stays with the joiners that spelling needs.
