@@ -188,3 +188,45 @@ def test_rare_tokens_come_first(spark, monkeypatch):
     sets = spark.createDataFrame([(k, [1, 2, 3, 5000 - k]) for k in range(300)], "id long, tokens array<long>")
     prefix = sets.mapInArrow(similarity._prefixes(0.8, *similarity._frequencies(sets)), "id long, n int, place int, token long, last long")
     assert sorted(tuple(r) for r in prefix.collect()) == [(k, 4, 1, 5000 - k, 0) for k in range(300)]
+
+
+def written(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_near_copies_are_paired_without_shuffling_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{k}x" for k in range(4000)]
+    base = rng.sample(words, 300)
+    sets = {k: set(rng.sample(base, 285)) | set(rng.sample(words, rng.randrange(30))) for k in range(300)}
+    sets |= {k: set(rng.sample(words, rng.randrange(1, 60))) for k in range(300, 340)}
+    docs = [(k, " ".join(sorted(x))) for k, x in sets.items()]
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(similarity, "PART", 60, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written(spark)
+        found = {(r[0], r[1]): r[2] for r in similarity.jaccard_classes(df, 0.8, "doc_id", "text").collect()}
+        moved = written(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == want and len(want) > 30_000
+    assert moved < 6 * 8 * sum(map(len, sets.values())), moved
+
+
+def test_jaccard_classes_of_any_size(spark):
+    rng = random.Random(4)
+    # Long sets fill slots, and more than a byte counts.
+    base = [f"t{k}" for k in range(3000)]
+    sizes = rng.choices((1, 4, 40, 140, 3000), k=160)
+    sets = {f"i{k}": set(rng.sample(base[:most], rng.randrange(most * 3 // 4, most) + 1)) for k, most in enumerate(sizes)}
+    docs = spark.createDataFrame([(k, " ".join(sorted(x))) for k, x in sets.items()], "doc_id string, text string")
+    for threshold in (0.5, 0.8, 0.95):
+        classes = {}
+        for k, x in sorted(sets.items()):
+            classes.setdefault(frozenset(x), []).append(k)
+        named = [(x, ks[0], len(ks)) for x, ks in classes.items()]
+        want = {(a, b): (len(x & y) / len(x | y), m, n) for x, a, m in named for y, b, n in named if a < b and len(x & y) / len(x | y) >= threshold}
+        found = similarity.jaccard_classes(docs, threshold, "doc_id", "text").collect()
+        assert {(r[0], r[1]): tuple(r[2:]) for r in found} == want and len(found) == len(want) > 20
